@@ -6,6 +6,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from footfall.functions.once import evaluate_once
 from footfall.plans.ingest import Lookups, ingest_lines
 from footfall.session import prepare, shared_dir
 from footfall.settings import Settings
@@ -106,7 +107,7 @@ def as_lines(requests: DataFrame) -> DataFrame:
         F.lit(2326).alias("size"),
         "status",
     )
-    return requests.select(F.to_json(line).alias("value"))
+    return requests.select(evaluate_once(value=F.to_json(line)))
 
 
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from footfall.fixed_values import TWO_PART_SUFFIXES
+from footfall.functions.once import evaluate_once
 from footfall.functions.text import trim_blanks
 
 _QUAD = r"(?:\A|:)(\d{1,3}(?:[.]\d{1,3}){3})\z"
@@ -44,13 +45,13 @@ def with_ip_key(df: DataFrame, address: str = "remote_ip", key: str = "ip_key")
         "_groups": _non_empty_groups(F.col("_v6")),
         "_all": F.when(valid, spelled_out),
         "_digits": key_digits,
-        key: F.when(~text.contains(":"), F.col("_v4")).otherwise(
-            F.when(mapped, F.substring("_digits", 25, 8)).otherwise(F.col("_digits"))
-        ),
     }
+    columns = df.columns
     for name, step in steps.items():
         df = df.withColumn(name, step)
-    return df.drop(*[name for name in steps if name != key])
+    v6_key = F.when(mapped, F.substring("_digits", 25, 8)).otherwise(F.col("_digits"))
+    found = F.when(text.contains(":"), v6_key).otherwise(F.col("_v4"))
+    return df.select(*columns, evaluate_once(**{key: found}))
 
 
 def reverse_name(key: Column) -> Column:

@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from footfall.functions.net import registrable_domain, with_ip_key
+from footfall.functions.once import evaluate_once
 from footfall.operators.skew import ROWS_PER_SHARE, salted_join
 
 # Keys are cut at whole bytes, two hex digits each.
@@ -40,7 +41,7 @@ def _bucketed(ranges: DataFrame) -> DataFrame:
         lambda number: F.concat(stem, F.lpad(F.lower(F.hex(number)), _STEP, "0")),
     )
     return (
-        ranges.withColumn("_shared", shared)
+        ranges.select("*", evaluate_once(_shared=shared))
         .withColumn("bucket", F.explode(F.when(whole, F.array(stem)).otherwise(below)))
         .drop("_shared")
     )

@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamReader
 
+from footfall.functions.once import evaluate_once
 from footfall.functions.text import is_blank, non_empty
 from footfall.functions.times import millis_of_seconds
 from footfall.schemas import RAW_REQUEST
@@ -51,11 +52,6 @@ def clean_lines(lines: DataFrame) -> DataFrame:
     return lines.filter(value.contains("{") | ~is_blank(value)).withColumn("value", stripped)
 
 
-def _evaluate_once(row: Column) -> Column:
-    """Columns of a struct, kept apart from later filters so that none repeats the work behind them."""
-    return F.inline(F.array(row))
-
-
 def _field(reading: str, name: str) -> Column:
     """One field of a reading of the line; of a header, its first value."""
     value = F.col(f"{reading}.{_TEXT_FIELDS[name]}")
@@ -73,32 +69,32 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     field looks like that are read again with their JSON types, so 12 and "12" stay apart.
     """
     plain = F.from_json("value", _line_schema("string"), _JSON_OPTIONS)
-    read = lines.select("value", _evaluate_once(F.struct(plain.alias("plain"))))
+    read = lines.select("value", evaluate_once(plain=plain))
     doubtful = F.lit(False)
     for name in _TEXT_FIELDS:
         doubtful = doubtful | F.coalesce(_field("plain", name).rlike(_MAYBE_NOT_TEXT), F.lit(False))
     typed = F.when(doubtful, F.from_json("value", _line_schema("variant"), _JSON_OPTIONS))
-    read = read.select("plain", _evaluate_once(F.struct(typed.alias("typed"))))
+    read = read.select("plain", evaluate_once(typed=typed))
 
     fields = {
         name: F.when(F.col("typed").isNull(), _field("plain", name)).otherwise(_guarded_text(_field("typed", name)))
         for name in _TEXT_FIELDS
     }
     text = {name: non_empty(value) for name, value in fields.items()}
-    parsed = F.struct(
-        text["host"].alias("host"),
-        text["method"].alias("method"),
-        text["uri"].alias("uri"),
-        F.col("plain.status").alias("status"),
-        F.coalesce(text["client_ip"], text["remote_ip"]).alias("remote_ip"),
-        fields["referrer"].alias("referrer"),
-        F.coalesce(fields["user_agent"], F.lit("")).alias("user_agent"),
-        F.when(F.abs("plain.ts") < float("inf"), F.col("plain.ts")).alias("ts"),
+    parsed = evaluate_once(
+        host=text["host"],
+        method=text["method"],
+        uri=text["uri"],
+        status=F.col("plain.status"),
+        remote_ip=F.coalesce(text["client_ip"], text["remote_ip"]),
+        referrer=fields["referrer"],
+        user_agent=F.coalesce(fields["user_agent"], F.lit("")),
+        ts=F.when(F.abs("plain.ts") < float("inf"), F.col("plain.ts")),
     )
     conforming = F.lit(True)
     for needed in ("host", "method", "uri", "status", "remote_ip", "ts"):
         conforming = conforming & F.col(needed).isNotNull()
-    return read.select(_evaluate_once(parsed)).select(
+    return read.select(parsed).select(
         "host",
         "method",
         F.substring_index("uri", "?", 1).alias("path"),

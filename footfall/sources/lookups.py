@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from footfall.functions.net import with_ip_key
+from footfall.functions.once import evaluate_once
 
 _CITY_BLOCKS = (
     "network string, geoname_id string, registered_country_geoname_id string, "
@@ -44,12 +45,9 @@ def network_ranges(blocks: DataFrame, network: str = "network") -> DataFrame:
     mapped = F.col("_address").contains(":") & (F.length("_key") == 8)
     keyed = keyed.withColumn("_bits", F.when(mapped, F.col("_bits") - 96).otherwise(F.col("_bits")))
     valid = F.col("_key").isNotNull() & F.col("_bits").between(0, F.length("_key") * 4)
-    ranges = keyed.filter(valid).select(
-        _masked(F.col("_key"), F.col("_bits"), "0").alias("lo"),
-        _masked(F.col("_key"), F.col("_bits"), "f").alias("hi"),
-        *[name for name in blocks.columns if name != network],
-    )
-    return ranges
+    key, length = F.col("_key"), F.col("_bits")
+    ends = evaluate_once(lo=_masked(key, length, "0"), hi=_masked(key, length, "f"))
+    return keyed.filter(valid).select(ends, *[name for name in blocks.columns if name != network])
 
 
 def numeric_ranges(ranges: DataFrame) -> DataFrame:
