@@ -47,7 +47,9 @@ def _bucketed(ranges: DataFrame) -> DataFrame:
     )
 
 
-def range_lookup(addresses: DataFrame, ranges: DataFrame, fields: list[str]) -> DataFrame:
+def range_lookup(
+    addresses: DataFrame, ranges: DataFrame, fields: list[str], rows_per_share: int = ROWS_PER_SHARE
+) -> DataFrame:
     """(remote_ip, *fields) for every distinct keyed address inside a range; the narrowest range wins.
 
     `addresses` holds distinct (remote_ip, ip_key); `ranges` holds (lo, hi, *fields) as keys.
@@ -55,7 +57,8 @@ def range_lookup(addresses: DataFrame, ranges: DataFrame, fields: list[str]) ->
     probes = addresses.filter(F.col("ip_key").isNotNull()).select(
         "remote_ip", "ip_key", F.explode(_prefixes(F.col("ip_key"))).alias("bucket")
     )
-    inside = probes.join(_bucketed(ranges), "bucket").filter(
+    # A network that holds most of the addresses is a hot bucket.
+    inside = salted_join(probes, _bucketed(ranges), "bucket", "inner", rows_per_share=rows_per_share).filter(
         F.col("ip_key").between(F.col("lo"), F.col("hi")) & (F.length("ip_key") == F.length("lo"))
     )
     # Of nested ranges the narrowest starts last, and of those with one start it ends first.
@@ -76,16 +79,20 @@ def address_counts(requests: DataFrame) -> DataFrame:
 
 
 def address_book(
-    counts: DataFrame, city: DataFrame | None = None, asn: DataFrame | None = None, ptr: DataFrame | None = None
+    counts: DataFrame,
+    city: DataFrame | None = None,
+    asn: DataFrame | None = None,
+    ptr: DataFrame | None = None,
+    rows_per_share: int = ROWS_PER_SHARE,
 ) -> DataFrame:
     """One row per distinct address with whatever each lookup table knows of it."""
     # The counts are always positive; naming them lets every use of the counts share one shuffle.
     addresses = with_ip_key(counts.filter("n > 0").select("remote_ip"))
     book = addresses
     if city is not None:
-        book = book.join(range_lookup(addresses, city, ["country", "city"]), "remote_ip", "left")
+        book = book.join(range_lookup(addresses, city, ["country", "city"], rows_per_share), "remote_ip", "left")
     if asn is not None:
-        book = book.join(range_lookup(addresses, asn, ["asn", "org"]), "remote_ip", "left")
+        book = book.join(range_lookup(addresses, asn, ["asn", "org"], rows_per_share), "remote_ip", "left")
     if ptr is not None:
         domains = ptr_domains(ptr)
         book = book.join(domains, book["ip_key"] == domains["ptr_key"], "left").drop("ptr_key")
@@ -104,5 +111,5 @@ def locate(
     Lookups run once per distinct address; addresses no table covers keep their row with nulls.
     """
     counts = address_counts(requests)
-    book = address_book(counts, city, asn, ptr)
+    book = address_book(counts, city, asn, ptr, rows_per_share)
     return salted_join(requests, book, "remote_ip", "left", counts, rows_per_share)

@@ -17,7 +17,7 @@ def salted_join(
     key_counts: DataFrame | None = None,
     rows_per_share: int = ROWS_PER_SHARE,
 ) -> DataFrame:
-    """Join (left, left_semi or left_anti) facts to one lookup row per key, cutting hot keys into shares.
+    """Join (inner, left, left_semi) facts to a lookup with few rows per key, cutting hot keys into shares.
 
     The hottest keys are found by counting; their rows spread over shares by a hash of the whole
     row, and only their lookup rows repeat per share. Facts should hold no more than a few equal

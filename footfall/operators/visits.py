@@ -56,8 +56,13 @@ def one_per_key(visits: DataFrame) -> DataFrame:
 
 
 def not_stored(visits: DataFrame, stored: DataFrame) -> DataFrame:
-    """Visits whose key the table does not hold; both sides have one row per key."""
-    return visits.join(stored.select(*VISIT_KEY), VISIT_KEY, "left_anti")
+    """Visits whose key the table does not hold; both sides have one row per key.
+
+    Looking up which of these keys are stored first lets a small batch be broadcast against a large
+    table; a plain anti join would shuffle the table's keys for every batch.
+    """
+    already = stored.select(*VISIT_KEY).join(visits.select(*VISIT_KEY), VISIT_KEY, "left_semi")
+    return visits.join(already, VISIT_KEY, "left_anti")
 
 
 def visits_of(

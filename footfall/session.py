@@ -1,11 +1,15 @@
 """Session settings the jobs rely on, and the shared folder for intermediate tables."""
 
+import math
 import tempfile
 
 from pyspark.sql import SparkSession
 
 SHARED_DIR_SETTING = "spark.checkpoint.dir"
 
+# Input per shuffle partition; the rows that leave the parser are smaller than the text that entered.
+BYTES_PER_SHUFFLE_PARTITION = 256 * 1024 * 1024
+
 _local_dirs: dict[str, str] = {}
 
 
@@ -17,6 +21,14 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def size_shuffles(spark: SparkSession, input_bytes: int) -> int:
+    """Start shuffles with enough partitions for the input; adaptive execution merges small ones."""
+    configured = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    partitions = max(configured, math.ceil(input_bytes / BYTES_PER_SHUFFLE_PARTITION))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(partitions))
+    return partitions
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach; a temporary one only on a single machine with none named."""
     named = spark.sparkContext.getConf().get(SHARED_DIR_SETTING)

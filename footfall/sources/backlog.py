@@ -40,11 +40,13 @@ def write_backlog(visits: DataFrame, path: str) -> None:
 
 
 def replay_backlog(spark: SparkSession, backlog: str, table: str, visits: DataFrame | None = None) -> None:
-    """Store everything waiting, together with new visits if any, and then clear the backlog.
+    """Store everything waiting, together with new visits if any, and then clear what was read.
 
     A failure leaves the backlog whole; a later replay stores only what is still missing.
     """
     waiting = read_backlog(spark, backlog)
+    files = waiting.inputFiles()
     queue = waiting if visits is None else waiting.unionByName(as_visits(visits))
     insert_if_absent(spark, one_per_key(queue), table)
-    remove(spark, backlog)
+    for file in files:
+        remove(spark, file)

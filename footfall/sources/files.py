@@ -1,4 +1,4 @@
-"""Whether paths exist, and their removal, on whatever file system they name."""
+"""Existence, size and removal of paths on whatever file system they name."""
 
 from pyspark.sql import SparkSession
 
@@ -17,3 +17,13 @@ def exists(spark: SparkSession, path: str) -> bool:
 def remove(spark: SparkSession, path: str) -> None:
     system, hadoop_path = _path(spark, path)
     system.delete(hadoop_path, True)
+
+
+def total_bytes(spark: SparkSession, paths: str | list[str]) -> int:
+    """Size of files, folders or glob patterns together."""
+    total = 0
+    for path in [paths] if isinstance(paths, str) else paths:
+        system, hadoop_path = _path(spark, path)
+        for found in system.globStatus(hadoop_path) or []:
+            total += system.getContentSummary(found.getPath()).getLength()
+    return total

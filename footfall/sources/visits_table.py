@@ -3,12 +3,13 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from footfall.functions.times import day_of
 from footfall.operators.visits import as_visits, not_stored
 from footfall.schemas import PARTITION_COLUMN, STORED_VISIT, VISIT_KEY
 from footfall.sources.files import exists
 
 # A batch that touches more days than this reads the keys of the whole span instead of naming days.
-MAX_NAMED_DAYS = 1000
+MAX_NAMED_DAYS = 100
 
 
 def read_visits(spark: SparkSession, path: str) -> DataFrame:
@@ -27,16 +28,21 @@ def append_visits(visits: DataFrame, path: str) -> None:
     balanced.write.mode("append").partitionBy(PARTITION_COLUMN).parquet(path)
 
 
-def stored_keys(spark: SparkSession, path: str, days: DataFrame) -> DataFrame:
-    """Keys stored for the days a batch touches; only those partitions are read."""
-    stored = read_visits(spark, path)
-    named = [row[0] for row in days.distinct().limit(MAX_NAMED_DAYS + 1).collect()]
+def stored_keys(spark: SparkSession, path: str, visits: DataFrame) -> DataFrame:
+    """Keys stored within the times that some visits cover.
+
+    Only the days they touch are read, and of those only the row groups that reach into their hours.
+    """
+    day, at = F.col(PARTITION_COLUMN), F.col("visited_at")
+    ends = visits.agg(F.unix_micros(F.min("visited_at")), F.unix_micros(F.max("visited_at"))).first()
+    first, last = (F.timestamp_micros(F.lit(end).cast("bigint")) for end in ends)
+    named = [row[0] for row in visits.select(day_of(at)).distinct().limit(MAX_NAMED_DAYS + 1).collect()]
+    covered = at.between(first, last)
     if len(named) <= MAX_NAMED_DAYS:
-        touched = F.col(PARTITION_COLUMN).isin(named)
+        covered = day.isin(named) & covered
     else:
-        first, last = days.agg(F.min(PARTITION_COLUMN), F.max(PARTITION_COLUMN)).first()
-        touched = F.col(PARTITION_COLUMN).between(first, last)
-    return stored.filter(touched).select(*VISIT_KEY)
+        covered = day.between(day_of(first), day_of(last)) & covered
+    return read_visits(spark, path).filter(covered).select(*VISIT_KEY)
 
 
 def insert_if_absent(spark: SparkSession, visits: DataFrame, path: str, complete=as_visits) -> None:
@@ -48,8 +54,7 @@ def insert_if_absent(spark: SparkSession, visits: DataFrame, path: str, complete
     """
     visits = visits.persist()
     try:
-        days = visits.select(F.to_date("visited_at").alias(PARTITION_COLUMN))
-        fresh = not_stored(visits, stored_keys(spark, path, days))
+        fresh = not_stored(visits, stored_keys(spark, path, visits))
         append_visits(complete(fresh), path)
     finally:
         visits.unpersist()
