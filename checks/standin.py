@@ -135,12 +135,15 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/footfall-checks/{name}-{uuid.uuid4().hex}"
 
 
-def stored_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The visits table of a whole log, ingested once per application and then read like any table."""
-    prepare(spark)
+def stored_path(spark: SparkSession, sf_dir: str) -> str:
+    """Where the visits table of a whole log is, ingested on the first use by an application."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _tables:
         path = new_folder(spark, "visits")
         ingest_lines(log_lines(spark, sf_dir), path, SETTINGS, lookups(spark, sf_dir))
         _tables[key] = path
-    return read_visits(spark, _tables[key])
+    return _tables[key]
+
+
+def stored_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_visits(prepare(spark), stored_path(spark, sf_dir))

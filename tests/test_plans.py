@@ -1,0 +1,114 @@
+"""The plans behind the operators: what is read, pushed down, shuffled and combined."""
+
+import re
+from datetime import datetime
+
+import pytest
+from conftest import line
+
+from footfall.operators import listing, retention, rollups
+from footfall.operators.visits import not_stored, one_per_key
+from footfall.plans.ingest import requests_from_lines, visits_from_lines
+from footfall.settings import Settings
+from footfall.sources.access_log import read_lines
+from footfall.sources.visits_table import append_visits, read_visits, stored_keys
+
+NOW = datetime(2026, 7, 11, 12)
+SETTINGS = Settings("a-test-salt-of-sufficient-length")
+
+
+@pytest.fixture(scope="module")
+def table(spark, tmp_path_factory):
+    from conftest import make_visits
+
+    path = str(tmp_path_factory.mktemp("plans") / "t")
+    append_visits(make_visits(spark, *[{"path": f"/{n}", "at": f"2026-07-{n:02}T01:00:00Z"} for n in range(1, 12)]), path)
+    return path
+
+
+@pytest.fixture
+def stored(spark, table):
+    return read_visits(spark, table)
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def read_columns(text):
+    return [set(re.findall(r"(\w+):", columns)) for columns in re.findall(r"ReadSchema: struct<(.*?)>", text)]
+
+
+def test_the_window_prunes_days_and_pushes_the_cutoff(stored):
+    text = plan(rollups.visits_per_day(stored, NOW, 2))
+    assert re.search(r"PartitionFilters: \[[^\]]*visit_day[^\]]*>= 2026-07-09", text)
+    assert "GreaterThanOrEqual(visited_at,2026-07-09" in text
+    assert read_columns(text) == [{"engaged", "visited_at"}]
+
+
+def test_rollups_read_only_their_columns(stored):
+    assert read_columns(plan(rollups.top_countries(stored))) == [{"country"}]
+    assert read_columns(plan(rollups.engaged_rate(stored))) == [{"engaged"}]
+    assert read_columns(plan(rollups.stat_tiles(stored, NOW))) == [{"engaged", "country", "visited_at"}]
+
+
+def test_counts_combine_before_the_shuffle(stored):
+    text = plan(rollups.top_referrers(stored))
+    assert "partial_count" in text and "TakeOrderedAndProject" in text
+
+
+def test_recent_visits_take_the_top_of_the_days_needed(stored):
+    found = listing.recent(stored, 2)
+    found.collect()
+    text = plan(found)
+    assert "TakeOrderedAndProject" in text
+    assert re.search(r"PartitionFilters: \[[^\]]*visit_day[^\]]*Subquery", text)
+    assert set() in read_columns(text)  # days are counted without reading a column
+
+
+def test_retention_prunes_days(stored):
+    text = plan(retention.retained(stored, NOW, 7))
+    assert re.search(r"PartitionFilters: \[[^\]]*visit_day[^\]]*>= 2026-07-04", text)
+
+
+def test_engaged_visitors_join_is_a_semi_join_on_salted_keys(spark, stored):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(listing.visits_of_engaged(stored))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "LeftSemi" in text and re.search(r"hashpartitioning\(ip_hash#\d+, _share#\d+", text)
+
+
+def test_dedupe_combines_before_its_only_shuffle(spark, tmp_path):
+    (tmp_path / "a.log").write_text(line() + "\n")
+    found = requests_from_lines(read_lines(spark, str(tmp_path / "a.log")), SETTINGS)
+    from footfall.operators.visits import describe
+
+    text = plan(one_per_key(describe(found, SETTINGS.salt)))
+    assert text.count("Exchange hashpartitioning") == 1 and "partial_min" in text
+
+
+def test_a_line_is_parsed_once(spark, tmp_path):
+    """One strict reading; the second, typed one is behind a condition."""
+    (tmp_path / "a.log").write_text(line() + "\n")
+    text = plan(requests_from_lines(read_lines(spark, str(tmp_path / "a.log")), SETTINGS))
+    assert text.count("from_json(") == 2 and text.count("VariantType") > 0
+    assert "BatchEvalPython" not in text and "ArrowEvalPython" not in text
+
+
+def test_only_the_touched_days_of_the_table_are_read(spark, table, visits):
+    batch = visits({"at": "2026-07-05T01:00:00Z"}, {"at": "2026-07-06T01:00:00Z", "path": "/b"})
+    text = plan(not_stored(batch, stored_keys(spark, table, batch)))
+    assert re.search(r"PartitionFilters: \[[^\]]*visit_day[^\]]*2026-07-05[^\]]*2026-07-06", text)
+    assert "GreaterThanOrEqual(visited_at,2026-07-05" in text
+    assert "CartesianProduct" not in text and "NestedLoop" not in text
+
+
+def test_no_pairs_of_addresses_and_ranges(spark, lines):
+    from footfall.plans.ingest import Lookups
+    from footfall.sources.lookups import network_ranges
+
+    city = network_ranges(spark.createDataFrame([("10.0.0.0/8", "a", "b")], "network string, country string, city string"))
+    text = plan(visits_from_lines(lines(line()), SETTINGS, Lookups(city=city)))
+    assert "CartesianProduct" not in text and "NestedLoop" not in text

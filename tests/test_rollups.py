@@ -1,0 +1,78 @@
+import json
+from datetime import date, datetime
+
+import pytest
+
+from footfall.operators import rollups
+
+NOW = datetime(2026, 7, 11, 12)
+
+
+@pytest.fixture
+def stored(visits):
+    return visits(
+        {"path": "/1h", "at": "2026-07-11T11:00:00Z", "engaged": True},
+        {"path": "/2h", "at": "2026-07-11T10:00:00Z", "country": "United Kingdom", "referrer": "https://linkedin.com"},
+        {"path": "/2d", "at": "2026-07-09T12:00:00Z", "referrer": None},
+        {"path": "/40d", "at": "2026-06-01T12:00:00Z", "country": None, "referrer": "https://github.com/x"},
+    )
+
+
+def test_visits_per_day(stored):
+    expected = [(date(2026, 7, 9), 1, 0), (date(2026, 7, 11), 2, 1)]
+    assert [tuple(row) for row in rollups.visits_per_day(stored, NOW, 30).collect()] == expected
+    assert [tuple(row) for row in rollups.visits_per_day(stored.drop("visit_day"), NOW, 30).collect()] == expected
+
+
+def test_the_first_day_is_cut_mid_way(visits):
+    found = visits({"path": "/in", "at": "2026-06-11T12:00:00Z"}, {"path": "/out", "at": "2026-06-11T11:59:59.999Z"})
+    assert [tuple(row) for row in rollups.visits_per_day(found, NOW, 30).collect()] == [(date(2026, 6, 11), 1, 0)]
+
+
+def test_latest_days(visits):
+    found = visits(*[{"path": f"/{n}", "at": f"2026-07-{n:02}T01:00:00Z"} for n in range(1, 12)])
+    assert [row.visit_day.day for row in rollups.latest_days(found, NOW).collect()] == list(range(11, 1, -1))
+
+
+def test_top_labels(stored):
+    assert [tuple(r) for r in rollups.top_countries(stored, 10).collect()] == [("Sweden", 2), ("United Kingdom", 1)]
+    assert [tuple(r) for r in rollups.top_countries(stored, 1).collect()] == [("Sweden", 2)]
+    assert [tuple(r) for r in rollups.top_referrers(stored, 10).collect()] == [("https://github.com/x", 2), ("https://linkedin.com", 1)]
+
+
+def test_ties_go_to_the_lesser_label(visits):
+    found = visits({"country": "B"}, {"country": "A", "path": "/a"}, {"country": "C", "path": "/c"})
+    assert [row.label for row in rollups.top_countries(found, 2).collect()] == ["A", "B"]
+
+
+def test_engaged_rate(stored):
+    assert rollups.engaged_rate(stored.filter("path != '/40d'")).first()[0] == pytest.approx(1 / 3)
+    assert rollups.engaged_rate(stored.filter("false")).first()[0] == 0.0
+
+
+def test_stat_tiles(stored):
+    assert tuple(rollups.stat_tiles(stored, NOW).first()) == (3, 2, 25, "Sweden")
+    assert tuple(rollups.stat_tiles(stored.filter("false"), NOW).first()) == (0, 0, 0, "—")
+    assert rollups.stat_tiles(stored.filter("country is null"), NOW).first().top_country == "—"
+
+
+def test_half_a_percent_rounds_up(visits):
+    found = visits(*[{"path": f"/{n}", "engaged": n < 1} for n in range(8)])
+    assert rollups.stat_tiles(found, NOW).first().engaged_pct == 13
+
+
+def test_stat_tiles_agree_with_the_single_rollups(stored):
+    tiles = rollups.stat_tiles(stored, NOW).first()
+    assert tiles.visits_30d == sum(row.visits for row in rollups.visits_per_day(stored, NOW).collect())
+    assert tiles.top_country == rollups.top_countries(stored).first().label
+
+
+def test_rollups_document(stored):
+    assert json.loads(rollups.rollups_document(stored, NOW).first().document) == {
+        "engagedRate": 0.25,
+        "visitsPerDay": [{"day": "2026-07-09", "visits": 1, "engaged": 0}, {"day": "2026-07-11", "visits": 2, "engaged": 1}],
+        "topCountries": [{"label": "Sweden", "visits": 2}, {"label": "United Kingdom", "visits": 1}],
+        "topReferrers": [{"label": "https://github.com/x", "visits": 2}, {"label": "https://linkedin.com", "visits": 1}],
+    }
+    empty = rollups.rollups_document(stored.filter("false"), NOW).collect()
+    assert [json.loads(row.document) for row in empty] == [{"engagedRate": 0.0, "visitsPerDay": [], "topCountries": [], "topReferrers": []}]
