@@ -17,10 +17,13 @@ from footfall.sources.lookups import network_ranges
 from footfall.sources.visits_table import append_visits, read_visits
 from footfall.streaming.ingest import start_ingest
 
-AT_MS = F.unix_millis("visited_at").alias("at_ms")
 OWN_CITY, OWN_ORG = "europe", "org nation_"
 
 
+def _at_ms():
+    return F.unix_millis("visited_at").alias("at_ms")
+
+
 def _conforming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conforming_requests(parse_lines(clean_lines(standin.log_lines(spark, sf_dir))))
 
@@ -102,7 +105,7 @@ def path_strip_pages(spark, sf_dir):
 
 def visits_dedupe(spark, sf_dir):
     kept = visits.one_per_key(_described(spark, sf_dir))
-    return kept.select("site", "path", "engaged", "ip_hash", "referrer", AT_MS)
+    return kept.select("site", "path", "engaged", "ip_hash", "referrer", _at_ms())
 
 
 def insert_if_absent(spark, sf_dir):
@@ -111,7 +114,7 @@ def insert_if_absent(spark, sf_dir):
     path = standin.new_folder(spark, "insert")
     ingest_lines(standin.as_lines(sent.filter("at_ms < 1705363200000")), path, SETTINGS)
     ingest_lines(standin.as_lines(sent), path, SETTINGS)
-    return read_visits(spark, path).select("site", "path", "ip_hash", AT_MS)
+    return read_visits(spark, path).select("site", "path", "ip_hash", _at_ms())
 
 
 def stream_ingest(spark, sf_dir):
@@ -130,7 +133,7 @@ def stream_ingest(spark, sf_dir):
     )
     query.awaitTermination()
     stored = read_visits(spark, path)
-    return stored.select("site", "path", "engaged", "ip_hash", "country", "asn", "org_domain", AT_MS)
+    return stored.select("site", "path", "engaged", "ip_hash", "country", "asn", "org_domain", _at_ms())
 
 
 def _located(spark, sf_dir, *fields, city=False, asn=False, ptr=False):
@@ -140,7 +143,7 @@ def _located(spark, sf_dir, *fields, city=False, asn=False, ptr=False):
         standin.asn_ranges(spark, sf_dir) if asn else None,
         standin.ptr_table(spark, sf_dir) if ptr else None,
     )
-    return found.select("site", "ip_hash", AT_MS, *fields)
+    return found.select("site", "ip_hash", _at_ms(), *fields)
 
 
 def geo_city_join(spark, sf_dir):
@@ -183,7 +186,7 @@ def visits_from_log(spark, sf_dir):
 
 
 def _comparable(found: DataFrame) -> DataFrame:
-    return found.select(*[name for name in visits.VISIT_COLUMNS if name != "visited_at"], AT_MS)
+    return found.select(*[name for name in visits.VISIT_COLUMNS if name != "visited_at"], _at_ms())
 
 
 def _shown(found: DataFrame) -> DataFrame:
@@ -233,7 +236,7 @@ def engaged_visitors(spark, sf_dir):
 
 def visits_of_engaged(spark, sf_dir):
     found = listing.visits_of_engaged(standin.stored_visits(spark, sf_dir))
-    return found.select("site", "path", "engaged", "ip_hash", AT_MS)
+    return found.select("site", "path", "engaged", "ip_hash", _at_ms())
 
 
 def recent_engaged(spark, sf_dir):
@@ -242,7 +245,7 @@ def recent_engaged(spark, sf_dir):
 
 def visitor_ordinal(spark, sf_dir):
     listed = listing.list_visits(standin.stored_visits(spark, sf_dir), 500)
-    return listed.select(F.col("visitor").cast("bigint").alias("visitor"), "site", "path", AT_MS)
+    return listed.select(F.col("visitor").cast("bigint").alias("visitor"), "site", "path", _at_ms())
 
 
 def visit_documents(spark, sf_dir):
@@ -253,7 +256,7 @@ def visit_documents(spark, sf_dir):
 
 def hide_self(spark, sf_dir):
     found = listing.hide_own(standin.stored_visits(spark, sf_dir), OWN_CITY, OWN_ORG)
-    return found.select("site", "path", "city", "org", AT_MS)
+    return found.select("site", "path", "city", "org", _at_ms())
 
 
 def hide_scan_noise(spark, sf_dir):
@@ -274,7 +277,7 @@ def retention_counts(spark, sf_dir):
 
 def retained(spark, sf_dir):
     found = retention.retained(standin.stored_visits(spark, sf_dir), NOW, 7)
-    return found.select("site", "path", "ip_hash", AT_MS)
+    return found.select("site", "path", "ip_hash", _at_ms())
 
 
 def retention_prune(spark, sf_dir):
@@ -282,7 +285,7 @@ def retention_prune(spark, sf_dir):
     path = standin.new_folder(spark, "pruned")
     append_visits(standin.stored_visits(spark, sf_dir), path)
     retention.prune(spark, path, NOW, 7)
-    return read_visits(spark, path).select("site", "path", "ip_hash", AT_MS)
+    return read_visits(spark, path).select("site", "path", "ip_hash", _at_ms())
 
 
 def backlog_roundtrip(spark, sf_dir):
