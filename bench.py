@@ -1,7 +1,7 @@
 """Time the headline queries; prints one JSON line.
 
-Every query starts from access-log lines or, where it asks the visits table, from a table ingested
-during its own `ingest` step, which is timed too.
+Queries start from the access-log files or, where they ask the visits table, from the table; writing
+the files is not timed, ingesting them into the table is the `ingest` step.
 """
 
 import json

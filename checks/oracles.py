@@ -94,7 +94,7 @@ _IPV6 = f"'2001:DB8:1::' || lower(to_hex({_THIRD})) || ':' || lower(to_hex({_LAS
 ORACLES = {
     "parse_access_log": "SELECT host, method, split_part(uri, '?', 1) AS path, status, client_ip AS remote_ip, "
     "referrer, user_agent, at_ms FROM raw",
-    "log_files": "SELECT count(*) AS lines FROM raw",
+    "consumed_lines": "SELECT count(*) AS lines FROM raw",
     "drop_reasons": "SELECT coalesce(drop_reason, 'kept') AS drop_reason, count(*) AS lines FROM judged GROUP BY 1",
     "kept_requests": "SELECT host, path, (method = 'POST') AS engaged, client_ip AS remote_ip, at_ms "
     "FROM judged WHERE drop_reason IS NULL",

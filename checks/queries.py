@@ -11,7 +11,7 @@ from footfall.functions.privacy import ip_hash
 from footfall.operators import geo, listing, reports, requests, retention, rollups, visits
 from footfall.plans.ingest import ingest_lines, requests_from_lines, visits_from_lines
 from footfall.session import prepare
-from footfall.sources.access_log import clean_lines, conforming_requests, parse_lines, read_lines
+from footfall.sources.access_log import clean_lines, conforming_requests, parse_lines
 from footfall.sources.backlog import read_backlog, replay_backlog, write_backlog
 from footfall.sources.lookups import network_ranges
 from footfall.sources.visits_table import append_visits, read_visits
@@ -118,14 +118,11 @@ def insert_if_absent(spark, sf_dir):
 
 
 def stream_ingest(spark, sf_dir):
-    """The log as closed segments, one per site, consumed as a stream into a table."""
-    segments = standin.new_folder(spark, "segments")
-    sent = standin.deliveries(spark, sf_dir)
-    standin.as_lines(sent).write.text(segments)
+    """The log as closed segments, consumed as a stream into a table."""
     path = standin.new_folder(spark, "streamed")
     query = start_ingest(
         spark,
-        segments,
+        standin.log_files(prepare(spark), sf_dir),
         path,
         SETTINGS,
         lambda session: standin.lookups(session, sf_dir),
@@ -304,18 +301,15 @@ def backlog_replay(spark, sf_dir):
     return _comparable(read_visits(spark, path))
 
 
-def log_files(spark, sf_dir):
-    """Lines written to files and read back, with what each site's file consumed."""
-    path = standin.new_folder(spark, "logs")
-    sent = standin.deliveries(spark, sf_dir)
-    standin.as_lines(sent).write.text(path)
-    consumed = reports.consumed_per_file(read_lines(spark, path))
+def consumed_lines(spark, sf_dir):
+    """Lines over all files of the log, from what each file gave."""
+    consumed = reports.consumed_per_file(standin.log_lines(spark, sf_dir))
     return consumed.agg(F.sum("lines").alias("lines"))
 
 
 QUERIES = {
     "parse_access_log": parse_access_log,
-    "log_files": log_files,
+    "consumed_lines": consumed_lines,
     "drop_reasons": drop_reasons,
     "kept_requests": kept_requests,
     "ip_hash": hashed_addresses,

@@ -10,6 +10,7 @@ from footfall.functions.once import evaluate_once
 from footfall.plans.ingest import Lookups, ingest_lines
 from footfall.session import prepare, shared_dir
 from footfall.settings import Settings
+from footfall.sources.access_log import read_lines
 from footfall.sources.lookups import numeric_ranges
 from footfall.sources.visits_table import read_visits
 
@@ -67,7 +68,8 @@ SELECT DISTINCT
 FROM {events} WHERE (user_id % 256) % 7 <> 0
 """
 
-_tables: dict[tuple[str, str], str] = {}
+# Files and tables made for an application, by (application, input folder, what).
+_paths: dict[tuple[str, str, str], str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -110,8 +112,19 @@ def as_lines(requests: DataFrame) -> DataFrame:
     return requests.select(evaluate_once(value=F.to_json(line)))
 
 
+def log_files(spark: SparkSession, sf_dir: str) -> str:
+    """Where the whole log is as text files, written on the first use by an application."""
+    key = (spark.sparkContext.applicationId, sf_dir, "log")
+    if key not in _paths:
+        path = new_folder(spark, "log")
+        sent = deliveries(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism)
+        as_lines(sent).write.text(path)
+        _paths[key] = path
+    return _paths[key]
+
+
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return as_lines(deliveries(spark, sf_dir))
+    return read_lines(spark, log_files(prepare(spark), sf_dir))
 
 
 def city_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,13 +149,13 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 
 def stored_path(spark: SparkSession, sf_dir: str) -> str:
-    """Where the visits table of a whole log is, ingested on the first use by an application."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _tables:
+    """Where the visits table of the whole log is, ingested on the first use by an application."""
+    key = (spark.sparkContext.applicationId, sf_dir, "visits")
+    if key not in _paths:
         path = new_folder(spark, "visits")
         ingest_lines(log_lines(spark, sf_dir), path, SETTINGS, lookups(spark, sf_dir))
-        _tables[key] = path
-    return _tables[key]
+        _paths[key] = path
+    return _paths[key]
 
 
 def stored_visits(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,46 +12,37 @@ _IPV6_SHAPE = r"\A(?!.*::.*::)(?!.*:::)(?!:[^:])(?!.*[^:]:\z)(?:[0-9a-f]{0,4}:)*
 _MAPPED_PREFIX = "0" * 20 + "ffff"
 
 
-def _non_empty_groups(text: Column) -> Column:
-    return F.filter(F.split(text, ":"), lambda group: group != "")
-
-
 def with_ip_key(df: DataFrame, address: str = "remote_ip", key: str = "ip_key") -> DataFrame:
     """Add an IP literal as fixed-width hex: keys of one family sort as the addresses do.
 
-    IPv4 gives 8 digits (IPv4-mapped IPv6 too), IPv6 gives 32, anything else null. Names are
-    never resolved.
+    IPv4 gives 8 digits (IPv4-mapped IPv6 too), IPv6 gives 32, anything else null. Names are never
+    resolved.
     """
-    text = F.lower(address)
-    in_range = F.forall("_octets", lambda octet: octet <= 255)
-    octet_digits = F.transform("_octets", lambda octet: F.lpad(F.lower(F.hex(octet)), 2, "0"))
-    # An embedded IPv4 tail becomes the two groups it stands for.
-    tail_groups = F.concat(F.substring("_v4", 1, 4), F.lit(":"), F.substring("_v4", 5, 4))
-    front = F.regexp_replace(text, r"\d+[.][\d.]+\z", "")
-    v6_text = F.when(F.col("_quad") == "", text).otherwise(F.concat(front, tail_groups))
-    # "::" becomes the zero groups it stands for.
-    count = F.size("_groups")
-    zeros = F.concat(F.lit(":"), F.call_function("repeat", F.lit("0:"), 8 - count))
-    spelled_out = _non_empty_groups(F.replace(F.col("_v6"), F.lit("::"), zeros))
-    key_digits = F.array_join(F.transform("_all", lambda group: F.lpad(group, 4, "0")), "")
-    compressed = F.col("_v6").contains("::")
-    valid = F.col("_v6").rlike(_IPV6_SHAPE) & F.when(compressed, count <= 7).otherwise(count == 8)
-    mapped = F.col("_digits").startswith(_MAPPED_PREFIX)
+    # Each step may name the ones before it.
     steps = {
-        "_quad": F.regexp_extract(text, _QUAD, 1),
-        "_octets": F.transform(F.split("_quad", "[.]"), lambda octet: octet.try_cast("int")),
-        "_v4": F.when((F.col("_quad") != "") & in_range, F.array_join(octet_digits, "")),
-        "_v6": F.when(text.contains(":"), v6_text),
-        "_groups": _non_empty_groups(F.col("_v6")),
-        "_all": F.when(valid, spelled_out),
-        "_digits": key_digits,
+        "_text": f"lower({address})",
+        "_quad": f"regexp_extract(_text, r'{_QUAD}', 1)",
+        "_octets": "transform(split(_quad, '[.]'), octet -> try_cast(octet AS int))",
+        "_v4": """CASE WHEN _quad != '' AND forall(_octets, octet -> octet <= 255)
+            THEN array_join(transform(_octets, octet -> lpad(lower(hex(octet)), 2, '0')), '') END""",
+        # An embedded IPv4 tail becomes the two groups it stands for.
+        "_v6": r"""CASE WHEN contains(_text, ':') AND _quad = '' THEN _text
+            WHEN contains(_text, ':') THEN concat(
+                regexp_replace(_text, r'\d+[.][\d.]+\z', ''), substring(_v4, 1, 4), ':', substring(_v4, 5, 4)) END""",
+        "_groups": "filter(split(_v6, ':'), part -> part != '')",
+        "_well_formed": f"""_v6 RLIKE r'{_IPV6_SHAPE}'
+            AND CASE WHEN contains(_v6, '::') THEN size(_groups) <= 7 ELSE size(_groups) = 8 END""",
+        # "::" becomes the zero groups it stands for.
+        "_spelled_out": "CASE WHEN _well_formed THEN replace(_v6, '::', concat(':', repeat('0:', 8 - size(_groups)))) END",
+        "_all": "filter(split(_spelled_out, ':'), part -> part != '')",
+        "_digits": "array_join(transform(_all, part -> lpad(part, 4, '0')), '')",
     }
-    columns = df.columns
-    for name, step in steps.items():
-        df = df.withColumn(name, step)
-    v6_key = F.when(mapped, F.substring("_digits", 25, 8)).otherwise(F.col("_digits"))
-    found = F.when(text.contains(":"), v6_key).otherwise(F.col("_v4"))
-    return df.select(*columns, evaluate_once(**{key: found}))
+    stepwise = df.select("*", *[F.expr(step).alias(name) for name, step in steps.items()])
+    found = F.expr(
+        f"""CASE WHEN NOT contains(_text, ':') THEN _v4
+            WHEN startswith(_digits, '{_MAPPED_PREFIX}') THEN substring(_digits, 25, 8) ELSE _digits END"""
+    )
+    return stepwise.select(*df.columns, evaluate_once(**{key: found}))
 
 
 def reverse_name(key: Column) -> Column:

@@ -1,18 +1,17 @@
 """Where an address is and whose network it belongs to: range joins without address-range pairs."""
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from footfall.functions.net import registrable_domain, with_ip_key
 from footfall.functions.once import evaluate_once
 from footfall.operators.skew import ROWS_PER_SHARE, salted_join
 
 # Keys are cut at whole bytes, two hex digits each.
-_STEP = 2
-
-
-def _prefixes(key: Column) -> Column:
-    return F.transform(F.sequence(F.lit(_STEP), F.length(key), F.lit(_STEP)), lambda end: F.substring(key, 1, end))
+_PREFIXES = "transform(sequence(2, length(ip_key), 2), width -> substring(ip_key, 1, width))"
 
 
 def _bucketed(ranges: DataFrame) -> DataFrame:
@@ -21,82 +20,67 @@ def _bucketed(ranges: DataFrame) -> DataFrame:
     Ranges of a table do not overlap, so a prefix meets at most three of them (one across each of
     its ends, or one that covers it): however dense the table, an address is compared with only a few.
     """
-    low, high = F.col("lo"), F.col("hi")
-    shared = F.size(
-        F.filter(
-            F.sequence(F.lit(_STEP), F.length(low), F.lit(_STEP)),
-            lambda end: F.substring(low, F.lit(1), end) == F.substring(high, F.lit(1), end),
-        )
-    ) * F.lit(_STEP)
-    rest_low = F.call_function("substring", low, F.col("_shared") + 1)
-    rest_high = F.call_function("substring", high, F.col("_shared") + 1)
-    whole = (F.col("_shared") > 0) & (F.rtrim(rest_low, F.lit("0")) == "") & (F.rtrim(rest_high, F.lit("f")) == "")
-    stem = F.call_function("substring", low, F.lit(1), F.col("_shared"))
-
-    def byte(rest: Column) -> Column:
-        return F.conv(F.substring(rest, 1, _STEP), 16, 10).cast("int")
-
-    below = F.transform(
-        F.sequence(byte(rest_low), byte(rest_high)),
-        lambda number: F.concat(stem, F.lpad(F.lower(F.hex(number)), _STEP, "0")),
-    )
-    return (
-        ranges.select("*", evaluate_once(_shared=shared))
-        .withColumn("bucket", F.explode(F.when(whole, F.array(stem)).otherwise(below)))
-        .drop("_shared")
-    )
-
-
-def range_lookup(
-    addresses: DataFrame, ranges: DataFrame, fields: list[str], rows_per_share: int = ROWS_PER_SHARE
-) -> DataFrame:
-    """(remote_ip, *fields) for every distinct keyed address inside a range; the narrowest range wins.
-
-    `addresses` holds distinct (remote_ip, ip_key); `ranges` holds (lo, hi, *fields) as keys.
+    shared = "2 * size(filter(sequence(2, length(lo), 2), width -> substring(lo, 1, width) = substring(hi, 1, width)))"
+    steps = {
+        "_stem": "substring(lo, 1, _shared)",
+        "_low": "substring(lo, _shared + 1)",
+        "_high": "substring(hi, _shared + 1)",
+        "_whole": "_shared > 0 AND trim(TRAILING '0' FROM _low) = '' AND trim(TRAILING 'f' FROM _high) = ''",
+        "_bytes": """sequence(CAST(conv(substring(_low, 1, 2), 16, 10) AS int),
+            CAST(conv(substring(_high, 1, 2), 16, 10) AS int))""",
+        "_below": "transform(_bytes, byte -> concat(_stem, lpad(lower(hex(byte)), 2, '0')))",
+    }
+    stepwise = ranges.select("*", evaluate_once(_shared=F.expr(shared)))
+    stepwise = stepwise.select("*", *[F.expr(step).alias(name) for name, step in steps.items()])
+    covered = evaluate_once(_covered=F.expr("CASE WHEN _whole THEN array(_stem) ELSE _below END"))
+    return stepwise.select(*ranges.columns, covered).select(*ranges.columns, F.explode("_covered").alias("bucket"))
+
+
+def _narrowness() -> Column:
+    """Of nested ranges the narrowest starts last, and of those with one start it ends first."""
+    return F.struct("lo", F.translate("hi", "0123456789abcdef", "fedcba9876543210"))
+
+
+def range_lookup(addresses: DataFrame, tables: list[tuple[DataFrame, list[str]]]) -> DataFrame:
+    """(remote_ip, *fields of every table) for each distinct keyed address that some range holds.
+
+    Each table holds (lo, hi, *fields) and answers for itself; where its ranges nest, the narrowest
+    wins. All tables are probed at once. A prefix that most addresses share is a skewed join key
+    with a handful of ranges: adaptive execution splits its addresses over tasks.
     """
+    sides = []
+    for number, (ranges, fields) in enumerate(tables):
+        known = [F.lit(None).cast(_struct_type(other, names)).alias(f"f{n}") for n, (other, names) in enumerate(tables)]
+        known[number] = F.struct(*fields).alias(f"f{number}")
+        sides.append(_bucketed(ranges).select("bucket", "lo", "hi", F.lit(number).alias("table"), *known))
+    ranges = reduce(DataFrame.unionByName, sides)
     probes = addresses.filter(F.col("ip_key").isNotNull()).select(
-        "remote_ip", "ip_key", F.explode(_prefixes(F.col("ip_key"))).alias("bucket")
+        "remote_ip", "ip_key", F.explode(F.expr(_PREFIXES)).alias("bucket")
     )
-    # A network that holds most of the addresses is a hot bucket.
-    inside = salted_join(probes, _bucketed(ranges), "bucket", "inner", rows_per_share=rows_per_share).filter(
+    inside = probes.join(ranges, "bucket").filter(
         F.col("ip_key").between(F.col("lo"), F.col("hi")) & (F.length("ip_key") == F.length("lo"))
     )
-    # Of nested ranges the narrowest starts last, and of those with one start it ends first.
-    narrowness = F.struct("lo", F.translate("hi", "0123456789abcdef", "fedcba9876543210"))
-    best = inside.groupBy("remote_ip").agg(F.max_by(F.struct(*fields), narrowness).alias("found"))
-    return best.select("remote_ip", "found.*")
-
+    best = [
+        F.max_by(F.col(f"f{n}"), F.when(F.col("table") == n, _narrowness())).alias(f"f{n}") for n in range(len(tables))
+    ]
+    found = inside.groupBy("remote_ip").agg(*best)
+    return found.select("remote_ip", *[f"f{n}.{name}" for n, (_, fields) in enumerate(tables) for name in fields])
 
-def ptr_domains(ptr: DataFrame) -> DataFrame:
-    """(ptr_key, org_domain): the registrable domain of each address, never the host name."""
-    keyed = with_ip_key(ptr, "client_ip", "ptr_key").filter(F.col("ptr_key").isNotNull())
-    one_each = keyed.groupBy("ptr_key").agg(F.min("ptr_host").alias("ptr_host"))
-    return one_each.select("ptr_key", registrable_domain(F.col("ptr_host")).alias("org_domain"))
 
+def _struct_type(df: DataFrame, names: list[str]) -> T.StructType:
+    return T.StructType([T.StructField(name, df.schema[name].dataType) for name in names])
 
-def address_counts(requests: DataFrame) -> DataFrame:
-    return requests.groupBy("remote_ip").agg(F.count("*").alias("n"))
 
+def ptr_ranges(ptr: DataFrame) -> DataFrame:
+    """PTR records as ranges of one address each: (lo, hi, org_domain), never the host name.
 
-def address_book(
-    counts: DataFrame,
-    city: DataFrame | None = None,
-    asn: DataFrame | None = None,
-    ptr: DataFrame | None = None,
-    rows_per_share: int = ROWS_PER_SHARE,
-) -> DataFrame:
-    """One row per distinct address with whatever each lookup table knows of it."""
-    # The counts are always positive; naming them lets every use of the counts share one shuffle.
-    addresses = with_ip_key(counts.filter("n > 0").select("remote_ip"))
-    book = addresses
-    if city is not None:
-        book = book.join(range_lookup(addresses, city, ["country", "city"], rows_per_share), "remote_ip", "left")
-    if asn is not None:
-        book = book.join(range_lookup(addresses, asn, ["asn", "org"], rows_per_share), "remote_ip", "left")
-    if ptr is not None:
-        domains = ptr_domains(ptr)
-        book = book.join(domains, book["ip_key"] == domains["ptr_key"], "left").drop("ptr_key")
-    return book.drop("ip_key")
+    Of several records for one address the least host name counts.
+    """
+    keyed = with_ip_key(ptr, "client_ip").filter(F.col("ip_key").isNotNull())
+    one_each = keyed.groupBy("ip_key").agg(F.min("ptr_host").alias("ptr_host"))
+    return one_each.select(
+        F.col("ip_key").alias("lo"), F.col("ip_key").alias("hi"), registrable_domain(F.col("ptr_host")).alias("org_domain")
+    )
 
 
 def locate(
@@ -110,6 +94,16 @@ def locate(
 
     Lookups run once per distinct address; addresses no table covers keep their row with nulls.
     """
-    counts = address_counts(requests)
-    book = address_book(counts, city, asn, ptr, rows_per_share)
-    return salted_join(requests, book, "remote_ip", "left", counts, rows_per_share)
+    tables = []
+    if city is not None:
+        tables.append((city, ["country", "city"]))
+    if asn is not None:
+        tables.append((asn, ["asn", "org"]))
+    if ptr is not None:
+        tables.append((ptr_ranges(ptr), ["org_domain"]))
+    if not tables:
+        return requests
+    counts = requests.groupBy("remote_ip").agg(F.count("*").alias("n"))
+    # The counts are always positive; naming them lets both uses of the counts share one shuffle.
+    addresses = with_ip_key(counts.filter("n > 0").select("remote_ip"))
+    return salted_join(requests, range_lookup(addresses, tables), "remote_ip", "left", counts, rows_per_share)

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from footfall.functions.net import with_ip_key
-from footfall.operators.geo import locate, ptr_domains, range_lookup
+from footfall.operators.geo import locate, ptr_ranges, range_lookup
 from footfall.operators.skew import salted_join
 from footfall.sources.lookups import network_ranges, numeric_ranges, read_asn_ranges, read_city_ranges
 
@@ -80,7 +80,7 @@ def test_against_brute_force(spark, family, space):
     probes |= {space[0] + rng.randrange(space[1]) for _ in range(200)}
     table = spark.createDataFrame([(f"{lo:0{width}x}", f"{hi:0{width}x}", name) for lo, hi, name in ranges], "lo string, hi string, country string")
     asked = with_ip_key(addresses(spark, *[str(make(p)) for p in probes if not (family == 6 and make(p).ipv4_mapped)]))
-    found = {row.remote_ip: row.country for row in range_lookup(asked, table, ["country"], rows_per_share=50).collect()}
+    found = {row.remote_ip: row.country for row in range_lookup(asked, [(table, ["country"])]).collect()}
     assert found == {str(make(p)): name for p in probes for lo, hi, name in ranges if lo <= p <= hi}
 
 
@@ -88,7 +88,7 @@ def test_narrowest_of_nested_networks(spark):
     rows = [("10.0.0.0/8", "wide"), ("10.1.0.0/16", "middle"), ("10.1.0.0/24", "narrow"), ("0.0.0.0/0", "everything")]
     table = network_ranges(spark.createDataFrame(rows, "network string, country string"))
     asked = with_ip_key(addresses(spark, "10.1.0.9", "10.1.1.9", "10.2.0.9", "11.0.0.1"))
-    found = {row.remote_ip: row.country for row in range_lookup(asked, table, ["country"]).collect()}
+    found = {row.remote_ip: row.country for row in range_lookup(asked, [(table, ["country"])]).collect()}
     assert found == {"10.1.0.9": "narrow", "10.1.1.9": "middle", "10.2.0.9": "wide", "11.0.0.1": "everything"}
 
 
@@ -100,7 +100,7 @@ def test_numeric_ranges(spark):
 def test_ptr_domains_join_by_address_not_by_spelling(spark):
     rows = [("2001:DB8::1", "a.example.com."), ("203.0.113.7", "cpc92-40.virginm.net"), ("203.0.113.7", "zz.other.net"), ("name", "x.y.z")]
     ptr = spark.createDataFrame(rows, "client_ip string, ptr_host string")
-    assert ptr_domains(ptr).count() == 2
+    assert ptr_ranges(ptr).count() == 2
     found = locate(addresses(spark, "2001:db8:0::1", "203.0.113.7", "203.0.113.8", "name"), ptr=ptr)
     assert {row.remote_ip: row.org_domain for row in found.collect()} == {
         "2001:db8:0::1": "example.com",
