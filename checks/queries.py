@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from checks import standin
 from checks.standin import NOW, SALT, SETTINGS
-from footfall.functions import device
+from footfall.functions.device import with_device
 from footfall.functions.net import registrable_domain, reverse_name, with_ip_key
 from footfall.functions.privacy import ip_hash
 from footfall.operators import geo, listing, reports, requests, retention, rollups, visits
@@ -53,14 +53,7 @@ def hashed_addresses(spark, sf_dir):
 
 def device_class(spark, sf_dir):
     agents = _conforming(spark, sf_dir).groupBy("user_agent").agg(F.count("*").alias("requests"))
-    agent = F.col("user_agent")
-    return agents.select(
-        "user_agent",
-        device.browser(agent).alias("browser"),
-        device.operating_system(agent).alias("os"),
-        device.device_kind(agent).alias("device_kind"),
-        "requests",
-    )
+    return with_device(agents)
 
 
 def _page_hosts(spark, sf_dir):
@@ -124,9 +117,9 @@ def stream_ingest(spark, sf_dir):
         spark,
         standin.log_files(prepare(spark), sf_dir),
         path,
+        standin.new_folder(spark, "offsets"),
         SETTINGS,
         lambda session: standin.lookups(session, sf_dir),
-        checkpoint=standin.new_folder(spark, "offsets"),
     )
     query.awaitTermination()
     stored = read_visits(spark, path)
@@ -161,7 +154,8 @@ def org_domain_join(spark, sf_dir):
 
 def geo_ipv6_networks(spark, sf_dir):
     """IPv6 addresses in CIDR networks: per nation a /125, inside one /48 for all."""
-    addresses = _conforming(spark, sf_dir).select(_as_ipv6(F.col("remote_ip")).alias("remote_ip"))
+    addresses = _conforming(spark, sf_dir).groupBy(_as_ipv6(F.col("remote_ip")).alias("remote_ip"))
+    addresses = addresses.agg(F.count("*").alias("requests"))
     nation = standin.table(spark, sf_dir, "nation")
     start = F.lower(F.hex((F.col("n_nationkey") * 8).cast("bigint")))
     per_nation = nation.select(
@@ -172,8 +166,7 @@ def geo_ipv6_networks(spark, sf_dir):
     everyone = nation.filter("n_nationkey = 0").select(
         F.lit("2001:db8:1::/48").alias("network"), F.lit("elsewhere").alias("country"), F.lit("anywhere").alias("city")
     )
-    found = geo.locate(addresses, network_ranges(per_nation.unionByName(everyone)))
-    return found.groupBy("remote_ip", "country", "city").agg(F.count("*").alias("requests"))
+    return geo.locate(addresses, network_ranges(per_nation.unionByName(everyone)))
 
 
 def visits_from_log(spark, sf_dir):

@@ -1,6 +1,8 @@
 """Text predicates shared by the request filter and the device classes."""
 
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -22,7 +24,12 @@ def trim_blanks(text: Column) -> Column:
 
 
 def contains_any(text: Column, tokens: list[str]) -> Column:
-    """Any of some lower-case tokens; looking at the next letter first skips most positions cheaply."""
+    """Any of some lower-case tokens: a few by plain search, many by one expression.
+
+    The expression looks at the next letter first, which skips most positions cheaply.
+    """
+    if len(tokens) <= 4:
+        return reduce(or_, [text.contains(token) for token in tokens])
     initials = "".join(sorted({token[0] for token in tokens}))
     return text.rlike(f"(?=[{initials}])(?:{alternation(tokens)})")
 

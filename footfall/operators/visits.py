@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from footfall.functions.device import browser, device_kind, operating_system
+from footfall.functions.device import with_device
 from footfall.functions.privacy import ip_hash
 from footfall.functions.text import non_empty
 from footfall.functions.times import day_of
@@ -13,14 +13,13 @@ from footfall.schemas import PARTITION_COLUMN, VISIT, VISIT_COLUMNS, VISIT_KEY
 
 def describe(requests: DataFrame, salt: str) -> DataFrame:
     """Everything about a visit that its own request tells; the address stays until it is located."""
-    agent = F.col("user_agent")
-    return requests.select(
+    return with_device(requests).select(
         F.col("host").alias("site"),
         "path",
         "engaged",
-        browser(agent).alias("browser"),
-        operating_system(agent).alias("os"),
-        device_kind(agent).alias("device_kind"),
+        "browser",
+        "os",
+        "device_kind",
         ip_hash(F.col("remote_ip"), salt).alias("ip_hash"),
         non_empty(F.col("referrer")).alias("referrer"),
         F.col("at").alias("visited_at"),

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from footfall.plans.ingest import Lookups, ingest_lines, unstorable_requests
-from footfall.session import prepare, shared_dir
+from footfall.session import prepare
 from footfall.settings import Settings
 from footfall.sources.access_log import stream_lines
 
@@ -44,25 +44,28 @@ def start_ingest(
     spark: SparkSession,
     segments: str,
     table: str,
+    checkpoint: str,
     settings: Settings,
     lookups: Callable[[SparkSession], Lookups] = lambda spark: Lookups(),
-    checkpoint: str | None = None,
     since: datetime | None = None,
     rejected: str | None = None,
     max_files: int = MAX_FILES_PER_TRIGGER,
+    max_bytes: int | None = None,
     trigger: dict | None = None,
 ) -> StreamingQuery:
     """Start storing visits from segments as they arrive; by default until all present are stored.
 
+    `checkpoint` is a folder of its own for this stream, on storage that outlives the session.
     `lookups` is called for each batch, so lookup tables may be replaced while the stream runs.
     `since` leaves out older requests, for a first start beside logs whose history is not wanted.
+    A micro-batch takes at most `max_files` segments, or `max_bytes` of them if that is given.
     """
     prepare(spark)
-    reader = spark.readStream.option("maxFilesPerTrigger", max_files)
+    bound = {"maxBytesPerTrigger": max_bytes} if max_bytes else {"maxFilesPerTrigger": max_files}
     return (
-        stream_lines(reader, segments)
+        stream_lines(spark.readStream.options(**bound), segments)
         .writeStream.foreachBatch(store_batch(table, settings, lookups, since, rejected))
-        .option("checkpointLocation", checkpoint or f"{shared_dir(spark)}/footfall-ingest")
+        .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
         .start()
     )

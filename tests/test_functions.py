@@ -6,7 +6,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from footfall.functions.device import browser, device_kind, operating_system
+from footfall.functions.device import with_device
 from footfall.functions.net import registrable_domain, reverse_name, with_ip_key
 from footfall.functions.privacy import ip_hash
 from footfall.functions.times import iso_instant
@@ -44,9 +44,8 @@ def apply(spark):
     ],
 )
 def test_device(spark, agent, expected):
-    x = F.col("x")
-    found = spark.createDataFrame([(agent,)], "x string").select(browser(x), operating_system(x), device_kind(x))
-    assert tuple(found.first()) == expected
+    found = with_device(spark.createDataFrame([(agent,)], "user_agent string")).first()
+    assert (found.browser, found.os, found.device_kind) == expected
 
 
 def test_hash(apply):

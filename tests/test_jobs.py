@@ -1,0 +1,44 @@
+import json
+import time
+
+import pytest
+from conftest import line
+
+from footfall.__main__ import run
+
+
+def test_jobs_from_logs_to_documents(spark, tmp_path, monkeypatch, capsys):
+    monkeypatch.setenv("IP_HASH_SALT", "a-test-salt-of-sufficient-length")
+    monkeypatch.setenv("INTERNAL_PROXY_IPS", "10.0.0.1")
+    monkeypatch.setenv("RETENTION_DAYS", "30")
+    now = int(time.time())
+    (tmp_path / "logs").mkdir()
+    (tmp_path / "logs" / "a.log").write_text(
+        "\n".join(
+            [
+                line(ts=str(now), uri="/new"),
+                line(ts=str(now - 60), uri="/api/order", method="POST"),
+                line(ts=str(now - 90 * 86400), uri="/old"),
+                line(ts=str(now), uri="/relayed", address='"client_ip":"10.0.0.1"'),
+            ]
+        )
+        + "\n"
+    )
+    table = str(tmp_path / "t")
+    ranges = spark.createDataFrame([("cb007100", "cb0071ff", "Sweden", None)], "lo string, hi string, country string, city string")
+    ranges.write.parquet(str(tmp_path / "city"))
+    for job in (
+        ["ingest", "--table", table, "--city", str(tmp_path / "city"), str(tmp_path / "logs")],
+        ["stream", "--table", table, "--checkpoint", str(tmp_path / "c"), str(tmp_path / "logs")],
+        ["prune", "--table", table],
+        ["visits", "--table", table, "--limit", "10", "--visitors", "engaged"],
+        ["rollups", "--table", table],
+    ):
+        run(spark, job)
+    removed, first, second, rollups = [text for text in capsys.readouterr().out.splitlines() if text and "Stage" not in text]
+    assert removed == "1"
+    assert [json.loads(text)["path"] for text in (first, second)] == ["/new", "/api/order"]
+    assert json.loads(rollups)["topCountries"] == [{"label": "Sweden", "visits": 2}]
+    assert json.loads(rollups)["engagedRate"] == 0.5
+    with pytest.raises(ValueError):
+        run(spark, ["visits", "--table", table, "--limit", "0"])

@@ -30,7 +30,7 @@ class Site:
 
     def run(self, **options):
         query = streaming.start_ingest(
-            self.spark, str(self.segments), self.table, SETTINGS, checkpoint=str(self.root / "checkpoint"), **options
+            self.spark, str(self.segments), self.table, str(self.root / "checkpoint"), SETTINGS, **options
         )
         query.awaitTermination()
         return query
@@ -86,6 +86,14 @@ def test_catching_up_in_bounded_steps(site):
     assert query.lastProgress["batchId"] == 2
 
 
+def test_steps_bounded_by_bytes(site):
+    for n in range(3):
+        site.deliver(f"{n}.log", line(uri=f"/{n}"))
+    query = site.run(max_bytes=1000)
+    assert site.paths() == ["/0", "/1", "/2"]
+    assert query.lastProgress["batchId"] >= 1
+
+
 def test_no_history_on_a_first_run(site):
     site.deliver("one.log", line(uri="/old", ts="1700000000"), line(uri="/new"))
     site.run(since=datetime(2025, 1, 1))
