@@ -160,6 +160,10 @@ SELECT CAST(to_json({{'engagedRate': (SELECT engaged_rate FROM ({_RATE})),
     "WHERE NOT (lower(coalesce(city, '')) = 'europe' AND lower(coalesce(org, '')) LIKE '%org nation\\_%' ESCAPE '\\')",
     "hide_scan_noise": f"""SELECT host, path, referrer, at_ms FROM judged WHERE method = 'GET' AND status = 200
   AND NOT regexp_matches(lower(path), '{_SCANS}') AND NOT regexp_matches(lower(coalesce(referrer, '')), '{_SCANS}')""",
+    "filtered_listing": f", {_numbered(f'SELECT * FROM visits {_NEWEST} LIMIT 500')} "
+    "SELECT visitor, site, path, at_ms FROM numbered "
+    "WHERE NOT (lower(coalesce(city, '')) = 'europe' AND contains(lower(coalesce(org, '')), 'org nation_')) "
+    f"AND NOT regexp_matches(lower(path), '{_SCANS}') AND NOT regexp_matches(lower(coalesce(referrer, '')), '{_SCANS}')",
     "display_rows": f""", {_numbered(f'SELECT * FROM visits {_NEWEST} LIMIT 500')}
 SELECT strftime(visited_at, '%Y-%m-%d %H:%M:%S') AS time, '#' || visitor AS visitor, replace(site, '.example', '') AS site,
   path, coalesce(nullif(concat_ws(', ', city, country), ''), '?') AS location,

@@ -261,6 +261,13 @@ def display_rows(spark, sf_dir):
     return listing.display_rows(listed, ".example")
 
 
+def filtered_listing(spark, sf_dir):
+    """Filters apply to the listed rows; visitor numbers and the limit come first."""
+    listed = listing.list_visits(standin.stored_visits(spark, sf_dir), 500)
+    shown = listing.filter_listing(listed, (OWN_CITY, OWN_ORG), scan_noise=True)
+    return shown.select(F.col("visitor").cast("bigint").alias("visitor"), "site", "path", _at_ms())
+
+
 def retention_counts(spark, sf_dir):
     return retention.retention_counts(standin.stored_visits(spark, sf_dir), NOW, 7)
 
@@ -336,6 +343,7 @@ QUERIES = {
     "visit_documents": visit_documents,
     "hide_self": hide_self,
     "hide_scan_noise": hide_scan_noise,
+    "filtered_listing": filtered_listing,
     "display_rows": display_rows,
     "retention": retention_counts,
     "retained": retained,

@@ -107,6 +107,13 @@ def hide_scan_noise(listed: DataFrame) -> DataFrame:
     return listed.filter(~(noise | referred))
 
 
+def filter_listing(listed: DataFrame, own: tuple[str, str] | None = None, scan_noise: bool = False) -> DataFrame:
+    """What a viewer chose to leave out of a listing: own visits by (city, org), stored scan noise."""
+    if own is not None:
+        listed = hide_own(listed, *own)
+    return hide_scan_noise(listed) if scan_noise else listed
+
+
 def display_rows(presented: DataFrame, site_suffix: str = "") -> DataFrame:
     """A listing as the nine text columns of the visits table."""
     at = presented["visited_at"]

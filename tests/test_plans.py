@@ -112,3 +112,36 @@ def test_no_pairs_of_addresses_and_ranges(spark, lines):
     city = network_ranges(spark.createDataFrame([("10.0.0.0/8", "a", "b")], "network string, country string, city string"))
     text = plan(visits_from_lines(lines(line()), SETTINGS, Lookups(city=city)))
     assert "CartesianProduct" not in text and "NestedLoop" not in text
+
+
+def test_addresses_of_one_hot_network_are_split_over_tasks(spark):
+    """Nearly all addresses share their first bytes; adaptive execution cuts that partition."""
+    from pyspark.sql import functions as F
+
+    from footfall.functions.net import with_ip_key
+    from footfall.operators.geo import range_lookup
+    from footfall.sources.lookups import network_ranges
+
+    address = F.concat(F.lit("10.0."), F.floor(F.col("id") / 256).cast("int"), F.lit("."), (F.col("id") % 256).cast("int"))
+    asked = with_ip_key(spark.range(0, 20000, 1, 8).select(address.alias("remote_ip")))
+    table = network_ranges(
+        spark.createDataFrame([("10.0.0.0/8", "a"), ("11.0.0.0/8", "b")], "network string, country string")
+    )
+    changed = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.shuffle.partitions": "40",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "40k",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    before = {key: spark.conf.get(key, None) for key in changed}
+    for key, value in changed.items():
+        spark.conf.set(key, value)
+    try:
+        found = range_lookup(asked, [(table, ["country"])])
+        assert found.groupBy("country").count().collect() == [("a", 20000)]
+        found.collect()
+        assert "skew=true" in plan(found)
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value) if value is not None else spark.conf.unset(key)
