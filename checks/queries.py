@@ -59,7 +59,8 @@ def device_class(spark, sf_dir):
 def _page_hosts(spark, sf_dir):
     # Hosts under example.org stand in for hosts under a two-part public suffix.
     host = F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1)
-    return standin.table(spark, sf_dir, "pages").select("url", F.replace(host, F.lit("example.org"), F.lit("co.uk")).alias("host"))
+    host = F.replace(host, F.lit("example.org"), F.lit("co.uk"))
+    return standin.table(spark, sf_dir, "pages").select("url", host.alias("host"))
 
 
 def registrable_domains(spark, sf_dir):
@@ -74,7 +75,8 @@ def reverse_names(spark, sf_dir):
 def _as_ipv6(address):
     """The same addresses as IPv6 literals in short form, inside 2001:db8:1::/48."""
     octets = F.split(address, "[.]")
-    return F.concat(F.lit("2001:DB8:1::"), F.lower(F.hex(octets[2].cast("bigint"))), F.lit(":"), F.lower(F.hex(octets[3].cast("bigint"))))
+    third, last = (F.lower(F.hex(octets[n].cast("bigint"))) for n in (2, 3))
+    return F.concat(F.lit("2001:DB8:1::"), third, F.lit(":"), last)
 
 
 def reverse_names_ipv6(spark, sf_dir):

@@ -71,6 +71,12 @@ def _struct_type(df: DataFrame, names: list[str]) -> T.StructType:
     return T.StructType([T.StructField(name, df.schema[name].dataType) for name in names])
 
 
+def one_per_range(ranges: DataFrame, fields: list[str]) -> DataFrame:
+    """Copies of a range would each be compared with every address in it; the least row stands for all."""
+    merged = ranges.groupBy("lo", "hi").agg(F.min(F.struct(*fields)).alias("least"))
+    return merged.select("lo", "hi", "least.*")
+
+
 def ptr_ranges(ptr: DataFrame) -> DataFrame:
     """PTR records as ranges of one address each: (lo, hi, org_domain), never the host name.
 
@@ -95,10 +101,9 @@ def locate(
     Lookups run once per distinct address; addresses no table covers keep their row with nulls.
     """
     tables = []
-    if city is not None:
-        tables.append((city, ["country", "city"]))
-    if asn is not None:
-        tables.append((asn, ["asn", "org"]))
+    for ranges, fields in ((city, ["country", "city"]), (asn, ["asn", "org"])):
+        if ranges is not None:
+            tables.append((one_per_range(ranges, fields), fields))
     if ptr is not None:
         tables.append((ptr_ranges(ptr), ["org_domain"]))
     if not tables:

@@ -92,6 +92,13 @@ def test_narrowest_of_nested_networks(spark):
     assert found == {"10.1.0.9": "narrow", "10.1.1.9": "middle", "10.2.0.9": "wide", "11.0.0.1": "everything"}
 
 
+def test_copies_of_a_range_count_once(spark):
+    rows = [("10.0.0.0/8", "a", "x")] * 500 + [("10.0.0.0/8", "b", "w")]
+    table = network_ranges(spark.createDataFrame(rows, "network string, country string, city string"))
+    found = locate(addresses(spark, "10.0.0.1", "10.0.0.1", "10.0.0.2"), table)
+    assert sorted(tuple(row) for row in found.collect()) == [("10.0.0.1", "a", "x")] * 2 + [("10.0.0.2", "a", "x")]
+
+
 def test_numeric_ranges(spark):
     found = numeric_ranges(spark.createDataFrame([(7, 3405774848)], "lo bigint, hi bigint")).first()
     assert (found.lo, found.hi) == ("00000007", "cb000000")
