@@ -17,33 +17,50 @@ def _newest_first() -> list:
 
 def recent(visits: DataFrame, limit: int) -> DataFrame:
     """The newest visits. On a table with days, only the newest days that hold enough are read."""
-    if PARTITION_COLUMN in visits.columns:
-        visits = visits.filter(F.col(PARTITION_COLUMN) >= _first_day_needed(visits, limit).scalar())
+    return _newest(_enough_days(visits, visits, limit), limit)
+
+
+def _newest(visits: DataFrame, limit: int) -> DataFrame:
     return visits.orderBy(*_newest_first()).limit(limit).select(*VISIT_COLUMNS)
 
 
-def _first_day_needed(visits: DataFrame, limit: int) -> DataFrame:
-    """One value: the day from which on there are `limit` visits, or the first day of all.
+def _enough_days(visits: DataFrame, counted: DataFrame, limit: int) -> DataFrame:
+    """The newest days of a table that together hold `limit` of the counted visits, else all days.
 
-    Counting per day reads no column of the table; the window runs over one row per day.
+    Counting per day reads at most a flag per row; the window runs over one row per day.
     """
-    per_day = visits.groupBy(PARTITION_COLUMN).agg(F.count("*").alias("n"))
-    newer = F.sum("n").over(Window.orderBy(F.desc(PARTITION_COLUMN))) - F.col("n")
-    return per_day.withColumn("newer", newer).filter(F.col("newer") < limit).agg(F.min(PARTITION_COLUMN))
+    if PARTITION_COLUMN not in visits.columns:
+        return visits
+    per_day = counted.groupBy(PARTITION_COLUMN).agg(F.count("*").alias("n"))
+    through = F.sum("n").over(Window.orderBy(F.desc(PARTITION_COLUMN)))
+    enough = per_day.withColumn("through", through).filter(F.col("through") >= limit).agg(F.max(PARTITION_COLUMN))
+    first_of_all = F.make_date(F.lit(1), F.lit(1), F.lit(1))
+    return visits.filter(F.col(PARTITION_COLUMN) >= F.coalesce(enough.scalar(), first_of_all))
 
 
 def engaged_visitors(visits: DataFrame) -> DataFrame:
     return visits.filter("engaged").select("ip_hash").distinct()
 
 
-def visits_of_engaged(visits: DataFrame, rows_per_share: int = ROWS_PER_SHARE) -> DataFrame:
-    """Every stored visit of a visitor who ever engaged, also those where they only looked."""
-    return salted_join(visits, engaged_visitors(visits), "ip_hash", "left_semi", rows_per_share=rows_per_share)
+def visits_of_engaged(
+    visits: DataFrame, among: DataFrame | None = None, rows_per_share: int = ROWS_PER_SHARE
+) -> DataFrame:
+    """Every visit of a visitor who ever engaged, also those where they only looked.
+
+    `among` names the visits to choose from when these are not all.
+    """
+    chosen = visits if among is None else among
+    return salted_join(chosen, engaged_visitors(visits), "ip_hash", "left_semi", rows_per_share=rows_per_share)
 
 
 def recent_of_engaged(visits: DataFrame, limit: int, rows_per_share: int = ROWS_PER_SHARE) -> DataFrame:
-    engaged = visits_of_engaged(visits, rows_per_share)
-    return engaged.orderBy(*_newest_first()).limit(limit).select(*VISIT_COLUMNS)
+    """The newest visits of visitors who ever engaged.
+
+    Days that hold `limit` engaged visits hold at least as many visits of such visitors, so only
+    those days are joined; who engaged is still asked of all days.
+    """
+    newest_days = _enough_days(visits, visits.filter("engaged"), limit)
+    return _newest(visits_of_engaged(visits, newest_days, rows_per_share), limit)
 
 
 def number_visitors(listed: DataFrame) -> DataFrame:

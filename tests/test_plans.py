@@ -66,6 +66,13 @@ def test_recent_visits_take_the_top_of_the_days_needed(stored):
     assert set() in read_columns(text)  # days are counted without reading a column
 
 
+def test_recent_visits_of_engaged_join_only_the_days_needed(stored):
+    found = listing.recent_of_engaged(stored, 1)
+    text = plan(found)
+    assert re.search(r"PartitionFilters: \[[^\]]*visit_day[^\]]*[Ss]ubquery", text)
+    assert "TakeOrderedAndProject" in text and {"ip_hash", "engaged"} in read_columns(text)
+
+
 def test_retention_prunes_days(stored):
     text = plan(retention.retained(stored, NOW, 7))
     assert re.search(r"PartitionFilters: \[[^\]]*visit_day[^\]]*>= 2026-07-04", text)
