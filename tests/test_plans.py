@@ -7,7 +7,7 @@ import pytest
 from conftest import line
 
 from footfall.operators import listing, retention, rollups
-from footfall.operators.visits import not_stored, one_per_key
+from footfall.operators.visits import as_visits, not_stored, one_per_key
 from footfall.plans.ingest import requests_from_lines, visits_from_lines
 from footfall.settings import Settings
 from footfall.sources.access_log import read_lines
@@ -152,3 +152,29 @@ def test_addresses_of_one_hot_network_are_split_over_tasks(spark):
     finally:
         for key, value in before.items():
             spark.conf.set(key, value) if value is not None else spark.conf.unset(key)
+
+
+def test_a_day_far_larger_than_the_rest_is_written_by_many_tasks(spark, visits, tmp_path):
+    from pyspark.sql import functions as F
+
+    # 20,000 visits on one day, 10 on each of nine others, from eight tasks.
+    sample = visits({}).drop("path", "ip_hash", "visited_at", "visit_day")
+    day = F.when(F.col("id") < 90, F.col("id") % 9 + 1).otherwise(15)
+    many = spark.range(0, 20090, 1, 8).select(
+        F.concat(F.lit("/"), F.col("id")).alias("path"),
+        F.sha2(F.col("id").cast("string"), 256).alias("ip_hash"),
+        F.make_timestamp(F.lit(2026), F.lit(7), day, F.lit(1), F.lit(0), F.lit(0)).alias("visited_at"),
+        *[F.lit(value).cast(sample.schema[name].dataType).alias(name) for name, value in sample.first().asDict().items()],
+    )
+    many = as_visits(many)
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "100k")
+    try:
+        append_visits(many, str(tmp_path / "t"))
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
+    files = {day.name: len(list(day.glob("*.parquet"))) for day in (tmp_path / "t").iterdir() if day.is_dir()}
+    assert len(files) == 10 and files["visit_day=2026-07-15"] > 3
+    assert all(count == 1 for day, count in files.items() if day != "visit_day=2026-07-15")
+    assert read_visits(spark, str(tmp_path / "t")).count() == 20090
