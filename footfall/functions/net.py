@@ -26,7 +26,8 @@ def with_ip_key(df: DataFrame, address: str = "remote_ip", key: str = "ip_key")
         "_v4": """CASE WHEN _quad != '' AND forall(_octets, octet -> octet <= 255)
             THEN array_join(transform(_octets, octet -> lpad(lower(hex(octet)), 2, '0')), '') END""",
         # An embedded IPv4 tail becomes the two groups it stands for.
-        "_v6": r"""CASE WHEN contains(_text, ':') AND _quad = '' THEN _text
+        "_v6": r"""CASE WHEN length(_text) > 45 THEN NULL
+            WHEN contains(_text, ':') AND _quad = '' THEN _text
             WHEN contains(_text, ':') THEN concat(
                 regexp_replace(_text, r'\d+[.][\d.]+\z', ''), substring(_v4, 1, 4), ':', substring(_v4, 5, 4)) END""",
         "_groups": "filter(split(_v6, ':'), part -> part != '')",

@@ -9,7 +9,7 @@ from footfall.functions.times import instant
 from footfall.operators.geo import locate
 from footfall.operators.requests import judge, kept_requests
 from footfall.operators.visits import as_visits, describe, one_per_key, visits_of
-from footfall.session import prepare, size_shuffles
+from footfall.session import size_shuffles
 from footfall.settings import Settings
 from footfall.sources.access_log import clean_lines, parse_lines, read_lines
 from footfall.sources.files import total_bytes
@@ -51,7 +51,6 @@ def ingest_lines(
 def ingest_files(
     spark: SparkSession, paths: str | list[str], table: str, settings: Settings, lookups: Lookups = Lookups()
 ) -> None:
-    prepare(spark)
     size_shuffles(spark, total_bytes(spark, paths))
     ingest_lines(read_lines(spark, paths), table, settings, lookups)
 

@@ -8,6 +8,7 @@ from footfall.functions.once import evaluate_once
 from footfall.functions.text import is_blank, non_empty
 from footfall.functions.times import millis_of_seconds
 from footfall.schemas import RAW_REQUEST
+from footfall.session import prepare
 
 # Strict JSON: no bare NaN, no single quotes.
 _JSON_OPTIONS = {"allowNonNumericNumbers": "false", "allowSingleQuotes": "false"}
@@ -37,7 +38,7 @@ _HEADERS = ("user_agent", "referrer")
 
 def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """One row per line of every file; files split freely, only a newline ends a line."""
-    return spark.read.option("lineSep", "\n").text(paths)
+    return prepare(spark).read.option("lineSep", "\n").text(paths)
 
 
 def stream_lines(reader: DataStreamReader, path: str) -> DataFrame:

@@ -51,7 +51,8 @@ def network_ranges(blocks: DataFrame, network: str = "network") -> DataFrame:
 
 
 def numeric_ranges(ranges: DataFrame) -> DataFrame:
-    """Replace IPv4 lo and hi given as numbers by keys."""
+    """Replace IPv4 lo and hi given as numbers by keys; rows that are no such range are dropped."""
+    ranges = ranges.filter("lo BETWEEN 0 AND hi AND hi <= 4294967295")
     for end in ("lo", "hi"):
         ranges = ranges.withColumn(end, F.lpad(F.lower(F.hex(F.col(end).cast("bigint"))), 8, "0"))
     return ranges

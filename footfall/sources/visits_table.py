@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from footfall.functions.times import day_of
 from footfall.operators.visits import as_visits, not_stored
 from footfall.schemas import PARTITION_COLUMN, STORED_VISIT, VISIT_KEY
+from footfall.session import prepare
 from footfall.sources.files import exists
 
 # A batch that touches more days than this reads the keys of the whole span instead of naming days.
@@ -14,6 +15,7 @@ MAX_NAMED_DAYS = 100
 
 def read_visits(spark: SparkSession, path: str) -> DataFrame:
     """All stored visits; files older than a column read it back as null."""
+    prepare(spark)
     if not exists(spark, path):
         return spark.createDataFrame([], STORED_VISIT)
     return spark.read.schema(STORED_VISIT).parquet(path)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from footfall.plans.ingest import Lookups, ingest_lines, unstorable_requests
-from footfall.session import prepare
+from footfall.session import prepare, size_shuffles
 from footfall.settings import Settings
 from footfall.sources.access_log import stream_lines
 
@@ -61,7 +61,10 @@ def start_ingest(
     A micro-batch takes at most `max_files` segments, or `max_bytes` of them if that is given.
     """
     prepare(spark)
-    bound = {"maxBytesPerTrigger": max_bytes} if max_bytes else {"maxFilesPerTrigger": max_files}
+    bound = {"maxFilesPerTrigger": max_files}
+    if max_bytes is not None:
+        bound = {"maxBytesPerTrigger": max_bytes}
+        size_shuffles(spark, max_bytes)
     return (
         stream_lines(spark.readStream.options(**bound), segments)
         .writeStream.foreachBatch(store_batch(table, settings, lookups, since, rejected))

@@ -100,8 +100,9 @@ def test_copies_of_a_range_count_once(spark):
 
 
 def test_numeric_ranges(spark):
-    found = numeric_ranges(spark.createDataFrame([(7, 3405774848)], "lo bigint, hi bigint")).first()
-    assert (found.lo, found.hi) == ("00000007", "cb000000")
+    rows = [(7, 3405774848), (-1, 5), (9, 8), (5, 2**32), (None, 5)]
+    found = [tuple(row) for row in numeric_ranges(spark.createDataFrame(rows, "lo bigint, hi bigint")).collect()]
+    assert found == [("00000007", "cb000000")]
 
 
 def test_ptr_domains_join_by_address_not_by_spelling(spark):
