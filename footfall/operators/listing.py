@@ -1,12 +1,12 @@
 """Lists of recent visits and how they are shown."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from footfall.fixed_values import SCAN_TOKENS
 from footfall.functions.documents import visit_document
 from footfall.functions.text import contains_any, non_empty
-from footfall.functions.times import iso_instant
+from footfall.functions.times import MIN_MILLIS, iso_instant
 from footfall.operators.skew import ROWS_PER_SHARE, salted_join
 from footfall.schemas import PARTITION_COLUMN, VISIT_COLUMNS
 from footfall.settings import parse_limit, parse_visitors
@@ -16,26 +16,38 @@ def _newest_first() -> list:
 
 
 def recent(visits: DataFrame, limit: int) -> DataFrame:
-    """The newest visits. On a table with days, only the newest days that hold enough are read."""
-    return _newest(_enough_days(visits, visits, limit), limit)
+    """The newest visits. Of a table with days, only the newest time that holds enough is read."""
+    return _newest(_recent_enough(visits, visits, limit), limit)
 
 
 def _newest(visits: DataFrame, limit: int) -> DataFrame:
     return visits.orderBy(*_newest_first()).limit(limit).select(*VISIT_COLUMNS)
 
 
-def _enough_days(visits: DataFrame, counted: DataFrame, limit: int) -> DataFrame:
-    """The newest days of a table that together hold `limit` of the counted visits, else all days.
+def _recent_enough(visits: DataFrame, counted: DataFrame, limit: int) -> DataFrame:
+    """The newest days and minutes of a table that together hold `limit` of the counted visits, else all.
 
-    Counting per day reads at most a flag per row; the window runs over one row per day.
+    Counting per day reads at most a flag per row, counting per minute the times of those days.
     """
     if PARTITION_COLUMN not in visits.columns:
         return visits
-    per_day = counted.groupBy(PARTITION_COLUMN).agg(F.count("*").alias("n"))
-    through = F.sum("n").over(Window.orderBy(F.desc(PARTITION_COLUMN)))
-    enough = per_day.withColumn("through", through).filter(F.col("through") >= limit).agg(F.max(PARTITION_COLUMN))
-    first_of_all = F.make_date(F.lit(1), F.lit(1), F.lit(1))
-    return visits.filter(F.col(PARTITION_COLUMN) >= F.coalesce(enough.scalar(), first_of_all))
+    # Plain comparisons with a subquery, so that they reach the partitions and the row groups.
+    year_one = F.make_date(*[F.lit(1)] * 3)
+    in_days = F.col(PARTITION_COLUMN) >= _start_of(counted, F.col(PARTITION_COLUMN), limit, year_one).scalar()
+    minute = F.date_trunc("minute", "visited_at")
+    first_minute = _start_of(counted.filter(in_days), minute, limit, F.timestamp_millis(F.lit(MIN_MILLIS)))
+    return visits.filter(in_days & (F.col("visited_at") >= first_minute.scalar()))
+
+
+def _start_of(counted: DataFrame, step: Column, limit: int, otherwise: Column) -> DataFrame:
+    """One value: the latest step (day, minute) from which on there are `limit` rows, if there are so many.
+
+    The window runs over one row per step: days, or at most `limit` minutes and those of one day.
+    """
+    per_step = counted.groupBy(step.alias("step")).agg(F.count("*").alias("n"))
+    through = F.sum("n").over(Window.orderBy(F.desc("step")))
+    reached = per_step.withColumn("through", through).filter(F.col("through") >= limit)
+    return reached.agg(F.coalesce(F.max("step"), otherwise).alias("start"))
 
 
 def engaged_visitors(visits: DataFrame) -> DataFrame:
@@ -56,11 +68,11 @@ def visits_of_engaged(
 def recent_of_engaged(visits: DataFrame, limit: int, rows_per_share: int = ROWS_PER_SHARE) -> DataFrame:
     """The newest visits of visitors who ever engaged.
 
-    Days that hold `limit` engaged visits hold at least as many visits of such visitors, so only
-    those days are joined; who engaged is still asked of all days.
+    A time that holds `limit` engaged visits holds at least as many visits of such visitors, so only
+    that time is joined; who engaged is still asked of all days.
     """
-    newest_days = _enough_days(visits, visits.filter("engaged"), limit)
-    return _newest(visits_of_engaged(visits, newest_days, rows_per_share), limit)
+    newest = _recent_enough(visits, visits.filter("engaged"), limit)
+    return _newest(visits_of_engaged(visits, newest, rows_per_share), limit)
 
 
 def number_visitors(listed: DataFrame) -> DataFrame:

@@ -64,6 +64,8 @@ def test_recent_visits_take_the_top_of_the_days_needed(stored):
     assert "TakeOrderedAndProject" in text
     assert re.search(r"PartitionFilters: \[[^\]]*visit_day[^\]]*Subquery", text)
     assert set() in read_columns(text)  # days are counted without reading a column
+    mode = found._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    assert "GreaterThanOrEqual(visited_at,ScalarSubquery" in found._jdf.queryExecution().explainString(mode)
 
 
 def test_recent_visits_of_engaged_join_only_the_days_needed(stored):
