@@ -94,7 +94,7 @@ _IPV6 = f"'2001:DB8:1::' || lower(to_hex({_THIRD})) || ':' || lower(to_hex({_LAS
 ORACLES = {
     "parse_access_log": "SELECT host, method, split_part(uri, '?', 1) AS path, status, client_ip AS remote_ip, "
     "referrer, user_agent, at_ms FROM raw",
-    "consumed_lines": "SELECT count(*) AS lines FROM raw",
+    "consumed_lines": "SELECT count(*) AS lines, true AS all_bytes FROM raw",
     "drop_reasons": "SELECT coalesce(drop_reason, 'kept') AS drop_reason, count(*) AS lines FROM judged GROUP BY 1",
     "kept_requests": "SELECT host, path, (method = 'POST') AS engaged, client_ip AS remote_ip, at_ms "
     "FROM judged WHERE drop_reason IS NULL",
@@ -134,6 +134,7 @@ FROM raw GROUP BY 1, 2, 3""",
     "top_countries": _TOP.format("country"),
     "top_referrers": _TOP.format("referrer"),
     "engaged_rate": _RATE,
+    "engaged_rate_empty": f"{_RATE} WHERE visit_day < DATE '2024-01-01'",
     "stat_tiles": f"""SELECT
   (SELECT count(*) FROM visits WHERE visited_at >= {_NOW} - INTERVAL 720 HOUR) AS visits_30d,
   (SELECT count(*) FROM visits WHERE visit_day = DATE '2024-01-31') AS today,
@@ -174,6 +175,7 @@ SELECT strftime(visited_at, '%Y-%m-%d %H:%M:%S') AS time, '#' || visitor AS visi
   count(*) FILTER (visited_at < {_NOW} - INTERVAL 168 HOUR) AS deleted FROM visits""",
     "retained": f"SELECT site, path, ip_hash, at_ms FROM visits WHERE visited_at >= {_NOW} - INTERVAL 168 HOUR",
     "retention_prune": f"SELECT site, path, ip_hash, at_ms FROM visits WHERE visited_at >= {_NOW} - INTERVAL 168 HOUR",
+    "rows_deleted": f"SELECT count(*) AS deleted FROM visits WHERE visited_at < {_NOW} - INTERVAL 168 HOUR",
     "backlog_roundtrip": f"SELECT {_SHOWN} FROM visits",
     "backlog_replay": f"SELECT {_ALL} FROM visits",
 }

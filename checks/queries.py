@@ -113,7 +113,10 @@ def insert_if_absent(spark, sf_dir):
 
 
 def stream_ingest(spark, sf_dir):
-    """The log as closed segments, consumed as a stream into a table."""
+    """The log as closed segments, consumed as a stream of several batches into a table.
+
+    Files were filled at random, so most second deliveries come in another batch than the first.
+    """
     path = standin.new_folder(spark, "streamed")
     query = start_ingest(
         spark,
@@ -122,6 +125,7 @@ def stream_ingest(spark, sf_dir):
         standin.new_folder(spark, "offsets"),
         SETTINGS,
         lambda session: standin.lookups(session, sf_dir),
+        max_files=3,
     )
     query.awaitTermination()
     stored = read_visits(spark, path)
@@ -210,6 +214,11 @@ def engaged_rate(spark, sf_dir):
     return rollups.engaged_rate(standin.stored_visits(spark, sf_dir))
 
 
+def engaged_rate_empty(spark, sf_dir):
+    """Before the log begins there is no visit, and the rate is still one row."""
+    return rollups.engaged_rate(standin.stored_visits(spark, sf_dir).filter("visit_day < DATE '2024-01-01'"))
+
+
 def stat_tiles(spark, sf_dir):
     return rollups.stat_tiles(standin.stored_visits(spark, sf_dir), NOW)
 
@@ -287,6 +296,13 @@ def retention_prune(spark, sf_dir):
     return read_visits(spark, path).select("site", "path", "ip_hash", _at_ms())
 
 
+def rows_deleted(spark, sf_dir):
+    """What pruning a table on disk says it deleted."""
+    path = standin.new_folder(spark, "deleted")
+    append_visits(standin.stored_visits(spark, sf_dir), path)
+    return spark.range(1).select(F.lit(retention.prune(spark, path, NOW, 7)).cast("bigint").alias("deleted"))
+
+
 def backlog_roundtrip(spark, sf_dir):
     path = standin.new_folder(spark, "backlog")
     write_backlog(standin.stored_visits(spark, sf_dir), path)
@@ -304,9 +320,11 @@ def backlog_replay(spark, sf_dir):
 
 
 def consumed_lines(spark, sf_dir):
-    """Lines over all files of the log, from what each file gave."""
-    consumed = reports.consumed_per_file(standin.log_lines(spark, sf_dir))
-    return consumed.agg(F.sum("lines").alias("lines"))
+    """Lines over all files of the log, and whether each file's lines account for all its bytes."""
+    lines = standin.log_lines(spark, sf_dir)
+    file, size = F.col("_metadata.file_path").alias("file"), F.max("_metadata.file_size").alias("size")
+    consumed = reports.consumed_per_file(lines).join(lines.groupBy(file).agg(size), "file")
+    return consumed.agg(F.sum("lines").alias("lines"), F.bool_and(F.col("bytes") == F.col("size")).alias("all_bytes"))
 
 
 QUERIES = {
@@ -335,6 +353,7 @@ QUERIES = {
     "top_countries": top_countries,
     "top_referrers": top_referrers,
     "engaged_rate": engaged_rate,
+    "engaged_rate_empty": engaged_rate_empty,
     "stat_tiles": stat_tiles,
     "rollups_document": rollups_document,
     "recent_visits": recent_visits,
@@ -350,6 +369,7 @@ QUERIES = {
     "retention": retention_counts,
     "retained": retained,
     "retention_prune": retention_prune,
+    "rows_deleted": rows_deleted,
     "backlog_roundtrip": backlog_roundtrip,
     "backlog_replay": backlog_replay,
 }

@@ -36,8 +36,9 @@ VISIT = T.StructType(
 )
 VISIT_COLUMNS = VISIT.fieldNames()
 
-# A stored visit is one per key; the day is the partition column of the table.
-VISIT_KEY = ["site", "ip_hash", "visited_at", "path"]
+# A stored visit is one per key; the day is the partition column of the table. The time comes first
+# because sorts by the key then seldom compare text.
+VISIT_KEY = ["visited_at", "ip_hash", "path", "site"]
 PARTITION_COLUMN = "visit_day"
 STORED_VISIT = T.StructType([*VISIT.fields, T.StructField(PARTITION_COLUMN, T.DateType())])
 
