@@ -41,20 +41,19 @@ def prune(spark: SparkSession, path: str, now: datetime, days: int = RETENTION_D
     """
     if not exists(spark, path):
         return 0
-    visits = read_visits(spark, path)
     limit = cutoff(now, days)
-    expired = (F.col("visited_at") < limit) & (F.col(PARTITION_COLUMN) <= day_of(limit))
-    removed = {
-        row[PARTITION_COLUMN]: row["n"]
-        for row in visits.filter(expired).groupBy(PARTITION_COLUMN).agg(F.count("*").alias("n")).collect()
-    }
     boundary_day = (utc(now) - timedelta(days=days)).date()
-    for day in removed:
-        if day != boundary_day:
-            remove(spark, f"{path}/{PARTITION_COLUMN}={day.isoformat()}")
-    if boundary_day in removed:
-        _rewrite_day(spark, path, visits.filter(F.col(PARTITION_COLUMN) == F.lit(boundary_day)), limit, boundary_day)
-    return sum(removed.values())
+    day = F.col(PARTITION_COLUMN)
+    visits = read_visits(spark, path)
+    # Whole days are counted without reading a column, and only one row per day comes back.
+    whole_days = visits.filter(day < F.lit(boundary_day)).groupBy(day).agg(F.count("*").alias("n")).collect()
+    on_boundary = visits.filter(day == F.lit(boundary_day))
+    removed_there = on_boundary.filter(F.col("visited_at") < limit).count()
+    for row in whole_days:
+        remove(spark, f"{path}/{PARTITION_COLUMN}={row[PARTITION_COLUMN].isoformat()}")
+    if removed_there:
+        _rewrite_day(spark, path, on_boundary, limit, boundary_day)
+    return sum(row["n"] for row in whole_days) + removed_there
 
 
 def _rewrite_day(spark: SparkSession, path: str, day_visits: DataFrame, limit: Column, day) -> None:

@@ -38,15 +38,16 @@ def stored_keys(spark: SparkSession, path: str, visits: DataFrame) -> DataFrame:
     Only the days they touch are read, and of those only the row groups that reach into their hours.
     """
     day, at = F.col(PARTITION_COLUMN), F.col("visited_at")
-    ends = visits.agg(F.unix_micros(F.min("visited_at")), F.unix_micros(F.max("visited_at"))).first()
-    first, last = (F.timestamp_micros(F.lit(end).cast("bigint")) for end in ends)
-    named = [row[0] for row in visits.select(day_of(at)).distinct().limit(MAX_NAMED_DAYS + 1).collect()]
-    covered = at.between(first, last)
-    if len(named) <= MAX_NAMED_DAYS:
-        covered = day.isin(named) & covered
-    else:
-        covered = day.between(day_of(first), day_of(last)) & covered
-    return read_visits(spark, path).filter(covered).select(*VISIT_KEY)
+    ends = [F.unix_micros(F.min("visited_at")).alias("first"), F.unix_micros(F.max("visited_at")).alias("last")]
+    per_day = visits.groupBy(day_of(at).alias("day")).agg(*ends).limit(MAX_NAMED_DAYS + 1).collect()
+    named = len(per_day) <= MAX_NAMED_DAYS
+    spans = per_day if named else [visits.agg(*ends).first()]
+    if not spans:
+        return read_visits(spark, path).filter("false").select(*VISIT_KEY)
+    first = F.timestamp_micros(F.lit(min(span["first"] for span in spans)))
+    last = F.timestamp_micros(F.lit(max(span["last"] for span in spans)))
+    days = day.isin([span["day"] for span in spans]) if named else day.between(day_of(first), day_of(last))
+    return read_visits(spark, path).filter(days & at.between(first, last)).select(*VISIT_KEY)
 
 
 def insert_if_absent(spark: SparkSession, visits: DataFrame, path: str, complete=as_visits) -> None:
@@ -56,6 +57,9 @@ def insert_if_absent(spark: SparkSession, visits: DataFrame, path: str, complete
     that lookups are not spent on copies of what is there already. Running it again with the same
     visits, after a failure at any point, adds nothing twice.
     """
+    if not exists(spark, path):
+        append_visits(complete(visits), path)
+        return
     visits = visits.persist()
     try:
         fresh = not_stored(visits, stored_keys(spark, path, visits))
