@@ -1,3 +1,4 @@
+import random
 from datetime import date, datetime
 
 import pytest
@@ -128,6 +129,32 @@ def test_a_failed_append_is_made_good_by_running_again(spark, visits, tmp_path):
     assert paths(read_visits(spark, path)) == ["/a", "/b"]
 
 
+def test_random_batches_against_a_plain_dictionary(spark, visits, tmp_path):
+    """First stored wins; within a batch an engaged visit, then the least by the other columns."""
+    rng = random.Random(3)
+    path, stored = str(tmp_path / "t"), {}
+    for _ in range(4):
+        batch = [
+            {
+                "path": f"/{rng.randrange(6)}",
+                "ip_hash": f"v{rng.randrange(3)}",
+                "at": f"2026-07-{rng.randrange(1, 5):02}T10:00:00Z",
+                "engaged": rng.random() < 0.3,
+                "browser": rng.choice(["Chrome", "Edge", "Safari"]),
+            }
+            for _ in range(60)
+        ]
+        insert_if_absent(spark, one_per_key(visits(*batch)), path)
+        for row in sorted(batch, key=lambda row: (not row["engaged"], row["browser"])):
+            first = (row["path"], row["ip_hash"], row["at"])
+            stored.setdefault(first, (row["engaged"], row["browser"]))
+    found = read_visits(spark, path).collect()
+    assert len(found) == len(stored)
+    assert {
+        (row.path, row.ip_hash, row.visit_day.isoformat() + "T10:00:00Z"): (row.engaged, row.browser) for row in found
+    } == stored
+
+
 # Retention
 
 
