@@ -17,7 +17,7 @@ from footfall.operators.retention import prune
 from footfall.operators.rollups import rollups_document
 from footfall.plans.ingest import Lookups, ingest_files
 from footfall.session import prepare
-from footfall.settings import Settings
+from footfall.settings import Settings, parse_log_paths
 from footfall.sources.visits_table import read_visits
 from footfall.streaming.ingest import start_ingest
 
@@ -52,7 +52,7 @@ def run(spark: SparkSession, argv: list[str] | None = None) -> None:
     args = _arguments(argv)
     prepare(spark)
     if args.job == "ingest":
-        ingest_files(spark, args.logs, args.table, Settings.from_env(os.environ), _lookups(spark, args))
+        ingest_files(spark, parse_log_paths(",".join(args.logs)), args.table, Settings.from_env(os.environ), _lookups(spark, args))
     elif args.job == "stream":
         query = start_ingest(
             spark,

@@ -1,5 +1,8 @@
 """The visits table: Parquet partitioned by UTC day, one row per key, one writer at a time."""
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,10 +47,14 @@ def stored_keys(spark: SparkSession, path: str, visits: DataFrame) -> DataFrame:
     spans = per_day if named else [visits.agg(*ends).first()]
     if not spans:
         return read_visits(spark, path).filter("false").select(*VISIT_KEY)
-    first = F.timestamp_micros(F.lit(min(span["first"] for span in spans)))
-    last = F.timestamp_micros(F.lit(max(span["last"] for span in spans)))
-    days = day.isin([span["day"] for span in spans]) if named else day.between(day_of(first), day_of(last))
-    return read_visits(spark, path).filter(days & at.between(first, last)).select(*VISIT_KEY)
+    # A few late visits must not widen the hours asked of the other days.
+    hours = [at.between(*[F.timestamp_micros(F.lit(span[end])) for end in ("first", "last")]) for span in spans]
+    covered = reduce(or_, hours)
+    if named:
+        covered = day.isin([span["day"] for span in spans]) & covered
+    else:
+        covered = day.between(*[day_of(F.timestamp_micros(F.lit(spans[0][end]))) for end in ("first", "last")]) & covered
+    return read_visits(spark, path).filter(covered).select(*VISIT_KEY)
 
 
 def insert_if_absent(spark: SparkSession, visits: DataFrame, path: str, complete=as_visits) -> None:

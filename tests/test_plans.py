@@ -106,11 +106,17 @@ def test_a_line_is_parsed_once(spark, tmp_path):
     assert "BatchEvalPython" not in text and "ArrowEvalPython" not in text
 
 
-def test_only_the_touched_days_of_the_table_are_read(spark, table, visits):
-    batch = visits({"at": "2026-07-05T01:00:00Z"}, {"at": "2026-07-06T01:00:00Z", "path": "/b"})
-    text = plan(not_stored(batch, stored_keys(spark, table, batch)))
-    assert re.search(r"PartitionFilters: \[[^\]]*visit_day[^\]]*2026-07-05[^\]]*2026-07-06", text)
-    assert "GreaterThanOrEqual(visited_at,2026-07-05" in text
+def test_only_the_touched_hours_of_the_table_are_read(spark, table, visits):
+    batch = visits({"at": "2026-07-02T01:00:00Z"}, {"at": "2026-07-06T01:00:00Z", "path": "/b"}, {"at": "2026-07-06T02:00:00Z"})
+    spark.conf.set("spark.sql.maxMetadataStringLength", "1000")
+    try:
+        text = plan(not_stored(batch, stored_keys(spark, table, batch)))
+    finally:
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert re.search(r"PartitionFilters: \[[^\]]*visit_day[^\]]*2026-07-02[^\]]*2026-07-06", text)
+    pushed = re.search(r"PushedFilters: \[[^\]]*Or\((.*?)\], ReadSchema", text).group(1)
+    for bound in ("GreaterThanOrEqual(visited_at,2026-07-02 01", "GreaterThanOrEqual(visited_at,2026-07-06 01", "LessThanOrEqual(visited_at,2026-07-06 02"):
+        assert bound in pushed
     assert "CartesianProduct" not in text and "NestedLoop" not in text
 
 
