@@ -23,19 +23,21 @@ def trim_blanks(text: Column) -> Column:
     return F.regexp_replace(text, rf"\A{_BLANK}+|{_BLANK}+\z", "")
 
 
-def contains_any(text: Column, tokens: list[str]) -> Column:
-    """Any of some lower-case tokens: a few by plain search, many by one expression.
+def _any_of(tokens: list[str]) -> str:
+    """An expression for any of some lower-case tokens; a look at the next two letters skips most positions."""
+    first, second = ("".join(sorted({token[place] for token in tokens})) for place in (0, 1))
+    return f"(?=[{first}][{second}])(?:{alternation(tokens)})"
+
 
-    The expression looks at the next letter first, which skips most positions cheaply.
-    """
+def contains_any(text: Column, tokens: list[str]) -> Column:
+    """Any of some lower-case tokens: a few by plain search, many by one expression."""
     if len(tokens) <= 4:
         return reduce(or_, [text.contains(token) for token in tokens])
-    initials = "".join(sorted({token[0] for token in tokens}))
-    return text.rlike(f"(?=[{initials}])(?:{alternation(tokens)})")
+    return text.rlike(_any_of(tokens))
 
 
 def contains_any_ignoring_case(text: Column, tokens: list[str]) -> Column:
-    return text.rlike("(?iu)" + alternation(tokens))
+    return text.rlike("(?iu)" + _any_of(tokens))
 
 
 def ends_with_any(text: Column, suffixes: list[str]) -> Column:

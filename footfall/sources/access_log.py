@@ -1,5 +1,8 @@
 """JSON access logs: lines from files, requests from lines."""
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamReader
@@ -21,8 +24,7 @@ def _line_schema(value: str) -> str:
     return f"ts double, status int, request struct<{texts}, {headers}>"
 
 
-# What a JSON value that is not a string looks like once read as one.
-_MAYBE_NOT_TEXT = r"\A(?:-?[0-9]+(?:[.][0-9]+)?(?:[eE][-+]?[0-9]+)?\z|true\z|false\z|[{\[])"
+_JSON_NUMBER = r"\A-?[0-9]+(?:[.][0-9]+)?(?:[eE][-+]?[0-9]+)?\z"
 
 _TEXT_FIELDS = {
     "host": "request.host",
@@ -59,6 +61,13 @@ def _field(reading: str, name: str) -> Column:
     return F.get(value, F.lit(0)) if name in _HEADERS else value
 
 
+def _looks_like_no_text(text: Column) -> Column:
+    """Whether text is what a JSON value other than a string reads as; addresses rarely reach the pattern."""
+    like_a_number = (text.between("0", "9~") | text.startswith("-")) & (F.substring_index(text, ".", 2) == text)
+    structured = text.startswith("{") | text.startswith("[") | text.isin("true", "false")
+    return F.coalesce(structured | (like_a_number & text.rlike(_JSON_NUMBER)), F.lit(False))
+
+
 def _guarded_text(variant: Column) -> Column:
     return F.when(F.schema_of_variant(variant) == "STRING", F.try_variant_get(variant, "$", "string"))
 
@@ -69,13 +78,11 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     Reading the strings as strings is fast but turns a JSON 12 into "12". Only lines where some
     field looks like that are read again with their JSON types, so 12 and "12" stay apart.
     """
-    plain = F.from_json("value", _line_schema("string"), _JSON_OPTIONS)
-    read = lines.select("value", evaluate_once(plain=plain))
-    doubtful = F.lit(False)
-    for name in _TEXT_FIELDS:
-        doubtful = doubtful | F.coalesce(_field("plain", name).rlike(_MAYBE_NOT_TEXT), F.lit(False))
-    typed = F.when(doubtful, F.from_json("value", _line_schema("variant"), _JSON_OPTIONS))
-    read = read.select("plain", evaluate_once(typed=typed))
+    read = lines.withColumn("plain", F.from_json("value", _line_schema("string"), _JSON_OPTIONS))
+    doubtful = reduce(or_, [_looks_like_no_text(_field("plain", name)) for name in _TEXT_FIELDS])
+    read = read.withColumn("doubtful", doubtful)
+    typed = F.when(F.col("doubtful"), F.from_json("value", _line_schema("variant"), _JSON_OPTIONS))
+    read = read.withColumn("typed", typed)
 
     fields = {
         name: F.when(F.col("typed").isNull(), _field("plain", name)).otherwise(_guarded_text(_field("typed", name)))
