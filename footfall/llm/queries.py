@@ -1,9 +1,13 @@
 """The registered queries of this subpackage, and SQL for the same answers where SQL can express them."""
 
+from footfall.llm.html_text import html_query
 from footfall.llm.mixing import MIXING_SQL, mixing_query
+from footfall.llm.pii import pii_query
 
 QUERIES = {
+    "op1_html_text": html_query,
     "op6_mixing": mixing_query,
+    "op7_pii": pii_query,
 }
 
 ORACLES = {
