@@ -43,7 +43,6 @@ DROPPED_NAMES = re.compile(
     r"share|sharing|sidebar|social|sponsor\w*|subscribe|subscription|tags?|toolbar|widget|login|signup)(?:$|[\s_-])",
     re.IGNORECASE,
 )
-_SPACE = re.compile(r"\s+")
 _TAG = re.compile(r"<!--.*?-->|<(script|style)\b.*?</\1\s*>|<[^>]*>", re.IGNORECASE | re.DOTALL)
 
 
@@ -59,11 +58,15 @@ class _Lines(HTMLParser):
         self._text: list[str] = []
         self._tags = 0
 
+    def updatepos(self, i, j):
+        """Line numbers, which nobody asks for here, cost a tenth of the parse."""
+        return j
+
     def _place(self) -> tuple[bool, int]:
         return self._open[-1][1:] if self._open else (False, 0)
 
     def end_line(self) -> None:
-        text = _SPACE.sub(" ", "".join(self._text)).strip()
+        text = " ".join("".join(self._text).split())
         if text:
             self.lines.append((text, self._tags, self._place()[1]))
         self._text, self._tags = [], 0
@@ -141,7 +144,7 @@ def main_text(html: str | None, sigma: float = 1.0, level: float = 0.5) -> str:
         parser.close()
         parser.end_line()
     except (AssertionError, ValueError):
-        return _SPACE.sub(" ", unescape(_TAG.sub(" ", html))).strip()
+        return " ".join(unescape(_TAG.sub(" ", html)).split())
     lines = parser.lines
     if not lines:
         return ""

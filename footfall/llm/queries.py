@@ -3,13 +3,16 @@
 from footfall.llm.html_text import html_query
 from footfall.llm.mixing import MIXING_SQL, mixing_query
 from footfall.llm.pii import pii_query
+from footfall.llm.warc_audit import AUDIT_SQL, audit_query
 
 QUERIES = {
     "op1_html_text": html_query,
     "op6_mixing": mixing_query,
     "op7_pii": pii_query,
+    "op8_warc_audit": audit_query,
 }
 
 ORACLES = {
     "op6_mixing": MIXING_SQL,
+    "op8_warc_audit": AUDIT_SQL,
 }
