@@ -1,13 +1,17 @@
 """The registered queries of this subpackage, and SQL for the same answers where SQL can express them."""
 
 from footfall.llm.html_text import html_query
+from footfall.llm.language_id import language_query
 from footfall.llm.lsh_forest import nearest_query
 from footfall.llm.mixing import MIXING_SQL, mixing_query
 from footfall.llm.pii import pii_query
+from footfall.llm.quality import quality_query
 from footfall.llm.warc_audit import AUDIT_SQL, audit_query
 
 QUERIES = {
     "op1_html_text": html_query,
+    "op2_language_id": language_query,
+    "op3_quality": quality_query,
     "op4_lsh_forest": nearest_query,
     "op6_mixing": mixing_query,
     "op7_pii": pii_query,
