@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 HASH_BITS = 32
+# Small shards are searched more thoroughly: the ascent goes on to this many places at least.
+LEAST_WANTED = 4_000
 SCORED = "query_id long, vec_id long, score double"
 
 
@@ -113,8 +115,8 @@ def search_shard(
     rounded = distinct.astype(np.float32)
     forest = Forest(rounded, trees, seed)
     asked = queries.astype(np.float32)
-    number = int(np.ceil(wanted * len(distinct)))
-    for q, near in enumerate(forest.candidates(asked, max(number, 8 * k))):
+    number = max(int(np.ceil(wanted * len(distinct))), LEAST_WANTED)
+    for q, near in enumerate(forest.candidates(asked, number)):
         if len(near) > 8 * k:
             # Rounded products leave a wide margin of the best, which are then scored in full precision.
             rough = rounded[near] @ asked[q]

@@ -19,6 +19,8 @@ from footfall.llm.common import checkpointed, ordinals, stored
 WORD = r"[^\x20\x09-\x0D]+"
 # The seeded order is summed in buckets of its first hexadecimal digits, so that no window holds a source.
 BUCKET_DIGITS = 4
+MAX_BROADCAST_SOURCES = 100_000
+SALTS = 32
 
 
 def sizes(docs: DataFrame, seed: int) -> DataFrame:
@@ -86,7 +88,7 @@ def mix(
     wanted = F.round("target").cast("long")
     whole = F.when(F.col("source_size") > 0, F.floor(wanted / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     targets = targets.withColumn("_copies", whole)
-    targets = targets.withColumn("_rest", wanted - F.col("_copies") * F.col("source_size"))
+    targets = checkpointed(targets.withColumn("_rest", wanted - F.col("_copies") * F.col("source_size")))
 
     bucket = F.conv(F.substring("place", 1, BUCKET_DIGITS), 16, 10).cast("long")
     sized = sized.withColumn("_bucket", bucket)
@@ -97,7 +99,7 @@ def mix(
     edge = _by_source(sums, targets.select("source", "_rest")).filter(
         (F.col("_before") < F.col("_rest")) & (F.col("_before") + F.col("_in") >= F.col("_rest"))
     )
-    edge = edge.select("source", F.col("_bucket").alias("_edge"), F.col("_before").alias("_start"))
+    edge = checkpointed(edge.select("source", F.col("_bucket").alias("_edge"), F.col("_before").alias("_start")))
     targets = checkpointed(_by_source(targets, edge, "left"))
 
     placed = _by_source(sized, targets.drop("weight"), "left")
@@ -114,10 +116,18 @@ def mix(
 
 
 def _by_source(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
-    """Join on source, nulls alike. One row per source on the right: a small one is broadcast at its
-    measured size, otherwise a hot source is split by adaptive execution."""
-    renamed = right.withColumnRenamed("source", "_source")
-    return left.join(renamed, left["source"].eqNullSafe(renamed["_source"]), how).drop("_source")
+    """Join on source, nulls alike, to a checkpointed table with one row per source.
+
+    A table of up to MAX_BROADCAST_SOURCES rows is broadcast; beyond, its rows repeat in SALTS shares over
+    which the rows of a hot source are spread.
+    """
+    right = right.withColumnRenamed("source", "_source")
+    same = left["source"].eqNullSafe(right["_source"])
+    if right.count() <= MAX_BROADCAST_SOURCES:
+        return left.join(F.broadcast(right), same, how).drop("_source")
+    right = right.withColumn("_right_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    left = left.withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.lit(SALTS)).cast("int"))
+    return left.join(right, same & (F.col("_salt") == F.col("_right_salt")), how).drop("_source", "_salt", "_right_salt")
 
 
 def mixing_query(spark, sf_dir: str) -> DataFrame:
