@@ -23,7 +23,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from footfall.llm.common import slices, stored
@@ -151,13 +151,21 @@ def disclosing_terms(
     pairs = found.groupBy("entity", "term").agg(
         F.countDistinct("doc").alias("n_pair"), F.countDistinct("around").alias("n_around")
     )
-    pairs = stored(pairs.filter(F.col("n_around") >= min_contexts), "pairs")
     entities = found.groupBy("entity").agg(F.countDistinct("doc").alias("n_entity"))
+    # A term is in at least the documents where it is near some entity: with that bound its information
+    # on an entity cannot be understated, so pairs that miss the lower threshold are settled already.
+    near = found.groupBy("term").agg(F.countDistinct("doc").alias("n_near"))
+    total = F.lit(float(max(docs.count(), 1)))
+    information = F.log(total / F.col("n_entity"))
+
+    def pmi_with(n_term: str) -> Column:
+        return F.log(total * F.col("n_pair") / (F.col("n_entity") * F.col(n_term)))
+
+    pairs = pairs.filter(F.col("n_around") >= min_contexts).join(entities, "entity").join(near, "term")
+    pairs = stored(pairs.filter(pmi_with("n_near") >= generalise * information), "pairs")
     frequencies = term_frequencies(docs, pairs.select("term").distinct())
-    total = docs.count()
-    measured = pairs.join(frequencies, "term").join(entities, "entity")
-    information = F.log(F.lit(float(max(total, 1))) / F.col("n_entity"))
-    pmi = F.log(F.lit(float(max(total, 1))) * F.col("n_pair") / (F.col("n_entity") * F.col("n_term")))
+    measured = pairs.join(frequencies, "term")
+    pmi = pmi_with("n_term")
     action = F.when(pmi >= remove * information, "remove").when(pmi >= generalise * information, "generalise")
     disclosing = measured.filter(information > 0).withColumn("action", action).filter(F.col("action").isNotNull())
     hits = found.select("doc", "entity", "term").distinct().join(disclosing.select("entity", "term", "action"), ["entity", "term"])
