@@ -4,6 +4,7 @@ from footfall.llm.html_text import html_query
 from footfall.llm.language_id import language_query
 from footfall.llm.lsh_forest import nearest_query
 from footfall.llm.mixing import MIXING_SQL, mixing_query
+from footfall.llm.near_dup import near_dup_query
 from footfall.llm.pii import pii_query
 from footfall.llm.quality import quality_query
 from footfall.llm.warc_audit import AUDIT_SQL, audit_query
@@ -13,6 +14,7 @@ QUERIES = {
     "op2_language_id": language_query,
     "op3_quality": quality_query,
     "op4_lsh_forest": nearest_query,
+    "op5_near_dup": near_dup_query,
     "op6_mixing": mixing_query,
     "op7_pii": pii_query,
     "op8_warc_audit": audit_query,
