@@ -24,7 +24,7 @@ def shingle_hashes(word_hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndar
     number = np.diff(bounds)
     shingles = np.where(number >= SHINGLE, number - SHINGLE + 1, np.minimum(number, 1))
     owner = np.repeat(np.arange(len(number)), shingles)
-    first = np.repeat(bounds[:-1] - np.concatenate([[0], np.cumsum(shingles)[:-1]]), shingles) + np.arange(len(owner))
+    first = np.repeat(bounds[:-1] - (np.cumsum(shingles) - shingles), shingles) + np.arange(len(owner))
     padded = np.concatenate([word_hashes, np.zeros(SHINGLE, np.uint64)])
     total = np.zeros(len(owner), np.uint64)
     ends = bounds[1:][owner]

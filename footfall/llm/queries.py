@@ -1,5 +1,6 @@
 """The registered queries of this subpackage, and SQL for the same answers where SQL can express them."""
 
+from footfall.llm.decontaminate import decontaminate_query
 from footfall.llm.html_text import html_query
 from footfall.llm.language_id import language_query
 from footfall.llm.lsh_forest import nearest_query
@@ -18,6 +19,7 @@ QUERIES = {
     "op6_mixing": mixing_query,
     "op7_pii": pii_query,
     "op8_warc_audit": audit_query,
+    "op10_decontaminate": decontaminate_query,
 }
 
 ORACLES = {
