@@ -7,6 +7,7 @@ from footfall.llm.lsh_forest import nearest_query
 from footfall.llm.mixing import MIXING_SQL, mixing_query
 from footfall.llm.near_dup import near_dup_query
 from footfall.llm.pii import pii_query
+from footfall.llm.pitman_yor import scoring_query
 from footfall.llm.quality import quality_query
 from footfall.llm.warc_audit import AUDIT_SQL, audit_query
 
@@ -19,6 +20,7 @@ QUERIES = {
     "op6_mixing": mixing_query,
     "op7_pii": pii_query,
     "op8_warc_audit": audit_query,
+    "op9_pitman_yor": scoring_query,
     "op10_decontaminate": decontaminate_query,
 }
 
