@@ -23,11 +23,14 @@ MAX_BROADCAST_SOURCES = 100_000
 SALTS = 32
 
 
+def word_count(column: str) -> Column:
+    return F.coalesce(F.regexp_count(column, F.lit(WORD)), F.lit(0)).cast("long")
+
+
 def sizes(docs: DataFrame, seed: int) -> DataFrame:
     """doc_id, source, size, and the place of each document in the seeded order."""
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.select("doc_id", "source", size.alias("size"), key.alias("place"))
+    return docs.select("doc_id", "source", word_count("text").alias("size"), key.alias("place"))
 
 
 def cyclic_weights(sources: DataFrame, cycle: tuple[int, ...]) -> DataFrame:

@@ -1,5 +1,6 @@
 """The registered queries of this subpackage, and SQL for the same answers where SQL can express them."""
 
+import corpus_pipeline
 from footfall.llm.decontaminate import decontaminate_query
 from footfall.llm.html_text import html_query
 from footfall.llm.language_id import language_query
@@ -22,6 +23,7 @@ QUERIES = {
     "op8_warc_audit": audit_query,
     "op9_pitman_yor": scoring_query,
     "op10_decontaminate": decontaminate_query,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {
