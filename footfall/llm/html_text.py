@@ -43,6 +43,7 @@ DROPPED_NAMES = re.compile(
     r"share|sharing|sidebar|social|sponsor\w*|subscribe|subscription|tags?|toolbar|widget|login|signup)(?:$|[\s_-])",
     re.IGNORECASE,
 )
+_UNENDED = re.compile(r"<[!?/a-zA-Z]")
 _TAG = re.compile(r"<!--.*?-->|<(script|style)\b.*?</\1\s*>|<[^>]*>", re.IGNORECASE | re.DOTALL)
 
 
@@ -141,7 +142,9 @@ def main_text(html: str | None, sigma: float = 1.0, level: float = 0.5) -> str:
     parser = _Lines()
     try:
         parser.feed(html)
-        parser.close()
+        # Markup that never ends is no text.
+        if not _UNENDED.match(parser.rawdata):
+            parser.close()
         parser.end_line()
     except (AssertionError, ValueError):
         return " ".join(unescape(_TAG.sub(" ", html)).split())
