@@ -11,10 +11,12 @@ No bucket is expanded into all its pairs:
 1. Every member of a bucket meets the bucket's leader, the member that shares most buckets with others
    (among copies of one text, the text itself).
 2. Of buckets with at most `small` members, the pairs whose components still differ are compared.
-3. In larger ones a pair can only be linked, without both being linked to their leader L, if the two
-   share a shingle that L has not (or has less often), or if the overlaps with L alone are large enough:
-   without such a shingle the overlap of x and y is at most that of x and L, and that of y and L. Pairs
-   are looked up by those shingles, and by bag size for the second case; all others are settled unseen.
+3. In larger ones the overlap of x and y is at most min(|x & L|, |y & L|) plus what the two share beyond
+   their leader L, in shingles that L has not (or has less often). So a pair whose components differ can
+   only be linked if it shares enough beyond the leader: each member is looked up by the rarest of these
+   shingles, as many as make it impossible to share enough without one of them. Or, if it shares nothing
+   there, if the overlaps with L alone are large enough for its sizes, which are looked up. All other
+   pairs are settled unseen.
 
 Defined results: a null text is a class of its own; texts without words are in one class only with equal
 ones; equal rows share a class; a text of fewer than five words is a single shingle; an empty table gives
@@ -26,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from footfall.llm.bag_minhash import bags, band_hashes, shingle_hashes, signatures
@@ -100,7 +102,13 @@ def bag_table(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.dropDuplicates(["node"]).join(wanted.select("node"), "node", "left_semi")
 
 
-MEASURED = "a long, b long, shared long, size_a long, size_b long, similarity double, beyond array<long>"
+MEASURED = "a long, b long, shared long, size_a long, size_b long, similarity double, beyond array<struct<shingle: long, mass: int>>"
+
+
+def beyond(hashes: np.ndarray, excess: np.ndarray) -> list[dict]:
+    """Shingles with a positive excess."""
+    more = excess > 0
+    return [{"shingle": h, "mass": n} for h, n in zip(hashes[more].view(np.int64).tolist(), excess[more].tolist())]
 
 
 def measure(pairs: DataFrame, bags_of: DataFrame) -> DataFrame:
@@ -108,7 +116,7 @@ def measure(pairs: DataFrame, bags_of: DataFrame) -> DataFrame:
 
     def overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = {name.split()[0]: [] for name in MEASURED.split(", ")}
+            out = {name: [] for name in ("a", "b", "shared", "size_a", "size_b", "similarity", "beyond")}
             columns = [batch.column(name).to_pylist() for name in ("a", "b", "big", "a_hashes", "a_counts", "b_hashes", "b_counts")]
             for a, b, big, ha, ca, hb, cb in zip(*columns):
                 ha, hb = np.frombuffer(ha, np.uint64), np.frombuffer(hb, np.uint64)
@@ -117,10 +125,11 @@ def measure(pairs: DataFrame, bags_of: DataFrame) -> DataFrame:
                 in_b = np.where(hb[at] == ha, cb[at], 0) if len(hb) else np.zeros(len(ha), np.int32)
                 shared, size_a, size_b = int(np.minimum(ca, in_b).sum()), int(ca.sum()), int(cb.sum())
                 union = size_a + size_b - shared
-                values = (a, b, shared, size_a, size_b, shared / union if union else 0.0, ha[ca > in_b].view(np.int64) if big else [])
+                values = (a, b, shared, size_a, size_b, shared / union if union else 0.0, beyond(ha, ca - in_b) if big else [])
                 for name, value in zip(out, values):
                     out[name].append(value)
-            types = [pa.int64()] * 5 + [pa.float64(), pa.list_(pa.int64())]
+            cells = pa.list_(pa.struct([("shingle", pa.int64()), ("mass", pa.int32())]))
+            types = [pa.int64()] * 5 + [pa.float64(), cells]
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types)], list(out))
 
     def side(name: str) -> DataFrame:
@@ -141,14 +150,15 @@ def near_duplicate_links(docs: DataFrame, sketched: DataFrame, threshold: float,
     nodes = sketched.filter(F.size("buckets") > 0).groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("buckets").alias("buckets"))
     placed = nodes.select("node", "doc_id", F.explode("buckets").alias("bucket"))
     sizes = placed.groupBy("bucket").agg(F.count("*").alias("size")).filter(F.col("size") > 1)
-    placed = stored(placed.join(sizes, "bucket"), "placed")
+    placed = stored(placed.join(stored(sizes, "sizes"), "bucket"), "placed")
     wanted = placed.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.sum("size").alias("central"))
     wanted = stored(wanted, "wanted")
     bags_of = stored(bag_table(docs, wanted), "bags")
 
     members = placed.select("bucket", "node", "size").join(wanted.select("node", "central"), "node")
     leaders = members.groupBy("bucket").agg(F.max(F.struct("central", "node")).alias("_most"))
-    members = stored(members.join(leaders.select("bucket", F.col("_most.node").alias("leader")), "bucket"), "members")
+    leaders = stored(leaders.select("bucket", F.col("_most.node").alias("leader")), "leaders")
+    members = stored(members.join(leaders, "bucket"), "members")
     star = members.filter(F.col("node") != F.col("leader")).groupBy(F.col("node").alias("a"), F.col("leader").alias("b"))
     met = stored(measure(star.agg(F.max(F.col("size") > small).alias("big")), bags_of), "met")
     links = met.filter(F.col("similarity") >= threshold).select("a", "b")
@@ -168,9 +178,17 @@ def near_duplicate_links(docs: DataFrame, sketched: DataFrame, threshold: float,
         F.col("a").alias("node"), F.col("b").alias("leader"), "shared", F.col("size_a").alias("size"), "beyond", "similarity"
     )
     known = _labelled(known, labels, "node", "label")
-    one = known.select("leader", F.explode("beyond").alias("shingle"), F.col("node").alias("a"), "label")
-    two = one.select("leader", "shingle", F.col("a").alias("b"), F.col("label").alias("label_b"))
-    beyond = one.join(two, ["leader", "shingle"]).filter((F.col("a") < F.col("b")) & (F.col("label") != F.col("label_b")))
+    above = known.withColumn("cell", F.explode("beyond")).withColumn("needed", F.ceil(F.col("size") * threshold - 1e-6) - F.col("shared"))
+    above = stored(above.select("leader", "node", "label", "shared", "size", "needed", "cell.shingle", "cell.mass"), "above")
+    frequency = above.groupBy("leader", "shingle").agg(F.count("*").alias("members"))
+    common_last = Window.partitionBy("leader", "node").orderBy(F.desc("members"), "shingle")
+    above = above.join(frequency, ["leader", "shingle"]).withColumn("tail", F.sum("mass").over(common_last))
+    above = above.filter((F.col("tail") >= F.greatest(F.col("needed"), F.lit(1))) & (F.col("members") > 1))
+    one = stored(above.select("leader", "shingle", F.col("node").alias("a"), "label", "shared", "size"), "rare")
+    two = one.select("leader", "shingle", *[F.col(c).alias(f"{c}_b") for c in ("label", "shared", "size")], F.col("a").alias("b"))
+    rest = F.least(F.col("size") - F.col("shared"), F.col("size_b") - F.col("shared_b"))
+    reachable = rest + F.least("shared", "shared_b") + 1e-6 >= (F.col("size") + F.col("size_b")) * (threshold / (1 + threshold))
+    shared_beyond = one.join(two, ["leader", "shingle"]).filter((F.col("a") < F.col("b")) & (F.col("label") != F.col("label_b")) & reachable)
     # Without a shared shingle beyond the leader: shared(x, y) <= shared(x, L), so size(y) is bounded.
     most = F.floor(F.col("shared") * ((1 + threshold) / threshold) - F.col("size") + 1e-6)
     least = F.ceil(F.col("size") * threshold - 1e-6)
@@ -180,7 +198,7 @@ def near_duplicate_links(docs: DataFrame, sketched: DataFrame, threshold: float,
     enough = F.col("shared") + 1e-6 >= (F.col("_size") + F.col("size")) * (threshold / (1 + threshold))
     within = loose.join(sized, ["leader", "size"]).filter(enough & (F.col("label") != F.col("label_b")))
 
-    pairs = close.union(beyond.select("a", "b")).union(within.select("a", "b"))
+    pairs = close.union(shared_beyond.select("a", "b")).union(within.select("a", "b"))
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().withColumn("big", F.lit(False))
     further = measure(pairs, bags_of).filter(F.col("similarity") >= threshold).select("a", "b")
     return links.union(stored(further, "further"))
@@ -193,7 +211,7 @@ def near_duplicates(
     sketched = stored(sketches(docs, bands, rows), "sketch")
     labels = components(near_duplicate_links(docs, sketched, threshold, small))
     known = _labelled(sketched.select("doc_id", "node"), labels, "node", "label")
-    least = known.groupBy("label").agg(F.min("doc_id").alias("class_id"))
+    least = stored(known.groupBy("label").agg(F.min("doc_id").alias("class_id")), "classes")
     classed = known.join(least, "label").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
     alone = docs.filter(F.col("text").isNull()).select(F.col("doc_id").cast("long").alias("doc_id"))
     return classed.unionByName(alone.withColumn("class_id", F.col("doc_id")))
