@@ -130,3 +130,68 @@ def hash_strings(words: pa.Array) -> np.ndarray:
     terms = mix64(data.astype(np.uint64) + np.uint64(1)) * powers[place]
     sums = np.concatenate([[np.uint64(0)], np.cumsum(terms, dtype=np.uint64)])
     return mix64(sums[starts + lengths] - sums[starts] + lengths.astype(np.uint64))
+
+
+_WORD_BASE = 0x9E3779B97F4A7C15
+_powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
+
+
+def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers 0 to n of the base and of its inverse modulo 2^64, kept for the next call."""
+    if len(_powers["up"]) <= n:
+        for name, base in (("up", _WORD_BASE), ("down", pow(_WORD_BASE, -1, 1 << 64))):
+            steps = np.full(n + 1, base, np.uint64)
+            steps[0] = 1
+            _powers[name] = np.cumprod(steps, dtype=np.uint64)
+    return _powers["up"], _powers["down"]
+
+
+def _plain_table() -> np.ndarray:
+    """Letters a to z and digits as they are, A to Z lower-cased, other ASCII a space, other bytes as they are."""
+    table = np.arange(256, dtype=np.uint8)
+    table[:128] = 32
+    table[48:58] = np.arange(48, 58)
+    table[97:123] = np.arange(97, 123)
+    table[65:91] = np.arange(97, 123)
+    return table
+
+
+_PLAIN = _plain_table()
+_BYTE_HASHES = mix64(np.arange(1, 257, dtype=np.uint64))
+
+
+def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the lower-case words of letters and digits, and where each text's begin.
+
+    ASCII characters other than letters and digits end a word, and so does the punctuation of the Unicode
+    blocks Latin-1 (U+0080 to U+00BF), General Punctuation and CJK Symbols.
+    """
+    texts = pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
+    n = len(texts)
+    buffers = texts.buffers()
+    offsets = np.frombuffer(buffers[1], np.int64)[texts.offset : texts.offset + n + 1]
+    data = np.frombuffer(buffers[2], np.uint8)[offsets[0] : offsets[-1]] if buffers[2] is not None else np.zeros(0, np.uint8)
+    offsets = offsets - offsets[0]
+    plain = _PLAIN[data]
+    for at, length in ((np.flatnonzero(data == 0xC2), 2), (_blocks(data), 3)):
+        for k in range(length):
+            plain[at + k] = 32
+    inside = np.concatenate([[False], plain != 32, [False]])
+    # A word also begins and ends where its text does.
+    begins = inside[1:-1] & ~inside[:-2]
+    ends = inside[1:-1] & ~inside[2:]
+    edges = offsets[(offsets > 0) & (offsets < len(data))]
+    begins[edges] |= inside[1:-1][edges]
+    ends[edges - 1] |= inside[1:-1][edges - 1]
+    starts, stops = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+    up, down = _powers_to(len(data))
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(_BYTE_HASHES[plain] * up[: len(data)], dtype=np.uint64)])
+    hashes = mix64((sums[stops] - sums[starts]) * down[starts] + (stops - starts).astype(np.uint64))
+    return hashes, np.searchsorted(starts, offsets)
+
+
+def _blocks(data: np.ndarray) -> np.ndarray:
+    """Where characters of General Punctuation (E2 80, E2 81) and CJK Symbols (E3 80) begin."""
+    lead = np.flatnonzero((data[:-2] == 0xE2) | (data[:-2] == 0xE3)) if len(data) > 2 else np.zeros(0, np.int64)
+    second = data[lead + 1]
+    return lead[(second == 0x80) | ((data[lead] == 0xE2) & (second == 0x81))]

@@ -26,13 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from footfall.llm.common import documents, mix64, slices
-from footfall.llm.near_dup import hashed_words
+from footfall.llm.common import documents, hashed_words, slices
 
 WALKS, TABLES, SAMPLES, EDITS = 5, 4, 6, 0.2
 MAX_GROUP_WORDS = 2_000_000
 _FILTER_BITS = 22
-_STEP = np.uint64(0x9E3779B97F4A7C15)
 MATCH = "doc_id long, item_id long, edits int, first_word long, words int"
 
 
@@ -41,31 +39,55 @@ def size_class(words: int) -> int:
     return ((words + 1) // 4).bit_length() - 1
 
 
-def sampled_steps(k: int, walk: int) -> list[np.ndarray]:
-    """Steps each table of a walk looks at: among the first one and a half per window word."""
+def sampled_steps(k: int, walk: int) -> tuple[int, int, list[np.ndarray]]:
+    """Half-way step, last step, and the steps each table of a walk looks at, as many from either half.
+
+    A walk takes one and a half steps per window word, so that it rarely leaves the window.
+    """
     steps = max(2, 9 * 2**k // 2)
+    half, count = steps // 2, SAMPLES // 2
     random = np.random.default_rng(1000 * k + walk)
-    return [np.sort(random.choice(steps, min(SAMPLES, steps), replace=False)) for _ in range(TABLES)]
-
-
-def window_keys(hashes: np.ndarray, starts: np.ndarray, k: int, walk: int) -> np.ndarray:
-    """Table keys (a row for each table) of the windows that begin at `starts`; the end is padded."""
-    wanted = sampled_steps(k, walk)
-    last = int(max(steps[-1] for steps in wanted))
-    padded = np.concatenate([hashes, np.zeros(last + 2, np.uint64)])
-    place = starts.copy()
-    keys = np.zeros((len(wanted), len(starts)), np.uint64)
-    for step in range(last + 1):
-        if step % 64 == 0:
-            bits = mix64(padded + np.uint64((walk + 1 + 100 * (step // 64)) * int(_STEP) % (1 << 64)))
-        symbol = bits[place]
-        for table, steps in enumerate(wanted):
-            if step in steps:
-                keys[table] = keys[table] * _STEP + symbol
-        place += ((symbol >> np.uint64(step % 64)) & np.uint64(1)).astype(place.dtype)
-    for table in range(len(wanted)):
-        keys[table] = mix64(keys[table] + np.uint64(table + 1))
-    return keys
+    pick = lambda a, b: random.choice(np.arange(a, b), min(count, b - a), replace=False)
+    tables = [np.sort(np.concatenate([pick(0, half), pick(half, steps)])) for _ in range(TABLES)]
+    return half, max(int(t[-1]) for t in tables) + 1, tables
+
+
+def _mix32(x: np.ndarray) -> np.ndarray:
+    """A 32-bit finalizer."""
+    x = x ^ (x >> np.uint32(16))
+    x *= np.uint32(0x7FEB352D)
+    x ^= x >> np.uint32(15)
+    x *= np.uint32(0x846CA68B)
+    return x ^ (x >> np.uint32(16))
+
+
+class Walk:
+    """One embedding of all windows of a stream of symbols."""
+
+    def __init__(self, symbols: np.ndarray, starts: np.ndarray, k: int, walk: int):
+        self.half, self.last, self.tables = sampled_steps(k, walk)
+        self.padded = np.concatenate([symbols, np.zeros(self.last + 1, np.uint32)])
+        self.place = starts.astype(np.int32 if len(self.padded) < 1 << 31 else np.int64)
+        self.keys = [np.zeros(len(starts), np.uint32) for _ in self.tables]
+        self.seed, self.block = walk + 1, -1
+
+    def go(self, first: int, last: int) -> None:
+        for step in range(first, last):
+            if step // 32 != self.block:
+                self.block = step // 32
+                self.bits = _mix32(self.padded + np.uint32((self.seed + 100 * self.block) * 0x9E3779B9 % (1 << 32)))
+            symbol = self.bits[self.place]
+            for table, steps in enumerate(self.tables):
+                if step in steps:
+                    self.keys[table] *= np.uint32(0x9E3779B1)
+                    self.keys[table] += symbol
+            symbol >>= np.uint32(step % 32)
+            symbol &= np.uint32(1)
+            self.place += symbol.astype(self.place.dtype)
+
+    def keep(self, chosen: np.ndarray) -> None:
+        self.place = self.place[chosen]
+        self.keys = [keys[chosen] for keys in self.keys]
 
 
 class Tables:
@@ -74,40 +96,68 @@ class Tables:
     def __init__(self, k: int, items: list[np.ndarray], numbers: list[int]):
         self.k = k
         window = 3 * 2**k
-        stream = np.concatenate([np.concatenate([words, np.zeros(window * 2, np.uint64)]) for words in items])
-        begins = np.cumsum([0] + [len(words) + window * 2 for words in items])
-        owner = np.concatenate([np.full(len(words) - window + 1, n) for n, words in zip(numbers, items)])
-        offset = np.concatenate([np.arange(len(words) - window + 1) for words in items])
-        starts = np.concatenate([b + np.arange(len(words) - window + 1) for b, words in zip(begins, items)]).astype(np.int64)
-        self.tables = []
-        for walk in range(WALKS):
-            for keys in window_keys(stream, starts, k, walk):
+        gap = np.zeros(window * 2, np.uint32)
+        stream = np.concatenate([part for words in items for part in (words, gap)])
+        begins = np.cumsum([0] + [len(words) + len(gap) for words in items])
+        places = [np.arange(len(words) - window + 1) for words in items]
+        self.owner = np.concatenate([np.full(len(at), n) for n, at in zip(numbers, places)])
+        self.offset = np.concatenate(places)
+        starts = np.concatenate([b + at for b, at in zip(begins, places)])
+        self.walks = []
+        for number in range(WALKS):
+            walk = Walk(stream, starts, k, number)
+            walk.go(0, walk.half)
+            halves = [self._marks(_mix32(keys)) for keys in walk.keys]
+            walk.go(walk.half, walk.last)
+            tables = []
+            for keys in map(_mix32, walk.keys):
                 order = np.argsort(keys, kind="stable")
-                marks = np.zeros(1 << _FILTER_BITS, bool)
-                marks[(keys >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
-                self.tables.append((keys[order], owner[order], offset[order], marks))
+                tables.append((keys[order], order, self._marks(keys)))
+            self.walks.append((halves, tables))
+
+    @staticmethod
+    def _marks(keys: np.ndarray) -> np.ndarray:
+        marks = np.zeros(1 << _FILTER_BITS, bool)
+        marks[keys >> np.uint32(32 - _FILTER_BITS)] = True
+        return marks
+
+    def candidates(self, symbols: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Distinct (document, item, first word) at which an item may begin.
 
-    def candidates(self, hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """Distinct (document, item, first word) at which an item may begin."""
+        A window goes on to the second half of a walk only where some table knows its first half.
+        """
         stride, window = 2**self.k, 3 * 2**self.k
         counts = np.maximum(0, (np.diff(bounds) - window) // stride + 1)
         document = np.repeat(np.arange(len(counts)), counts)
         number = np.arange(len(document)) - np.repeat(np.cumsum(counts) - counts, counts)
         starts = bounds[:-1][document] + number * stride
         found = []
-        for walk in range(WALKS):
-            every = window_keys(hashes, starts, self.k, walk)
-            for keys, (known, owner, offset, marks) in zip(every, self.tables[walk * TABLES : (walk + 1) * TABLES]):
-                at = np.flatnonzero(marks[(keys >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)])
-                low, high = np.searchsorted(known, keys[at], "left"), np.searchsorted(known, keys[at], "right")
-                at, low, high = at[high > low], low[high > low], high[high > low]
+        shift = np.uint32(32 - _FILTER_BITS)
+        for walk_number, (halves, tables) in enumerate(self.walks):
+            walk = Walk(symbols, starts, self.k, walk_number)
+            walk.go(0, walk.half)
+            known = np.zeros(len(starts), bool)
+            for keys, marks in zip(walk.keys, halves):
+                known |= marks[_mix32(keys) >> shift]
+            left = np.flatnonzero(known)
+            walk.keep(left)
+            walk.go(walk.half, walk.last)
+            for keys, (ordered, order, marks) in zip(map(_mix32, walk.keys), tables):
+                at = np.flatnonzero(marks[keys >> shift])
+                low, high = np.searchsorted(ordered, keys[at], "left"), np.searchsorted(ordered, keys[at], "right")
+                at, low, high = left[at[high > low]], low[high > low], high[high > low]
                 which = np.repeat(np.arange(len(at)), high - low)
-                entry = np.arange(len(which)) - np.repeat(np.cumsum(high - low) - (high - low), high - low) + low[which]
-                where = number[at][which] * stride - offset[entry]
-                found.append(np.column_stack([document[at][which], owner[entry], where]))
+                entry = order[np.arange(len(which)) - np.repeat(np.cumsum(high - low) - (high - low), high - low) + low[which]]
+                where = number[at][which] * stride - self.offset[entry]
+                found.append(np.column_stack([document[at][which], self.owner[entry], where]))
         return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.int64)
 
 
+def symbols_of(hashes: np.ndarray) -> np.ndarray:
+    """Words as 32-bit symbols; what they are mistaken for, the exact comparison drops."""
+    return (hashes >> np.uint64(32)).astype(np.uint32)
+
+
 def least_edits(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     """Least word edits between the item and any stretch of the text: (edits, first word, words)."""
     n = len(text)
@@ -176,13 +226,14 @@ def _group_matches(docs: DataFrame, items: list[tuple[int, str]], edits: float)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, words, by_class = shared.value
-        tables = [Tables(k, [words[n] for n in numbers], numbers) for k, numbers in sorted(by_class.items())]
+        tables = [Tables(k, [symbols_of(words[n]) for n in numbers], numbers) for k, numbers in sorted(by_class.items())]
         for batch in slices(batches):
             hashes, bounds = hashed_words(batch.column("text"))
+            symbols = symbols_of(hashes)
             doc_ids = batch.column("doc_id").to_pylist()
             out = []
             for table in tables:
-                places = table.candidates(hashes, bounds)
+                places = table.candidates(symbols, bounds)
                 cuts = np.flatnonzero(np.any(places[1:, :2] != places[:-1, :2], axis=1)) + 1 if len(places) else []
                 for group in np.split(places, cuts) if len(places) else []:
                     document, number = int(group[0, 0]), int(group[0, 1])

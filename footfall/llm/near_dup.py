@@ -32,20 +32,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from footfall.llm.bag_minhash import bags, band_hashes, shingle_hashes, signatures
-from footfall.llm.common import codes_of, documents, hash_strings, mix64, slices, stored, words_of
+from footfall.llm.common import documents, hash_strings, hashed_words, mix64, slices, stored
 from footfall.llm.components import components
 
 BANDS, ROWS, THRESHOLD, SMALL = 20, 5, 0.8, 32
 
 
-def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the lower-case words of letters and digits, and where each text's begin."""
-    plain = pc.replace_substring_regex(pc.utf8_lower(texts.cast(pa.large_string())), r"[^\p{L}\p{N}]+", " ")
-    words, bounds = words_of(plain)
-    codes, distinct = codes_of(words)
-    return (hash_strings(distinct)[codes] if len(words) else np.zeros(0, np.uint64)), bounds
-
-
 def text_keys(texts: pa.Array, hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """64-bit keys of the word sequences; of the characters where there are no words."""
     place = np.arange(len(hashes), dtype=np.uint64) - np.repeat(bounds[:-1], np.diff(bounds)).astype(np.uint64)
