@@ -94,18 +94,3 @@ ROLLUP_TOP_N = 10
 LATEST_DAYS = 10
 RETENTION_DAYS = 90
 MIN_SALT_LENGTH = 16
-
-# Most bytes a stored text column may hold.
-BYTE_LIMITS = {
-    "site": 128,
-    "path": 512,
-    "country": 128,
-    "city": 256,
-    "org": 256,
-    "browser": 64,
-    "os": 64,
-    "device_kind": 16,
-    "ip_hash": 64,
-    "referrer": 512,
-    "org_domain": 256,
-}

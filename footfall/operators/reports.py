@@ -10,10 +10,14 @@ from footfall.sources.access_log import clean_lines, parse_lines
 
 
 def consumed_per_file(lines: DataFrame) -> DataFrame:
-    """Lines and bytes of every file read, line ends included; `lines` straight from read_lines."""
+    """Lines and bytes of every file read, line ends included; `lines` straight from read_lines.
+
+    The last line of a file may lack its end, so no file counts more bytes than it has.
+    """
+    ended = F.sum(F.octet_length("value") + F.lit(1))
     return (
         lines.groupBy(F.col("_metadata.file_path").alias("file"))
-        .agg(F.count("*").alias("lines"), F.sum(F.octet_length("value") + F.lit(1)).alias("bytes"))
+        .agg(F.count("*").alias("lines"), F.least(ended, F.max("_metadata.file_size")).alias("bytes"))
         .orderBy("file")
     )
 

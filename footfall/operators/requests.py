@@ -5,7 +5,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from footfall.fixed_values import API_PREFIX, ASSET_SUFFIXES, BYTE_LIMITS, PROBE_PATHS, SCAN_TOKENS
+from footfall.fixed_values import API_PREFIX, ASSET_SUFFIXES, PROBE_PATHS, SCAN_TOKENS
 from footfall.functions.device import is_bot
 from footfall.functions.text import contains_any_ignoring_case, ends_with_any
 
@@ -45,14 +45,9 @@ def drop_reason(internal_proxies: Iterable[str] = ()) -> Column:
         .when(~method.isin("GET", "POST"), "method")
         .when(path == "", "empty_path")
         .when(F.col("at").isNull(), "time_out_of_range")
-        .when(_over_long("host", "site") | _over_long("path") | _over_long("referrer"), "over_long")
     )
 
 
-def _over_long(column: str, stored_as: str | None = None) -> Column:
-    return F.coalesce(F.octet_length(column), F.lit(0)) > BYTE_LIMITS[stored_as or column]
-
-
 def judge(parsed: DataFrame, internal_proxies: Iterable[str] = ()) -> DataFrame:
     return parsed.withColumn("drop_reason", drop_reason(internal_proxies))
 

@@ -2,13 +2,17 @@
 
 import math
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
 SHARED_DIR_SETTING = "spark.checkpoint.dir"
 
-# Input per shuffle partition; the rows that leave the parser are smaller than the text that entered.
-BYTES_PER_SHUFFLE_PARTITION = 256 * 1024 * 1024
+# Log text per shuffle partition. What a visit keeps of its line is about a tenth of the text, and most
+# lines are no visits, so a partition of this much text holds 256 MB at most.
+BYTES_PER_SHUFFLE_PARTITION = 2560 * 1024 * 1024
+INITIAL_PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
 
 _local_dirs: dict[str, str] = {}
 
@@ -18,15 +22,32 @@ def prepare(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    # Spark's default, INT96, has no minimum and maximum in the files, so no time range could skip any.
+    spark.conf.set("spark.sql.parquet.outputTimestampType", "TIMESTAMP_MICROS")
     return spark
 
 
-def size_shuffles(spark: SparkSession, input_bytes: int) -> int:
-    """Start shuffles with enough partitions for the input; adaptive execution merges small ones."""
+def shuffle_partitions(spark: SparkSession, input_bytes: int) -> int:
     configured = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    partitions = max(configured, math.ceil(input_bytes / BYTES_PER_SHUFFLE_PARTITION))
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(partitions))
-    return partitions
+    return max(configured, math.ceil(input_bytes / BYTES_PER_SHUFFLE_PARTITION))
+
+
+@contextmanager
+def sized_shuffles(spark: SparkSession, input_bytes: int) -> Iterator[int]:
+    """Start shuffles with enough partitions for the input; adaptive execution merges small ones.
+
+    The setting the session had before holds again afterwards.
+    """
+    before = spark.conf.get(INITIAL_PARTITIONS, None)
+    partitions = shuffle_partitions(spark, input_bytes)
+    spark.conf.set(INITIAL_PARTITIONS, str(partitions))
+    try:
+        yield partitions
+    finally:
+        if before is None:
+            spark.conf.unset(INITIAL_PARTITIONS)
+        else:
+            spark.conf.set(INITIAL_PARTITIONS, before)
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -1,5 +1,6 @@
 """Parameters users pass as text, checked the same way everywhere."""
 
+import re
 from collections.abc import Mapping
 from dataclasses import dataclass
 
@@ -47,10 +48,12 @@ def parse_log_paths(raw: str | None) -> list[str]:
 
 
 def _integer(raw: str | int, what: str) -> int:
-    try:
+    """Whole numbers only: ASCII digits with an optional sign, or an int."""
+    if isinstance(raw, str) and re.fullmatch(r"[+-]?[0-9]+", raw):
         return int(raw)
-    except ValueError:
-        raise ValueError(f"{what} is not a number: {raw!r}") from None
+    if isinstance(raw, int) and not isinstance(raw, bool):
+        return raw
+    raise ValueError(f"{what} is not a number: {raw!r}")
 
 
 @dataclass(frozen=True)

@@ -1,4 +1,4 @@
-"""Existence, size and removal of paths on whatever file system they name."""
+"""Existence, size, renaming and removal of paths on whatever file system they name."""
 
 from pyspark.sql import SparkSession
 
@@ -19,11 +19,38 @@ def remove(spark: SparkSession, path: str) -> None:
     system.delete(hadoop_path, True)
 
 
-def total_bytes(spark: SparkSession, paths: str | list[str]) -> int:
-    """Size of files, folders or glob patterns together."""
-    total = 0
+def remove_file_named(spark: SparkSession, uri: str) -> None:
+    """Remove a file that Spark names by its URI, in which a space is %20."""
+    jvm = spark.sparkContext._jvm
+    remove(spark, jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(uri)).toString())
+
+
+def rename(spark: SparkSession, source: str, target: str) -> None:
+    """Move a folder within one file system; its new parent is made if need be."""
+    system, path = _path(spark, source)
+    _, new_path = _path(spark, target)
+    system.mkdirs(new_path.getParent())
+    if not system.rename(path, new_path):
+        raise OSError(f"cannot move {source} to {target}")
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, none where there is no folder."""
+    system, hadoop_path = _path(spark, path)
+    if not system.exists(hadoop_path):
+        return []
+    return sorted(status.getPath().getName() for status in system.listStatus(hadoop_path))
+
+
+def file_groups(spark: SparkSession, paths: str | list[str], most_bytes: int) -> list[tuple[list[str], int]]:
+    """Files, folders or glob patterns as (paths, bytes) in groups of about `most_bytes`."""
+    groups: list[tuple[list[str], int]] = []
     for path in [paths] if isinstance(paths, str) else paths:
         system, hadoop_path = _path(spark, path)
         for found in system.globStatus(hadoop_path) or []:
-            total += system.getContentSummary(found.getPath()).getLength()
-    return total
+            name, size = found.getPath().toString(), system.getContentSummary(found.getPath()).getLength()
+            if groups and groups[-1][1] + size <= most_bytes:
+                groups[-1] = ([*groups[-1][0], name], groups[-1][1] + size)
+            else:
+                groups.append(([name], size))
+    return groups
