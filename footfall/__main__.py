@@ -1,4 +1,4 @@
-"""Jobs for spark-submit: ingest, stream, prune, visits, rollups.
+"""Jobs for spark-submit: ingest, stream, prune, compact, visits, rollups.
 
     spark-submit ... footfall ingest --table TABLE [--city DIR] [--asn DIR] [--ptr DIR] LOG...
 
@@ -17,25 +17,27 @@ from footfall.operators.retention import prune
 from footfall.operators.rollups import rollups_document
 from footfall.plans.ingest import Lookups, ingest_files
 from footfall.session import prepare
-from footfall.settings import Settings, parse_log_paths
-from footfall.sources.visits_table import read_visits
-from footfall.streaming.ingest import start_ingest
+from footfall.settings import Settings
+from footfall.sources.visits_table import compact, read_visits
+from footfall.streaming.ingest import MAX_FILE_AGE, start_ingest
 
 
 def _arguments(argv: list[str] | None) -> argparse.Namespace:
     parser = argparse.ArgumentParser(prog="footfall")
     jobs = parser.add_subparsers(dest="job", required=True)
-    for name in ("ingest", "stream", "prune", "visits", "rollups"):
+    for name in ("ingest", "stream", "prune", "compact", "visits", "rollups"):
         job = jobs.add_parser(name)
         job.add_argument("--table", required=True)
         if name in ("ingest", "stream"):
             for lookup in ("--city", "--asn", "--ptr"):
                 job.add_argument(lookup)
+            job.add_argument("--rejected")
         if name == "ingest":
             job.add_argument("logs", nargs="+")
         if name == "stream":
             job.add_argument("--checkpoint", required=True)
-            job.add_argument("--rejected")
+            job.add_argument("--archive")
+            job.add_argument("--max-file-age", default=MAX_FILE_AGE)
             job.add_argument("segments")
         if name == "visits":
             job.add_argument("--limit")
@@ -52,7 +54,8 @@ def run(spark: SparkSession, argv: list[str] | None = None) -> None:
     args = _arguments(argv)
     prepare(spark)
     if args.job == "ingest":
-        ingest_files(spark, parse_log_paths(",".join(args.logs)), args.table, Settings.from_env(os.environ), _lookups(spark, args))
+        settings = Settings.from_env(os.environ)
+        ingest_files(spark, args.logs, args.table, settings, _lookups(spark, args), args.rejected)
     elif args.job == "stream":
         query = start_ingest(
             spark,
@@ -62,11 +65,16 @@ def run(spark: SparkSession, argv: list[str] | None = None) -> None:
             Settings.from_env(os.environ),
             lambda session: _lookups(session, args),
             rejected=args.rejected,
+            max_file_age=args.max_file_age,
+            archive=args.archive,
         )
         query.awaitTermination()
     elif args.job == "prune":
         days = Settings.from_env(os.environ).retention_days
         print(prune(spark, args.table, datetime.now(timezone.utc), days))
+    elif args.job == "compact":
+        for day in compact(spark, args.table):
+            print(day)
     elif args.job == "visits":
         listed = list_visits(read_visits(spark, args.table), args.limit, args.visitors)
         for row in visit_documents(listed).orderBy("row").collect():

@@ -7,11 +7,10 @@ from pyspark.sql import functions as F
 
 from footfall.fixed_values import RETENTION_DAYS
 from footfall.functions.times import day_of, days_before, instant, utc
-from footfall.schemas import PARTITION_COLUMN, STORED_VISIT
-from footfall.session import shared_dir
+from footfall.schemas import PARTITION_COLUMN
 from footfall.settings import parse_retention_days
 from footfall.sources.files import exists, remove
-from footfall.sources.visits_table import read_visits
+from footfall.sources.visits_table import read_visits, recover, replace_day
 
 
 def cutoff(now: datetime, days: int = RETENTION_DAYS) -> Column:
@@ -36,11 +35,12 @@ def retention_counts(visits: DataFrame, now: datetime, days: int = RETENTION_DAY
 def prune(spark: SparkSession, path: str, now: datetime, days: int = RETENTION_DAYS) -> int:
     """Delete visits before the cutoff from the table; the number of rows deleted.
 
-    Older days go as whole partitions. The boundary day is first copied to the shared folder
-    without its old rows and then replaced from there, so it is never overwritten while being read.
+    Older days go as whole partitions. The boundary day changes places with a copy without its old rows;
+    a run that ends in between is made good by the next.
     """
     if not exists(spark, path):
         return 0
+    recover(spark, path)
     limit = cutoff(now, days)
     boundary_day = (utc(now) - timedelta(days=days)).date()
     day = F.col(PARTITION_COLUMN)
@@ -52,22 +52,5 @@ def prune(spark: SparkSession, path: str, now: datetime, days: int = RETENTION_D
     for row in whole_days:
         remove(spark, f"{path}/{PARTITION_COLUMN}={row[PARTITION_COLUMN].isoformat()}")
     if removed_there:
-        _rewrite_day(spark, path, on_boundary, limit, boundary_day)
+        replace_day(spark, path, boundary_day, on_boundary.filter(F.col("visited_at") >= limit))
     return sum(row["n"] for row in whole_days) + removed_there
-
-
-def _rewrite_day(spark: SparkSession, path: str, day_visits: DataFrame, limit: Column, day) -> None:
-    copy = f"{shared_dir(spark)}/footfall-prune/{spark.sparkContext.applicationId}/{day.isoformat()}"
-    day_visits.filter(F.col("visited_at") >= limit).write.mode("overwrite").parquet(copy)
-    rest = spark.read.schema(STORED_VISIT).parquet(copy)
-    if rest.isEmpty():
-        remove(spark, f"{path}/{PARTITION_COLUMN}={day.isoformat()}")
-    else:
-        (
-            rest.hint("rebalance", PARTITION_COLUMN)
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy(PARTITION_COLUMN)
-            .parquet(path)
-        )
-    remove(spark, copy)

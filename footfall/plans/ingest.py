@@ -9,12 +9,15 @@ from footfall.functions.times import instant
 from footfall.operators.geo import locate
 from footfall.operators.requests import judge, kept_requests
 from footfall.operators.visits import as_visits, describe, one_per_key, visits_of
-from footfall.session import size_shuffles
+from footfall.session import sized_shuffles
 from footfall.settings import Settings
 from footfall.sources.access_log import clean_lines, parse_lines, read_lines
-from footfall.sources.files import total_bytes
+from footfall.sources.files import file_groups
 from footfall.sources.visits_table import insert_if_absent
 
+# Text of the files ingested at once: some 1,600 shuffle partitions. More goes in several groups.
+MOST_GROUP_BYTES = 4 * 2**40
+
 
 @dataclass(frozen=True)
 class Lookups:
@@ -49,14 +52,28 @@ def ingest_lines(
 
 
 def ingest_files(
-    spark: SparkSession, paths: str | list[str], table: str, settings: Settings, lookups: Lookups = Lookups()
+    spark: SparkSession,
+    paths: str | list[str],
+    table: str,
+    settings: Settings,
+    lookups: Lookups = Lookups(),
+    rejected: str | None = None,
+    most_bytes: int = MOST_GROUP_BYTES,
 ) -> None:
-    size_shuffles(spark, total_bytes(spark, paths))
-    ingest_lines(read_lines(spark, paths), table, settings, lookups)
+    """Store the visits of some log files, in groups of bounded size.
+
+    Requests that cannot be stored go to `rejected`, a folder of this run's own, where one is named.
+    """
+    for number, (files, size) in enumerate(file_groups(spark, paths, most_bytes) or [(paths, 0)]):
+        lines = read_lines(spark, files)
+        with sized_shuffles(spark, size):
+            ingest_lines(lines, table, settings, lookups)
+        if rejected is not None:
+            unstorable_requests(lines, settings).write.mode("overwrite").json(f"{rejected}/group={number}")
 
 
 def unstorable_requests(lines: DataFrame, settings: Settings) -> DataFrame:
     """Requests that pass the filter but cannot be stored, without their address."""
     judged = judge(parse_lines(clean_lines(lines)), settings.internal_proxies)
-    unstorable = judged.filter(judged["drop_reason"].isin("empty_path", "time_out_of_range", "over_long"))
+    unstorable = judged.filter(judged["drop_reason"].isin("empty_path", "time_out_of_range"))
     return unstorable.drop("remote_ip", "conforming")

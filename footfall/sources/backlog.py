@@ -2,21 +2,46 @@
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from footfall.functions.documents import visit_document
 from footfall.operators.visits import as_visits, one_per_key
 from footfall.schemas import BACKLOG, VISIT_COLUMNS
-from footfall.sources.files import exists, remove
+from footfall.sources.files import exists, remove_file_named
 from footfall.sources.visits_table import insert_if_absent
 
 _RENAMED = {"device_kind": "kind", "ip_hash": "ipHash", "visited_at": "at", "org_domain": "orgDomain"}
 
 
+# What every visit has; a line without one of these is no visit.
+REQUIRED = ("site", "path", "engaged", "browser", "os", "kind", "ipHash", "at")
+_CORRUPT = "_corrupt"
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """Every line with what it says; `whole` is false where it was torn or lacks a required field."""
+    schema = T.StructType([*BACKLOG.fields, T.StructField(_CORRUPT, T.StringType())])
+    lines = spark.read.option("lineSep", "\n").text(path).filter(F.trim("value") != "")
+    read = lines.withColumn("visit", F.from_json("value", schema, {"columnNameOfCorruptRecord": _CORRUPT}))
+    complete = F.col(f"visit.{_CORRUPT}").isNull()
+    for name in REQUIRED:
+        complete = complete & F.col(f"visit.{name}").isNotNull()
+    return read.withColumn("whole", F.coalesce(complete, F.lit(False)))
+
+
 def read_backlog(spark: SparkSession, path: str) -> DataFrame:
-    """Waiting visits; a field that is missing or null is null, no file means no visits."""
+    """Waiting visits; a field that may be missing and is, is null; no file means no visits.
+
+    Lines that are no whole visit are left out; see `bad_lines`.
+    """
     if not exists(spark, path):
         return as_visits(spark.createDataFrame([], BACKLOG).select(*_from_backlog()))
-    return as_visits(spark.read.schema(BACKLOG).json(path).select(*_from_backlog()))
+    return as_visits(_lines(spark, path).filter("whole").select("visit.*").select(*_from_backlog()))
+
+
+def bad_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of a backlog that are no whole visit, as they are."""
+    return _lines(spark, path).filter(~F.col("whole")).select("value")
 
 
 def _from_backlog() -> list:
@@ -39,14 +64,21 @@ def write_backlog(visits: DataFrame, path: str) -> None:
     backlog_lines(visits).write.mode("append").text(path)
 
 
-def replay_backlog(spark: SparkSession, backlog: str, table: str, visits: DataFrame | None = None) -> None:
+def replay_backlog(
+    spark: SparkSession, backlog: str, table: str, visits: DataFrame | None = None, bad: str | None = None
+) -> None:
     """Store everything waiting, together with new visits if any, and then clear what was read.
 
-    A failure leaves the backlog whole; a later replay stores only what is still missing.
+    Lines that are no whole visit are first kept in `bad`, by default a folder beside the backlog. A failure
+    leaves the backlog whole; a later replay stores only what is still missing.
     """
     waiting = read_backlog(spark, backlog)
-    files = waiting.inputFiles()
+    files = spark.read.text(backlog).inputFiles() if exists(spark, backlog) else []
     queue = waiting if visits is None else waiting.unionByName(as_visits(visits))
     insert_if_absent(spark, one_per_key(queue), table)
+    if files:
+        torn = bad_lines(spark, backlog)
+        if not torn.isEmpty():
+            torn.write.mode("append").text(bad or f"{backlog.rstrip('/')}-bad")
     for file in files:
-        remove(spark, file)
+        remove_file_named(spark, file)

@@ -54,3 +54,9 @@ def file_groups(spark: SparkSession, paths: str | list[str], most_bytes: int) ->
             else:
                 groups.append(([name], size))
     return groups
+
+
+def total_bytes(spark: SparkSession, path: str) -> int:
+    """Size of a file or folder."""
+    system, hadoop_path = _path(spark, path)
+    return system.getContentSummary(hadoop_path).getLength()

@@ -1,5 +1,7 @@
 """The visits table: Parquet partitioned by UTC day, one row per key, one writer at a time."""
 
+from collections.abc import Iterable
+from datetime import date
 from functools import reduce
 from operator import or_
 
@@ -10,18 +12,32 @@ from footfall.functions.times import day_of
 from footfall.operators.visits import as_visits, not_stored
 from footfall.schemas import PARTITION_COLUMN, STORED_VISIT, VISIT_KEY
 from footfall.session import prepare
-from footfall.sources.files import exists
+from footfall.sources.files import children, exists, remove, rename, total_bytes
 
-# A batch that touches more days than this reads the keys of the whole span instead of naming days.
-MAX_NAMED_DAYS = 100
+# A lookup of stored keys asks for at most this many ranges of time; the nearest ones become one.
+MOST_RANGES = 100
+# Where days that are being replaced wait; Spark does not read folders with such a name.
+ASIDE = "_replaced"
 
 
-def read_visits(spark: SparkSession, path: str) -> DataFrame:
-    """All stored visits; files older than a column read it back as null."""
+def day_folder(path: str, day: date | str) -> str:
+    return f"{path}/{PARTITION_COLUMN}={day}"
+
+
+def read_visits(spark: SparkSession, path: str, days: Iterable[date] | None = None) -> DataFrame:
+    """All stored visits, or those of some days; files older than a column read it back as null.
+
+    With `days` only their folders are listed.
+    """
     prepare(spark)
-    if not exists(spark, path):
+    if days is None:
+        folders = [path] if exists(spark, path) else []
+    else:
+        there = set(children(spark, path))
+        folders = [day_folder(path, day) for day in days if f"{PARTITION_COLUMN}={day}" in there]
+    if not folders:
         return spark.createDataFrame([], STORED_VISIT)
-    return spark.read.schema(STORED_VISIT).parquet(path)
+    return spark.read.schema(STORED_VISIT).option("basePath", path).parquet(*folders)
 
 
 def append_visits(visits: DataFrame, path: str) -> None:
@@ -35,6 +51,15 @@ def append_visits(visits: DataFrame, path: str) -> None:
     ordered.write.mode("append").partitionBy(PARTITION_COLUMN).parquet(path)
 
 
+def time_ranges(spans: list[tuple[int, int]], most: int) -> list[tuple[int, int]]:
+    """At most `most` ranges that cover some spans, by closing the smallest gaps between them."""
+    spans = sorted(spans)
+    gaps = sorted(range(1, len(spans)), key=lambda n: spans[n][0] - spans[n - 1][1], reverse=True)
+    starts = sorted([0, *gaps[: most - 1]]) if spans else []
+    ends = [*starts[1:], len(spans)]
+    return [(spans[a][0], max(last for _, last in spans[a:b])) for a, b in zip(starts, ends)]
+
+
 def stored_keys(spark: SparkSession, path: str, visits: DataFrame) -> DataFrame:
     """Keys stored within the times that some visits cover.
 
@@ -42,19 +67,15 @@ def stored_keys(spark: SparkSession, path: str, visits: DataFrame) -> DataFrame:
     """
     day, at = F.col(PARTITION_COLUMN), F.col("visited_at")
     ends = [F.unix_micros(F.min("visited_at")).alias("first"), F.unix_micros(F.max("visited_at")).alias("last")]
-    per_day = visits.groupBy(day_of(at).alias("day")).agg(*ends).limit(MAX_NAMED_DAYS + 1).collect()
-    named = len(per_day) <= MAX_NAMED_DAYS
-    spans = per_day if named else [visits.agg(*ends).first()]
-    if not spans:
-        return read_visits(spark, path).filter("false").select(*VISIT_KEY)
+    per_day = visits.groupBy(day_of(at).alias("day")).agg(*ends).collect()
+    if not per_day:
+        return read_visits(spark, path, []).select(*VISIT_KEY)
     # A few late visits must not widen the hours asked of the other days.
-    hours = [at.between(*[F.timestamp_micros(F.lit(span[end])) for end in ("first", "last")]) for span in spans]
-    covered = reduce(or_, hours)
-    if named:
-        covered = day.isin([span["day"] for span in spans]) & covered
-    else:
-        covered = day.between(*[day_of(F.timestamp_micros(F.lit(spans[0][end]))) for end in ("first", "last")]) & covered
-    return read_visits(spark, path).filter(covered).select(*VISIT_KEY)
+    ranges = time_ranges([(span["first"], span["last"]) for span in per_day], MOST_RANGES)
+    hours = [at.between(*[F.timestamp_micros(F.lit(end)) for end in span]) for span in ranges]
+    days = sorted(span["day"] for span in per_day)
+    covered = day.isin(days) & reduce(or_, hours)
+    return read_visits(spark, path, days).filter(covered).select(*VISIT_KEY)
 
 
 def insert_if_absent(spark: SparkSession, visits: DataFrame, path: str, complete=as_visits) -> None:
@@ -70,6 +91,61 @@ def insert_if_absent(spark: SparkSession, visits: DataFrame, path: str, complete
     visits = visits.persist()
     try:
         fresh = not_stored(visits, stored_keys(spark, path, visits))
-        append_visits(complete(fresh), path)
+        # Lookups read their tables whatever the number of visits; none are made where nothing is new.
+        if complete is as_visits or not fresh.isEmpty():
+            append_visits(complete(fresh), path)
     finally:
         visits.unpersist()
+
+
+def replace_day(spark: SparkSession, path: str, day: date, visits: DataFrame) -> None:
+    """Put other rows in the place of a day's; an empty frame removes the day.
+
+    They are written beside the table and then change places with the day's folder, so what is read is
+    never overwritten. Where a run ends in between, `recover` restores the day as it was.
+    """
+    recover(spark, path)
+    fresh, old = f"{path}/{ASIDE}/new-{day}", f"{path}/{ASIDE}/old-{day}"
+    balanced = visits.drop(PARTITION_COLUMN).hint("rebalance").sortWithinPartitions("visited_at")
+    balanced.write.mode("overwrite").parquet(fresh)
+    empty = spark.read.schema(STORED_VISIT).parquet(fresh).isEmpty()
+    rename(spark, day_folder(path, day), old)
+    if not empty:
+        rename(spark, fresh, day_folder(path, day))
+    remove(spark, f"{path}/{ASIDE}")
+
+
+def recover(spark: SparkSession, path: str) -> None:
+    """Undo a replacement that was cut short: a day that was moved away and has no successor comes back."""
+    for name in children(spark, f"{path}/{ASIDE}"):
+        kind, day = name.split("-", 1)
+        if kind == "old" and not exists(spark, day_folder(path, day)):
+            rename(spark, f"{path}/{ASIDE}/{name}", day_folder(path, day))
+    remove(spark, f"{path}/{ASIDE}")
+
+
+def compact(spark: SparkSession, path: str, most_files: int = 16) -> list[date]:
+    """Rewrite the days that consist of more than `most_files` files, as streams leave them; those days.
+
+    A day is rewritten in files of the size adaptive execution aims at, in order of time. Days whose files
+    would not become fewer are left alone.
+    """
+    recover(spark, path)
+    rewritten = []
+    for name in children(spark, path):
+        if not name.startswith(f"{PARTITION_COLUMN}="):
+            continue
+        files = [file for file in children(spark, f"{path}/{name}") if file.startswith("part-")]
+        day = date.fromisoformat(name.split("=", 1)[1])
+        if len(files) > most_files and spark_files(spark, f"{path}/{name}") < len(files):
+            replace_day(spark, path, day, read_visits(spark, path, [day]))
+            rewritten.append(day)
+    return rewritten
+
+
+def spark_files(spark: SparkSession, folder: str) -> int:
+    """How many files of the advisory size hold a folder's bytes."""
+    advisory = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
+        spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64m")
+    )
+    return 1 + total_bytes(spark, folder) // advisory

@@ -4,6 +4,10 @@ The file source sees new files, not the growth of one: rotate the log and move e
 into the watched directory. Which segments were consumed is in the query's checkpoint, so a restart
 goes on where the last run stopped. A micro-batch that failed runs again whole; the table takes each
 visit once, so neither that nor a segment delivered twice, however late, adds anything.
+
+Spark's file source leaves out files older than `maxFileAge` before the newest it has seen; its default, a
+week, would lose late shipments without a word. Here the age is a parameter that is beyond any lateness by
+default. Consumed segments can be archived, which keeps the list of files seen short.
 """
 
 from collections.abc import Callable
@@ -13,12 +17,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from footfall.plans.ingest import Lookups, ingest_lines, unstorable_requests
-from footfall.session import prepare, size_shuffles
+from footfall.session import prepare, sized_shuffles
 from footfall.settings import Settings
 from footfall.sources.access_log import stream_lines
 
 # Most new segments one micro-batch takes, so that catching up runs in bounded steps.
 MAX_FILES_PER_TRIGGER = 1000
+# How much older than the newest segment another one may be, by the time it was last changed.
+MAX_FILE_AGE = "36500d"
 
 
 def store_batch(
@@ -52,6 +58,8 @@ def start_ingest(
     max_files: int = MAX_FILES_PER_TRIGGER,
     max_bytes: int | None = None,
     trigger: dict | None = None,
+    max_file_age: str = MAX_FILE_AGE,
+    archive: str | None = None,
 ) -> StreamingQuery:
     """Start storing visits from segments as they arrive; by default until all present are stored.
 
@@ -59,16 +67,19 @@ def start_ingest(
     `lookups` is called for each batch, so lookup tables may be replaced while the stream runs.
     `since` leaves out older requests, for a first start beside logs whose history is not wanted.
     A micro-batch takes at most `max_files` segments, or `max_bytes` of them if that is given.
+    Consumed segments move to the folder `archive` where one is named.
     """
     prepare(spark)
-    bound = {"maxFilesPerTrigger": max_files}
-    if max_bytes is not None:
-        bound = {"maxBytesPerTrigger": max_bytes}
-        size_shuffles(spark, max_bytes)
-    return (
-        stream_lines(spark.readStream.options(**bound), segments)
-        .writeStream.foreachBatch(store_batch(table, settings, lookups, since, rejected))
-        .option("checkpointLocation", checkpoint)
-        .trigger(**(trigger or {"availableNow": True}))
-        .start()
-    )
+    options = {"maxFilesPerTrigger": max_files} if max_bytes is None else {"maxBytesPerTrigger": max_bytes}
+    options["maxFileAge"] = max_file_age
+    if archive is not None:
+        options |= {"cleanSource": "archive", "sourceArchiveDir": archive}
+    # The query keeps the settings that hold when it starts.
+    with sized_shuffles(spark, max_bytes or 0):
+        return (
+            stream_lines(spark.readStream.options(**options), segments)
+            .writeStream.foreachBatch(store_batch(table, settings, lookups, since, rejected))
+            .option("checkpointLocation", checkpoint)
+            .trigger(**(trigger or {"availableNow": True}))
+            .start()
+        )

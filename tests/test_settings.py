@@ -1,6 +1,6 @@
 import pytest
 
-from footfall.session import shared_dir, size_shuffles
+from footfall.session import INITIAL_PARTITIONS, shared_dir, shuffle_partitions, sized_shuffles
 from footfall.settings import Settings, parse_limit, parse_list, parse_log_paths, parse_retention_days, parse_visitors
 
 SALT = "0123456789abcdef"
@@ -11,7 +11,7 @@ def test_limit(raw, expected):
     assert parse_limit(raw) == expected
 
 
-@pytest.mark.parametrize("raw", ["zero", "", "0", "501", 9999, "-1", "1.5"])
+@pytest.mark.parametrize("raw", ["zero", "", "0", "501", 9999, "-1", "1.5", "1_0", " 5 ", 5.9, True, "٥"])
 def test_wrong_limit(raw):
     with pytest.raises(ValueError):
         parse_limit(raw)
@@ -54,13 +54,17 @@ def test_settings_from_env():
 
 
 def test_shuffles_grow_with_the_input(spark):
-    key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    assert shuffle_partitions(spark, 0) == 4
+    with sized_shuffles(spark, 4 * 2**40) as partitions:
+        assert 1000 < partitions < 2000 and spark.conf.get(INITIAL_PARTITIONS) == str(partitions)
+    assert spark.conf.get(INITIAL_PARTITIONS, None) is None
+    spark.conf.set(INITIAL_PARTITIONS, "7")
     try:
-        assert size_shuffles(spark, 0) == 4
-        assert size_shuffles(spark, 100 * 2**40) == 409600
-        assert spark.conf.get(key) == "409600"
+        with sized_shuffles(spark, 0):
+            pass
+        assert spark.conf.get(INITIAL_PARTITIONS) == "7"
     finally:
-        spark.conf.unset(key)
+        spark.conf.unset(INITIAL_PARTITIONS)
 
 
 def test_a_local_session_has_a_folder_of_its_own(spark):
