@@ -27,7 +27,7 @@ def comparable(columns, rows):
     return sorted(columns), sorted(repr([row[i] for i in order]) for row in rows)
 
 
-@pytest.mark.parametrize("name", QUERIES)
+@pytest.mark.parametrize("name", ORACLES)
 def test_query(spark, duck, name):
     found = QUERIES[name](spark, SF_DIR)
     rows = [tuple(row) for row in found.collect()]

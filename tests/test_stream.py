@@ -1,4 +1,5 @@
 import os
+import time
 from datetime import datetime
 
 import pytest
