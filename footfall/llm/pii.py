@@ -8,8 +8,9 @@ term t near an entity e has the pointwise mutual information
 
 A term with PMI >= remove * IC gives the entity away by itself and is removed; one with
 PMI >= generalise * IC narrows it down and is generalised to its kind of word. Chance is kept out by asking
-for the pair in `min_contexts` different surroundings, so that copies of one passage count once. A term is
-sanitised in the documents that name the entity it discloses.
+for the pair in `min_contexts` different surroundings (the words next to the term): their effective number,
+(sum of c)^2 / sum of c^2 over the documents c with each, so that copies and near copies of one passage
+count about once. A term is sanitised in the documents that name the entity it discloses.
 
 Work grows with the text: only words within `reach` words of an entity are candidates, document
 frequencies combine in each task before the shuffle, and candidates meet them in a join.
@@ -102,16 +103,16 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 
 
 def contexts(text: str, spans: list[tuple[int, int, int]], reach: int) -> Iterator[tuple[str, str, str]]:
-    """(entity, term, surroundings) for the words within `reach` words of each protected span."""
+    """(entity, term, digest of the words next to it) for the words within `reach` words of each span."""
     for start, kind, end in spans:
         # A word may be long; this many characters on either side hold the words in reach.
         left, right = max(0, start - 40 * reach), end + 40 * reach
         words = [w for w in _WORD.finditer(text, left, right) if not any(s < w.end() and w.start() < e for s, _, e in spans)]
         near = [w for w in words if w.end() <= start][-reach:] + [w for w in words if w.start() >= end][:reach]
         entity = f"{KINDS[kind]}:{text[start:end].lower()}"
-        around = " ".join(w.group().lower() for w in near)
-        for term in dict.fromkeys(w.group().lower() for w in near):
-            yield entity, term, hashlib.blake2b(around.encode(), digest_size=8).hexdigest()
+        terms = ["", *[w.group().lower() for w in near], ""]
+        for before, term, after in zip(terms, terms[1:], terms[2:]):
+            yield entity, term, hashlib.blake2b(f"{before} {after}".encode(), digest_size=8).hexdigest()
 
 
 _MENTIONS = "entity string, term string, around string, doc string"
@@ -148,9 +149,10 @@ def disclosing_terms(
 ) -> DataFrame:
     """(doc, term, action): terms to sanitise in each document that names the entity they disclose."""
     found = stored(mentions(docs, reach), "mentions")
-    pairs = found.groupBy("entity", "term").agg(
-        F.countDistinct("doc").alias("n_pair"), F.countDistinct("around").alias("n_around")
-    )
+    once = found.groupBy("entity", "term", "around").agg(F.countDistinct("doc").alias("_docs"))
+    different = F.sum("_docs") * F.sum("_docs") / F.sum(F.col("_docs") * F.col("_docs"))
+    different = once.groupBy("entity", "term").agg(different.alias("n_around")).filter(F.col("n_around") >= min_contexts)
+    pairs = found.groupBy("entity", "term").agg(F.countDistinct("doc").alias("n_pair")).join(different, ["entity", "term"])
     entities = found.groupBy("entity").agg(F.countDistinct("doc").alias("n_entity"))
     # A term is in at least the documents where it is near some entity: with that bound its information
     # on an entity cannot be understated, so pairs that miss the lower threshold are settled already.
@@ -161,7 +163,7 @@ def disclosing_terms(
     def pmi_with(n_term: str) -> Column:
         return F.log(total * F.col("n_pair") / (F.col("n_entity") * F.col(n_term)))
 
-    pairs = pairs.filter(F.col("n_around") >= min_contexts).join(entities, "entity").join(near, "term")
+    pairs = pairs.join(entities, "entity").join(near, "term")
     pairs = stored(pairs.filter(pmi_with("n_near") >= generalise * information), "pairs")
     frequencies = term_frequencies(docs, pairs.select("term").distinct())
     measured = pairs.join(frequencies, "term")
