@@ -14,7 +14,8 @@ No bucket is expanded into all its pairs:
 3. In larger ones the overlap of x and y is at most min(|x & L|, |y & L|) plus what the two share beyond
    their leader L, in shingles that L has not (or has less often). So a pair whose components differ can
    only be linked if it shares enough beyond the leader: each member is looked up by the rarest of these
-   shingles, as many as make it impossible to share enough without one of them. Or, if it shares nothing
+   shingles, as many as make it impossible to share enough without one of them, and a pair that meets at
+   one of them, the rarest it shares, can share no more than either has from there on. Or, if it shares nothing
    there, if the overlaps with L alone are large enough for its sizes, which are looked up. All other
    pairs are settled unseen.
 
@@ -176,10 +177,10 @@ def near_duplicate_links(docs: DataFrame, sketched: DataFrame, threshold: float,
     common_last = Window.partitionBy("leader", "node").orderBy(F.desc("members"), "shingle")
     above = above.join(frequency, ["leader", "shingle"]).withColumn("tail", F.sum("mass").over(common_last))
     above = above.filter((F.col("tail") >= F.greatest(F.col("needed"), F.lit(1))) & (F.col("members") > 1))
-    one = stored(above.select("leader", "shingle", F.col("node").alias("a"), "label", "shared", "size"), "rare")
-    two = one.select("leader", "shingle", *[F.col(c).alias(f"{c}_b") for c in ("label", "shared", "size")], F.col("a").alias("b"))
-    rest = F.least(F.col("size") - F.col("shared"), F.col("size_b") - F.col("shared_b"))
-    reachable = rest + F.least("shared", "shared_b") + 1e-6 >= (F.col("size") + F.col("size_b")) * (threshold / (1 + threshold))
+    one = stored(above.select("leader", "shingle", F.col("node").alias("a"), "label", "shared", "size", "tail"), "rare")
+    two = one.select("leader", "shingle", *[F.col(c).alias(f"{c}_b") for c in ("label", "shared", "size", "tail")], F.col("a").alias("b"))
+    most_shared = F.least("tail", "tail_b") + F.least("shared", "shared_b")
+    reachable = most_shared + 1e-6 >= (F.col("size") + F.col("size_b")) * (threshold / (1 + threshold))
     shared_beyond = one.join(two, ["leader", "shingle"]).filter((F.col("a") < F.col("b")) & (F.col("label") != F.col("label_b")) & reachable)
     # Without a shared shingle beyond the leader: shared(x, y) <= shared(x, L), so size(y) is bounded.
     most = F.floor(F.col("shared") * ((1 + threshold) / threshold) - F.col("size") + 1e-6)
