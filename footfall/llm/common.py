@@ -26,6 +26,11 @@ def fold(id_column: str, parts: int) -> Column:
     return F.coalesce(F.crc32(F.col(id_column).cast("string")) % parts, F.lit(0))
 
 
+def hash_place(id_column: str) -> Column:
+    """A number from 0 to 1 for each id, the same in every run."""
+    return F.pmod(F.xxhash64(id_column), F.lit(1 << 40)) / float(1 << 40)
+
+
 def with_checkpoints(spark: SparkSession) -> SparkSession:
     """Name a checkpoint folder where the session has none (tests)."""
     if spark.sparkContext.getCheckpointDir() is None:

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from footfall.llm.common import documents, fold, slices
+from footfall.llm.common import documents, fold, hash_place, slices
 
 DIMENSIONS = 1 << 13
 UNKNOWN = "und"
@@ -148,9 +148,15 @@ def winners(names: list[str], held: list[Duel], margins: dict, n: int) -> tuple[
 
 
 def training_sample(docs: DataFrame, per_language: int) -> DataFrame:
-    """The first documents of each language by a hash of their ids: doc_id, lang."""
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    """The first documents of each language by a hash of their ids: doc_id, lang.
+
+    Languages are counted first, so that about four times as many as wanted are ranked, whatever the input.
+    """
+    order = Window.partitionBy("lang").orderBy("_place", "doc_id")
     ids = docs.select("doc_id", "lang").filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
+    counts = ids.groupBy("lang").agg((F.lit(4.0 * per_language) / F.count("*")).alias("_share"))
+    ids = ids.withColumn("_place", hash_place("doc_id")).join(F.broadcast(counts), "lang")
+    ids = ids.filter(F.col("_place") <= F.col("_share"))
     ranked = ids.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= per_language)
     return ranked.select("doc_id", "lang").distinct()
 

@@ -12,8 +12,8 @@ probability of the dish and the tables of all other dishes, as of the sweep befo
 dishes are independent, so a sweep is one pass over the table of dishes, however frequent a dish or context
 is, and only the totals (a number for each restaurant) go through the driver. Draws are hashes of dish,
 restaurant, sweep and customer: a task that runs again seats as before, and sweeps are recomputed instead of
-stored. Customers beyond the EXACT-th of a dish arrive in blocks of growing size, each with the probabilities
-at its start. Discounts are estimated from the numbers of tokens seen once and twice, the strength of the
+stored. Customers beyond the EXACT-th of a dish arrive in blocks of growing size, each with the tables at its
+start. Discounts are estimated from the numbers of tokens seen once and twice, the strength of the
 context restaurants by leave-one-out likelihood. Predictive probabilities are averaged over the sweeps after
 burn-in.
 
@@ -158,7 +158,7 @@ def seat(n: np.ndarray, new: np.ndarray, probability: np.ndarray, discount: floa
         block = 1 if seated < EXACT else int(seated * (GROWTH - 1))
         t = tables[at]
         open_weight = (new[at] + discount * t) * probability[at]
-        chance = open_weight / (open_weight + np.maximum(seated - discount * t, 1e-12))
+        chance = open_weight / (open_weight + np.maximum(seated + (block - 1) / 2 - discount * t, 1e-12))
         draw += 1
         bits = mix64(key[at] + np.uint64(draw * _STEP % (1 << 64)))
         uniform = ((bits >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
@@ -167,14 +167,28 @@ def seat(n: np.ndarray, new: np.ndarray, probability: np.ndarray, discount: floa
         else:
             arriving = np.minimum(block, n[at] - seated)
             other = ((mix64(bits) >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
-            normal = np.sqrt(-2 * np.log(uniform)) * np.cos(2 * np.pi * other)
-            drawn = np.floor(arriving * chance + normal * np.sqrt(arriving * chance * (1 - chance)) + 0.5)
-            tables[at] += np.clip(drawn, 0, arriving)
+            tables[at] += np.minimum(arrivals(arriving * chance, uniform, other), arriving)
         seated += block
         at = at[n[at] > seated]
     return tables
 
 
+def arrivals(mean: np.ndarray, uniform: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Poisson numbers by inversion; normal ones where the mean is above 20."""
+    drawn = np.zeros(len(mean))
+    term = np.exp(-np.minimum(mean, 20.0))
+    left = uniform - term
+    for k in range(1, 80):
+        more = (left > 0) & (mean <= 20)
+        if not more.any():
+            break
+        drawn += more
+        term = term * mean / k
+        left = left - term
+    normal = np.sqrt(-2 * np.log(uniform)) * np.cos(2 * np.pi * other)
+    return np.where(mean <= 20, drawn, np.maximum(np.floor(mean + normal * np.sqrt(mean) + 0.5), 0))
+
+
 class Dishes:
     """The customers of some dishes, a row for each dish and a cell for each of its contexts."""
 
@@ -389,7 +403,7 @@ def score(docs: DataFrame, dishes: DataFrame, model: Restaurants, burn_in: int =
             n = len(bounds) - 1
             owner, inside = np.repeat(np.arange(n), np.diff(bounds)), place >= 0
             sums = [
-                np.bincount(owner[inside], values, n)
+                np.bincount(owner[inside], values, n).astype(float)
                 for values in (
                     np.log10((known.counts[place[inside]] + 1) / below),
                     known.logs[place[inside], context[inside]].astype(float),
