@@ -142,25 +142,33 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     return float(np.clip(above_u[usable][best] / above_p[usable][best], 0.05, 0.98))
 
 
+def _prior_by_halves(p: np.ndarray, u: np.ndarray, rounds: int, decay: float, splits: int = 5) -> float:
+    """Median of the estimates from several seeded splits into halves.
+
+    A rough classifier tells labelled from unlabelled rows of one half; the other half's scores are used.
+    """
+    random, priors = np.random.default_rng(0), []
+    for _ in range(splits):
+        in_p, in_u = (random.permutation(len(rows)) < (len(rows) + 1) // 2 for rows in (p, u))
+        for fit_p, fit_u, rest_p, rest_u in ((p[in_p], u[in_u], p[~in_p], u[~in_u]), (p[~in_p], u[~in_u], p[in_p], u[in_u])):
+            if not min(len(fit_p), len(fit_u), len(rest_p), len(rest_u)):
+                continue
+
+            def told_apart(w: np.ndarray) -> np.ndarray:
+                return decay * w - (1 - _sigmoid(fit_p @ w)) @ fit_p / len(fit_p) + _sigmoid(fit_u @ w) @ fit_u / len(fit_u)
+
+            rough = _descend(told_apart, p.shape[1], rounds)
+            priors.append(estimate_prior(rest_p @ rough, rest_u @ rough))
+    return float(np.median(priors)) if priors else 0.5
+
+
 def fit(positive: np.ndarray, unlabelled: np.ndarray, rounds: int = 600, decay: float = 3e-4) -> Model:
     """Non-negative risk minimisation on feature rows."""
     if not len(positive) or not len(unlabelled):
         return Model([], np.zeros(0), 0.0, 0.5)
     cuts = [np.unique(np.quantile(unlabelled[:, k], QUANTILES)) for k in range(unlabelled.shape[1])]
     p, u = (np.column_stack([design(rows, cuts), np.ones(len(rows))]) for rows in (positive, unlabelled))
-    # Scores of rows the rough classifier (labelled against unlabelled) was not fitted on.
-    priors = []
-    for half in (0, 1):
-        fit_p, fit_u = p[half::2], u[half::2]
-
-        def told_apart(w: np.ndarray) -> np.ndarray:
-            positives = (1 - _sigmoid(fit_p @ w)) @ fit_p / max(1, len(fit_p))
-            return decay * w - positives + _sigmoid(fit_u @ w) @ fit_u / max(1, len(fit_u))
-
-        rough = _descend(told_apart, p.shape[1], rounds // 3)
-        if len(p[1 - half :: 2]) and len(u[1 - half :: 2]):
-            priors.append(estimate_prior(p[1 - half :: 2] @ rough, u[1 - half :: 2] @ rough))
-    prior = float(np.mean(priors)) if priors else 0.5
+    prior = _prior_by_halves(p, u, rounds // 3, decay)
 
     def risk_gradient(w: np.ndarray) -> np.ndarray:
         # Sigmoid loss: a positive costs 1 - s(f), a negative s(f), so the second term is a difference of means.
