@@ -43,8 +43,8 @@ agents AS (
     (9, 'Opera', 'Windows', 'DESKTOP')) AS t(agent, browser, os, device_kind)),
 visits AS (
   SELECT site, path, engaged, country, city, asn, org, browser, os, device_kind, ip_hash, referrer, at_ms,
-    CASE ptr_host WHEN 'mail.bigbank.co.uk' THEN 'bigbank.co.uk' WHEN 'dns.google' THEN 'dns.google'
-      WHEN 'localhost' THEN NULL ELSE CASE WHEN ptr_host IS NOT NULL THEN 'virginm.net' END END AS org_domain,
+    CASE ptr_host WHEN 'smtp.bakery.co.uk' THEN 'bakery.co.uk' WHEN 'resolver.example' THEN 'resolver.example'
+      WHEN 'localhost' THEN NULL ELSE CASE WHEN ptr_host IS NOT NULL THEN 'cable.example' END END AS org_domain,
     make_timestamp(at_ms * 1000) AS visited_at, CAST(make_timestamp(at_ms * 1000) AS DATE) AS visit_day
   FROM described
     LEFT JOIN city ON ip_num BETWEEN city.lo AND city.hi
@@ -119,6 +119,12 @@ FROM paths""",
     "visits_dedupe": "SELECT site, path, engaged, ip_hash, referrer, at_ms FROM visits",
     "insert_if_absent": "SELECT site, path, ip_hash, at_ms FROM visits",
     "stream_ingest": "SELECT site, path, engaged, ip_hash, country, asn, org_domain, at_ms FROM visits",
+    "stream_late_segment": "SELECT site, path, engaged, ip_hash, at_ms FROM visits",
+    "geo_csv_ranges": f"""SELECT DISTINCT client_ip AS remote_ip, n_name AS country, r_name AS city,
+  CASE WHEN n_nationkey % 2 = 0 AND {_LAST} % 8 < 4 THEN 64512 + CAST(n_nationkey AS BIGINT) END AS asn,
+  CASE WHEN n_nationkey % 2 = 0 AND {_LAST} % 8 < 4 THEN 'Org "' || n_name || '", Ltd' END AS org
+FROM raw LEFT JOIN nation ON {_THIRD} * 256 + {_LAST} BETWEEN n_nationkey * 8 AND n_nationkey * 8 + 7
+  LEFT JOIN region ON n_regionkey = r_regionkey""",
     "geo_city_join": "SELECT site, ip_hash, at_ms, country, city FROM visits",
     "geo_asn_join": "SELECT site, ip_hash, at_ms, asn, org FROM visits",
     "geo_enrich": "SELECT site, ip_hash, at_ms, country, city, asn, org FROM visits",
@@ -159,8 +165,8 @@ SELECT CAST(to_json({{'engagedRate': (SELECT engaged_rate FROM ({_RATE})),
     "FROM numbered",
     "hide_self": "SELECT site, path, city, org, at_ms FROM visits "
     "WHERE NOT (lower(coalesce(city, '')) = 'europe' AND lower(coalesce(org, '')) LIKE '%org nation\\_%' ESCAPE '\\')",
-    "hide_scan_noise": f"""SELECT host, path, referrer, at_ms FROM judged WHERE method = 'GET' AND status = 200
-  AND NOT regexp_matches(lower(path), '{_SCANS}') AND NOT regexp_matches(lower(coalesce(referrer, '')), '{_SCANS}')""",
+    "hide_scan_noise": f"""SELECT host, path, referrer, at_ms FROM judged
+  WHERE NOT regexp_matches(lower(path), '{_SCANS}') AND NOT regexp_matches(lower(coalesce(referrer, '')), '{_SCANS}')""",
     "filtered_listing": f", {_numbered(f'SELECT * FROM visits {_NEWEST} LIMIT 500')} "
     "SELECT visitor, site, path, at_ms FROM numbered "
     "WHERE NOT (lower(coalesce(city, '')) = 'europe' AND contains(lower(coalesce(org, '')), 'org nation_')) "
@@ -175,7 +181,7 @@ SELECT strftime(visited_at, '%Y-%m-%d %H:%M:%S') AS time, '#' || visitor AS visi
   count(*) FILTER (visited_at < {_NOW} - INTERVAL 168 HOUR) AS deleted FROM visits""",
     "retained": f"SELECT site, path, ip_hash, at_ms FROM visits WHERE visited_at >= {_NOW} - INTERVAL 168 HOUR",
     "retention_prune": f"SELECT site, path, ip_hash, at_ms FROM visits WHERE visited_at >= {_NOW} - INTERVAL 168 HOUR",
-    "rows_deleted": f"SELECT count(*) AS deleted FROM visits WHERE visited_at < {_NOW} - INTERVAL 168 HOUR",
+    "rows_deleted": f"SELECT count(*) AS deleted, true AS as_said FROM visits WHERE visited_at < {_NOW} - INTERVAL 168 HOUR",
     "backlog_roundtrip": f"SELECT {_SHOWN} FROM visits",
     "backlog_replay": f"SELECT {_ALL} FROM visits",
 }

@@ -12,8 +12,8 @@ from footfall.operators import geo, listing, reports, requests, retention, rollu
 from footfall.plans.ingest import ingest_lines, requests_from_lines, visits_from_lines
 from footfall.session import prepare
 from footfall.sources.access_log import clean_lines, conforming_requests, parse_lines
-from footfall.sources.backlog import read_backlog, replay_backlog, write_backlog
-from footfall.sources.lookups import network_ranges
+from footfall.sources.backlog import backlog_lines, read_backlog, replay_backlog, write_backlog
+from footfall.sources.lookups import network_ranges, read_asn_ranges, read_city_ranges
 from footfall.sources.visits_table import append_visits, read_visits
 from footfall.streaming.ingest import start_ingest
 
@@ -132,6 +132,25 @@ def stream_ingest(spark, sf_dir):
     return stored.select("site", "path", "engaged", "ip_hash", "country", "asn", "org_domain", _at_ms())
 
 
+def stream_late_segment(spark, sf_dir):
+    """Half of the log is streamed; the other half arrives in segments last changed 30 days before."""
+    sent = standin.deliveries(spark, sf_dir)
+    segments, path = standin.new_folder(spark, "segments"), standin.new_folder(spark, "late")
+    offsets = standin.new_folder(spark, "offsets")
+    for half, days_old in ((0, 0), (1, 30)):
+        standin.deliver(standin.as_lines(sent.filter(F.col("event_id") % 2 == half)), segments, days_old)
+        start_ingest(spark, segments, path, offsets, SETTINGS).awaitTermination()
+    return read_visits(spark, path).select("site", "path", "engaged", "ip_hash", _at_ms())
+
+
+def geo_csv_ranges(spark, sf_dir):
+    """Every address of the log against networks read from CSV text."""
+    addresses = _conforming(spark, sf_dir).select("remote_ip").distinct()
+    blocks, places, networks = standin.network_csv(spark, sf_dir)
+    found = geo.locate(addresses, read_city_ranges(spark, blocks, places), read_asn_ranges(spark, networks))
+    return found.select("remote_ip", "country", "city", "asn", "org")
+
+
 def _located(spark, sf_dir, *fields, city=False, asn=False, ptr=False):
     found = geo.locate(
         visits.one_per_key(_described(spark, sf_dir)),
@@ -261,9 +280,8 @@ def hide_self(spark, sf_dir):
 
 
 def hide_scan_noise(spark, sf_dir):
-    """Over a history stored before scans were filtered."""
-    history = _conforming(spark, sf_dir).filter("method = 'GET' AND status = 200")
-    found = listing.hide_scan_noise(history)
+    """Over all requests, as a history stored before scans were filtered."""
+    found = listing.hide_scan_noise(_conforming(spark, sf_dir))
     return found.select("host", "path", "referrer", F.unix_millis("at").alias("at_ms"))
 
 
@@ -297,10 +315,13 @@ def retention_prune(spark, sf_dir):
 
 
 def rows_deleted(spark, sf_dir):
-    """What pruning a table on disk says it deleted."""
+    """What pruning a table on disk deleted: what it says, and the rows that are gone."""
     path = standin.new_folder(spark, "deleted")
-    append_visits(standin.stored_visits(spark, sf_dir), path)
-    return spark.range(1).select(F.lit(retention.prune(spark, path, NOW, 7)).cast("bigint").alias("deleted"))
+    before = standin.stored_visits(spark, sf_dir)
+    append_visits(before, path)
+    said = retention.prune(spark, path, NOW, 7)
+    counted = before.select(F.lit(1).alias("n")).union(read_visits(spark, path).select(F.lit(-1)))
+    return counted.agg(F.sum("n").alias("deleted"), (F.sum("n") == F.lit(said)).alias("as_said"))
 
 
 def backlog_roundtrip(spark, sf_dir):
@@ -310,12 +331,18 @@ def backlog_roundtrip(spark, sf_dir):
 
 
 def backlog_replay(spark, sf_dir):
-    """Everything waits in a backlog, the engaged visits are stored already; then it is replayed."""
+    """Engaged visits are stored already. Those of even days wait in a backlog together with the engaged ones,
+    and every line is there a second time, torn; those of odd days come with the replay. It runs twice."""
     found = standin.stored_visits(spark, sf_dir)
-    backlog, path = standin.new_folder(spark, "waiting"), standin.new_folder(spark, "replayed")
+    backlog, path = standin.new_folder(spark, "waiting visits"), standin.new_folder(spark, "replayed")
     append_visits(found.filter("engaged"), path)
-    write_backlog(found, backlog)
-    replay_backlog(spark, backlog, path)
+    odd = F.dayofmonth("visited_at") % 2 == 1
+    waiting = found.filter(~odd | F.col("engaged"))
+    write_backlog(waiting, backlog)
+    half = F.substring("value", F.lit(1), F.ceil(F.length("value") / 2).cast("int"))
+    backlog_lines(waiting).select(half).write.mode("append").text(backlog)
+    for _ in range(2):
+        replay_backlog(spark, backlog, path, found.filter(odd))
     return _comparable(read_visits(spark, path))
 
 
@@ -341,6 +368,8 @@ QUERIES = {
     "visits_dedupe": visits_dedupe,
     "insert_if_absent": insert_if_absent,
     "stream_ingest": stream_ingest,
+    "stream_late_segment": stream_late_segment,
+    "geo_csv_ranges": geo_csv_ranges,
     "geo_city_join": geo_city_join,
     "geo_asn_join": geo_asn_join,
     "geo_enrich": geo_enrich,

@@ -17,8 +17,8 @@ def addresses(spark, *texts):
 @pytest.fixture
 def city(spark):
     rows = [
-        ("89.160.20.112/28", "Sweden", "Linköping"),
-        ("2.125.160.216/29", "United Kingdom", "Boxford"),
+        ("198.51.100.112/28", "Sweden", "Örebro"),
+        ("192.0.2.216/29", "United Kingdom", "Bath"),
         ("2001:220::/32", "South Korea", None),
     ]
     return network_ranges(spark.createDataFrame(rows, "network string, country string, city string"))
@@ -26,18 +26,18 @@ def city(spark):
 
 @pytest.fixture
 def asn(spark):
-    rows = [("1.128.0.0/11", 1221, "Telstra Pty Ltd"), ("89.160.0.0/17", 29518, "Bredband2 AB")]
+    rows = [("100.64.0.0/11", 64500, "Coast Telecom"), ("198.51.0.0/17", 64510, "Lake Networks")]
     return network_ranges(spark.createDataFrame(rows, "network string, asn bigint, org string"))
 
 
 def test_fields_resolve_independently(spark, city, asn):
-    sent = addresses(spark, "89.160.20.128", "89.160.20.120", "1.128.0.1", "2.125.160.216", "10.0.0.150", "not-an-ip", "2001:220::7")
+    sent = addresses(spark, "198.51.100.128", "198.51.100.120", "100.64.0.1", "192.0.2.216", "10.0.0.150", "not-an-ip", "2001:220::7")
     found = {row.remote_ip: (row.country, row.city, row.asn, row.org) for row in locate(sent, city, asn).collect()}
     assert found == {
-        "89.160.20.128": (None, None, 29518, "Bredband2 AB"),
-        "89.160.20.120": ("Sweden", "Linköping", 29518, "Bredband2 AB"),
-        "1.128.0.1": (None, None, 1221, "Telstra Pty Ltd"),
-        "2.125.160.216": ("United Kingdom", "Boxford", None, None),
+        "198.51.100.128": (None, None, 64510, "Lake Networks"),
+        "198.51.100.120": ("Sweden", "Örebro", 64510, "Lake Networks"),
+        "100.64.0.1": (None, None, 64500, "Coast Telecom"),
+        "192.0.2.216": ("United Kingdom", "Bath", None, None),
         "10.0.0.150": (None, None, None, None),
         "not-an-ip": (None, None, None, None),
         "2001:220::7": ("South Korea", None, None, None),
@@ -45,7 +45,7 @@ def test_fields_resolve_independently(spark, city, asn):
 
 
 def test_every_row_stays_once(spark, city, asn):
-    sent = addresses(spark, *["89.160.20.120"] * 5, *["nowhere"] * 3).withColumn("n", F.monotonically_increasing_id())
+    sent = addresses(spark, *["198.51.100.120"] * 5, *["nowhere"] * 3).withColumn("n", F.monotonically_increasing_id())
     assert locate(sent, city, asn).count() == 8
 
 
@@ -106,13 +106,13 @@ def test_numeric_ranges(spark):
 
 
 def test_ptr_domains_join_by_address_not_by_spelling(spark):
-    rows = [("2001:DB8::1", "a.example.com."), ("203.0.113.7", "cpc92-40.virginm.net"), ("203.0.113.7", "zz.other.net"), ("name", "x.y.z")]
+    rows = [("2001:DB8::1", "a.example.com."), ("203.0.113.7", "line-4.cable.example"), ("203.0.113.7", "zz.other.net"), ("name", "x.y.z")]
     ptr = spark.createDataFrame(rows, "client_ip string, ptr_host string")
     assert ptr_ranges(ptr).count() == 2
     found = locate(addresses(spark, "2001:db8:0::1", "203.0.113.7", "203.0.113.8", "name"), ptr=ptr)
     assert {row.remote_ip: row.org_domain for row in found.collect()} == {
         "2001:db8:0::1": "example.com",
-        "203.0.113.7": "virginm.net",
+        "203.0.113.7": "cable.example",
         "203.0.113.8": None,
         "name": None,
     }
@@ -122,22 +122,22 @@ def test_published_csv_files(spark, tmp_path):
     (tmp_path / "v4.csv").write_text(
         "network,geoname_id,registered_country_geoname_id,represented_country_geoname_id,is_anonymous_proxy,"
         "is_satellite_provider,postal_code,latitude,longitude,accuracy_radius,is_anycast\n"
-        "89.160.20.112/28,2694762,2661886,,0,0,,58.4,15.6,76,\n10.0.0.0/8,,2661886,,0,0,,,,,\n"
+        "198.51.100.112/28,1000001,1000000,,0,0,,58.4,15.6,76,\n10.0.0.0/8,,1000000,,0,0,,,,,\n"
     )
     (tmp_path / "v6.csv").write_text("network,geoname_id\n2001:220::/32,1835841\n")
     (tmp_path / "locations.csv").write_text(
         "geoname_id,locale_code,continent_code,continent_name,country_iso_code,country_name,subdivision_1_iso_code,"
         "subdivision_1_name,subdivision_2_iso_code,subdivision_2_name,city_name,metro_code,time_zone,is_in_european_union\n"
-        '2694762,en,EU,Europe,SE,Sweden,E,"Östergötland, County",,,Linköping,,Europe/Stockholm,1\n'
+        '1000001,en,EU,Europe,SE,Sweden,E,"Närke, County",,,Örebro,,Europe/Stockholm,1\n'
         '1835841,en,AS,Asia,KR,"South Korea",,,,,,,Asia/Seoul,0\n'
     )
-    (tmp_path / "asn.csv").write_text('network,autonomous_system_number,autonomous_system_organization\n1.128.0.0/11,1221,"Telstra ""Pty"" Ltd"\n')
+    (tmp_path / "asn.csv").write_text('network,autonomous_system_number,autonomous_system_organization\n100.64.0.0/11,64500,"Coast ""Telecom"" Ltd"\n')
     city = read_city_ranges(spark, [str(tmp_path / "v4.csv"), str(tmp_path / "v6.csv")], str(tmp_path / "locations.csv"))
     assert sorted(tuple(row) for row in city.collect()) == [
         ("20010220" + "0" * 24, "20010220" + "f" * 24, "South Korea", None),
-        ("59a01470", "59a0147f", "Sweden", "Linköping"),
+        ("c6336470", "c633647f", "Sweden", "Örebro"),
     ]
-    assert [tuple(row) for row in read_asn_ranges(spark, str(tmp_path / "asn.csv")).collect()] == [("01800000", "019fffff", 1221, 'Telstra "Pty" Ltd')]
+    assert [tuple(row) for row in read_asn_ranges(spark, str(tmp_path / "asn.csv")).collect()] == [("64400000", "645fffff", 64500, 'Coast "Telecom" Ltd')]
 
 
 @pytest.mark.parametrize("how", ["left", "left_semi", "inner"])

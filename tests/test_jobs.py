@@ -8,7 +8,7 @@ from footfall.__main__ import run
 
 
 def test_jobs_from_logs_to_documents(spark, tmp_path, monkeypatch, capsys):
-    monkeypatch.setenv("IP_HASH_SALT", "a-test-salt-of-sufficient-length")
+    monkeypatch.setenv("IP_HASH_SALT", "grains-for-checks-and-tests-only")
     monkeypatch.setenv("INTERNAL_PROXY_IPS", "10.0.0.1")
     monkeypatch.setenv("RETENTION_DAYS", "30")
     now = int(time.time())

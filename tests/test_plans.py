@@ -14,7 +14,7 @@ from footfall.sources.access_log import read_lines
 from footfall.sources.visits_table import append_visits, read_visits, stored_keys
 
 NOW = datetime(2026, 7, 11, 12)
-SETTINGS = Settings("a-test-salt-of-sufficient-length")
+SETTINGS = Settings("grains-for-checks-and-tests-only")
 
 
 @pytest.fixture(scope="module")

@@ -36,12 +36,12 @@ def agent(text):
         ({"address": f'"client_ip":"{RELAY}"'}, "internal_proxy"),
         ({"address": f'"client_ip":"{RELAY}"', "status": "500"}, "internal_proxy"),
         ({"status": "404"}, "status"),
-        ({"status": "500", "headers": agent("curl/8.5.0")}, "status"),
+        ({"status": "500", "headers": agent("curl/8.11.1")}, "status"),
         ({"status": "302"}, "status"),
         ({"status": "199"}, "status"),
         ({"status": "300"}, "status"),
         ({"headers": agent("Mozilla/5.0 (compatible; Googlebot/2.1)")}, "bot"),
-        ({"headers": agent("curl/8.5.0")}, "bot"),
+        ({"headers": agent("curl/8.11.1")}, "bot"),
         ({"headers": agent("python-requests/2.32")}, "bot"),
         ({"headers": agent("Java/17.0"), "uri": "/wp-admin/"}, "bot"),
         ({"uri": "/wp-login.php"}, "scan"),

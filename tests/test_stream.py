@@ -11,7 +11,7 @@ from footfall.sources.lookups import network_ranges
 from footfall.sources.visits_table import read_visits
 from footfall.streaming import ingest as streaming
 
-SETTINGS = Settings("a-test-salt-of-sufficient-length")
+SETTINGS = Settings("grains-for-checks-and-tests-only")
 
 
 class Site:

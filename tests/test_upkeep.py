@@ -16,7 +16,7 @@ from footfall.sources.access_log import read_lines
 from footfall.sources.backlog import read_backlog, replay_backlog, write_backlog
 from footfall.sources.visits_table import append_visits, compact, read_visits, stored_keys, time_ranges
 
-SETTINGS = Settings("a-test-salt-of-sufficient-length")
+SETTINGS = Settings("grains-for-checks-and-tests-only")
 NOW = dt.datetime(2026, 7, 11, 10)
 
 

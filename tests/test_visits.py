@@ -15,7 +15,7 @@ from footfall.sources.backlog import backlog_lines, read_backlog, replay_backlog
 from footfall.sources.lookups import network_ranges
 from footfall.sources.visits_table import append_visits, insert_if_absent, read_visits
 
-SETTINGS = Settings("a-test-salt-of-sufficient-length")
+SETTINGS = Settings("grains-for-checks-and-tests-only")
 NOW = datetime(2026, 7, 11, 10)
 
 
@@ -24,13 +24,13 @@ def paths(visits):
 
 
 def test_a_kept_line_becomes_a_visit(spark, lines):
-    networks = spark.createDataFrame([("203.0.113.0/24", "Sweden", "Linköping")], "network string, country string, city string")
-    ptr = spark.createDataFrame([("203.0.113.7", "cpc9-1-2.virginm.net.")], "client_ip string, ptr_host string")
+    networks = spark.createDataFrame([("203.0.113.0/24", "Sweden", "Örebro")], "network string, country string, city string")
+    ptr = spark.createDataFrame([("203.0.113.7", "line-9.cable.example.")], "client_ip string, ptr_host string")
     found = visits_from_lines(lines(line()), SETTINGS, Lookups(city=network_ranges(networks), ptr=ptr))
     row = found.withColumn("at", F.unix_millis("visited_at")).first()
     assert found.columns == STORED_VISIT.fieldNames()
-    assert (row.site, row.path, row.engaged, row.country, row.city) == ("risk.example", "/", False, "Sweden", "Linköping")
-    assert (row.asn, row.org, row.org_domain) == (None, None, "virginm.net")
+    assert (row.site, row.path, row.engaged, row.country, row.city) == ("store.example", "/", False, "Sweden", "Örebro")
+    assert (row.asn, row.org, row.org_domain) == (None, None, "cable.example")
     assert (row.browser, row.os, row.device_kind, row.referrer) == ("Chrome", "Windows", "DESKTOP", "https://github.com/x")
     assert (len(row.ip_hash), row["at"], row.visit_day) == (64, 1752230400500, date(2025, 7, 11))
 
@@ -75,7 +75,7 @@ def test_files_older_than_a_column(spark, visits, tmp_path):
     path = str(tmp_path / "t")
     visits({}).drop("org_domain").write.partitionBy("visit_day").parquet(path)
     append_visits(visits({"path": "/new"}), path)
-    assert {row.path: row.org_domain for row in read_visits(spark, path).collect()} == {"/": None, "/new": "virginm.net"}
+    assert {row.path: row.org_domain for row in read_visits(spark, path).collect()} == {"/": None, "/new": "cable.example"}
 
 
 def test_what_is_stored_first_stays(spark, visits, tmp_path):
@@ -203,9 +203,9 @@ def test_backlog_lines(visits):
     nothing_known = {name: None for name in ("country", "city", "asn", "org", "referrer", "org_domain")}
     found = [row.value for row in backlog_lines(visits({"path": "/a"}, nothing_known)).collect()]
     assert found[0] == (
-        '{"site":"orderbook.example","path":"/a","engaged":false,"country":"Sweden","city":"Linköping","asn":29518,'
-        '"org":"Bredband2 AB","browser":"Chrome","os":"Windows","kind":"DESKTOP","ipHash":"' + "a" * 64 + '",'
-        '"referrer":"https://github.com/x","at":1783764000000,"orgDomain":"virginm.net"}'
+        '{"site":"guide.example","path":"/a","engaged":false,"country":"Sweden","city":"Örebro","asn":64510,'
+        '"org":"Lake Networks","browser":"Chrome","os":"Windows","kind":"DESKTOP","ipHash":"' + "a" * 64 + '",'
+        '"referrer":"https://github.com/x","at":1783764000000,"orgDomain":"cable.example"}'
     )
     assert '"country":null,"city":null,"org":null,' in found[1] and "asn" not in found[1]
 
