@@ -13,7 +13,7 @@ from footfall.session import prepare, shared_dir
 from footfall.settings import Settings
 from footfall.sources.access_log import read_lines
 from footfall.sources.files import children
-from footfall.sources.lookups import numeric_ranges
+from footfall.sources.lookups import numeric_ranges, read_prepared, write_prepared
 from footfall.sources.visits_table import read_visits
 
 NOW = datetime(2024, 1, 31, 12)
@@ -182,7 +182,13 @@ def ptr_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lookups(spark: SparkSession, sf_dir: str) -> Lookups:
-    return Lookups(city_ranges(spark, sf_dir), asn_ranges(spark, sf_dir), ptr_table(spark, sf_dir))
+    """All tables, prepared on the first use by an application."""
+    key = (spark.sparkContext.applicationId, sf_dir, "lookups")
+    if key not in _paths:
+        path = new_folder(spark, "lookups")
+        write_prepared(spark, path, city_ranges(spark, sf_dir), asn_ranges(spark, sf_dir), ptr_table(spark, sf_dir))
+        _paths[key] = path
+    return Lookups(prepared=read_prepared(spark, _paths[key]))
 
 
 def new_folder(spark: SparkSession, name: str) -> str:

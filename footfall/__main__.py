@@ -1,9 +1,10 @@
-"""Jobs for spark-submit: ingest, stream, prune, compact, visits, rollups.
+"""Jobs for spark-submit: prepare-lookups, ingest, stream, prune, compact, visits, rollups.
 
-    spark-submit ... footfall ingest --table TABLE [--city DIR] [--asn DIR] [--ptr DIR] LOG...
+    spark-submit ... footfall prepare-lookups --lookups DIR [--city-blocks CSV... --city-locations CSV] [--asn-blocks CSV...] [--ptr DIR]
+    spark-submit ... footfall ingest --table TABLE [--lookups DIR] LOG...
 
 The salt, internal proxies and retention days come from IP_HASH_SALT, INTERNAL_PROXY_IPS and
-RETENTION_DAYS. Lookup tables are Parquet folders prepared with sources.lookups.
+RETENTION_DAYS. The PTR table is a Parquet folder.
 """
 
 import argparse
@@ -18,6 +19,7 @@ from footfall.operators.rollups import rollups_document
 from footfall.plans.ingest import Lookups, ingest_files
 from footfall.session import prepare
 from footfall.settings import Settings
+from footfall.sources.lookups import read_asn_ranges, read_city_ranges, read_prepared, read_ptr_table, write_prepared
 from footfall.sources.visits_table import compact, read_visits
 from footfall.streaming.ingest import MAX_FILE_AGE, start_ingest
 
@@ -25,12 +27,17 @@ from footfall.streaming.ingest import MAX_FILE_AGE, start_ingest
 def _arguments(argv: list[str] | None) -> argparse.Namespace:
     parser = argparse.ArgumentParser(prog="footfall")
     jobs = parser.add_subparsers(dest="job", required=True)
+    job = jobs.add_parser("prepare-lookups")
+    job.add_argument("--lookups", required=True)
+    job.add_argument("--city-blocks", nargs="+")
+    job.add_argument("--city-locations")
+    job.add_argument("--asn-blocks", nargs="+")
+    job.add_argument("--ptr")
     for name in ("ingest", "stream", "prune", "compact", "visits", "rollups"):
         job = jobs.add_parser(name)
         job.add_argument("--table", required=True)
         if name in ("ingest", "stream"):
-            for lookup in ("--city", "--asn", "--ptr"):
-                job.add_argument(lookup)
+            job.add_argument("--lookups")
             job.add_argument("--rejected")
         if name == "ingest":
             job.add_argument("logs", nargs="+")
@@ -46,14 +53,22 @@ def _arguments(argv: list[str] | None) -> argparse.Namespace:
 
 
 def _lookups(spark: SparkSession, args: argparse.Namespace) -> Lookups:
-    tables = {name: getattr(args, name) for name in ("city", "asn", "ptr")}
-    return Lookups(**{name: spark.read.parquet(path) for name, path in tables.items() if path})
+    return Lookups(prepared=read_prepared(spark, args.lookups)) if args.lookups else Lookups()
+
+
+def _prepare_lookups(spark: SparkSession, args: argparse.Namespace) -> None:
+    city = read_city_ranges(spark, args.city_blocks, args.city_locations) if args.city_blocks else None
+    asn = read_asn_ranges(spark, args.asn_blocks) if args.asn_blocks else None
+    ptr = read_ptr_table(spark, args.ptr) if args.ptr else None
+    write_prepared(spark, args.lookups, city, asn, ptr)
 
 
 def run(spark: SparkSession, argv: list[str] | None = None) -> None:
     args = _arguments(argv)
     prepare(spark)
-    if args.job == "ingest":
+    if args.job == "prepare-lookups":
+        _prepare_lookups(spark, args)
+    elif args.job == "ingest":
         settings = Settings.from_env(os.environ)
         ingest_files(spark, args.logs, args.table, settings, _lookups(spark, args), args.rejected)
     elif args.job == "stream":

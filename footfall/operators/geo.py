@@ -1,5 +1,6 @@
 """Where an address is and whose network it belongs to: range joins without address-range pairs."""
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -11,7 +12,17 @@ from footfall.functions.once import evaluate_once
 from footfall.operators.skew import ROWS_PER_SHARE, salted_join
 
 # Keys are cut at whole bytes, two hex digits each.
-_PREFIXES = "transform(sequence(2, length(ip_key), 2), width -> substring(ip_key, 1, width))"
+_WIDTHS = "sequence(2, length(ip_key), 2)"
+# What each table tells, in the order in which a prepared table numbers them.
+CITY, ASN, PTR = ["country", "city"], ["asn", "org"], ["org_domain"]
+
+
+@dataclass(frozen=True)
+class Prepared:
+    """Keyed ranges of all three tables, computed beforehand, and the prefix lengths that occur."""
+
+    ranges: DataFrame
+    widths: list[int]
 
 
 def _bucketed(ranges: DataFrame) -> DataFrame:
@@ -41,30 +52,39 @@ def _narrowness() -> Column:
     return F.struct("lo", F.translate("hi", "0123456789abcdef", "fedcba9876543210"))
 
 
-def range_lookup(addresses: DataFrame, tables: list[tuple[DataFrame, list[str]]]) -> DataFrame:
-    """(remote_ip, *fields of every table) for each distinct keyed address that some range holds.
-
-    Each table holds (lo, hi, *fields) and answers for itself; where its ranges nest, the narrowest
-    wins. All tables are probed at once. A prefix that most addresses share is a skewed join key
-    with a handful of ranges: adaptive execution splits its addresses over tasks.
-    """
+def keyed_ranges(tables: list[tuple[DataFrame, list[str]]]) -> DataFrame:
+    """All ranges under the prefixes they are probed by: bucket, lo, hi, table, and f0, f1, ... with the fields."""
     sides = []
     for number, (ranges, fields) in enumerate(tables):
         known = [F.lit(None).cast(_struct_type(other, names)).alias(f"f{n}") for n, (other, names) in enumerate(tables)]
         known[number] = F.struct(*fields).alias(f"f{number}")
         sides.append(_bucketed(ranges).select("bucket", "lo", "hi", F.lit(number).alias("table"), *known))
-    ranges = reduce(DataFrame.unionByName, sides)
-    probes = addresses.filter(F.col("ip_key").isNotNull()).select(
-        "remote_ip", "ip_key", F.explode(F.expr(_PREFIXES)).alias("bucket")
-    )
+    return reduce(DataFrame.unionByName, sides)
+
+
+def range_lookup(addresses: DataFrame, tables: list[tuple[DataFrame, list[str]]]) -> DataFrame:
+    """(remote_ip, *fields of every table) for each distinct keyed address that some range holds."""
+    return probe(addresses, keyed_ranges(tables), [fields for _, fields in tables])
+
+
+def probe(addresses: DataFrame, ranges: DataFrame, fields: list[list[str]], widths: list[int] | None = None) -> DataFrame:
+    """Look addresses up in keyed ranges.
+
+    Each table answers for itself; where its ranges nest, the narrowest wins. All tables are probed at
+    once, at the prefix lengths that occur in them if those are known. A prefix that most addresses share
+    is a skewed join key with a handful of ranges: adaptive execution splits its addresses over tasks.
+    """
+    lengths = _WIDTHS if widths is None else f"filter(array({', '.join(map(str, widths))}), width -> width <= length(ip_key))"
+    prefixes = F.expr(f"transform({lengths}, width -> substring(ip_key, 1, width))")
+    probes = addresses.filter(F.col("ip_key").isNotNull()).select("remote_ip", "ip_key", F.explode(prefixes).alias("bucket"))
     inside = probes.join(ranges, "bucket").filter(
         F.col("ip_key").between(F.col("lo"), F.col("hi")) & (F.length("ip_key") == F.length("lo"))
     )
     best = [
-        F.max_by(F.col(f"f{n}"), F.when(F.col("table") == n, _narrowness())).alias(f"f{n}") for n in range(len(tables))
+        F.max_by(F.col(f"f{n}"), F.when(F.col("table") == n, _narrowness())).alias(f"f{n}") for n in range(len(fields))
     ]
     found = inside.groupBy("remote_ip").agg(*best)
-    return found.select("remote_ip", *[f"f{n}.{name}" for n, (_, fields) in enumerate(tables) for name in fields])
+    return found.select("remote_ip", *[f"f{n}.{name}" for n, names in enumerate(fields) for name in names])
 
 
 def _struct_type(df: DataFrame, names: list[str]) -> T.StructType:
@@ -89,26 +109,40 @@ def ptr_ranges(ptr: DataFrame) -> DataFrame:
     )
 
 
+def lookup_tables(
+    city: DataFrame | None = None, asn: DataFrame | None = None, ptr: DataFrame | None = None
+) -> list[tuple[DataFrame, list[str]]]:
+    """The tables that are given, each with one row per range."""
+    tables = []
+    for ranges, fields in ((city, CITY), (asn, ASN)):
+        if ranges is not None:
+            tables.append((one_per_range(ranges, fields), fields))
+    if ptr is not None:
+        tables.append((ptr_ranges(ptr), PTR))
+    return tables
+
+
 def locate(
     requests: DataFrame,
     city: DataFrame | None = None,
     asn: DataFrame | None = None,
     ptr: DataFrame | None = None,
     rows_per_share: int = ROWS_PER_SHARE,
+    prepared: Prepared | None = None,
 ) -> DataFrame:
     """Add country, city, asn, org and org_domain (as far as tables are given) by remote_ip.
 
-    Lookups run once per distinct address; addresses no table covers keep their row with nulls.
+    Lookups run once per distinct address; addresses no table covers keep their row with nulls. Prepared
+    tables take the place of the others.
     """
-    tables = []
-    for ranges, fields in ((city, ["country", "city"]), (asn, ["asn", "org"])):
-        if ranges is not None:
-            tables.append((one_per_range(ranges, fields), fields))
-    if ptr is not None:
-        tables.append((ptr_ranges(ptr), ["org_domain"]))
-    if not tables:
+    tables = [] if prepared is not None else lookup_tables(city, asn, ptr)
+    if not tables and prepared is None:
         return requests
     counts = requests.groupBy("remote_ip").agg(F.count("*").alias("n"))
     # The counts are always positive; naming them lets both uses of the counts share one shuffle.
     addresses = with_ip_key(counts.filter("n > 0").select("remote_ip"))
-    return salted_join(requests, range_lookup(addresses, tables), "remote_ip", "left", counts, rows_per_share)
+    if prepared is not None:
+        found = probe(addresses, prepared.ranges, [CITY, ASN, PTR], prepared.widths)
+    else:
+        found = range_lookup(addresses, tables)
+    return salted_join(requests, found, "remote_ip", "left", counts, rows_per_share)

@@ -7,7 +7,6 @@ from footfall.functions.device import with_device
 from footfall.functions.privacy import ip_hash
 from footfall.functions.text import non_empty
 from footfall.functions.times import day_of
-from footfall.operators.geo import locate
 from footfall.schemas import PARTITION_COLUMN, VISIT, VISIT_COLUMNS, VISIT_KEY
 
 
@@ -62,14 +61,3 @@ def not_stored(visits: DataFrame, stored: DataFrame) -> DataFrame:
     """
     already = stored.select(*VISIT_KEY).join(visits.select(*VISIT_KEY), VISIT_KEY, "left_semi")
     return visits.join(already, VISIT_KEY, "left_anti")
-
-
-def visits_of(
-    requests: DataFrame,
-    salt: str,
-    city: DataFrame | None = None,
-    asn: DataFrame | None = None,
-    ptr: DataFrame | None = None,
-) -> DataFrame:
-    """Kept requests as visits, one per key, located after the copies are gone."""
-    return as_visits(locate(one_per_key(describe(requests, salt)), city, asn, ptr))

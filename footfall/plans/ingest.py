@@ -6,9 +6,9 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 
 from footfall.functions.times import instant
-from footfall.operators.geo import locate
+from footfall.operators.geo import Prepared, locate
 from footfall.operators.requests import judge, kept_requests
-from footfall.operators.visits import as_visits, describe, one_per_key, visits_of
+from footfall.operators.visits import as_visits, describe, one_per_key
 from footfall.session import sized_shuffles
 from footfall.settings import Settings
 from footfall.sources.access_log import clean_lines, parse_lines, read_lines
@@ -21,11 +21,18 @@ MOST_GROUP_BYTES = 4 * 2**40
 
 @dataclass(frozen=True)
 class Lookups:
-    """Tables an address is looked up in; those left out leave their columns null."""
+    """Tables an address is looked up in; those left out leave their columns null.
+
+    `prepared` (sources.lookups) takes the place of the others.
+    """
 
     city: DataFrame | None = None
     asn: DataFrame | None = None
     ptr: DataFrame | None = None
+    prepared: Prepared | None = None
+
+    def locate(self, visits: DataFrame) -> DataFrame:
+        return locate(visits, self.city, self.asn, self.ptr, prepared=self.prepared)
 
 
 def requests_from_lines(lines: DataFrame, settings: Settings) -> DataFrame:
@@ -34,7 +41,7 @@ def requests_from_lines(lines: DataFrame, settings: Settings) -> DataFrame:
 
 def visits_from_lines(lines: DataFrame, settings: Settings, lookups: Lookups = Lookups()) -> DataFrame:
     """Visits of some log lines as a plan of their own, without a table."""
-    return visits_of(requests_from_lines(lines, settings), settings.salt, lookups.city, lookups.asn, lookups.ptr)
+    return as_visits(lookups.locate(one_per_key(describe(requests_from_lines(lines, settings), settings.salt))))
 
 
 def ingest_lines(
@@ -46,7 +53,7 @@ def ingest_lines(
         requests = requests.filter(requests["at"] >= instant(since))
 
     def complete(fresh: DataFrame) -> DataFrame:
-        return as_visits(locate(fresh, lookups.city, lookups.asn, lookups.ptr))
+        return as_visits(lookups.locate(fresh))
 
     insert_if_absent(lines.sparkSession, one_per_key(describe(requests, settings.salt)), table, complete)
 

@@ -1,10 +1,12 @@
-"""Lookup tables: network ranges and PTR records as DataFrames."""
+"""Lookup tables: network ranges and PTR records as DataFrames, and all of them prepared as one table."""
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from footfall.functions.net import with_ip_key
 from footfall.functions.once import evaluate_once
+from footfall.operators.geo import Prepared, keyed_ranges, lookup_tables
+from footfall.sources.files import children
 
 _CITY_BLOCKS = (
     "network string, geoname_id string, registered_country_geoname_id string, "
@@ -80,3 +82,29 @@ def read_asn_ranges(spark: SparkSession, blocks: str | list[str]) -> DataFrame:
 def read_ptr_table(spark: SparkSession, path: str) -> DataFrame:
     """(client_ip, ptr_host) records resolved beforehand; nothing is looked up while a job runs."""
     return spark.read.schema("client_ip string, ptr_host string").parquet(path)
+
+
+_EMPTY = ("lo string, hi string, country string, city string", "lo string, hi string, asn bigint, org string", "client_ip string, ptr_host string")
+_PREPARED = (
+    "bucket string, lo string, hi string, table int, f0 struct<country: string, city: string>, "
+    "f1 struct<asn: bigint, org: string>, f2 struct<org_domain: string>, width int"
+)
+
+
+def write_prepared(
+    spark: SparkSession, path: str, city: DataFrame | None = None, asn: DataFrame | None = None, ptr: DataFrame | None = None
+) -> None:
+    """Store the tables as they are probed, once, so that no batch has to group and cut the ranges again.
+
+    The table is partitioned by the length of the prefix, so that the lengths that occur are its folders.
+    """
+    given = [spark.createDataFrame([], schema) if table is None else table for table, schema in zip((city, asn, ptr), _EMPTY)]
+    keyed = keyed_ranges(lookup_tables(*given)).withColumn("width", F.length("bucket"))
+    ordered = keyed.repartition("width", F.substring("bucket", 1, 4)).sortWithinPartitions("width", "bucket")
+    ordered.write.mode("overwrite").partitionBy("width").parquet(path)
+
+
+def read_prepared(spark: SparkSession, path: str) -> Prepared:
+    """What write_prepared stored; nothing but the names of its folders is read."""
+    widths = sorted(int(name.split("=")[1]) for name in children(spark, path) if name.startswith("width="))
+    return Prepared(spark.read.schema(_PREPARED).parquet(path).drop("width"), widths)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from footfall.functions.net import with_ip_key
 from footfall.operators.geo import locate, ptr_ranges, range_lookup
 from footfall.operators.skew import salted_join
-from footfall.sources.lookups import network_ranges, numeric_ranges, read_asn_ranges, read_city_ranges
+from footfall.sources.lookups import network_ranges, numeric_ranges, read_asn_ranges, read_city_ranges, read_prepared, write_prepared
 
 
 def addresses(spark, *texts):
@@ -161,3 +161,24 @@ def test_a_hot_key_lands_in_many_partitions(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert sum(sizes) == 4000 and len(sizes) == 4
+
+
+def test_prepared_tables_answer_the_same(spark, tmp_path):
+    """Nested and disjoint networks of many lengths, IPv4 and IPv6, with and without PTR records."""
+    chosen = random.Random(5)
+    networks = [(f"10.{chosen.randrange(4)}.{chosen.randrange(256)}.0/{chosen.choice([9, 14, 17, 24, 29])}", f"c{n}", f"t{n}") for n in range(60)]
+    networks += [("2001:db8::/32", "six", None), ("2001:db8:1::/48", "nested", "x")]
+    city = network_ranges(spark.createDataFrame(networks, "network string, country string, city string"))
+    asn = network_ranges(spark.createDataFrame([("10.0.0.0/8", 64500, "a"), ("10.1.0.0/16", 64501, "b")], "network string, asn long, org string"))
+    ptr = spark.createDataFrame([("10.1.2.3", "a.cable.example."), ("2001:db8::1", "b.example")], "client_ip string, ptr_host string")
+    sent = [f"10.{chosen.randrange(5)}.{chosen.randrange(256)}.{chosen.randrange(256)}" for _ in range(300)]
+    asked = addresses(spark, *sent, "10.1.2.3", "2001:db8::1", "2001:db8:1::9", "11.0.0.1", "nowhere")
+    write_prepared(spark, str(tmp_path / "lookups"), city, asn, ptr)
+    prepared = read_prepared(spark, str(tmp_path / "lookups"))
+    assert set(prepared.widths) < set(range(2, 34, 2))
+    fields = ["remote_ip", "country", "city", "asn", "org", "org_domain"]
+    plain = locate(asked, city, asn, ptr).select(*fields).collect()
+    assert sorted(map(str, locate(asked, prepared=prepared).select(*fields).collect())) == sorted(map(str, plain))
+    write_prepared(spark, str(tmp_path / "none"))
+    nothing = locate(asked, prepared=read_prepared(spark, str(tmp_path / "none")))
+    assert nothing.count() == asked.count() and nothing.filter("country IS NOT NULL OR org_domain IS NOT NULL").isEmpty()

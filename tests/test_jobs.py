@@ -25,12 +25,15 @@ def test_jobs_from_logs_to_documents(spark, tmp_path, monkeypatch, capsys):
         + "\n"
     )
     table = str(tmp_path / "t")
-    ranges = spark.createDataFrame([("cb007100", "cb0071ff", "Sweden", None)], "lo string, hi string, country string, city string")
-    ranges.write.parquet(str(tmp_path / "city"))
+    (tmp_path / "blocks.csv").write_text("network,id\n203.0.113.0/24,1,,,,,,,,,\n")
+    (tmp_path / "places.csv").write_text("id\n1,en,EU,Europe,SE,Sweden,,,,,,,,\n")
+    csv = ["--city-blocks", str(tmp_path / "blocks.csv"), "--city-locations", str(tmp_path / "places.csv")]
     for job in (
-        ["ingest", "--table", table, "--city", str(tmp_path / "city"), str(tmp_path / "logs")],
+        ["prepare-lookups", "--lookups", str(tmp_path / "lookups"), *csv],
+        ["ingest", "--table", table, "--lookups", str(tmp_path / "lookups"), str(tmp_path / "logs")],
         ["stream", "--table", table, "--checkpoint", str(tmp_path / "c"), str(tmp_path / "logs")],
         ["prune", "--table", table],
+        ["compact", "--table", table],
         ["visits", "--table", table, "--limit", "10", "--visitors", "engaged"],
         ["rollups", "--table", table],
     ):
