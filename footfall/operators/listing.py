@@ -76,15 +76,15 @@ def recent_of_engaged(visits: DataFrame, limit: int, rows_per_share: int = ROWS_
 
 
 def number_visitors(listed: DataFrame) -> DataFrame:
-    """Number the visitors of one listing by first appearance and drop the hash.
+    """Number the rows of one listing, and its visitors by first appearance, and drop the hash.
 
     Only ever applied to a listing, at most 500 rows, so the window over all of it is small.
     """
     in_order = Window.orderBy(*_newest_first())
-    placed = listed.withColumn("_row", F.row_number().over(in_order))
-    placed = placed.withColumn("_first", F.min("_row").over(Window.partitionBy("ip_hash")))
+    placed = listed.withColumn("row", F.row_number().over(in_order))
+    placed = placed.withColumn("_first", F.min("row").over(Window.partitionBy("ip_hash")))
     numbered = placed.withColumn("visitor", F.dense_rank().over(Window.orderBy("_first")))
-    return numbered.drop("_row", "_first", "ip_hash")
+    return numbered.drop("_first", "ip_hash")
 
 
 def list_visits(visits: DataFrame, limit: str | int | None = None, visitors: str | None = None) -> DataFrame:
@@ -97,6 +97,7 @@ def list_visits(visits: DataFrame, limit: str | int | None = None, visitors: str
 def present(numbered: DataFrame) -> DataFrame:
     """Listing columns under the names they are shown by; never the address hash."""
     return numbered.select(
+        "row",
         "visitor",
         "site",
         "path",
@@ -115,10 +116,10 @@ def present(numbered: DataFrame) -> DataFrame:
 
 
 def visit_documents(presented: DataFrame) -> DataFrame:
-    """One JSON object per listed visit, newest first; numbered so that the order survives."""
-    fields = {name: F.col(name) for name in presented.columns if name != "visited_at"}
+    """One JSON object per listed visit; numbered in the order of the listing."""
+    fields = {name: F.col(name) for name in presented.columns if name not in ("row", "visited_at")}
     fields["at"] = iso_instant(F.col("visited_at"))
-    order = Window.orderBy(F.desc("visited_at"), "site", "path", "visitor")
+    order = Window.orderBy("row")
     return presented.select(F.row_number().over(order).alias("row"), visit_document(fields).alias("document"))
 
 
