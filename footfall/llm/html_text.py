@@ -38,7 +38,7 @@ DROPPED = frozenset(
 CONTAINERS = frozenset("article main section div td body".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 DROPPED_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|cookies?|consent|gdpr|comments?|replies|disqus|footer|header|masthead|"
+    r"(?:^|[\s_-])(?:ads?|adsbygoogle|advert\w*|banner|breadcrumbs?|cookies?|consent|gdpr|comment\w*|replies|disqus|footer|header|masthead|"
     r"menu|nav|navbar|navigation|newsletter|notice|overlay|pagination|pager|popup|modal|promo\w*|related|recommend\w*|"
     r"share|sharing|sidebar|social|sponsor\w*|subscribe|subscription|tags?|toolbar|widget|login|signup)(?:$|[\s_-])",
     re.IGNORECASE,
