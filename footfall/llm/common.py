@@ -14,7 +14,7 @@ from footfall.session import shared_dir
 DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 # Text handled at once inside a task; a longer text is handled alone.
-CHUNK_BYTES = 4_000_000
+CHUNK_BYTES = 2_000_000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

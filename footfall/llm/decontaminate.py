@@ -30,7 +30,8 @@ from footfall.llm.common import documents, hashed_words, slices
 
 WALKS, TABLES, SAMPLES, EDITS = 5, 4, 6, 0.2
 MAX_GROUP_WORDS = 2_000_000
-_FILTER_BITS = 22
+# Marks of the keys that occur: small enough for the tables of all walks to stay in a core's cache.
+_FILTER_BITS = 19
 MATCH = "doc_id long, item_id long, edits int, first_word long, words int"
 
 
