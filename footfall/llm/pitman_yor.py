@@ -1,25 +1,28 @@
 """Language-model scores from a hierarchical Pitman-Yor model.
 
 Tokens are the words between ASCII white space, A-Z lower-cased, and one end for each text. The model has
-two levels of Chinese restaurants. Every history whose last token is one of the `contexts` most frequent
-(the end stands before a text's first word) has a restaurant of its own; their parent, which all share, is
-the restaurant of the empty history, where the tokens after any other word sit directly. Its base is uniform
-over the distinct training tokens and one unknown. Each table of a restaurant is a customer of the parent.
+two levels of Chinese restaurants. Every token seen before another (the end stands before a text's first
+word) has a restaurant for what follows it; their parent, which all share, is the restaurant of the empty
+history, whose word comes after a token never seen. Its base is uniform over the distinct training tokens and
+one unknown. Each table of a restaurant is a customer of the parent. With `contexts` given, only that many
+most frequent tokens have restaurants, and what follows others sits at the parent directly.
 
 Seating is sampled by blocked Gibbs sweeps: in a sweep all customers of a dish leave a restaurant and are
 seated again one after the other, at a new table with a probability that depends on the parent's predictive
 probability of the dish and the tables of all other dishes, as of the sweep before. Given those totals,
-dishes are independent, so a sweep is one pass over the table of dishes, however frequent a dish or context
-is, and only the totals (a number for each restaurant) go through the driver. Draws are hashes of dish,
-restaurant, sweep and customer: a task that runs again seats as before, and sweeps are recomputed instead of
-stored. Customers beyond the EXACT-th of a dish arrive in blocks of growing size, each with the tables at its
+cells (a context and a token that followed it) are independent, so a sweep is a pass over the table of cells,
+which meet the tables of their context and of their token in joins, however frequent these are; only the
+parent's totals go through the driver. A cell seen once has one table in every sweep and is not seated again.
+Draws are hashes of dish, restaurant, sweep and customer: a task that runs again seats as before. With
+`contexts` given, cells are lists of their dish and sweeps are recomputed instead of stored. Customers beyond the EXACT-th of a dish arrive in blocks of growing size, each with the tables at its
 start. Discounts are estimated from the numbers of tokens seen once and twice, the strength of the
 context restaurants by leave-one-out likelihood. Predictive probabilities are averaged over the sweeps after
 burn-in.
 
 Counts cover all training text and combine in each task before they are shuffled. Scoring reads each text
-once against the `head` most frequent tokens, whose table has a fixed size; the others meet the table of
-dishes in a join. Tokens are known by 64-bit hashes.
+against the `head` most frequent cells (tokens, with `contexts` given), whose table has a fixed size; the
+others meet the table of scores in a join. Tokens and cells are known by 64-bit hashes. Rows that are not held
+out are the training text.
 
 Defined results: a null text is empty, which is its end alone; rows that agree in doc_id and words score
 alike, and each gives a row; without training text every token is unknown; an empty table gives an empty
@@ -37,7 +40,7 @@ from pyspark.sql import functions as F
 
 from footfall.llm.common import codes_of, documents, fold, hash_strings, mix64, slices, stored, words_of
 
-CONTEXTS, HEAD, BURN_IN, SAMPLES = 64, 65_536, 1, 3
+HEAD, HEAD_CELLS, BURN_IN, SAMPLES = 65_536, 524_288, 1, 3
 EXACT, GROWTH = 64, 1.15
 HELD_ENTRIES = 2_000_000
 END = int(hash_strings(pa.array([""])).view(np.int64)[0])
@@ -46,8 +49,11 @@ _STEP = 0x9E3779B97F4A7C15
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Token codes of all texts, hashes by code, and where each text's tokens begin; code 0 is the end."""
-    words, bounds = words_of(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+    words, bounds = words_of(texts)
     codes, distinct = codes_of(words)
+    # Lower-cased as distinct words: ascii_lower reads a cast slice of an array from the wrong place.
+    lowered, distinct = codes_of(pc.ascii_lower(distinct))
+    codes = lowered[codes]
     hashes = np.concatenate([[END], hash_strings(distinct).view(np.int64)]).astype(np.int64)
     bounds = bounds + np.arange(len(bounds))
     out = np.zeros(len(words) + len(texts), np.int64)
@@ -76,7 +82,7 @@ class Counts:
         self.parts.append((token, context, n))
         self.size += len(token)
 
-    def take(self) -> pa.RecordBatch:
+    def take(self, kind: type = np.int32) -> pa.RecordBatch:
         token, context, n = (np.concatenate(x) for x in zip(*self.parts))
         order = np.lexsort((context, token))
         token, context, n = token[order], context[order], n[order]
@@ -85,7 +91,7 @@ class Counts:
         at = np.flatnonzero(new)
         self.parts, self.size = [], 0
         sums = np.add.reduceat(n, at) if len(at) else n
-        arrays = [pa.array(token[at]), pa.array(context[at].astype(np.int32)), pa.array(sums)]
+        arrays = [pa.array(token[at]), pa.array(context[at].astype(kind)), pa.array(sums)]
         return pa.RecordBatch.from_arrays(arrays, ["token", "context", "n"])
 
 
@@ -273,8 +279,297 @@ def context_strength(dishes: DataFrame, model: Restaurants, grid: list[float]) -
     return grid[best["k"]] if best else grid[0]
 
 
-def train(docs: DataFrame, contexts: int = CONTEXTS, burn_in: int = BURN_IN, samples: int = SAMPLES) -> tuple[DataFrame, Restaurants]:
-    """The table of dishes (token, cells) and the sampled restaurants; totals[burn_in:] belong to the samples."""
+def cell_counts(texts: DataFrame) -> DataFrame:
+    """(context, token, n) of every token by the hash of the token before it, several rows for a pair."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = Counts()
+        for batch in slices(batches):
+            codes, hashes, _ = tokens(batch.column("text"))
+            # The token before a text's first is the end of the text before it, code 0.
+            keys, n = np.unique(np.concatenate([[0], codes[:-1]]) * len(hashes) + codes, return_counts=True)
+            held.add(hashes[keys % len(hashes)], hashes[keys // len(hashes)], n.astype(np.int64))
+            if held.size > HELD_ENTRIES:
+                yield held.take(np.int64)
+        if held.size:
+            yield held.take(np.int64)
+
+    return texts.select("text").mapInArrow(count, "token long, context long, n long")
+
+
+def cell_keys(context: np.ndarray, token: np.ndarray) -> np.ndarray:
+    """64-bit keys of cells; the same as `cell_key` of columns."""
+    turned = context.view(np.uint64)
+    turned = (turned << np.uint64(23)) | (turned >> np.uint64(41))
+    return (turned ^ token.view(np.uint64)).view(np.int64)
+
+
+def cell_key() -> Column:
+    turned = F.shiftleft("context", 23).bitwiseOR(F.shiftrightunsigned("context", 41))
+    return turned.bitwiseXOR(F.col("token"))
+
+
+@dataclass
+class AllRestaurants:
+    """A restaurant for every seen context: numbers of the whole, and tables of cells, tokens and contexts.
+
+    `cells` holds the cells seen more than once with their tables in each sample (kept_0 ...), `tokens` the
+    parent's customers less discounts in each sample (kept_0 ...).
+    """
+
+    pairs: DataFrame
+    cells: DataFrame
+    tokens: DataFrame
+    contexts: DataFrame
+    distinct: int
+    total: int
+    samples: int
+    discounts: tuple[float, float]  # contexts, parent
+    strengths: tuple[float, float]
+    totals: list[tuple[float, float]] = field(default_factory=list)  # customers and tables of the parent
+
+    @property
+    def base(self) -> float:
+        return 1.0 / (self.distinct + 1)
+
+    def parent(self, weight, totals: tuple[float, float]):
+        """The parent's probability of a token with `weight`, its customers less discounts."""
+        customers, tables = totals
+        return (weight + (self.strengths[1] + self.discounts[1] * tables) * self.base) / (self.strengths[1] + customers)
+
+    def unknown(self) -> list[float]:
+        return [float(self.parent(0.0, t)) for t in self.totals[-self.samples :]] if self.total else [1.0] * self.samples
+
+    def by_token(self) -> DataFrame:
+        """token, count, parent_0 ...: the parent's probability in each sample."""
+        kept = [F.col(f"kept_{k}") for k in range(self.samples)]
+        parents = [self.parent(w, t).alias(f"parent_{k}") for k, (w, t) in enumerate(zip(kept, self.totals[-self.samples :]))]
+        return self.tokens.select("token", "count", *parents)
+
+    def by_context(self) -> DataFrame:
+        """context, scale, passed_0 ...: the share that the context's restaurant passes on in each sample."""
+        sums = self.cells.groupBy("context").agg(*[F.sum(f"kept_{k}").alias(f"kept_{k}") for k in range(self.samples)])
+        scale = self.strengths[0] + F.col("size")
+        tables = [F.col("ones") + F.coalesce(f"kept_{k}", F.lit(0)) for k in range(self.samples)]
+        passed = [((self.strengths[0] + self.discounts[0] * t) / scale).alias(f"passed_{k}") for k, t in enumerate(tables)]
+        return self.contexts.join(sums, "context", "left").select("context", scale.alias("scale"), *passed)
+
+    def often(self) -> DataFrame:
+        """context, token, n, own of the cells seen more than once; own / scale is what the restaurant gives itself."""
+        tables = sum((F.col(f"kept_{k}") for k in range(1, self.samples)), F.col("kept_0"))
+        return self.cells.select("context", "token", "n", (F.col("n") - self.discounts[0] * tables / self.samples).alias("own"))
+
+    def once(self) -> DataFrame:
+        return self.pairs.filter(F.col("n") == 1).select("context", "token", "n", F.lit(1.0 - self.discounts[0]).alias("own"))
+
+
+def strength_of_all(cells: DataFrame, contexts: DataFrame, total: int, lowered: float, grid: list[float]) -> float:
+    """The strength under which the context restaurants best predict each customer from the others.
+
+    The customer of a cell seen once is predicted by its parent alone, whose share does not depend on the strength.
+    """
+    others = F.greatest(F.col("size") - 1, F.lit(1))
+    share = F.col("count") / float(total)
+    single, several = [], []
+    for k, strength in enumerate(grid):
+        passed = strength + lowered * F.col("kinds")
+        single.append(F.sum(F.col("ones") * (F.log(passed) - F.log(strength + others))).alias(str(k)))
+        chance = (F.col("n") - 1 - lowered + passed * share) / (strength + others)
+        several.append(F.sum(F.col("n") * F.log(F.greatest(chance, F.lit(1e-300)))).alias(str(k)))
+    first, second = contexts.agg(*single).first(), cells.agg(*several).first()
+    sums = [(first[k] or 0.0) + (second[k] or 0.0) for k in range(len(grid))]
+    return grid[sums.index(max(sums))]
+
+
+def train_all(docs: DataFrame, burn_in: int, samples: int) -> AllRestaurants:
+    """Restaurants for all contexts, sampled; the last `samples` totals belong to the samples."""
+    pairs = stored(cell_counts(docs).groupBy("context", "token").agg(F.sum("n").alias("n")), "pairs")
+    numbers = [F.count("*").alias("kinds"), F.count(F.when(F.col("n") == 1, 1)).alias("ones")]
+    tokens = stored(pairs.groupBy("token").agg(F.sum("n").alias("count"), *numbers), "tokens")
+    contexts = stored(pairs.groupBy("context").agg(F.sum("n").alias("size"), *numbers), "contexts")
+    seen = [F.count(F.when(F.col("count") == k, 1)) for k in (1, 2)]
+    total, distinct, *few = tokens.agg(F.sum("count"), F.count("*"), *seen).first()
+    kinds, *rare = pairs.agg(F.count("*"), *[F.count(F.when(F.col("n") == k, 1)) for k in (1, 2)]).first()
+    lowered = discount(*rare), discount(*few)
+    # What every sweep needs of a cell, with the state before the first: one table for each cell and token.
+    cells = pairs.filter(F.col("n") > 1).join(contexts, "context")
+    cells = cells.join(tokens.select("token", "count", F.col("kinds").alias("customers")), "token")
+    cells = stored(cells, "cells")
+    grid = [10.0**k for k in range(7)]
+    strengths = (strength_of_all(cells, contexts, total, lowered[0], grid) if total else 1.0), 1.0
+    model = AllRestaurants(pairs, cells, tokens, contexts, distinct, total or 0, samples, lowered, strengths, [(float(kinds), float(distinct))])
+    state = cells.withColumn("tables", F.lit(1)).withColumn("seated", F.col("kinds")).withColumn("parents", F.lit(1))
+    dishes = tokens.withColumn("parents", F.lit(1))
+    kept: list[str] = []
+    for number in range(burn_in + samples):
+        if number:
+            of_context = state.groupBy("context").agg((F.sum("tables") + F.max("ones")).alias("seated"))
+            state = state.join(of_context, "context").join(dishes.select("token", "customers", "parents"), "token")
+        name = f"kept_{number - burn_in}" if number >= burn_in else None
+        state = stored(seated_cells(state, model, number, kept, name), "cells")
+        of_token = state.groupBy("token").agg(F.sum("tables").alias("seated"))
+        customers = (F.col("ones") + F.coalesce("seated", F.lit(0))).alias("customers")
+        dishes = dishes.join(of_token, "token", "left").select("token", "count", "ones", "parents", customers, *kept)
+        dishes = stored(seated_parents(dishes, model, number, kept, name), "tokens")
+        if name:
+            kept.append(name)
+        sums = dishes.agg(F.sum("customers"), F.sum("parents")).first()
+        model.totals.append((float(sums[0] or 0), float(sums[1] or 0)))
+    model.cells, model.tokens = state, dishes
+    return model
+
+
+def seated_cells(state: DataFrame, model: AllRestaurants, number: int, kept: list[str], name: str | None) -> DataFrame:
+    """The cells after a sweep; their tables are also kept under `name`."""
+    totals, strengths, discounts, base = model.totals[-1], model.strengths, model.discounts, model.base
+    names = ["context", "token", "n", "ones", "tables", *kept]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("context", "token", "n", "tables", "seated", "customers", "parents")}
+            weight = at["customers"] - discounts[1] * at["parents"]
+            probability = (weight + (strengths[1] + discounts[1] * totals[1]) * base) / (strengths[1] + totals[0])
+            new = strengths[0] + discounts[0] * np.maximum(at["seated"] - at["tables"], 0)
+            key = mix64(at["token"].view(np.uint64) + np.uint64(number))
+            key = mix64(key + at["context"].view(np.uint64) + np.uint64(1))
+            tables = pa.array(seat(at["n"], new, probability, discounts[0], key).astype(np.int64))
+            columns = [tables if c == "tables" else batch.column(c) for c in names]
+            yield pa.RecordBatch.from_arrays(columns + ([tables] if name else []), names + ([name] if name else []))
+
+    schema = ", ".join(f"{c} long" for c in names + ([name] if name else []))
+    return state.select(*names, "seated", "customers", "parents").mapInArrow(run, schema)
+
+
+def seated_parents(dishes: DataFrame, model: AllRestaurants, number: int, kept: list[str], name: str | None) -> DataFrame:
+    """The parent's tables after a sweep; its customers less discounts are also kept under `name`."""
+    totals, strength, lowered, base = model.totals[-1], model.strengths[1], model.discounts[1], model.base
+    names = ["token", "count", "ones", "customers", "parents", *kept]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            token, customers, parents = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("token", "customers", "parents"))
+            new = strength + lowered * np.maximum(totals[1] - parents, 0)
+            key = mix64(token.view(np.uint64) + np.uint64(number))
+            parents = seat(customers, new, np.full(len(token), base), lowered, key).astype(np.int64)
+            columns = [pa.array(parents) if c == "parents" else batch.column(c) for c in names]
+            weight = [pa.array(customers - lowered * parents)] if name else []
+            yield pa.RecordBatch.from_arrays(columns + weight, names + ([name] if name else []))
+
+    types = ", ".join([f"{c} {'double' if c in kept else 'long'}" for c in names] + ([f"{name} double"] if name else []))
+    return dishes.select(*names).mapInArrow(run, types)
+
+
+def cell_scores(cells: DataFrame, model: AllRestaurants) -> DataFrame:
+    """cell, count (of its token), score of (context, token, own), all of them averaged over the samples."""
+    met = cells.join(model.by_context(), "context", "left").withColumn("cell", cell_key())
+    met = met.drop("context").join(model.by_token(), "token", "left")
+    own = F.coalesce(F.col("own") / F.col("scale"), F.lit(0.0))
+    for k, unknown in enumerate(model.unknown()):
+        own = own + F.coalesce(f"passed_{k}", F.lit(1.0)) * F.coalesce(f"parent_{k}", F.lit(unknown)) / model.samples
+    return met.select("cell", F.coalesce("count", F.lit(0)).alias("count"), F.log10(own).alias("score"))
+
+
+@dataclass
+class HeadCells:
+    """The most frequent cells in order of key, with the counts of their tokens and log10 probabilities."""
+
+    cells: np.ndarray
+    counts: np.ndarray
+    scores: np.ndarray
+
+
+def head_cells(model: AllRestaurants, head: int) -> HeadCells:
+    """At most `head` cells: whole steps of an eighth of a doubling."""
+    often = model.often()
+    step = F.floor(F.log2(F.col("n").cast("double")) * 8)
+    steps = sorted(((r["step"], r["n"]) for r in often.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect()), reverse=True)
+    taken, least = 0, None
+    for at, n in steps:
+        if taken + n > head:
+            break
+        taken, least = taken + n, at
+    if not taken:
+        return HeadCells(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    rows = cell_scores(often.filter(step >= least), model).toArrow().combine_chunks().sort_by("cell")
+    return HeadCells(*(rows.column(c).to_numpy() for c in ("cell", "count", "score")))
+
+
+def score_all(docs: DataFrame, model: AllRestaurants, head: int) -> DataFrame:
+    """doc_id, held_out (as given), n_tokens, n_known, train_tokens, base_score, score of every row."""
+    shared = docs.sparkSession.sparkContext.broadcast(head_cells(model, head))
+    below = float(model.total + model.distinct + 1)
+
+    def read(batch: pa.RecordBatch):
+        codes, hashes, bounds = tokens(batch.column("text"))
+        known = shared.value
+        cells = cell_keys(hashes[np.concatenate([[0], codes[:-1]])], hashes[codes])
+        at = np.minimum(np.searchsorted(known.cells, cells), max(0, len(known.cells) - 1))
+        place = np.where(known.cells[at] == cells, at, -1) if len(known.cells) else np.full(len(cells), -1)
+        owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+        return cells, place, owner, bounds, document_keys(batch.column("doc_id"), codes, hashes, bounds)
+
+    def by_head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        for batch in slices(batches):
+            _, place, owner, bounds, keys = read(batch)
+            n, inside = len(bounds) - 1, place >= 0
+            counts, scores = known.counts[place[inside]], known.scores[place[inside]]
+            sums = [np.bincount(owner[inside], values, n).astype(float) for values in (np.log10((counts + 1) / below), scores)]
+            numbers = np.diff(bounds), np.bincount(owner[inside], minlength=n).astype(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys), batch.column("doc_id").cast(pa.int64()), batch.column("held_out"), *map(pa.array, (*numbers, *sums))],
+                ["key", "doc_id", "held_out", "n_tokens", "n_known", "base", "score"],
+            )
+
+    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            cells, place, owner, _, keys = read(batch)
+            out = place < 0
+            yield pa.RecordBatch.from_arrays([pa.array(keys[owner[out]]), pa.array(cells[out])], ["key", "cell"])
+
+    texts = docs.select("doc_id", "held_out", "text")
+    heads = texts.mapInArrow(by_head, "key long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double")
+    others = texts.select("doc_id", "text").mapInArrow(rest, "key long, cell long")
+    unseen = cell_counts(docs.filter(F.coalesce("held_out", F.lit(True)))).select("context", "token").distinct()
+    every = model.often().unionByName(model.once()).drop("n").unionByName(unseen.withColumn("own", F.lit(0.0)))
+    # A held-out cell that was trained on is there twice: with what its restaurant gives it, it scores higher.
+    scores = cell_scores(every, model).groupBy("cell").agg(F.max("count").alias("count"), F.max("score").alias("score"))
+    met = others.join(scores, "cell", "left")
+    missing = F.raise_error(F.lit("a row that is not held out is not part of the training text"))
+    found = met.groupBy("key").agg(
+        F.count(F.when(F.col("count") > 0, 1)).alias("n_known"),
+        F.sum(F.log10((F.coalesce(F.col("count"), missing.cast("long")) + 1) / F.lit(below))).alias("base"),
+        F.sum("score").alias("score"),
+    )
+    # Rows that agree in doc_id and words share a key and score alike.
+    whole = heads.groupBy("key").agg(
+        F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.count("*").alias("copies"),
+        *[F.sum(c).alias(f"head_{c}") for c in ("n_tokens", "n_known", "base", "score")],
+    )
+    one = whole.join(found, "key", "left").withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))))
+    summed = {c: (F.col(f"head_{c}") + F.coalesce(F.col(c), F.lit(0))) / F.col("copies") for c in ("n_known", "base", "score")}
+    return one.select(
+        "doc_id",
+        "held_out",
+        (F.col("head_n_tokens") / F.col("copies")).cast("long").alias("n_tokens"),
+        summed["n_known"].cast("long").alias("n_known"),
+        F.lit(model.total).cast("long").alias("train_tokens"),
+        summed["base"].alias("base_score"),
+        summed["score"].alias("score"),
+    )
+
+
+def train(
+    docs: DataFrame, contexts: int | None = None, burn_in: int = BURN_IN, samples: int = SAMPLES
+) -> tuple[DataFrame, Restaurants | AllRestaurants]:
+    """The table of counts and the sampled restaurants of all contexts.
+
+    With `contexts`, the table of dishes (token, cells) and the restaurants of the most frequent tokens;
+    totals[burn_in:] belong to the samples.
+    """
+    if contexts is None:
+        model = train_all(docs, burn_in, samples)
+        return model.pairs, model
     counts = stored(pair_counts(docs, None).groupBy("token").agg(F.sum("n").alias("n")), "token-counts")
     seen = counts.agg(F.sum("n"), F.count("*"), F.count(F.when(F.col("n") == 1, 1)), F.count(F.when(F.col("n") == 2, 1))).first()
     total, distinct = seen[0] or 0, seen[1]
@@ -375,8 +670,13 @@ def document_keys(ids: pa.Array, codes: np.ndarray, hashes: np.ndarray, bounds:
     return mix64(sums[bounds[1:]] - sums[bounds[:-1]] + mix64(number + np.uint64(1))).view(np.int64)
 
 
-def score(docs: DataFrame, dishes: DataFrame, model: Restaurants, burn_in: int = BURN_IN, head: int = HEAD) -> DataFrame:
+def score(
+    docs: DataFrame, dishes: DataFrame, model: Restaurants | AllRestaurants, burn_in: int = BURN_IN, head: int | None = None
+) -> DataFrame:
     """doc_id, held_out (as given), n_tokens, n_known, train_tokens, base_score, score of every row."""
+    if isinstance(model, AllRestaurants):
+        return score_all(docs, model, HEAD_CELLS if head is None else head)
+    head = HEAD if head is None else head
     spark = docs.sparkSession
     kept = model.totals[burn_in + 1 :] or model.totals
     shares = np.column_stack([model.passed_on(t) for t in kept])  # contexts x samples

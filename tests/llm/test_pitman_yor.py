@@ -75,6 +75,34 @@ def test_probabilities_add_up_to_one(spark):
         assert total == pytest.approx(1)
 
 
+def test_every_context_has_a_restaurant(spark):
+    """Of 300 words that decide the next one, all are learned, however many are as frequent; scores against a plain sum."""
+    table = [(k, " ".join(f"c{w} d{w}" for w in range(k % 10, 300, 10)), "en", "s", 0) for k in range(80)]
+    # Fold 2 is held out: one document with the words that follow, one with the same words changed around.
+    one, two = [k for k in range(1000, 1100) if zlib.crc32(str(k).encode()) % 7 == 2][:2]
+    table += [(one, "c7 d7 c207 d207 c291 d291", "en", "s", 0), (two, "c7 d207 c207 d291 c291 d7", "en", "s", 0)]
+    found, _, model = scored(spark, table)
+    score = {r["doc_id"]: r["score"] for r in found.collect()}
+    assert score[one] > score[two] + 6 * 0.5
+    assert model.contexts.count() == len({w for row in table[:80] if zlib.crc32(str(row[0]).encode()) % 7 != 2 for w in tokens(row[1])})
+    # What a restaurant gives its own cells and passes on add up to one, and so do the parent's probabilities.
+    parents = {r["token"]: [r[f"parent_{k}"] for k in range(3)] for r in model.by_token().collect()}
+    assert np.allclose(np.sum(list(parents.values()), axis=0) + model.unknown(), 1)
+    own, cells = Counter(), {}
+    for r in model.often().unionByName(model.once()).collect():
+        own[r["context"]] += r["own"]
+        cells[r["context"], r["token"]] = r["own"]
+    shares = {r["context"]: (r["scale"], [r[f"passed_{k}"] for k in range(3)]) for r in model.by_context().collect()}
+    assert all(own[c] / scale + np.mean(passed) == pytest.approx(1) for c, (scale, passed) in shares.items())
+    for doc in (one, two):
+        codes, hashes, _ = pitman_yor.tokens(pa.array([row[1] for row in table if row[0] == doc]))
+        total = 0.0
+        for before, token in zip(hashes[np.concatenate([[0], codes[:-1]])].tolist(), hashes[codes].tolist()):
+            scale, passed = shares[before]
+            total += math.log10(cells.get((before, token), 0.0) / scale + np.mean(np.array(passed) * parents[token]))
+        assert score[doc] == pytest.approx(total)
+
+
 def test_seating_bounds_and_tables():
     n = np.array([0, 1, 2, 50, 5000, 10_000_000])
     key = np.arange(6, dtype=np.uint64) * np.uint64(977)
@@ -118,3 +146,10 @@ def test_tokens():
     assert bounds.tolist() == [0, 4, 5, 6, 8]
     assert codes[[3, 4, 5, 7]].tolist() == [0, 0, 0, 0] and codes[0] == codes[2] != codes[1]
     assert len(set(hashes.tolist())) == len(hashes) == 4
+
+
+def test_tokens_of_a_piece_of_a_batch():
+    """`slices` hands on parts of an array, whose text begins somewhere inside its buffers."""
+    texts = pa.array([f"Long Text {k} before " * 50 + prose(k, 20) for k in range(40)])
+    for part, whole in zip(pitman_yor.tokens(texts.slice(25, 3)), pitman_yor.tokens(pa.array(texts.slice(25, 3).to_pylist()))):
+        assert part.tolist() == whole.tolist()
