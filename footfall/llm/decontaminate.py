@@ -4,12 +4,14 @@ The CGK embedding walks over a string: in step j it outputs the current symbol a
 of (j, symbol) is 1. Two strings a few edits apart soon walk in step again, so their edit distance turns
 into a Hamming distance of the outputs. Symbols here are words of letters and digits in lower case.
 
-Items are grouped by length: those of 4 * 2^k - 1 words or more use windows of 3 * 2^k words, taken from
-documents at every 2^k-th word and from items at every word, so that each occurrence of an item holds a
-document window that starts at one of the item's own. All windows are embedded `walks` times; each
-embedding has `tables` tables, whose keys are samples of the steps. A document window that shares a key
-with an item window is a candidate place of the item, where the least number of word edits between the item
-and any stretch of the document is computed exactly. An item of n words is found at up to `edits` * n edits.
+Items are grouped by length: those of 4 * 2^k - 1 words or more, for k up to 2, use windows of 3 * 2^k words,
+taken from documents at every 2^k-th word and from items at every word, so that each occurrence of an item
+holds a document window that starts at one of the item's own. Windows of longer items stay that short: the more
+words an item has, the more of its windows have few edits, and one is enough. All windows are embedded `walks`
+times; each embedding has `tables` tables, whose keys are samples of the steps. A document window that shares a
+key with an item window is a candidate place of the item. Where enough of the item's words are near, the least
+number of word edits between the whole item and any stretch of the document is computed exactly, and the item
+of n words is found if it is at most `edits` * n.
 
 The embedding is part of one pass over the documents without any shuffle. The benchmark is sent to the
 tasks in groups of at most MAX_GROUP_WORDS words, in as many passes as it takes.
@@ -29,6 +31,7 @@ from pyspark.sql import functions as F
 from footfall.llm.common import documents, hashed_words, slices
 
 WALKS, TABLES, SAMPLES, EDITS = 5, 4, 6, 0.2
+LONGEST_CLASS = 2
 MAX_GROUP_WORDS = 2_000_000
 # Marks of the keys that occur: small enough for the tables of all walks to stay in a core's cache.
 _FILTER_BITS = 19
@@ -36,8 +39,13 @@ MATCH = "doc_id long, item_id long, edits int, first_word long, words int"
 
 
 def size_class(words: int) -> int:
-    """The largest k with 4 * 2^k - 1 <= words."""
-    return ((words + 1) // 4).bit_length() - 1
+    """The largest k with 4 * 2^k - 1 <= words, LONGEST_CLASS at most."""
+    return min(LONGEST_CLASS, ((words + 1) // 4).bit_length() - 1)
+
+
+def place_step(words: int, edits: float) -> int:
+    """Windows of an item that look alike count once in so many words; places are exact up to it."""
+    return max(1, int(edits * words) // 4)
 
 
 def sampled_steps(k: int, walk: int) -> tuple[int, int, list[np.ndarray]]:
@@ -94,7 +102,7 @@ class Walk:
 class Tables:
     """Window keys of the items of one size class."""
 
-    def __init__(self, k: int, items: list[np.ndarray], numbers: list[int]):
+    def __init__(self, k: int, items: list[np.ndarray], numbers: list[int], edits: float = EDITS):
         self.k = k
         window = 3 * 2**k
         gap = np.zeros(window * 2, np.uint32)
@@ -103,6 +111,7 @@ class Tables:
         places = [np.arange(len(words) - window + 1) for words in items]
         self.owner = np.concatenate([np.full(len(at), n) for n, at in zip(numbers, places)])
         self.offset = np.concatenate(places)
+        part = np.concatenate([at // place_step(len(words), edits) for words, at in zip(items, places)])
         starts = np.concatenate([b + at for b, at in zip(begins, places)])
         self.walks = []
         for number in range(WALKS):
@@ -113,6 +122,10 @@ class Tables:
             tables = []
             for keys in map(_mix32, walk.keys):
                 order = np.argsort(keys, kind="stable")
+                # An item that repeats itself has the same window many times: first of each part only.
+                new = np.ones(len(order), bool)
+                new[1:] = np.any([x[order][1:] != x[order][:-1] for x in (keys, self.owner, part)], axis=0)
+                order = order[new]
                 tables.append((keys[order], order, self._marks(keys)))
             self.walks.append((halves, tables))
 
@@ -178,18 +191,28 @@ def least_edits(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     return int(cost[end]), int(begin[end]), end - int(begin[end])
 
 
-def best_match(item: np.ndarray, text: np.ndarray, places: np.ndarray, allowed: int) -> tuple[int, int, int] | None:
-    """The best of an item's candidate places in one document; the first of equals."""
+def missing_words(item: np.ndarray, text: np.ndarray) -> int:
+    """How many of the item's words the text does not hold: no stretch of it has fewer edits."""
+    words, counts = np.unique(item, return_counts=True)
+    at = np.minimum(np.searchsorted(words, text), len(words) - 1)
+    held = np.bincount(at[words[at] == text], minlength=len(words))
+    return len(item) - int(np.minimum(held, counts).sum())
+
+
+def best_match(item: np.ndarray, text: np.ndarray, places: np.ndarray, allowed: int, step: int = 1) -> tuple[int, int, int] | None:
+    """The best of an item's candidate places, which are up to step - 1 too far right; the first of equals."""
     best, done = None, -1
     for place in np.sort(places):
-        low, high = max(0, int(place) - allowed), min(len(text), int(place) + len(item) + 2 * allowed)
+        low, high = max(0, int(place) - allowed - step + 1), min(len(text), int(place) + len(item) + 2 * allowed)
         if low < done and int(place) + len(item) + allowed <= done:
             continue  # the stretch is inside one that was looked at
         exact = text[max(0, int(place)) : max(0, int(place)) + len(item)]
         if len(exact) == len(item) and (exact == item).all():
             return 0, max(0, int(place)), len(item)
-        edits, first, words = least_edits(item, text[low:high])
         done = high
+        if missing_words(item, text[low:high]) > allowed:
+            continue
+        edits, first, words = least_edits(item, text[low:high])
         if edits <= allowed and (best is None or edits < best[0]):
             best = (edits, low + first, words)
     return best
@@ -227,7 +250,7 @@ def _group_matches(docs: DataFrame, items: list[tuple[int, str]], edits: float)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, words, by_class = shared.value
-        tables = [Tables(k, [symbols_of(words[n]) for n in numbers], numbers) for k, numbers in sorted(by_class.items())]
+        tables = [Tables(k, [symbols_of(words[n]) for n in numbers], numbers, edits) for k, numbers in sorted(by_class.items())]
         for batch in slices(batches):
             hashes, bounds = hashed_words(batch.column("text"))
             symbols = symbols_of(hashes)
@@ -239,7 +262,7 @@ def _group_matches(docs: DataFrame, items: list[tuple[int, str]], edits: float)
                 for group in np.split(places, cuts) if len(places) else []:
                     document, number = int(group[0, 0]), int(group[0, 1])
                     item, text = words[number], hashes[bounds[document] : bounds[document + 1]]
-                    match = best_match(item, text, group[:, 2], int(edits * len(item)))
+                    match = best_match(item, text, group[:, 2], int(edits * len(item)), place_step(len(item), edits))
                     if match:
                         out.append((doc_ids[document], ids[number], *match))
             columns = list(zip(*out)) if out else [[]] * 5

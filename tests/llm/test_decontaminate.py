@@ -52,6 +52,36 @@ def test_recall(spark, rate, least):
     assert all(r["edits"] <= 0.2 * len(dict(ITEMS)[r["item_id"]].split()) for r in found)
 
 
+@pytest.mark.parametrize("rate", [0.1, 0.19])
+def test_recall_of_long_items(spark, rate):
+    items = [(10 * n + k, prose(9000 + n + k, n)) for n in (31, 63, 127, 255, 350, 800, 1023) for k in range(6)]
+    rows = [
+        (k, f"{prose(k, 17)} {edited(text, int(rate * len(text.split())), k)}. {prose(k + 1, 40)}", "en", "s", 0)
+        for k, (_, text) in enumerate(items)
+    ]
+    wanted = {(k, item) for k, (item, _) in enumerate(items)}
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.matches(documents(spark, rows), benchmark(spark, items)).collect()}
+    assert found <= wanted
+    for size in (63, 127, 255, 350, 800, 1023):
+        assert {pair for pair in wanted if pair[1] // 10 == size} <= found
+    assert len(found) >= 0.95 * len(wanted)
+
+
+def test_an_item_that_repeats_itself(spark):
+    """Its windows look alike; it is found, and in time, also with edits and away from where a window begins."""
+    item = "again and " * 400 + prose(3, 40)
+    text = f"{prose(4, 13)} {edited(item, 60, 5)} {prose(6, 9)}"
+    found = decontaminate.matches(documents(spark, [(1, text, "", "", 0), (2, "and again " * 3000, "", "", 0)]), benchmark(spark, [(5, item)])).collect()
+    assert (1, 5) in {(r["doc_id"], r["item_id"]) for r in found} and min(r["edits"] for r in found) <= 60
+
+
+def test_missing_words_never_exceed_the_edits():
+    rng = np.random.default_rng(6)
+    for _ in range(200):
+        item, text = rng.integers(0, 5, rng.integers(1, 9)), rng.integers(0, 5, rng.integers(0, 14))
+        assert decontaminate.missing_words(item, text) <= decontaminate.least_edits(item, text)[0]
+
+
 def test_where_and_how_far(spark):
     item = prose(1, 20)
     words = item.split()
