@@ -8,12 +8,12 @@ term t near an entity e has the pointwise mutual information
 
 A term with PMI >= remove * IC gives the entity away by itself and is removed; one with
 PMI >= generalise * IC narrows it down and is generalised to its kind of word. Chance is kept out by asking
-for the pair in `min_contexts` different surroundings (the words next to the term): their effective number,
-(sum of c)^2 / sum of c^2 over the documents c with each, so that copies and near copies of one passage
-count about once. A term is sanitised in the documents that name the entity it discloses.
+for the pair in `min_contexts` different surroundings (the words next to the term), so that copies of one
+passage count once and, however many there are, take nothing from the others. A term is sanitised in the
+documents that name the entity it discloses.
 
 Work grows with the text: only words within `reach` words of an entity are candidates, document
-frequencies combine in each task before the shuffle, and candidates meet them in a join.
+frequencies of all words combine in each task before the shuffle, and candidates meet them in a join.
 
 Defined results: a null text is empty and has no spans; repeated rows are documents of their own in the
 counts and each get their spans; an empty table gives an empty table; other columns are ignored.
@@ -137,11 +137,11 @@ def mentions(docs: DataFrame, reach: int) -> DataFrame:
 def term_frequencies(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """In how many documents each term occurs; terms are lower-case words."""
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]{2,}"), 0))
-    exploded = docs.select(F.explode(words).alias("term"))
+    counted = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
     if terms.limit(MAX_BROADCAST_TERMS + 1).count() <= MAX_BROADCAST_TERMS:
-        exploded = exploded.join(F.broadcast(terms), "term", "left_semi")
-        return exploded.groupBy("term").agg(F.count("*").alias("n_term"))
-    return exploded.groupBy("term").agg(F.count("*").alias("n_term")).join(terms, "term", "left_semi")
+        terms = F.broadcast(terms)
+    # A semi join would be moved below the counts and pass every occurrence on; the terms are distinct.
+    return counted.join(terms, "term")
 
 
 def disclosing_terms(
@@ -149,10 +149,8 @@ def disclosing_terms(
 ) -> DataFrame:
     """(doc, term, action): terms to sanitise in each document that names the entity they disclose."""
     found = stored(mentions(docs, reach), "mentions")
-    once = found.groupBy("entity", "term", "around").agg(F.countDistinct("doc").alias("_docs"))
-    different = F.sum("_docs") * F.sum("_docs") / F.sum(F.col("_docs") * F.col("_docs"))
-    different = once.groupBy("entity", "term").agg(different.alias("n_around")).filter(F.col("n_around") >= min_contexts)
-    pairs = found.groupBy("entity", "term").agg(F.countDistinct("doc").alias("n_pair")).join(different, ["entity", "term"])
+    numbers = F.countDistinct("doc").alias("n_pair"), F.countDistinct("around").alias("n_around")
+    pairs = found.groupBy("entity", "term").agg(*numbers).filter(F.col("n_around") >= min_contexts)
     entities = found.groupBy("entity").agg(F.countDistinct("doc").alias("n_entity"))
     # A term is in at least the documents where it is near some entity: with that bound its information
     # on an entity cannot be understated, so pairs that miss the lower threshold are settled already.

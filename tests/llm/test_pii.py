@@ -84,6 +84,13 @@ def test_copies_are_one_context(spark):
     assert pii.disclosing_terms(documents(spark, rows)).isEmpty()
 
 
+def test_copies_do_not_hide_other_surroundings(spark):
+    """A passage copied many times takes nothing from the evidence of the documents that differ."""
+    rows = corpus() + [(1000 + k, "Zorbix wrote from jane@home.example", "en", "s", 0) for k in range(300)]
+    found = {r["doc_id"]: r for r in pii.sanitise(documents(spark, rows)).collect()}
+    assert all("Zorbix" not in found[k]["text"] for k in [*range(500, 506), *range(1000, 1300)])
+
+
 def test_frequencies_do_not_depend_on_the_kind_of_join(spark, monkeypatch):
     docs = documents(spark, corpus())
     first = sorted(pii.sanitise(docs).collect(), key=str)
