@@ -8,9 +8,10 @@ term t near an entity e has the pointwise mutual information
 
 A term with PMI >= remove * IC gives the entity away by itself and is removed; one with
 PMI >= generalise * IC narrows it down and is generalised to its kind of word. Chance is kept out by asking
-for the pair in `min_contexts` different surroundings (the words next to the term), so that copies of one
-passage count once and, however many there are, take nothing from the others. A term is sanitised in the
-documents that name the entity it discloses.
+for the pair in `min_contexts` different surroundings (all words in reach of the entity, so that a term inside a
+fixed phrase has as many as the phrase). Copies of one passage count once and, however many there are, take
+nothing from the others; near copies whose words in reach differ count as different, so that in doubt a term
+is sanitised. A term is sanitised in the documents that name the entity it discloses.
 
 Work grows with the text: only words within `reach` words of an entity are candidates, document
 frequencies of all words combine in each task before the shuffle, and candidates meet them in a join.
@@ -103,16 +104,17 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 
 
 def contexts(text: str, spans: list[tuple[int, int, int]], reach: int) -> Iterator[tuple[str, str, str]]:
-    """(entity, term, digest of the words next to it) for the words within `reach` words of each span."""
+    """(entity, term, digest of all words in reach) for the words within `reach` words of each span."""
     for start, kind, end in spans:
         # A word may be long; this many characters on either side hold the words in reach.
         left, right = max(0, start - 40 * reach), end + 40 * reach
         words = [w for w in _WORD.finditer(text, left, right) if not any(s < w.end() and w.start() < e for s, _, e in spans)]
         near = [w for w in words if w.end() <= start][-reach:] + [w for w in words if w.start() >= end][:reach]
         entity = f"{KINDS[kind]}:{text[start:end].lower()}"
-        terms = ["", *[w.group().lower() for w in near], ""]
-        for before, term, after in zip(terms, terms[1:], terms[2:]):
-            yield entity, term, hashlib.blake2b(f"{before} {after}".encode(), digest_size=8).hexdigest()
+        terms = [w.group().lower() for w in near]
+        around = hashlib.blake2b(" ".join(terms).encode(), digest_size=8).hexdigest()
+        for term in dict.fromkeys(terms):
+            yield entity, term, around
 
 
 _MENTIONS = "entity string, term string, around string, doc string"

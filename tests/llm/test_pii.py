@@ -91,6 +91,14 @@ def test_copies_do_not_hide_other_surroundings(spark):
     assert all("Zorbix" not in found[k]["text"] for k in [*range(500, 506), *range(1000, 1300)])
 
 
+def test_names_inside_a_fixed_phrase(spark):
+    """The words of a name always have the same neighbours, in however many different documents it is."""
+    rows = [(k, prose(k), "en", "src0", 0) for k in range(200)]
+    rows += [(500 + k, f"{prose(900 + k, 20)} Dr Jane Smith, email jane@x.example. {prose(950 + k, 20)}", "en", "s", 0) for k in range(8)]
+    found = {r["doc_id"]: r["text"] for r in pii.sanitise(documents(spark, rows)).collect()}
+    assert all(word not in found[500 + k] for k in range(8) for word in ("Dr", "Jane", "Smith"))
+
+
 def test_frequencies_do_not_depend_on_the_kind_of_join(spark, monkeypatch):
     docs = documents(spark, corpus())
     first = sorted(pii.sanitise(docs).collect(), key=str)
