@@ -33,6 +33,25 @@ def test_without_an_article_element():
     assert found.startswith("Head This is paragraph number 0") and found.endswith("in it. End.") and "Link" not in found
 
 
+def paragraphs(name, n):
+    return "".join(f"<p>This is paragraph {name} {k} with a good deal of text in it.</p>" for k in range(n))
+
+
+def test_split_content_is_kept_whole():
+    found = main_text(f"<body><ul><li><a href='/'>Link</a></ul><div>{paragraphs('one', 6)}</div><div>{paragraphs('two', 4)}</div></body>")
+    assert all(f"one {k} " in found for k in range(6)) and all(f"two {k} " in found for k in range(4))
+    three = "".join(f"<article>{paragraphs(name, n)}</article>" for name, n in (("one", 4), ("two", 4), ("three", 2)))
+    assert "three 1 " in main_text(f"<body>{three}</body>")
+
+
+@pytest.mark.parametrize("name", ["content no-sidebar", "site has-banner", "post tag-news"])
+def test_a_word_in_the_name_of_a_wrapper_drops_no_main_text(name):
+    assert main_text(f"<body><div class='{name}'><nav>Home</nav>{ARTICLE}</div></body>") == TEXT
+    assert "one 5 " in main_text(f"<body><div class='{name}'>{paragraphs('one', 6)}</div><p>Imprint</p></body>")
+    comments = f"<div class='comments'><article class='comment'>{paragraphs('comment', 9)}</article></div>"
+    assert main_text(f"<body><div class='{name}'>{ARTICLE}</div>{comments}</body>") == TEXT
+
+
 @pytest.mark.parametrize("page", [None, "", "   ", "<html></html>", "<nav>Home</nav>", "<!-- x", "<p", "<![weird", "<script>x"])
 def test_pages_without_text(page):
     assert main_text(page) == "" or "<" not in main_text(page)
