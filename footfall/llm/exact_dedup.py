@@ -35,14 +35,12 @@ def digests(docs: DataFrame, id_column: str = "doc_id", text: Column | None = No
 
 
 def frequent(rows: DataFrame) -> DataFrame:
-    """(code): 64-bit hashes of the digests that a Misra-Gries summary names, MOST_HEAVY at most.
-
-    `rows` must not be empty.
-    """
+    """(code): 64-bit hashes of the digests that a Misra-Gries summary names, MOST_HEAVY at most."""
     codes = rows.select(F.xxhash64("digest").alias("code"))
     group = F.pmod(F.spark_partition_id(), F.lit(MERGE_GROUPS)).alias("group")
     summaries = codes.groupBy(group).agg(F.expr(f"approx_top_k_accumulate(code, {COUNTERS})").alias("summary"))
-    whole = summaries.agg(F.expr(f"approx_top_k_combine(summary, {COUNTERS})").alias("summary"))
+    # Without a key, an empty partition would give a summary of nothing, which Spark cannot merge.
+    whole = summaries.groupBy(F.lit(0).alias("all")).agg(F.expr(f"approx_top_k_combine(summary, {COUNTERS})").alias("summary"))
     named = F.expr(f"approx_top_k_estimate(summary, {MOST_HEAVY})")
     return whole.select(F.explode(named).alias("item")).select(F.col("item.item").alias("code"))
 
@@ -67,14 +65,11 @@ def exact_groups(docs: DataFrame, id_column: str = "doc_id", text: Column | None
     """
     rows = digests(docs, id_column, text)
     same = Window.partitionBy("digest")
-    if rows.isEmpty():
-        hot, rest = None, rows
-    else:
-        few = F.broadcast(heavy(rows))
-        hot, rest = rows.join(few, "digest"), rows.join(few.select("digest"), "digest", "left_anti")
+    few = F.broadcast(heavy(rows))
+    hot, rest = rows.join(few, "digest"), rows.join(few.select("digest"), "digest", "left_anti")
     settled = rest.withColumns({"size": F.count("*").over(same), "winner": _winner().over(same)})
     columns = ["id", "digest", "row", "size", "winner"]
-    settled = settled.select(*columns) if hot is None else settled.select(*columns).unionByName(hot.select(*columns))
+    settled = settled.select(*columns).unionByName(hot.select(*columns))
     return settled.select(
         F.col("id").alias(id_column),
         F.col("winner.id").alias("keep_id"),

@@ -49,6 +49,17 @@ def test_empty_table(spark):
     assert exact_dedup.exact_groups(documents(spark).limit(0)).collect() == []
 
 
+def test_empty_partitions(spark):
+    before = {key: spark.conf.get(key, None) for key in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "50")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        check(spark, [(k, "hot" if k % 3 else f"text {k}", None, None, 1) for k in range(90)])
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value) if value is not None else spark.conf.unset(key)
+
+
 def test_normalised_text(spark):
     rows = [(1, "A  b", None, None, 1), (2, "a b", None, None, 1), (3, "c", None, None, 1)]
     text = F.lower(F.regexp_replace("text", r"\s+", " "))
