@@ -9,8 +9,9 @@ from footfall.fixed_values import RETENTION_DAYS
 from footfall.functions.times import day_of, days_before, instant, utc
 from footfall.schemas import PARTITION_COLUMN
 from footfall.settings import parse_retention_days
-from footfall.sources.files import exists, remove
-from footfall.sources.visits_table import read_visits, recover, replace_day
+from footfall.sources.files import exists
+from footfall.sources.versions import KEEP_REPLACED
+from footfall.sources.visits_table import read_visits, replace_days
 
 
 def cutoff(now: datetime, days: int = RETENTION_DAYS) -> Column:
@@ -32,15 +33,17 @@ def retention_counts(visits: DataFrame, now: datetime, days: int = RETENTION_DAY
     return visits.agg(F.count_if(~old).alias("kept"), F.count_if(old).alias("deleted"))
 
 
-def prune(spark: SparkSession, path: str, now: datetime, days: int = RETENTION_DAYS) -> int:
+def prune(
+    spark: SparkSession, path: str, now: datetime, days: int = RETENTION_DAYS, keep: timedelta = KEEP_REPLACED
+) -> int:
     """Delete visits before the cutoff from the table; the number of rows deleted.
 
-    Older days go as whole partitions. The boundary day changes places with a copy without its old rows;
-    a run that ends in between is made good by the next.
+    Older days are forgotten whole, the boundary day is replaced by a copy without its old rows, and all of it counts
+    from one moment on. Their files go when they have not counted for the time `keep`, with the next upkeep
+    or insert after it.
     """
     if not exists(spark, path):
         return 0
-    recover(spark, path)
     limit = cutoff(now, days)
     boundary_day = (utc(now) - timedelta(days=days)).date()
     day = F.col(PARTITION_COLUMN)
@@ -48,9 +51,12 @@ def prune(spark: SparkSession, path: str, now: datetime, days: int = RETENTION_D
     # Whole days are counted without reading a column, and only one row per day comes back.
     whole_days = visits.filter(day < F.lit(boundary_day)).groupBy(day).agg(F.count("*").alias("n")).collect()
     on_boundary = visits.filter(day == F.lit(boundary_day))
-    removed_there = on_boundary.filter(F.col("visited_at") < limit).count()
-    for row in whole_days:
-        remove(spark, f"{path}/{PARTITION_COLUMN}={row[PARTITION_COLUMN].isoformat()}")
+    removed_there, left_there = on_boundary.agg(
+        F.count_if(F.col("visited_at") < limit), F.count_if(F.col("visited_at") >= limit)
+    ).first()
+    changed: dict = {row[PARTITION_COLUMN]: None for row in whole_days}
     if removed_there:
-        replace_day(spark, path, boundary_day, on_boundary.filter(F.col("visited_at") >= limit))
+        changed[boundary_day] = on_boundary.filter(F.col("visited_at") >= limit) if left_there else None
+    if changed:
+        replace_days(spark, path, changed, keep)
     return sum(row["n"] for row in whole_days) + removed_there

@@ -40,6 +40,8 @@ VISIT_COLUMNS = VISIT.fieldNames()
 # because sorts by the key then seldom compare text.
 VISIT_KEY = ["visited_at", "ip_hash", "path", "site"]
 PARTITION_COLUMN = "visit_day"
+# Inside a day's folder; which one counts is in the manifest (sources/versions.py).
+VERSION_COLUMN = "version"
 STORED_VISIT = T.StructType([*VISIT.fields, T.StructField(PARTITION_COLUMN, T.DateType())])
 
 BACKLOG = T.StructType(

@@ -34,6 +34,26 @@ def rename(spark: SparkSession, source: str, target: str) -> None:
         raise OSError(f"cannot move {source} to {target}")
 
 
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file as text."""
+    system, hadoop_path = _path(spark, path)
+    stream = system.open(hadoop_path)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file, in the place of one that is there."""
+    system, hadoop_path = _path(spark, path)
+    stream = system.create(hadoop_path, True)
+    try:
+        stream.write(bytearray(text, "utf-8"))
+    finally:
+        stream.close()
+
+
 def children(spark: SparkSession, path: str) -> list[str]:
     """Names in a folder, none where there is no folder."""
     system, hadoop_path = _path(spark, path)

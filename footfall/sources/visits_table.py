@@ -1,43 +1,57 @@
-"""The visits table: Parquet partitioned by UTC day, one row per key, one writer at a time."""
+"""The visits table: Parquet partitioned by UTC day, one row per key, one writer at a time.
+
+Which files of a day count is said by the table's manifest (see `versions`): days are rewritten and forgotten
+beside what is read, so no step of it can lose or double a visit.
+"""
 
 from collections.abc import Iterable
-from datetime import date
+from datetime import date, timedelta
 from functools import reduce
 from operator import or_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from footfall.functions.times import day_of
 from footfall.operators.visits import as_visits, not_stored
-from footfall.schemas import PARTITION_COLUMN, STORED_VISIT, VISIT_KEY
+from footfall.schemas import PARTITION_COLUMN, STORED_VISIT, VERSION_COLUMN, VISIT_KEY
 from footfall.session import prepare
-from footfall.sources.files import children, exists, remove, rename, total_bytes
+from footfall.sources.files import children, exists, total_bytes
+from footfall.sources.versions import (
+    KEEP_REPLACED,
+    commit,
+    day_folder,
+    day_names,
+    manifest_to_write_by,
+    read_manifest,
+    sweep,
+    version_of_day,
+)
 
 # A lookup of stored keys asks for at most this many ranges of time; the nearest ones become one.
 MOST_RANGES = 100
-# Where days that are being replaced wait; Spark does not read folders with such a name.
-ASIDE = "_replaced"
-
-
-def day_folder(path: str, day: date | str) -> str:
-    return f"{path}/{PARTITION_COLUMN}={day}"
+_VERSIONED = T.StructType([*STORED_VISIT.fields, T.StructField(VERSION_COLUMN, T.IntegerType())])
 
 
 def read_visits(spark: SparkSession, path: str, days: Iterable[date] | None = None) -> DataFrame:
     """All stored visits, or those of some days; files older than a column read it back as null.
 
-    With `days` only their folders are listed.
+    With `days` only their folders are listed. Every day is read in the version that counts at this moment.
     """
     prepare(spark)
     if days is None:
         folders = [path] if exists(spark, path) else []
     else:
-        there = set(children(spark, path))
-        folders = [day_folder(path, day) for day in days if f"{PARTITION_COLUMN}={day}" in there]
+        there = set(day_names(spark, path))
+        folders = [day_folder(path, day) for day in days if str(day) in there]
     if not folders:
         return spark.createDataFrame([], STORED_VISIT)
-    return spark.read.schema(STORED_VISIT).option("basePath", path).parquet(*folders)
+    manifest = read_manifest(spark, path)
+    if manifest is None:
+        return spark.read.schema(STORED_VISIT).option("basePath", path).parquet(*folders)
+    versions = spark.read.schema(_VERSIONED).option("basePath", path).parquet(*folders)
+    return versions.filter(F.col(VERSION_COLUMN) == version_of_day(manifest)).drop(VERSION_COLUMN)
 
 
 def append_visits(visits: DataFrame, path: str) -> None:
@@ -46,9 +60,11 @@ def append_visits(visits: DataFrame, path: str) -> None:
     Rebalancing gives each day few files; a day far larger than the rest is split over tasks. Rows in
     order of time let readers skip row groups outside the hours they ask for.
     """
+    version = version_of_day(manifest_to_write_by(visits.sparkSession, path))
     balanced = visits.select(*STORED_VISIT.fieldNames()).hint("rebalance", PARTITION_COLUMN)
-    ordered = balanced.sortWithinPartitions(PARTITION_COLUMN, "visited_at")
-    ordered.write.mode("append").partitionBy(PARTITION_COLUMN).parquet(path)
+    versioned = balanced.withColumn(VERSION_COLUMN, version)
+    ordered = versioned.sortWithinPartitions(PARTITION_COLUMN, VERSION_COLUMN, "visited_at")
+    ordered.write.mode("append").partitionBy(PARTITION_COLUMN, VERSION_COLUMN).parquet(path)
 
 
 def time_ranges(spans: list[tuple[int, int]], most: int) -> list[tuple[int, int]]:
@@ -88,6 +104,7 @@ def insert_if_absent(spark: SparkSession, visits: DataFrame, path: str, complete
     if not exists(spark, path):
         append_visits(complete(visits), path)
         return
+    sweep(spark, path)
     visits = visits.persist()
     try:
         fresh = not_stored(visits, stored_keys(spark, path, visits))
@@ -98,47 +115,41 @@ def insert_if_absent(spark: SparkSession, visits: DataFrame, path: str, complete
         visits.unpersist()
 
 
-def replace_day(spark: SparkSession, path: str, day: date, visits: DataFrame) -> None:
-    """Put other rows in the place of a day's; an empty frame removes the day.
+def replace_days(
+    spark: SparkSession, path: str, days: dict[date, DataFrame | None], keep: timedelta = KEEP_REPLACED
+) -> None:
+    """Put other rows in the place of those of some days, all at once; None in the place of a day forgets it.
 
-    They are written beside the table and then change places with the day's folder, so what is read is
-    never overwritten. Where a run ends in between, `recover` restores the day as it was.
+    New rows are written beside the ones they replace and count from the moment the manifest names them. What
+    they replace is removed by a later `sweep`, when it has not counted for the time `keep`.
     """
-    recover(spark, path)
-    fresh, old = f"{path}/{ASIDE}/new-{day}", f"{path}/{ASIDE}/old-{day}"
-    balanced = visits.drop(PARTITION_COLUMN).hint("rebalance").sortWithinPartitions("visited_at")
-    balanced.write.mode("overwrite").parquet(fresh)
-    empty = spark.read.schema(STORED_VISIT).parquet(fresh).isEmpty()
-    rename(spark, day_folder(path, day), old)
-    if not empty:
-        rename(spark, fresh, day_folder(path, day))
-    remove(spark, f"{path}/{ASIDE}")
-
-
-def recover(spark: SparkSession, path: str) -> None:
-    """Undo a replacement that was cut short: a day that was moved away and has no successor comes back."""
-    for name in children(spark, f"{path}/{ASIDE}"):
-        kind, day = name.split("-", 1)
-        if kind == "old" and not exists(spark, day_folder(path, day)):
-            rename(spark, f"{path}/{ASIDE}/{name}", day_folder(path, day))
-    remove(spark, f"{path}/{ASIDE}")
-
-
-def compact(spark: SparkSession, path: str, most_files: int = 16) -> list[date]:
+    manifest = manifest_to_write_by(spark, path)
+    changes = {str(day): manifest.version(day) + 1 for day in days}
+    for day, visits in days.items():
+        # What a run that was cut short has left under this version does not count.
+        if visits is not None:
+            balanced = visits.drop(PARTITION_COLUMN).hint("rebalance").sortWithinPartitions("visited_at")
+            balanced.write.mode("overwrite").parquet(day_folder(path, day, changes[str(day)]))
+    commit(spark, path, manifest, changes)
+    sweep(spark, path, keep)
+
+
+def compact(
+    spark: SparkSession, path: str, most_files: int = 16, keep: timedelta = KEEP_REPLACED
+) -> list[date]:
     """Rewrite the days that consist of more than `most_files` files, as streams leave them; those days.
 
     A day is rewritten in files of the size adaptive execution aims at, in order of time. Days whose files
     would not become fewer are left alone.
     """
-    recover(spark, path)
     rewritten = []
-    for name in children(spark, path):
-        if not name.startswith(f"{PARTITION_COLUMN}="):
-            continue
-        files = [file for file in children(spark, f"{path}/{name}") if file.startswith("part-")]
-        day = date.fromisoformat(name.split("=", 1)[1])
-        if len(files) > most_files and spark_files(spark, f"{path}/{name}") < len(files):
-            replace_day(spark, path, day, read_visits(spark, path, [day]))
+    manifest = manifest_to_write_by(spark, path) if exists(spark, path) else None
+    for name in day_names(spark, path):
+        folder = day_folder(path, name, manifest.version(name))
+        files = [file for file in children(spark, folder) if file.startswith("part-")]
+        day = date.fromisoformat(name)
+        if len(files) > most_files and spark_files(spark, folder) < len(files):
+            replace_days(spark, path, {day: read_visits(spark, path, [day])}, keep)
             rewritten.append(day)
     return rewritten
 

@@ -21,6 +21,7 @@ def spark():
         .appName("footfall-tests")
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.ui.enabled", "false")
+        .config("spark.sql.maxMetadataStringLength", "1000")
         .config("spark.driver.memory", "4g")
         .getOrCreate()
     )

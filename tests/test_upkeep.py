@@ -1,4 +1,4 @@
-"""Files with statistics, days that change places, compaction, torn backlog lines, hot keys without a cap."""
+"""Files with statistics, compaction, torn backlog lines, hot keys without a cap."""
 
 import datetime as dt
 
@@ -7,17 +7,15 @@ import pytest
 from conftest import line
 from pyspark.sql import functions as F
 
-from footfall.operators import retention, skew
+from footfall.operators import skew
 from footfall.operators.reports import consumed_per_file
 from footfall.plans.ingest import ingest_files
 from footfall.settings import Settings
-from footfall.sources import visits_table
 from footfall.sources.access_log import read_lines
 from footfall.sources.backlog import read_backlog, replay_backlog, write_backlog
 from footfall.sources.visits_table import append_visits, compact, read_visits, stored_keys, time_ranges
 
 SETTINGS = Settings("grains-for-checks-and-tests-only")
-NOW = dt.datetime(2026, 7, 11, 10)
 
 
 def paths(visits):
@@ -58,36 +56,16 @@ def test_ranges_close_the_smallest_gaps():
     assert time_ranges([], 3) == []
 
 
-@pytest.mark.parametrize("step", ["rename", "remove"])
-def test_a_prune_that_fails_between_its_steps_loses_nothing(spark, visits, tmp_path, monkeypatch, step):
-    path = str(tmp_path / "t")
-    append_visits(visits({"path": "/old", "at": "2026-04-12T09:00:00Z"}, {"path": "/kept", "at": "2026-04-12T11:00:00Z"}), path)
-    real, calls = getattr(visits_table, step), []
-
-    def failing(session, *args):
-        calls.append(args)
-        if len(calls) == 2:
-            raise OSError("the driver is gone")
-        return real(session, *args)
-
-    monkeypatch.setattr(visits_table, step, failing)
-    with pytest.raises(OSError):
-        retention.prune(spark, path, NOW)
-    monkeypatch.setattr(visits_table, step, real)
-    retention.prune(spark, path, NOW)
-    assert paths(read_visits(spark, path)) == ["/kept"]
-    assert retention.prune(spark, path, NOW) == 0
-
-
 def test_compaction_makes_fewer_files_of_the_same_rows(spark, visits, tmp_path):
     path = str(tmp_path / "t")
     for n in range(6):
         append_visits(visits({"path": f"/{n}"}, {"path": f"/late{n}", "at": "2025-01-01T00:00:00Z"}), path)
     append_visits(visits({"path": "/alone", "at": "2025-02-01T00:00:00Z"}), path)
     before = sorted(map(str, read_visits(spark, path).collect()))
-    assert len(compact(spark, path, most_files=4)) == 2
+    days = [dt.date(2025, 1, 1), dt.date(2025, 2, 1), dt.date(2026, 7, 11)]
+    assert compact(spark, path, most_files=4) == [days[0], days[2]]
     assert sorted(map(str, read_visits(spark, path).collect())) == before
-    assert max(len(list(day.glob("part-*"))) for day in (tmp_path / "t").glob("visit_day=*")) == 1
+    assert [len(read_visits(spark, path, [day]).select("_metadata.file_path").distinct().collect()) for day in days] == [1, 1, 1]
     assert compact(spark, path, most_files=4) == []
 
 

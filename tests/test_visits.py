@@ -1,5 +1,5 @@
 import random
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 
 import pytest
 from conftest import SAMPLE, line
@@ -176,9 +176,9 @@ def test_prune(spark, visits, tmp_path):
         "/new": "2026-07-11T09:00:00Z",
     }
     append_visits(visits(*[{"path": name, "at": moment} for name, moment in at.items()]), path)
-    assert prune(spark, path, NOW) == 3
+    assert prune(spark, path, NOW, keep=timedelta(0)) == 3
     assert paths(read_visits(spark, path)) == ["/after", "/new"]
-    assert sorted(p.name for p in (tmp_path / "t").iterdir() if p.is_dir()) == ["visit_day=2026-04-12", "visit_day=2026-07-11"]
+    assert sorted(p.name for p in (tmp_path / "t").glob("visit_day=*")) == ["visit_day=2026-04-12", "visit_day=2026-07-11"]
     assert prune(spark, path, NOW) == 0
     assert paths(read_visits(spark, path)) == ["/after", "/new"]
 
