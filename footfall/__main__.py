@@ -8,7 +8,9 @@ RETENTION_DAYS. The PTR table is a Parquet folder.
 """
 
 import argparse
+import json
 import os
+from dataclasses import asdict
 from datetime import datetime, timezone
 
 from pyspark.sql import SparkSession
@@ -70,7 +72,8 @@ def run(spark: SparkSession, argv: list[str] | None = None) -> None:
         _prepare_lookups(spark, args)
     elif args.job == "ingest":
         settings = Settings.from_env(os.environ)
-        ingest_files(spark, args.logs, args.table, settings, _lookups(spark, args), args.rejected)
+        report = ingest_files(spark, args.logs, args.table, settings, _lookups(spark, args), args.rejected)
+        print(json.dumps(asdict(report)))
     elif args.job == "stream":
         query = start_ingest(
             spark,
@@ -82,6 +85,7 @@ def run(spark: SparkSession, argv: list[str] | None = None) -> None:
             rejected=args.rejected,
             max_file_age=args.max_file_age,
             archive=args.archive,
+            on_report=lambda batch, report: print(json.dumps({"batch": batch, **asdict(report)})),
         )
         query.awaitTermination()
     elif args.job == "prune":

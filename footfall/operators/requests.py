@@ -10,6 +10,11 @@ from footfall.functions.device import is_bot
 from footfall.functions.text import contains_any_ignoring_case, ends_with_any
 
 
+# Why a line is left out, in the order in which the reasons are tried.
+UNSTORABLE = ("empty_path", "time_out_of_range")
+REASONS = ("not_a_request", "internal_proxy", "status", "bot", "scan", "noise", "post_outside_api", "method", *UNSTORABLE)
+
+
 def is_scan_hit(path: Column, referrer: Column) -> Column:
     return contains_any_ignoring_case(path, SCAN_TOKENS) | F.coalesce(
         contains_any_ignoring_case(referrer, SCAN_TOKENS), F.lit(False)
@@ -54,5 +59,14 @@ def judge(parsed: DataFrame, internal_proxies: Iterable[str] = ()) -> DataFrame:
 
 def kept_requests(parsed: DataFrame, internal_proxies: Iterable[str] = ()) -> DataFrame:
     """The requests worth recording, marked engaged or not."""
-    kept = judge(parsed, internal_proxies).filter(F.col("drop_reason").isNull())
+    return kept_of(judge(parsed, internal_proxies))
+
+
+def kept_of(judged: DataFrame) -> DataFrame:
+    kept = judged.filter(F.col("drop_reason").isNull())
     return kept.withColumn("engaged", is_engaged(F.col("method"), F.col("path"))).drop("conforming", "drop_reason")
+
+
+def unstorable(judged: DataFrame) -> DataFrame:
+    """Requests that pass the filter but cannot be stored, without their address."""
+    return judged.filter(F.col("drop_reason").isin(*UNSTORABLE)).drop("remote_ip", "conforming")

@@ -33,21 +33,32 @@ def shuffle_partitions(spark: SparkSession, input_bytes: int) -> int:
 
 
 @contextmanager
-def sized_shuffles(spark: SparkSession, input_bytes: int) -> Iterator[int]:
-    """Start shuffles with enough partitions for the input; adaptive execution merges small ones.
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Let settings hold for a while; those before hold again afterwards."""
+    before = {name: spark.conf.get(name, None) for name in values}
+    for name, value in values.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
-    The setting the session had before holds again afterwards.
-    """
-    before = spark.conf.get(INITIAL_PARTITIONS, None)
+
+@contextmanager
+def sized_shuffles(spark: SparkSession, input_bytes: int) -> Iterator[int]:
+    """Start shuffles with enough partitions for the input; adaptive execution merges small ones."""
     partitions = shuffle_partitions(spark, input_bytes)
-    spark.conf.set(INITIAL_PARTITIONS, str(partitions))
-    try:
+    with settings(spark, {INITIAL_PARTITIONS: str(partitions)}):
         yield partitions
-    finally:
-        if before is None:
-            spark.conf.unset(INITIAL_PARTITIONS)
-        else:
-            spark.conf.set(INITIAL_PARTITIONS, before)
+
+
+@contextmanager
+def whole_plans(spark: SparkSession) -> Iterator[None]:
+    """Keep adaptive execution from leaving out what lies below an empty shuffle, and with it what was observed there."""
+    rule = "org.apache.spark.sql.execution.adaptive.AQEPropagateEmptyRelation"
+    with settings(spark, {"spark.sql.adaptive.optimizer.excludedRules": rule}):
+        yield
 
 
 def shared_dir(spark: SparkSession) -> str:

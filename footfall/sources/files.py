@@ -1,6 +1,9 @@
 """Existence, size, renaming and removal of paths on whatever file system they name."""
 
-from pyspark.sql import SparkSession
+import re
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def _path(spark: SparkSession, path: str):
@@ -63,19 +66,40 @@ def children(spark: SparkSession, path: str) -> list[str]:
 
 
 def file_groups(spark: SparkSession, paths: str | list[str], most_bytes: int) -> list[tuple[list[str], int]]:
-    """Files, folders or glob patterns as (paths, bytes) in groups of about `most_bytes`."""
+    """Files, folders or glob patterns as (paths, bytes) in groups of about `most_bytes`.
+
+    A folder that is larger is cut into what it holds; only such folders are listed. A single file is never
+    cut, Spark splits it over tasks.
+    """
     groups: list[tuple[list[str], int]] = []
     for path in [paths] if isinstance(paths, str) else paths:
         system, hadoop_path = _path(spark, path)
         for found in system.globStatus(hadoop_path) or []:
-            name, size = found.getPath().toString(), system.getContentSummary(found.getPath()).getLength()
-            if groups and groups[-1][1] + size <= most_bytes:
-                groups[-1] = ([*groups[-1][0], name], groups[-1][1] + size)
-            else:
-                groups.append(([name], size))
+            for name, size in _pieces(system, found, most_bytes):
+                if groups and groups[-1][1] + size <= most_bytes:
+                    groups[-1] = ([*groups[-1][0], name], groups[-1][1] + size)
+                else:
+                    groups.append(([name], size))
     return groups
 
 
+def _pieces(system, found, most_bytes: int) -> Iterator[tuple[str, int]]:
+    """A file or folder, or what is in a folder that is too large, as names a reader takes literally."""
+    path, size = found.getPath(), system.getContentSummary(found.getPath()).getLength()
+    if not found.isDirectory() or size <= most_bytes:
+        yield re.sub(r"([{}\[\]*?\\])", r"\\\1", path.toString()), size
+        return
+    for inside in sorted(system.listStatus(path), key=lambda status: status.getPath().getName()):
+        # Spark leaves such names out when it lists a folder.
+        if not inside.getPath().getName().startswith(("_", ".")):
+            yield from _pieces(system, inside, most_bytes)
+
+
+def planned_bytes(frame: DataFrame) -> int:
+    """Size of the files behind a frame that does no more than read them, from the listing it was planned with."""
+    return int(str(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def total_bytes(spark: SparkSession, path: str) -> int:
     """Size of a file or folder."""
     system, hadoop_path = _path(spark, path)

@@ -16,10 +16,12 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from footfall.plans.ingest import Lookups, ingest_lines, unstorable_requests
+from footfall.operators.reports import Report
+from footfall.plans.ingest import Lookups, ingest_lines
 from footfall.session import prepare, sized_shuffles
 from footfall.settings import Settings
 from footfall.sources.access_log import stream_lines
+from footfall.sources.files import planned_bytes
 
 # Most new segments one micro-batch takes, so that catching up runs in bounded steps.
 MAX_FILES_PER_TRIGGER = 1000
@@ -33,15 +35,18 @@ def store_batch(
     lookups: Callable[[SparkSession], Lookups],
     since: datetime | None = None,
     rejected: str | None = None,
+    on_report: Callable[[int, Report], None] | None = None,
 ) -> Callable[[DataFrame, int], None]:
     """What happens to the lines of one micro-batch."""
 
     def store(lines: DataFrame, batch_id: int) -> None:
-        spark = lines.sparkSession
-        ingest_lines(lines, table, settings, lookups(spark), since)
-        if rejected is not None:
-            # Overwriting the batch's own folder keeps a repeated batch from adding rows twice.
-            unstorable_requests(lines, settings).write.mode("overwrite").json(f"{rejected}/batch={batch_id}")
+        spark, size = lines.sparkSession, planned_bytes(lines)
+        # Overwriting the batch's own folder keeps a repeated batch from adding rows twice.
+        folder = None if rejected is None else f"{rejected}/batch={batch_id}"
+        with sized_shuffles(spark, size):
+            report = ingest_lines(lines, table, settings, lookups(spark), since, folder, size)
+        if on_report is not None:
+            on_report(batch_id, report)
 
     return store
 
@@ -60,6 +65,7 @@ def start_ingest(
     trigger: dict | None = None,
     max_file_age: str = MAX_FILE_AGE,
     archive: str | None = None,
+    on_report: Callable[[int, Report], None] | None = None,
 ) -> StreamingQuery:
     """Start storing visits from segments as they arrive; by default until all present are stored.
 
@@ -67,19 +73,18 @@ def start_ingest(
     `lookups` is called for each batch, so lookup tables may be replaced while the stream runs.
     `since` leaves out older requests, for a first start beside logs whose history is not wanted.
     A micro-batch takes at most `max_files` segments, or `max_bytes` of them if that is given.
-    Consumed segments move to the folder `archive` where one is named.
+    Consumed segments move to the folder `archive` where one is named. `on_report` is told what each
+    micro-batch read and left out.
     """
     prepare(spark)
     options = {"maxFilesPerTrigger": max_files} if max_bytes is None else {"maxBytesPerTrigger": max_bytes}
     options["maxFileAge"] = max_file_age
     if archive is not None:
         options |= {"cleanSource": "archive", "sourceArchiveDir": archive}
-    # The query keeps the settings that hold when it starts.
-    with sized_shuffles(spark, max_bytes or 0):
-        return (
-            stream_lines(spark.readStream.options(**options), segments)
-            .writeStream.foreachBatch(store_batch(table, settings, lookups, since, rejected))
-            .option("checkpointLocation", checkpoint)
-            .trigger(**(trigger or {"availableNow": True}))
-            .start()
-        )
+    return (
+        stream_lines(spark.readStream.options(**options), segments)
+        .writeStream.foreachBatch(store_batch(table, settings, lookups, since, rejected, on_report))
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
+    )

@@ -38,7 +38,11 @@ def test_jobs_from_logs_to_documents(spark, tmp_path, monkeypatch, capsys):
         ["rollups", "--table", table],
     ):
         run(spark, job)
-    removed, first, second, rollups = [text for text in capsys.readouterr().out.splitlines() if text and "Stage" not in text]
+    said = [text for text in capsys.readouterr().out.splitlines() if text and "Stage" not in text]
+    ingested, streamed, removed, first, second, rollups = said
+    size = (tmp_path / "logs" / "a.log").stat().st_size
+    report = {"lines": 4, "bytes": size, "reasons": {"internal_proxy": 1, "kept": 3}}
+    assert json.loads(ingested) == report and json.loads(streamed) == {"batch": 0, **report}
     assert removed == "1"
     assert [json.loads(text)["path"] for text in (first, second)] == ["/new", "/api/order"]
     assert json.loads(rollups)["topCountries"] == [{"label": "Sweden", "visits": 2}]

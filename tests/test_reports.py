@@ -1,0 +1,141 @@
+"""Counts that come from the pass that stores, one text scan, groups and shuffles of the size of the input."""
+
+import os
+import re
+
+from conftest import line
+
+from footfall.operators import reports
+from footfall.operators.requests import REASONS, judge
+from footfall.plans import ingest
+from footfall.plans.ingest import ingest_files, ingest_lines
+from footfall.session import INITIAL_PARTITIONS
+from footfall.settings import Settings
+from footfall.sources.access_log import clean_lines, parse_lines, read_lines
+from footfall.sources.files import file_groups, planned_bytes
+from footfall.sources.visits_table import read_visits
+from footfall.streaming import ingest as streaming
+
+SETTINGS = Settings("grains-for-checks-and-tests-only", internal_proxies=frozenset(["10.0.0.1"]))
+BOT = '"User-Agent":["curl/8"]'
+ONE_OF_EACH = {
+    "not_a_request": "{not JSON",
+    "internal_proxy": line(address='"client_ip":"10.0.0.1"'),
+    "status": line(status="500"),
+    "bot": line(headers=BOT),
+    "scan": line(uri="/wp-admin/setup"),
+    "noise": line(uri="/logo.svg"),
+    "post_outside_api": line(method="POST", uri="/form"),
+    "method": line(method="PUT"),
+    "empty_path": line(uri="?q"),
+    "time_out_of_range": line(ts="1e300"),
+    "kept": line(uri="/a"),
+}
+
+
+def reasons_of(spark, path):
+    return {row.drop_reason: row["lines"] for row in reports.drop_reasons(read_lines(spark, path), SETTINGS.internal_proxies).collect()}
+
+
+def test_every_reason_has_a_line(spark, lines):
+    assert [*ONE_OF_EACH] == [*REASONS, "kept"]
+    found = judge(parse_lines(clean_lines(lines(*ONE_OF_EACH.values()))), SETTINGS.internal_proxies).collect()
+    assert [row.drop_reason or "kept" for row in found] == [*ONE_OF_EACH]
+
+
+def test_an_ingest_says_what_it_read(spark, tmp_path):
+    logs, table = tmp_path / "logs", str(tmp_path / "t")
+    logs.mkdir()
+    (logs / "a.log").write_text("\n".join([*ONE_OF_EACH.values(), "", line(uri="/b")]) + "\n")
+    (logs / "b.log").write_text(line(uri="/b") + "\r\n" + line(uri="/ñ"))
+    size = sum(file.stat().st_size for file in logs.iterdir())
+    # A new table, one that holds everything already, and both with rejected requests.
+    for rejected in (None, str(tmp_path / "rejected")):
+        for _ in range(2):
+            report = ingest_files(spark, str(logs), table, SETTINGS, rejected=rejected)
+            assert (report.lines, report.bytes) == (15, size)
+            assert report.reasons == reasons_of(spark, str(logs)) == {**dict.fromkeys(REASONS, 1), "kept": 4}
+    assert sorted(row.drop_reason for row in spark.read.json(str(tmp_path / "rejected")).collect()) == ["empty_path", "time_out_of_range"]
+    assert read_visits(spark, table).count() == 3
+
+
+def test_an_ingest_that_keeps_nothing(spark, tmp_path):
+    (tmp_path / "empty.log").write_text("")
+    (tmp_path / "bots.log").write_text("\n".join([line(headers=BOT)] * 3) + "\n")
+    for rejected in (None, str(tmp_path / "r")):
+        for _ in range(2):
+            report = ingest_files(spark, str(tmp_path / "empty.log"), str(tmp_path / "t"), SETTINGS, rejected=rejected)
+            assert (report.lines, report.bytes, report.reasons) == (0, 0, {})
+            report = ingest_files(spark, str(tmp_path / "bots.log"), str(tmp_path / "t"), SETTINGS, rejected=rejected)
+            assert (report.lines, report.reasons) == (3, {"bot": 3})
+
+
+def test_rejected_requests_need_no_second_scan(spark, tmp_path, monkeypatch):
+    """Every plan that writes reads the parsed rows that are kept; together they hold one scan of the text."""
+    (tmp_path / "a.log").write_text("\n".join(ONE_OF_EACH.values()) + "\n")
+    plans = []
+
+    def seen(frame):
+        plans.append(frame._jdf.queryExecution().executedPlan().toString())
+        return frame
+
+    insert, apart = ingest.insert_if_absent, ingest.unstorable
+    monkeypatch.setattr(ingest, "insert_if_absent", lambda s, visits, *rest: insert(s, seen(visits), *rest))
+    monkeypatch.setattr(ingest, "unstorable", lambda judged: seen(apart(judged)))
+    ingest_lines(read_lines(spark, str(tmp_path / "a.log")), str(tmp_path / "t"), SETTINGS, rejected=str(tmp_path / "r"))
+    assert len(plans) == 2 and all("InMemoryTableScan" in plan for plan in plans)
+    outside = [plan.split("InMemoryRelation")[0] for plan in plans]
+    assert not any("FileScan text" in plan for plan in outside)
+    # The one scan is that of the rows that are kept, the same for both.
+    assert len({re.search(r"FileScan text.*", plan).group().split("Batched")[1] for plan in plans}) == 1
+
+
+def test_folders_are_cut_into_groups(spark, tmp_path):
+    for name in ("a", "b/c", "b/d"):
+        (tmp_path / name).mkdir(parents=True)
+        for n in range(3):
+            (tmp_path / name / f"{n}[x]*.log").write_text(line(uri=f"/{name}/{n}") + "\n")
+    (tmp_path / "b" / "_skipped").write_text("x" * 5000)
+    size = len(line(uri="/a/0")) + 1
+    whole = file_groups(spark, str(tmp_path), 10**9)
+    assert [len(paths) for paths, _ in whole] == [1]
+    groups = file_groups(spark, str(tmp_path), 3 * size + 20)
+    assert len(groups) == 3 and all(total <= 3 * size + 20 for _, total in groups)
+    table = str(tmp_path / "t")
+    report = ingest_files(spark, [str(tmp_path / "a"), str(tmp_path / "b")], table, SETTINGS, most_bytes=size + 10)
+    assert sorted(row.path for row in read_visits(spark, table).collect()) == sorted(f"/{name}/{n}" for name in ("a", "b/c", "b/d") for n in range(3))
+    assert report.lines == 9
+
+
+def test_a_folder_of_three_limits_gives_three_groups(spark, tmp_path):
+    for n in range(9):
+        (tmp_path / f"{n}.log").write_text("x" * 1000)
+    assert [len(paths) for paths, _ in file_groups(spark, str(tmp_path), 3000)] == [3, 3, 3]
+
+
+def test_a_step_of_a_terabyte_is_known_from_its_listing(spark, tmp_path):
+    with open(tmp_path / "large.log", "w") as file:
+        os.truncate(file.fileno(), 2**40)
+    assert planned_bytes(read_lines(spark, str(tmp_path / "large.log"))) == 2**40
+
+
+def test_stream_steps_are_sized_by_their_own_segments(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("footfall.session.BYTES_PER_SHUFFLE_PARTITION", 100)
+    (tmp_path / "segments").mkdir()
+    for n in range(3):
+        (tmp_path / "segments" / f"{n}.log").write_text("\n".join([line(uri=f"/{n}"), "{broken"]) + "\n")
+    size, seen, told = (tmp_path / "segments" / "0.log").stat().st_size, [], []
+    real = streaming.ingest_lines
+
+    def storing(lines, *rest):
+        seen.append(int(lines.sparkSession.conf.get(INITIAL_PARTITIONS)))
+        return real(lines, *rest)
+
+    monkeypatch.setattr(streaming, "ingest_lines", storing)
+    query = streaming.start_ingest(
+        spark, str(tmp_path / "segments"), str(tmp_path / "t"), str(tmp_path / "c"), SETTINGS, max_files=2,
+        on_report=lambda batch, report: told.append((batch, report.lines, report.bytes, report.reasons)),
+    )
+    query.awaitTermination()
+    assert seen == [-(-2 * size // 100), -(-size // 100)]
+    assert told == [(0, 4, 2 * size, {"kept": 2, "not_a_request": 2}), (1, 2, size, {"kept": 1, "not_a_request": 1})]

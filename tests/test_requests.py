@@ -2,9 +2,7 @@ import pytest
 from conftest import UA, line
 
 from footfall.operators.reports import consumed_per_file, drop_reasons
-from footfall.operators.requests import judge, kept_requests
-from footfall.plans.ingest import unstorable_requests
-from footfall.settings import Settings
+from footfall.operators.requests import judge, kept_requests, unstorable
 from footfall.sources.access_log import clean_lines, parse_lines, read_lines
 
 RELAY = "203.0.113.50"
@@ -89,7 +87,7 @@ def test_reject_report(lines):
 
 
 def test_unstorable_requests_carry_no_address(lines):
-    found = unstorable_requests(lines(line(), line(uri="?x"), line(status="404")), Settings("0123456789abcdef"))
+    found = unstorable(judge(parse_lines(lines(line(), line(uri="?x"), line(status="404")))))
     assert "remote_ip" not in found.columns
     assert [row.drop_reason for row in found.collect()] == ["empty_path"]
 
