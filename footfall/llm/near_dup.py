@@ -89,8 +89,10 @@ def bag_table(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 ["node", "hashes", "counts"],
             )
 
-    chosen = docs.select("doc_id", "text").filter(F.col("text").isNotNull())
-    chosen = chosen.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
+    texts = docs.select("doc_id", "text").filter(F.col("text").isNotNull())
+    chosen = texts.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
+    # A node whose rows all lack an id is among these.
+    chosen = chosen.unionByName(texts.filter(F.col("doc_id").isNull()))
     found = chosen.mapInArrow(collect, "node long, hashes binary, counts binary")
     return found.dropDuplicates(["node"]).join(wanted.select("node"), "node", "left_semi")
 
@@ -138,6 +140,16 @@ def _labelled(table: DataFrame, labels: DataFrame, column: str, name: str) -> Da
     return table.join(renamed, column, "left").withColumn(name, F.coalesce(name, column))
 
 
+def _main_labels(table: DataFrame, keys: list[str]) -> DataFrame:
+    """The largest component of each group (`main`), and how many components it holds.
+
+    Pairs of different components have at least one member outside the largest, so joins leave out pairs inside it.
+    """
+    each = table.groupBy(*keys, "label").agg(F.count("*").alias("n"))
+    groups = each.groupBy(*keys).agg(F.count("*").alias("labels"), F.max(F.struct("n", "label")).alias("_most"))
+    return groups.select(*keys, "labels", F.col("_most.label").alias("main"))
+
+
 def near_duplicate_links(docs: DataFrame, sketched: DataFrame, threshold: float, small: int) -> DataFrame:
     """Links (a, b) between nodes whose components are those of all links within buckets."""
     nodes = sketched.filter(F.size("buckets") > 0).groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("buckets").alias("buckets"))
@@ -177,19 +189,35 @@ def near_duplicate_links(docs: DataFrame, sketched: DataFrame, threshold: float,
     common_last = Window.partitionBy("leader", "node").orderBy(F.desc("members"), "shingle")
     above = above.join(frequency, ["leader", "shingle"]).withColumn("tail", F.sum("mass").over(common_last))
     above = above.filter((F.col("tail") >= F.greatest(F.col("needed"), F.lit(1))) & (F.col("members") > 1))
-    one = stored(above.select("leader", "shingle", F.col("node").alias("a"), "label", "shared", "size", "tail"), "rare")
-    two = one.select("leader", "shingle", *[F.col(c).alias(f"{c}_b") for c in ("label", "shared", "size", "tail")], F.col("a").alias("b"))
+    rare = above.select("leader", "shingle", F.col("node").alias("a"), "label", "shared", "size", "tail")
+    mixed = _main_labels(rare, ["leader", "shingle"]).filter(F.col("labels") > 1).drop("labels")
+    all_rare = stored(rare.join(mixed, ["leader", "shingle"]), "rare")
+    one = all_rare.filter(F.col("label") != F.col("main"))
+    two = all_rare.drop("main").select("leader", "shingle", *[F.col(c).alias(f"{c}_b") for c in ("label", "shared", "size", "tail")], F.col("a").alias("b"))
     most_shared = F.least("tail", "tail_b") + F.least("shared", "shared_b")
     reachable = most_shared + 1e-6 >= (F.col("size") + F.col("size_b")) * (threshold / (1 + threshold))
-    shared_beyond = one.join(two, ["leader", "shingle"]).filter((F.col("a") < F.col("b")) & (F.col("label") != F.col("label_b")) & reachable)
-    # Without a shared shingle beyond the leader: shared(x, y) <= shared(x, L), so size(y) is bounded.
+    once = (F.col("label_b") == F.col("main")) | (F.col("a") < F.col("b"))
+    shared_beyond = one.join(two, ["leader", "shingle"]).filter((F.col("label") != F.col("label_b")) & once & reachable)
+    # Without a shared shingle beyond the leader: shared(x, y) <= shared(x, L), so size(y) is bounded. Both
+    # bounds are within 1 / threshold of size(x), so that they lie in neighbouring classes of size.
+    step = np.log(1 / threshold)
     most = F.floor(F.col("shared") * ((1 + threshold) / threshold) - F.col("size") + 1e-6)
     least = F.ceil(F.col("size") * threshold - 1e-6)
-    loose = known.filter((F.col("similarity") < threshold) & (least <= most))
-    loose = loose.select("leader", F.col("node").alias("a"), "label", F.col("size").alias("_size"), F.explode(F.sequence(least, most)).alias("size"))
-    sized = known.select("leader", F.col("node").alias("b"), "size", F.col("label").alias("label_b"), "shared")
+    classes = F.sequence(F.floor(F.log(F.greatest(F.lit(1), least)) / step - 1e-9), F.floor(F.log(most) / step + 1e-9))
+    place = F.floor(F.log("size") / step).alias("class")
+    sized = known.select("leader", F.col("node").alias("b"), "size", F.col("label").alias("label_b"), "shared", place)
+    mains = _main_labels(sized.withColumnRenamed("label_b", "label"), ["leader", "class"]).drop("labels")
+    sized = stored(sized.join(mains, ["leader", "class"]), "sized")
+    bounds = [least.alias("_least"), most.alias("_most"), F.explode(classes).alias("class")]
+    loose = known.filter((F.col("similarity") < threshold) & (least <= most) & (most > 0))
+    loose = loose.select("leader", F.col("node").alias("a"), "label", F.col("size").alias("_size"), *bounds)
+    loose = loose.join(mains.withColumnRenamed("main", "_main"), ["leader", "class"])
+    inside = F.col("label") == F.col("_main")
     enough = F.col("shared") + 1e-6 >= (F.col("_size") + F.col("size")) * (threshold / (1 + threshold))
-    within = loose.join(sized, ["leader", "size"]).filter(enough & (F.col("label") != F.col("label_b")))
+    fits = F.col("size").between(F.col("_least"), F.col("_most")) & enough & (F.col("label") != F.col("label_b"))
+    outside = sized.filter(F.col("label_b") != F.col("main"))
+    within = loose.filter(inside).join(outside, ["leader", "class"])
+    within = within.union(loose.filter(~inside).join(sized, ["leader", "class"])).filter(fits)
 
     pairs = close.union(shared_beyond.select("a", "b")).union(within.select("a", "b"))
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().withColumn("big", F.lit(False))

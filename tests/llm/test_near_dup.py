@@ -63,14 +63,14 @@ def plain_classes(rows, threshold=0.8):
     groups = {}
     for x in range(len(rows)):
         groups.setdefault(find(x), []).append(rows[x][0])
-    return sorted(sorted(g, key=str) for g in groups.values())
+    return sorted((sorted(g, key=str) for g in groups.values()), key=str)
 
 
 def found_classes(frame):
     groups = {}
     for row in frame.collect():
         groups.setdefault(row["class_id"], []).append(row["doc_id"])
-    return sorted(sorted(g, key=str) for g in groups.values())
+    return sorted((sorted(g, key=str) for g in groups.values()), key=str)
 
 
 def near_copies():
@@ -99,6 +99,34 @@ def test_classes_against_all_pairs(spark, small):
     assert found_classes(found) == plain_classes(rows)
 
 
+def test_a_hot_group_at_the_registered_bands(spark):
+    """A group of 250 near copies, strays that share parts of it, at 20 bands of 5 rows and the registered sizes."""
+    text = prose(5, 120)
+    rows = [(k, edited(text, k % 3, 50 + k), "en", "s", 0) for k in range(250)]
+    rows += [(1000 + k, edited(text, 18 + k % 6, 900 + k), "en", "s", 0) for k in range(60)]
+    rows += [(2000 + k, text[: 60 * (k + 1)] + " " + prose(600 + k, 60), "en", "s", 0) for k in range(8)]
+    rows += [(None, edited(text, 1, 4000), "en", "s", 0), (None, edited(prose(9, 70), 1, 4001), "en", "s", 0), (None, prose(9, 70), "en", "s", 0)]
+    found = near_dup.near_duplicates(documents(spark, rows))
+    wanted = plain_classes([(-k if i is None else i, *rest) for k, (i, *rest) in enumerate(rows)])
+    # A pair at the threshold may meet in no bucket (probability 0.0004 at 0.8), so no class may be too large ...
+    classes = [{i for i in group if i is not None} for group in found_classes(found)]
+    parts = [{i for i in group if i >= 0} for group in wanted]
+    assert all(any(c <= w for w in parts) for c in classes)
+    # ... and the hot one is found whole.
+    assert max(map(len, classes)) == max(map(len, parts)) >= 250
+
+
+def test_pairs_of_one_component_are_not_joined(spark, monkeypatch):
+    """All members of the hot bucket are linked by its leader, so no pair of them is measured again."""
+    asked, measure = [], near_dup.measure
+    monkeypatch.setattr(near_dup, "measure", lambda pairs, bags: (asked.append(pairs), measure(pairs, bags))[1])
+    text = prose(5, 120)
+    rows = [(k, edited(text, k % 4, 50 + k), "en", "s", 0) for k in range(120)]
+    found = near_dup.near_duplicates(documents(spark, rows))
+    assert len(found_classes(found)) == 1
+    assert asked[1].count() == 0
+
+
 def test_awkward_rows(spark):
     rows = AWKWARD + [(9101, "", "en", "s", 0), (9102, "!!! ...", "en", "s", 0), (9103, "two words", "en", "s", 0), (9104, "Two WORDS.", "en", "s", 0)]
     found = near_dup.near_duplicates(documents(spark, rows, CLASH))
