@@ -121,7 +121,7 @@ def test_pairs_of_one_component_are_not_joined(spark, monkeypatch):
     asked, measure = [], near_dup.measure
     monkeypatch.setattr(near_dup, "measure", lambda pairs, bags: (asked.append(pairs), measure(pairs, bags))[1])
     text = prose(5, 120)
-    rows = [(k, edited(text, k % 4, 50 + k), "en", "s", 0) for k in range(120)]
+    rows = [(k, edited(text, k % 3, 50 + k), "en", "s", 0) for k in range(120)]
     found = near_dup.near_duplicates(documents(spark, rows))
     assert len(found_classes(found)) == 1
     assert asked[1].count() == 0
