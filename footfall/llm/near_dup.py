@@ -185,13 +185,14 @@ def near_duplicate_links(docs: DataFrame, sketched: DataFrame, threshold: float,
     known = _labelled(known, labels, "node", "label")
     above = known.withColumn("cell", F.explode("beyond")).withColumn("needed", F.ceil(F.col("size") * threshold - 1e-6) - F.col("shared"))
     above = stored(above.select("leader", "node", "label", "shared", "size", "needed", "cell.shingle", "cell.mass"), "above")
-    frequency = above.groupBy("leader", "shingle").agg(F.count("*").alias("members"))
+    # A shingle that only one member has is common to no pair; the others come first in the order of commonness.
+    frequency = above.groupBy("leader", "shingle").agg(F.count("*").alias("members")).filter(F.col("members") > 1)
     common_last = Window.partitionBy("leader", "node").orderBy(F.desc("members"), "shingle")
     above = above.join(frequency, ["leader", "shingle"]).withColumn("tail", F.sum("mass").over(common_last))
-    above = above.filter((F.col("tail") >= F.greatest(F.col("needed"), F.lit(1))) & (F.col("members") > 1))
-    rare = above.select("leader", "shingle", F.col("node").alias("a"), "label", "shared", "size", "tail")
+    above = above.filter(F.col("tail") >= F.greatest(F.col("needed"), F.lit(1)))
+    rare = stored(above.select("leader", "shingle", F.col("node").alias("a"), "label", "shared", "size", "tail"), "rare")
     mixed = _main_labels(rare, ["leader", "shingle"]).filter(F.col("labels") > 1).drop("labels")
-    all_rare = stored(rare.join(mixed, ["leader", "shingle"]), "rare")
+    all_rare = stored(rare.join(mixed, ["leader", "shingle"]), "mixed")
     one = all_rare.filter(F.col("label") != F.col("main"))
     two = all_rare.drop("main").select("leader", "shingle", *[F.col(c).alias(f"{c}_b") for c in ("label", "shared", "size", "tail")], F.col("a").alias("b"))
     most_shared = F.least("tail", "tail_b") + F.least("shared", "shared_b")
