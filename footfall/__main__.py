@@ -1,4 +1,4 @@
-"""Jobs for spark-submit: prepare-lookups, ingest, stream, prune, compact, visits, rollups.
+"""Jobs for spark-submit: prepare-lookups, ingest, stream, summarise, prune, compact, visits, rollups.
 
     spark-submit ... footfall prepare-lookups --lookups DIR [--city-blocks CSV... --city-locations CSV] [--asn-blocks CSV...] [--ptr DIR]
     spark-submit ... footfall ingest --table TABLE [--lookups DIR] LOG...
@@ -15,14 +15,15 @@ from datetime import datetime, timezone
 
 from pyspark.sql import SparkSession
 
-from footfall.operators.listing import list_visits, visit_documents
+from footfall.operators.listing import list_stored_visits, visit_documents
 from footfall.operators.retention import prune
-from footfall.operators.rollups import rollups_document
+from footfall.operators.rollups import stored_rollups_document
 from footfall.plans.ingest import Lookups, ingest_files
 from footfall.session import prepare
 from footfall.settings import Settings
 from footfall.sources.lookups import read_asn_ranges, read_city_ranges, read_prepared, read_ptr_table, write_prepared
-from footfall.sources.visits_table import compact, read_visits
+from footfall.sources.summaries import refresh
+from footfall.sources.visits_table import compact
 from footfall.streaming.ingest import MAX_FILE_AGE, start_ingest
 
 
@@ -35,7 +36,7 @@ def _arguments(argv: list[str] | None) -> argparse.Namespace:
     job.add_argument("--city-locations")
     job.add_argument("--asn-blocks", nargs="+")
     job.add_argument("--ptr")
-    for name in ("ingest", "stream", "prune", "compact", "visits", "rollups"):
+    for name in ("ingest", "stream", "summarise", "prune", "compact", "visits", "rollups"):
         job = jobs.add_parser(name)
         job.add_argument("--table", required=True)
         if name in ("ingest", "stream"):
@@ -91,15 +92,17 @@ def run(spark: SparkSession, argv: list[str] | None = None) -> None:
     elif args.job == "prune":
         days = Settings.from_env(os.environ).retention_days
         print(prune(spark, args.table, datetime.now(timezone.utc), days))
+    elif args.job == "summarise":
+        print(refresh(spark, args.table))
     elif args.job == "compact":
         for day in compact(spark, args.table):
             print(day)
     elif args.job == "visits":
-        listed = list_visits(read_visits(spark, args.table), args.limit, args.visitors)
+        listed = list_stored_visits(spark, args.table, args.limit, args.visitors)
         for row in visit_documents(listed).orderBy("row").collect():
             print(row.document)
     else:
-        print(rollups_document(read_visits(spark, args.table), datetime.now(timezone.utc)).first().document)
+        print(stored_rollups_document(spark, args.table, datetime.now(timezone.utc)).first().document)
 
 
 if __name__ == "__main__":

@@ -1,6 +1,6 @@
 """Lists of recent visits and how they are shown."""
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from footfall.fixed_values import SCAN_TOKENS
@@ -10,6 +10,8 @@ from footfall.functions.times import MIN_MILLIS, iso_instant
 from footfall.operators.skew import ROWS_PER_SHARE, salted_join
 from footfall.schemas import PARTITION_COLUMN, VISIT_COLUMNS
 from footfall.settings import parse_limit, parse_visitors
+from footfall.sources.summaries import read_counts, read_engaged
+from footfall.sources.visits_table import read_visits
 
 def _newest_first() -> list:
     return [F.desc("visited_at"), F.asc("site"), F.asc("path"), F.asc("ip_hash")]
@@ -33,18 +35,26 @@ def _recent_enough(visits: DataFrame, counted: DataFrame, limit: int) -> DataFra
         return visits
     # Plain comparisons with a subquery, so that they reach the partitions and the row groups.
     year_one = F.make_date(*[F.lit(1)] * 3)
-    in_days = F.col(PARTITION_COLUMN) >= _start_of(counted, F.col(PARTITION_COLUMN), limit, year_one).scalar()
-    minute = F.date_trunc("minute", "visited_at")
-    first_minute = _start_of(counted.filter(in_days), minute, limit, F.timestamp_millis(F.lit(MIN_MILLIS)))
+    in_days = F.col(PARTITION_COLUMN) >= _reached(_per_step(counted, F.col(PARTITION_COLUMN)), limit, year_one).scalar()
+    return _since_minute(visits, counted, in_days, limit)
+
+
+def _since_minute(visits: DataFrame, counted: DataFrame, in_days: Column, limit: int) -> DataFrame:
+    """Of some days, the newest minutes that together hold `limit` of the counted visits, else all."""
+    per_minute = _per_step(counted.filter(in_days), F.date_trunc("minute", "visited_at"))
+    first_minute = _reached(per_minute, limit, F.timestamp_millis(F.lit(MIN_MILLIS)))
     return visits.filter(in_days & (F.col("visited_at") >= first_minute.scalar()))
 
 
-def _start_of(counted: DataFrame, step: Column, limit: int, otherwise: Column) -> DataFrame:
+def _per_step(counted: DataFrame, step: Column) -> DataFrame:
+    return counted.groupBy(step.alias("step")).agg(F.count("*").alias("n"))
+
+
+def _reached(per_step: DataFrame, limit: int, otherwise: Column) -> DataFrame:
     """One value: the latest step (day, minute) from which on there are `limit` rows, if there are so many.
 
     The window runs over one row per step: days, or at most `limit` minutes and those of one day.
     """
-    per_step = counted.groupBy(step.alias("step")).agg(F.count("*").alias("n"))
     through = F.sum("n").over(Window.orderBy(F.desc("step")))
     reached = per_step.withColumn("through", through).filter(F.col("through") >= limit)
     return reached.agg(F.coalesce(F.max("step"), otherwise).alias("start"))
@@ -75,6 +85,20 @@ def recent_of_engaged(visits: DataFrame, limit: int, rows_per_share: int = ROWS_
     return _newest(visits_of_engaged(visits, newest, rows_per_share), limit)
 
 
+def stored_recent_of_engaged(spark: SparkSession, path: str, limit: int, rows_per_share: int = ROWS_PER_SHARE) -> DataFrame:
+    """The same of a table, from its summaries: visits are read of the listing's days only.
+
+    The days are found by their counts, and of everyone who ever engaged only those are kept who visited
+    in the time that is listed.
+    """
+    visits, day = read_visits(spark, path), F.col(PARTITION_COLUMN)
+    per_day = read_counts(spark, path).filter("engaged").groupBy(day.alias("step")).agg(F.sum("visits").alias("n"))
+    in_days = day >= _reached(per_day, limit, F.make_date(*[F.lit(1)] * 3)).scalar()
+    newest = _since_minute(visits, visits.filter("engaged"), in_days, limit)
+    engaged = read_engaged(spark, path).join(newest.select("ip_hash").distinct(), "ip_hash", "left_semi").distinct()
+    return _newest(salted_join(newest, engaged, "ip_hash", "left_semi", rows_per_share=rows_per_share), limit)
+
+
 def number_visitors(listed: DataFrame) -> DataFrame:
     """Number the rows of one listing, and its visitors by first appearance, and drop the hash.
 
@@ -94,6 +118,16 @@ def list_visits(visits: DataFrame, limit: str | int | None = None, visitors: str
     return present(number_visitors(listed))
 
 
+def list_stored_visits(
+    spark: SparkSession, path: str, limit: str | int | None = None, visitors: str | None = None
+) -> DataFrame:
+    """The same of a table, from its summaries where they help."""
+    count = parse_limit(limit)
+    if parse_visitors(visitors) is None:
+        return present(number_visitors(recent(read_visits(spark, path), count)))
+    return present(number_visitors(stored_recent_of_engaged(spark, path, count)))
+
+
 def present(numbered: DataFrame) -> DataFrame:
     """Listing columns under the names they are shown by; never the address hash."""
     return numbered.select(

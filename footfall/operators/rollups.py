@@ -1,14 +1,20 @@
 """Counts over the visits table."""
 
-from datetime import datetime
+from datetime import datetime, time, timedelta
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from footfall.fixed_values import LATEST_DAYS, ROLLUP_DAYS, ROLLUP_TOP_N
 from footfall.functions.documents import json_document
 from footfall.functions.times import day_of, days_before, instant, utc
 from footfall.schemas import PARTITION_COLUMN
+from footfall.sources.summaries import read_counts
+from footfall.sources.visits_table import read_visits
+
+_GROUPED = ["country", "referrer"]
+# What a row of the grouping sets is about, by the columns it is not grouped by: day, country, referrer from the left.
+_PARTS = {0b011: "day", 0b101: "country", 0b110: "referrer", 0b111: "rate"}
 
 
 def in_window(visits: DataFrame, now: datetime, days: int = ROLLUP_DAYS) -> DataFrame:
@@ -90,54 +96,64 @@ def stat_tiles(visits: DataFrame, now: datetime) -> DataFrame:
     )
 
 
-def rollups(visits: DataFrame, now: datetime) -> DataFrame:
-    """One row: engaged rate, visits per day and the top labels, each list in its order.
+def facts(visits: DataFrame, now: datetime, days: int = ROLLUP_DAYS) -> DataFrame:
+    """What rollups add up: day, country, referrer, engaged, n visits, of which `inside` are in the window."""
+    day = F.col(PARTITION_COLUMN) if PARTITION_COLUMN in visits.columns else day_of(F.col("visited_at"))
+    inside = (F.col("visited_at") >= days_before(instant(now), days)).cast("long")
+    return visits.select(day.alias("day"), *_GROUPED, "engaged", F.lit(1).cast("long").alias("n"), inside.alias("inside"))
 
-    The four parts are small (30 days, twice 10 labels, one rate) before they are put together.
-    """
-    per_day = day_counts(visits, now)
-    days = per_day.select(
-        F.lit("day").alias("part"),
-        F.row_number().over(Window.orderBy("visit_day")).alias("place"),
-        F.date_format("visit_day", "yyyy-MM-dd").alias("label"),
-        "visits",
-        "engaged",
-        F.lit(None).cast("double").alias("rate"),
-    )
 
-    def labels(part: str, top: DataFrame) -> DataFrame:
-        place = F.row_number().over(Window.orderBy(F.desc("visits"), "label"))
-        return top.select(
-            F.lit(part).alias("part"),
-            place.alias("place"),
-            "label",
-            "visits",
-            F.lit(None).cast("bigint").alias("engaged"),
-            F.lit(None).cast("double").alias("rate"),
-        )
-
-    rate = engaged_rate(visits).select(
-        F.lit("rate").alias("part"),
-        F.lit(1).alias("place"),
-        F.lit(None).cast("string").alias("label"),
-        F.lit(None).cast("bigint").alias("visits"),
-        F.lit(None).cast("bigint").alias("engaged"),
-        F.col("engaged_rate").alias("rate"),
-    )
-    parts = (
-        days.unionByName(labels("country", top_countries(visits)))
-        .unionByName(labels("referrer", top_referrers(visits)))
-        .unionByName(rate)
+def stored_facts(spark: SparkSession, path: str, now: datetime, days: int = ROLLUP_DAYS) -> DataFrame:
+    """The same of a table, from its summaries; visits are read of at most the one day that the window cuts."""
+    start = utc(now) - timedelta(days=days)
+    first = start.date()
+    counts = read_counts(spark, path)
+    whole = F.col(PARTITION_COLUMN) > F.lit(first)
+    if start.time() == time(0):
+        whole = F.col(PARTITION_COLUMN) >= F.lit(first)
+    inside = F.when(whole, F.col("visits")).otherwise(0).cast("long")
+    found = counts.select(F.col(PARTITION_COLUMN).alias("day"), *_GROUPED, "engaged", F.col("visits").alias("n"), inside.alias("inside"))
+    if start.time() == time(0):
+        return found
+    cut = facts(in_window(read_visits(spark, path, [first]), now, days), now, days)
+    return found.unionByName(cut.withColumn("n", F.lit(0).cast("long")))
+
+
+def rollups(visits: DataFrame, now: datetime, days: int = ROLLUP_DAYS) -> DataFrame:
+    """One row: engaged rate, visits per day and the top labels, each list in its order."""
+    return rollups_of(facts(visits, now, days), days)
+
+
+def rollups_of(facts: DataFrame, days: int = ROLLUP_DAYS) -> DataFrame:
+    """All rollups in one pass: one aggregation by day, by country, by referrer and over everything.
+
+    Ranks are cut inside each task before the few best rows of a list meet.
+    """
+    sums = [F.sum(F.when(F.col("engaged"), F.col(name)).otherwise(0)).alias(f"{name}_engaged") for name in ("n", "inside")]
+    part = F.element_at(F.create_map(*[F.lit(x) for pair in _PARTS.items() for x in pair]), F.grouping_id().cast("int"))
+    grouped = facts.groupingSets([["day"], ["country"], ["referrer"], []], "day", *_GROUPED).agg(
+        part.alias("part"), F.sum("n").alias("n"), F.sum("inside").alias("inside"), *sums
     )
+    is_day = F.col("part") == "day"
+    label = F.when(is_day, F.date_format("day", "yyyy-MM-dd")).otherwise(F.coalesce(*_GROUPED))
+    known = (is_day & (F.col("inside") > 0)) | (F.col("part") == "rate") | (F.col("part").isin(*_GROUPED) & label.isNotNull() & (F.col("n") > 0))
+    order = [F.when(is_day, 0).otherwise(-F.col("n")), F.col("label")]
+    # A window of some days touches one day more.
+    most = max(ROLLUP_TOP_N, days + 1)
+    placed = grouped.withColumn("label", label).filter(known)
+    placed = placed.withColumn("place", F.row_number().over(Window.partitionBy("part").orderBy(*order))).filter(F.col("place") <= most)
 
     def in_order(part: str, *fields: Column) -> Column:
         rows = F.collect_list(F.when(F.col("part") == part, F.struct("place", F.struct(*fields).alias("row"))))
-        return F.transform(F.array_sort(rows), lambda placed: placed["row"])
-
-    label_fields = [F.col("label"), F.col("visits")]
-    return parts.agg(
-        F.max("rate").alias("engagedRate"),
-        in_order("day", F.col("label").alias("day"), F.col("visits"), F.col("engaged")).alias("visitsPerDay"),
+        listed = rows if part == "day" else F.filter(rows, lambda placed: placed["place"] <= ROLLUP_TOP_N)
+        return F.transform(F.array_sort(listed), lambda placed: placed["row"])
+
+    label_fields = [F.col("label"), F.col("n").alias("visits")]
+    day_fields = [F.col("label").alias("day"), F.col("inside").alias("visits"), F.col("inside_engaged").alias("engaged")]
+    rate = F.max(F.when(F.col("part") == "rate", _rate(F.col("n_engaged"), F.col("n"))))
+    return placed.agg(
+        F.coalesce(rate, F.lit(0.0)).alias("engagedRate"),
+        in_order("day", *day_fields).alias("visitsPerDay"),
         in_order("country", *label_fields).alias("topCountries"),
         in_order("referrer", *label_fields).alias("topReferrers"),
     )
@@ -145,5 +161,13 @@ def rollups(visits: DataFrame, now: datetime) -> DataFrame:
 
 def rollups_document(visits: DataFrame, now: datetime) -> DataFrame:
     """The rollups as one JSON document."""
-    bundle = rollups(visits, now)
+    return _document(rollups(visits, now))
+
+
+def stored_rollups_document(spark: SparkSession, path: str, now: datetime) -> DataFrame:
+    """The same document of a table, from its summaries."""
+    return _document(rollups_of(stored_facts(spark, path, now)))
+
+
+def _document(bundle: DataFrame) -> DataFrame:
     return bundle.select(json_document({name: F.col(name) for name in bundle.columns}).alias("document"))

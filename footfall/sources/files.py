@@ -65,6 +65,11 @@ def children(spark: SparkSession, path: str) -> list[str]:
     return sorted(status.getPath().getName() for status in system.listStatus(hadoop_path))
 
 
+def literal(path: str) -> str:
+    """A path as a reader that takes patterns takes it literally."""
+    return re.sub(r"([{}\[\]*?\\])", r"\\\1", path)
+
+
 def file_groups(spark: SparkSession, paths: str | list[str], most_bytes: int) -> list[tuple[list[str], int]]:
     """Files, folders or glob patterns as (paths, bytes) in groups of about `most_bytes`.
 
@@ -87,7 +92,7 @@ def _pieces(system, found, most_bytes: int) -> Iterator[tuple[str, int]]:
     """A file or folder, or what is in a folder that is too large, as names a reader takes literally."""
     path, size = found.getPath(), system.getContentSummary(found.getPath()).getLength()
     if not found.isDirectory() or size <= most_bytes:
-        yield re.sub(r"([{}\[\]*?\\])", r"\\\1", path.toString()), size
+        yield literal(path.toString()), size
         return
     for inside in sorted(system.listStatus(path), key=lambda status: status.getPath().getName()):
         # Spark leaves such names out when it lists a folder.

@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 from footfall.schemas import PARTITION_COLUMN, VERSION_COLUMN
 from footfall.sources.files import children, exists, read_text, remove, rename, write_text
 
-# Spark does not read folders with such a name.
+# Spark does not read folders with such a name as part of the table.
 MANIFESTS = "_versions"
+# Where the table's summaries are (sources/summaries.py), by kind and then in the folders of the days.
+SUMMARIES = "_summaries"
 # How long a version that no longer counts stays for its readers.
 KEEP_REPLACED = timedelta(hours=1)
 # Manifests that are left beside the last.
@@ -101,6 +103,9 @@ def sweep(spark: SparkSession, path: str, keep: timedelta = KEEP_REPLACED) -> No
         return
     current = dict(manifest.current)
     for day, version, _ in over:
+        # Their summaries first: a day that begins anew must find none.
+        for kind in children(spark, f"{path}/{SUMMARIES}"):
+            remove(spark, day_folder(f"{path}/{SUMMARIES}/{kind}", day, version))
         remove(spark, day_folder(path, day, version))
     for day in {day for day, _, _ in over}:
         if not children(spark, day_folder(path, day)):

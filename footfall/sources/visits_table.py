@@ -9,7 +9,7 @@ from datetime import date, timedelta
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,6 +18,7 @@ from footfall.operators.visits import as_visits, not_stored
 from footfall.schemas import PARTITION_COLUMN, STORED_VISIT, VERSION_COLUMN, VISIT_KEY
 from footfall.session import prepare
 from footfall.sources.files import children, exists, total_bytes
+from footfall.sources.summaries import is_summarised, refresh
 from footfall.sources.versions import (
     KEEP_REPLACED,
     commit,
@@ -76,20 +77,26 @@ def time_ranges(spans: list[tuple[int, int]], most: int) -> list[tuple[int, int]
     return [(spans[a][0], max(last for _, last in spans[a:b])) for a, b in zip(starts, ends)]
 
 
-def stored_keys(spark: SparkSession, path: str, visits: DataFrame) -> DataFrame:
-    """Keys stored within the times that some visits cover.
+def day_spans(visits: DataFrame) -> list[Row]:
+    """The days that some visits touch, each with its first and last time in microseconds."""
+    at = F.col("visited_at")
+    ends = [F.unix_micros(F.min(at)).alias("first"), F.unix_micros(F.max(at)).alias("last")]
+    return visits.groupBy(day_of(at).alias("day")).agg(*ends).collect()
+
+
+def stored_keys(spark: SparkSession, path: str, visits: DataFrame, spans: list[Row] | None = None) -> DataFrame:
+    """Keys stored within the times that some visits cover (`spans`, where they are known).
 
     Only the days they touch are read, and of those only the row groups that reach into their hours.
     """
     day, at = F.col(PARTITION_COLUMN), F.col("visited_at")
-    ends = [F.unix_micros(F.min("visited_at")).alias("first"), F.unix_micros(F.max("visited_at")).alias("last")]
-    per_day = visits.groupBy(day_of(at).alias("day")).agg(*ends).collect()
-    if not per_day:
+    spans = day_spans(visits) if spans is None else spans
+    if not spans:
         return read_visits(spark, path, []).select(*VISIT_KEY)
     # A few late visits must not widen the hours asked of the other days.
-    ranges = time_ranges([(span["first"], span["last"]) for span in per_day], MOST_RANGES)
+    ranges = time_ranges([(span["first"], span["last"]) for span in spans], MOST_RANGES)
     hours = [at.between(*[F.timestamp_micros(F.lit(end)) for end in span]) for span in ranges]
-    days = sorted(span["day"] for span in per_day)
+    days = sorted(span["day"] for span in spans)
     covered = day.isin(days) & reduce(or_, hours)
     return read_visits(spark, path, days).filter(covered).select(*VISIT_KEY)
 
@@ -99,7 +106,7 @@ def insert_if_absent(spark: SparkSession, visits: DataFrame, path: str, complete
 
     `visits` holds one row per key. `complete` turns the ones to be stored into stored columns, so
     that lookups are not spent on copies of what is there already. Running it again with the same
-    visits, after a failure at any point, adds nothing twice.
+    visits, after a failure at any point, adds nothing twice. A table that has summaries keeps them.
     """
     if not exists(spark, path):
         append_visits(complete(visits), path)
@@ -107,10 +114,13 @@ def insert_if_absent(spark: SparkSession, visits: DataFrame, path: str, complete
     sweep(spark, path)
     visits = visits.persist()
     try:
-        fresh = not_stored(visits, stored_keys(spark, path, visits))
+        spans = day_spans(visits)
+        fresh = not_stored(visits, stored_keys(spark, path, visits, spans))
         # Lookups read their tables whatever the number of visits; none are made where nothing is new.
         if complete is as_visits or not fresh.isEmpty():
             append_visits(complete(fresh), path)
+            if is_summarised(spark, path):
+                refresh(spark, path, [span["day"] for span in spans])
     finally:
         visits.unpersist()
 
