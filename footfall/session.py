@@ -22,6 +22,8 @@ def prepare(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    # Of equal keys in a JSON object the last one counts, as everywhere.
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     # Spark's default, INT96, has no minimum and maximum in the files, so no time range could skip any.
     spark.conf.set("spark.sql.parquet.outputTimestampType", "TIMESTAMP_MICROS")
     return spark

@@ -17,11 +17,12 @@ from footfall.session import prepare
 _JSON_OPTIONS = {"allowNonNumericNumbers": "false", "allowSingleQuotes": "false"}
 
 
-def _line_schema(value: str) -> str:
-    """The fields a request needs; everything else in a line is skipped unparsed."""
-    texts = ", ".join(f"{name}: {value}" for name in ("host", "method", "uri", "client_ip", "remote_ip"))
-    headers = f"headers: struct<`User-Agent`: array<{value}>, Referer: array<{value}>>"
-    return f"ts double, status int, request struct<{texts}, {headers}>"
+_TEXTS = ", ".join(f"{name}: string" for name in ("host", "method", "uri", "client_ip", "remote_ip"))
+# The fields a request needs; everything else in a line is skipped unparsed.
+_LINE = (
+    f"ts double, status int, request struct<{_TEXTS}, "
+    "headers: struct<`User-Agent`: array<string>, Referer: array<string>>>"
+)
 
 
 _JSON_NUMBER = r"\A-?[0-9]+(?:[.][0-9]+)?(?:[eE][-+]?[0-9]+)?\z"
@@ -32,10 +33,11 @@ _TEXT_FIELDS = {
     "uri": "request.uri",
     "client_ip": "request.client_ip",
     "remote_ip": "request.remote_ip",
-    "user_agent": "request.headers.`User-Agent`",
-    "referrer": "request.headers.Referer",
+    "user_agent": "request.headers['User-Agent'][0]",
+    "referrer": "request.headers.Referer[0]",
 }
-_HEADERS = ("user_agent", "referrer")
+# Where the type of a value decides: a second one of another type would be skipped instead of taken.
+_TYPED_KEYS = ("ts", "status", "request", "headers", "User-Agent", "Referer")
 
 
 def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -55,10 +57,19 @@ def clean_lines(lines: DataFrame) -> DataFrame:
     return lines.filter(value.contains("{") | ~is_blank(value)).withColumn("value", stripped)
 
 
-def _field(reading: str, name: str) -> Column:
-    """One field of a reading of the line; of a header, its first value."""
-    value = F.col(f"{reading}.{_TEXT_FIELDS[name]}")
-    return F.get(value, F.lit(0)) if name in _HEADERS else value
+def _plain(name: str) -> Column:
+    """One field of the fast reading; of a header, its first value."""
+    path, of_header, _ = f"plain.{_TEXT_FIELDS[name]}".partition("[0]")
+    value = F.col(path.replace("['User-Agent']", ".`User-Agent`"))
+    return F.get(value, F.lit(0)) if of_header else value
+
+
+def _whole(name: str, kind: str = "variant") -> Column:
+    return F.try_variant_get("whole", f"$.{_TEXT_FIELDS.get(name, name)}", kind)
+
+
+def _whole_type(name: str) -> Column:
+    return F.schema_of_variant(_whole(name))
 
 
 def _looks_like_no_text(text: Column) -> Column:
@@ -68,36 +79,41 @@ def _looks_like_no_text(text: Column) -> Column:
     return F.coalesce(structured | (like_a_number & text.rlike(_JSON_NUMBER)), F.lit(False))
 
 
-def _guarded_text(variant: Column) -> Column:
-    return F.when(F.schema_of_variant(variant) == "STRING", F.try_variant_get(variant, "$", "string"))
+def _may_repeat_a_key() -> Column:
+    """Whether a key whose value's type decides occurs twice, or some key may be spelt with escapes."""
+    twice = [F.expr(f"locate('\"{key}\"', value, locate('\"{key}\"', value) + 1) > 0") for key in _TYPED_KEYS]
+    escaped = F.col("value").contains("\\u00") & F.col("value").rlike(r"\\u00[4-7]")
+    return reduce(or_, twice) | escaped
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:
     """Every line with its request fields; `conforming` is false where no request could be read.
 
-    Reading the strings as strings is fast but turns a JSON 12 into "12". Only lines where some
-    field looks like that are read again with their JSON types, so 12 and "12" stay apart.
+    The fast reading takes strings as strings, but turns a JSON 12 into "12", and of a key that occurs twice it
+    skips a last value of another type. Only lines where some field looks like that, or where such a key may occur
+    twice, are read again as a whole with their JSON types, where the last of equal keys counts at any depth.
     """
-    read = lines.withColumn("plain", F.from_json("value", _line_schema("string"), _JSON_OPTIONS))
-    doubtful = reduce(or_, [_looks_like_no_text(_field("plain", name)) for name in _TEXT_FIELDS])
+    read = lines.withColumn("plain", F.from_json("value", _LINE, _JSON_OPTIONS))
+    doubtful = reduce(or_, [_looks_like_no_text(_plain(name)) for name in _TEXT_FIELDS]) | _may_repeat_a_key()
     read = read.withColumn("doubtful", doubtful)
-    typed = F.when(F.col("doubtful"), F.from_json("value", _line_schema("variant"), _JSON_OPTIONS))
-    read = read.withColumn("typed", typed)
+    read = read.withColumn("whole", F.when(F.col("doubtful"), F.try_parse_json("value")))
+
+    def field(plain: Column, name: str, types: str, kind: str) -> Column:
+        typed = F.when(_whole_type(name).rlike(types), _whole(name, kind))
+        return F.when(F.col("doubtful"), typed).otherwise(plain)
 
-    fields = {
-        name: F.when(F.col("typed").isNull(), _field("plain", name)).otherwise(_guarded_text(_field("typed", name)))
-        for name in _TEXT_FIELDS
-    }
+    fields = {name: field(_plain(name), name, "^STRING$", "string") for name in _TEXT_FIELDS}
     text = {name: non_empty(value) for name, value in fields.items()}
+    ts = field(F.col("plain.ts"), "ts", "^(BIGINT|DECIMAL|FLOAT|DOUBLE)", "double")
     parsed = evaluate_once(
         host=text["host"],
         method=text["method"],
         uri=text["uri"],
-        status=F.col("plain.status"),
+        status=field(F.col("plain.status"), "status", "^BIGINT$", "int"),
         remote_ip=F.coalesce(text["client_ip"], text["remote_ip"]),
         referrer=fields["referrer"],
         user_agent=F.coalesce(fields["user_agent"], F.lit("")),
-        ts=F.when(F.abs("plain.ts") < float("inf"), F.col("plain.ts")),
+        ts=F.when(F.abs(ts) < float("inf"), ts),
     )
     conforming = F.lit(True)
     for needed in ("host", "method", "uri", "status", "remote_ip", "ts"):
