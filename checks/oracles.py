@@ -1,6 +1,6 @@
 """For each registered query, SQL that answers it from the given tables without reading any JSON."""
 
-from checks.standin import ASN_SQL, CITY_SQL, PTR_SQL, REQUESTS_SQL, SALT
+from checks.standin import AGAIN_SQL, ASN_SQL, CITY_SQL, PTR_SQL, REQUESTS_SQL, SALT, WITHOUT_PATH_SQL
 
 _BOTS = (
     "(bot|crawler|spider|slurp|curl|wget|python|go-http-client|java/|httpclient|okhttp|libwww|scrapy"
@@ -14,7 +14,7 @@ _DUCKDB_MILLIS = "CAST(trunc((CAST(epoch_us(ts) // 1000 AS DOUBLE) / 1000) * 100
 
 _WITH = f"""
 WITH standin AS ({REQUESTS_SQL.format(millis=_DUCKDB_MILLIS, events="events")}),
-raw AS (SELECT * FROM standin UNION ALL SELECT * FROM standin WHERE event_id % 10 = 0),
+raw AS (SELECT * FROM standin UNION ALL {AGAIN_SQL.format(requests="standin")} UNION ALL {WITHOUT_PATH_SQL.format(requests="standin")}),
 judged AS (
   SELECT *, split_part(uri, '?', 1) AS path,
     CASE WHEN client_ip IN ('203.0.0.13') THEN 'internal_proxy'
@@ -25,13 +25,15 @@ judged AS (
       WHEN method = 'GET' AND (split_part(uri, '?', 1) IN ('/healthz', '/readyz') OR starts_with(uri, '/api')
         OR regexp_matches(split_part(uri, '?', 1), '{_ASSETS}')) THEN 'noise'
       WHEN method = 'POST' AND NOT starts_with(uri, '/api') THEN 'post_outside_api'
-      WHEN method NOT IN ('GET', 'POST') THEN 'method' END AS drop_reason
+      WHEN method NOT IN ('GET', 'POST') THEN 'method'
+      WHEN starts_with(uri, '?') THEN 'empty_path' END AS drop_reason
   FROM raw),
 described AS (
-  SELECT DISTINCT host AS site, path, (method = 'POST') AS engaged, sha256('{SALT}' || client_ip) AS ip_hash,
+  SELECT host AS site, path, (method = 'POST') AS engaged, sha256('{SALT}' || client_ip) AS ip_hash,
     nullif(referrer, '') AS referrer, at_ms, user_id, client_ip,
     3405774848 + CAST(split_part(client_ip, '.', 3) AS BIGINT) * 256 + CAST(split_part(client_ip, '.', 4) AS BIGINT) AS ip_num
-  FROM judged WHERE drop_reason IS NULL),
+  FROM judged WHERE drop_reason IS NULL
+  QUALIFY row_number() OVER (PARTITION BY host, path, client_ip, at_ms ORDER BY nullif(referrer, '') NULLS FIRST) = 1),
 city AS ({CITY_SQL.format(nation="nation", region="region")}),
 asns AS ({ASN_SQL.format(nation="nation")}),
 ptr AS ({PTR_SQL.format(events="events")}),
@@ -91,11 +93,18 @@ _THIRD = "CAST(split_part(client_ip, '.', 3) AS BIGINT)"
 _LAST = "CAST(split_part(client_ip, '.', 4) AS BIGINT)"
 _IPV6 = f"'2001:DB8:1::' || lower(to_hex({_THIRD})) || ':' || lower(to_hex({_LAST}))"
 
+_REASONS = """SELECT coalesce(drop_reason, 'kept') AS drop_reason, count(*) AS lines FROM judged GROUP BY 1
+UNION ALL SELECT 'not_a_request', count(*) FROM standin WHERE event_id % 23 = 0 HAVING count(*) > 0
+UNION ALL SELECT 'time_out_of_range', count(*) FROM standin WHERE event_id % 41 = 0 HAVING count(*) > 0"""
+_DESCRIBED = "site, path, engaged, browser, os, device_kind, ip_hash, referrer, at_ms"
+
 ORACLES = {
     "parse_access_log": "SELECT host, method, split_part(uri, '?', 1) AS path, status, client_ip AS remote_ip, "
     "referrer, user_agent, at_ms FROM raw",
-    "consumed_lines": "SELECT count(*) AS lines, true AS all_bytes FROM raw",
-    "drop_reasons": "SELECT coalesce(drop_reason, 'kept') AS drop_reason, count(*) AS lines FROM judged GROUP BY 1",
+    "consumed_lines": """SELECT (SELECT count(*) FROM raw) + count(*) FILTER (event_id % 23 = 0)
+  + count(*) FILTER (event_id % 41 = 0) + count(*) FILTER (event_id % 43 = 0) AS lines, true AS all_bytes FROM standin""",
+    "drop_reasons": _REASONS,
+    "ingest_report": _REASONS,
     "kept_requests": "SELECT host, path, (method = 'POST') AS engaged, client_ip AS remote_ip, at_ms "
     "FROM judged WHERE drop_reason IS NULL",
     "ip_hash": f"SELECT DISTINCT client_ip AS remote_ip, sha256('{SALT}' || client_ip) AS ip_hash FROM raw",
@@ -116,8 +125,10 @@ FROM parts""",
   regexp_replace(url, '^[a-z]+://[^/]*', ''), '.html', '.js'), '/de/', '/WP-Admin/'), '?', 1) AS path FROM pages)
 SELECT url, path, regexp_matches(lower(path), '{_SCANS}') AS is_scan, regexp_matches(path, '{_ASSETS}') AS is_asset
 FROM paths""",
-    "visits_dedupe": "SELECT site, path, engaged, ip_hash, referrer, at_ms FROM visits",
-    "insert_if_absent": "SELECT site, path, ip_hash, at_ms FROM visits",
+    "visits_dedupe": f"SELECT {_DESCRIBED} FROM visits",
+    "insert_if_absent": f"SELECT {_DESCRIBED} FROM visits",
+    "rejected_requests": """SELECT drop_reason, host, path, method, status FROM judged WHERE drop_reason = 'empty_path'
+UNION ALL SELECT 'time_out_of_range', host, '/', 'GET', 200 FROM standin WHERE event_id % 41 = 0""",
     "stream_ingest": "SELECT site, path, engaged, ip_hash, country, asn, org_domain, at_ms FROM visits",
     "stream_late_segment": "SELECT site, path, engaged, ip_hash, at_ms FROM visits",
     "geo_csv_ranges": f"""SELECT DISTINCT client_ip AS remote_ip, n_name AS country, r_name AS city,

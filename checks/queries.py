@@ -9,7 +9,7 @@ from footfall.functions.device import with_device
 from footfall.functions.net import registrable_domain, reverse_name, with_ip_key
 from footfall.functions.privacy import ip_hash
 from footfall.operators import geo, listing, reports, requests, retention, rollups, visits
-from footfall.plans.ingest import ingest_lines, requests_from_lines, visits_from_lines
+from footfall.plans.ingest import ingest_files, ingest_lines, requests_from_lines, visits_from_lines
 from footfall.session import prepare
 from footfall.sources.access_log import clean_lines, conforming_requests, parse_lines
 from footfall.sources.backlog import backlog_lines, read_backlog, replay_backlog, write_backlog
@@ -17,6 +17,7 @@ from footfall.sources.lookups import network_ranges, read_asn_ranges, read_city_
 from footfall.sources.visits_table import append_visits, read_visits
 from footfall.streaming.ingest import start_ingest
 
+_DESCRIBED = ("site", "path", "engaged", "browser", "os", "device_kind", "ip_hash", "referrer")
 OWN_CITY, OWN_ORG = "europe", "org nation_"
 
 
@@ -99,8 +100,8 @@ def path_strip_pages(spark, sf_dir):
 
 
 def visits_dedupe(spark, sf_dir):
-    kept = visits.one_per_key(_described(spark, sf_dir))
-    return kept.select("site", "path", "engaged", "ip_hash", "referrer", _at_ms())
+    """Copies of a request differ in their referrer."""
+    return visits.one_per_key(_described(spark, sf_dir)).select(*_DESCRIBED, _at_ms())
 
 
 def insert_if_absent(spark, sf_dir):
@@ -109,7 +110,21 @@ def insert_if_absent(spark, sf_dir):
     path = standin.new_folder(spark, "insert")
     ingest_lines(standin.as_lines(sent.filter("at_ms < 1705363200000")), path, SETTINGS)
     ingest_lines(standin.as_lines(sent), path, SETTINGS)
-    return read_visits(spark, path).select("site", "path", "ip_hash", _at_ms())
+    return read_visits(spark, path).select(*_DESCRIBED, _at_ms())
+
+
+def ingest_report(spark, sf_dir):
+    """Reasons as an ingest reports them, from the pass in which it stores the visits."""
+    report = ingest_files(spark, standin.log_files(prepare(spark), sf_dir), standin.new_folder(spark, "reported"), SETTINGS)
+    return spark.createDataFrame(sorted(report.reasons.items()), "drop_reason string, lines bigint")
+
+
+def rejected_requests(spark, sf_dir):
+    """Requests that an ingest could not store."""
+    rejected = standin.new_folder(spark, "rejected")
+    ingest_files(spark, standin.log_files(prepare(spark), sf_dir), standin.new_folder(spark, "others"), SETTINGS, rejected=rejected)
+    schema = "drop_reason string, host string, path string, method string, status int"
+    return spark.read.schema(schema).json(f"{rejected}/*")
 
 
 def stream_ingest(spark, sf_dir):
@@ -358,6 +373,8 @@ QUERIES = {
     "parse_access_log": parse_access_log,
     "consumed_lines": consumed_lines,
     "drop_reasons": drop_reasons,
+    "ingest_report": ingest_report,
+    "rejected_requests": rejected_requests,
     "kept_requests": kept_requests,
     "ip_hash": hashed_addresses,
     "device_class": device_class,

@@ -1,4 +1,9 @@
-"""An access log, network ranges and PTR records made from the given tables."""
+"""An access log, network ranges and PTR records made from the given tables.
+
+The log is not only well-formed lines: a tenth of the requests is delivered twice, the second time in another spelling
+of the same request (repeated keys, other key orders, a relay's address) and for some of them with another referrer;
+requests without a path, times beyond the calendar, lines that hold no request and blank ones lie among them.
+"""
 
 import time
 import uuid
@@ -33,10 +38,10 @@ SELECT event_id, user_id,
        WHEN event_id % 13 = 0 THEN '/healthz'
        WHEN event_id % 17 = 0 THEN '/WP-login.php'
        WHEN event_id % 19 = 0 THEN '/api/report'
-       WHEN event_type = 'click' THEN '/report?a=1&b=2' ELSE '/' END AS uri,
+       WHEN event_type = 'click' THEN '/summary?from=3&to=9' ELSE '/' END AS uri,
   CASE WHEN event_type = 'error' AND event_id % 2 = 0 THEN 404 ELSE 200 END AS status,
   '203.0.' || CAST(CAST(floor(user_id / 256) AS BIGINT) AS VARCHAR(20)) || '.' || CAST(user_id % 256 AS VARCHAR(20)) AS client_ip,
-  CASE user_id % 6 WHEN 0 THEN NULL WHEN 1 THEN 'https://github.com/x' WHEN 2 THEN 'https://linkedin.com'
+  CASE user_id % 6 WHEN 0 THEN NULL WHEN 1 THEN 'https://social.example/feed' WHEN 2 THEN 'https://jobs.example'
        WHEN 3 THEN 'https://news.example/item' WHEN 4 THEN '' ELSE 'https://blog.example//WordPress/' END AS referrer,
   CASE user_id % 10
     WHEN 0 THEN 'Mozilla/5.0 (Windows NT 10.0; Win64; x64) AppleWebKit/537.36 Chrome/133.0.0.0 Safari/537.36'
@@ -52,6 +57,19 @@ FROM {events}
 """
 SPARK_MILLIS = "unix_millis(CAST(ts AS TIMESTAMP))"
 
+# Second deliveries, some with another referrer, and requests without a path.
+AGAIN_SQL = """
+SELECT event_id, user_id, host, method, uri, status, client_ip,
+  CASE event_id % 60 WHEN 0 THEN 'https://aaa.example/first' WHEN 20 THEN 'https://zzz.example/last'
+    WHEN 40 THEN NULL ELSE referrer END AS referrer, user_agent, at_ms
+FROM {requests} WHERE event_id % 10 = 0
+"""
+WITHOUT_PATH_SQL = """
+SELECT event_id, CAST(5 AS BIGINT) AS user_id, 'guide.example' AS host, 'GET' AS method, '?q=1' AS uri, 200 AS status,
+  '203.0.0.5' AS client_ip, NULL AS referrer, 'Mozilla/5.0 (X11; Linux x86_64; rv:135.0) Gecko/20100101 Firefox/135.0' AS user_agent, at_ms
+FROM {requests} WHERE event_id % 37 = 0
+"""
+
 # 203.0.0.0 as a number; ranges cover 7 of 8 addresses (cities) and 6 of 8 (networks).
 CITY_SQL = """
 SELECT 3405774848 + n_nationkey * 8 AS lo, 3405774848 + n_nationkey * 8 + 6 AS hi, n_name AS country, r_name AS city
@@ -79,31 +97,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every request once, and every tenth a second time; as fields, with its event id."""
+    """Every request as fields, with its event id and the number of its delivery (3: those without a path)."""
     prepare(spark)
     events = table(spark, sf_dir, "events")
     once = spark.sql(REQUESTS_SQL.format(millis=SPARK_MILLIS, events="{events}"), events=events)
-    copies = F.when(F.col("event_id") % 10 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
-    return once.withColumn("delivery", F.explode(copies))
+    again = spark.sql(AGAIN_SQL, requests=once)
+    without_path = spark.sql(WITHOUT_PATH_SQL, requests=once)
+    sent = [frame.withColumn("delivery", F.lit(n)) for n, frame in enumerate((once, again, without_path), 1)]
+    return sent[0].unionByName(sent[1]).unionByName(sent[2])
 
 
 def as_lines(requests: DataFrame) -> DataFrame:
-    """Requests as JSON access-log lines."""
+    """Requests as JSON access-log lines; a second delivery in another spelling."""
+    second = F.col("delivery") == 2
+    # Behind a relay, or without a field of its own for the client.
+    relayed = F.when(second, F.lit("10.1.1.1")).otherwise(F.col("client_ip"))
+    alone = ~second & (F.col("event_id") % 7 == 0)
     line = F.struct(
         F.lit("info").alias("level"),
         (F.col("at_ms").cast("double") / 1000).alias("ts"),
         F.lit("http.log.access.log0").alias("logger"),
         F.lit("handled request").alias("msg"),
         F.struct(
-            F.col("client_ip").alias("remote_ip"),
+            relayed.alias("remote_ip"),
             F.lit("51716").alias("remote_port"),
-            "client_ip",
+            F.when(~alone, F.col("client_ip")).alias("client_ip"),
             F.lit("HTTP/2.0").alias("proto"),
             "method",
             "host",
             "uri",
             F.struct(
-                F.array("user_agent").alias("User-Agent"),
+                F.array("user_agent", F.lit("decoy")).alias("User-Agent"),
                 F.when(F.col("referrer").isNotNull(), F.array("referrer")).alias("Referer"),
             ).alias("headers"),
         ).alias("request"),
@@ -111,7 +135,54 @@ def as_lines(requests: DataFrame) -> DataFrame:
         F.lit(2326).alias("size"),
         "status",
     )
-    return requests.select(evaluate_once(value=F.to_json(line)))
+    written = requests.select("event_id", "delivery", evaluate_once(value=F.to_json(line)))
+    return written.select(F.when(F.col("delivery") == 2, _respelt()).otherwise(F.col("value")).alias("value"))
+
+
+def _respelt():
+    """The same request in one of six spellings."""
+    text, rest = F.col("value"), F.substring("value", F.lit(2), F.length("value"))
+    spelt = F.when(F.col("event_id") % 60 == 10, F.concat(F.lit('{"request":5,'), rest))
+    for remainder, prefix in ((20, '{"status":"x","ts":"y",'), (30, '{"request":{"host":"decoy.example","method":"PUT"},')):
+        spelt = spelt.when(F.col("event_id") % 60 == remainder, F.concat(F.lit(prefix), rest))
+    doubled = F.replace(text, F.lit('"host":"'), F.lit('"host":12,"host":"'))
+    headers = F.lit('"headers":7,"headers":{"Accept":["text/html"],"User-Agent":"decoy",')
+    spelt = spelt.when(F.col("event_id") % 60 == 40, F.replace(doubled, F.lit('"headers":{'), headers))
+    escaped = F.replace(text, F.lit('"request":'), F.lit('"requ\\u0065st":'))
+    return spelt.when(F.col("event_id") % 60 == 50, F.concat(escaped, F.lit(" and more\r"))).otherwise(F.concat(F.lit(" "), text))
+
+
+# How a line can fail to hold a request, as changes of a good line.
+BROKEN = [
+    lambda text: F.substring(text, F.lit(1), F.ceil(F.length(text) / 2).cast("int")),
+    lambda text: F.replace(text, F.lit('"'), F.lit("'")),
+    lambda text: F.regexp_replace(text, '"status":[0-9]+', '"status":"200"'),
+    lambda text: F.regexp_replace(text, '"status":[0-9]+', '"status":200,"status":null'),
+    lambda text: F.regexp_replace(text, '"ts":[0-9.E]+', '"ts":"1706700000"'),
+    lambda text: F.regexp_replace(text, '"host":"[^"]*"', '"host":12'),
+    lambda text: F.regexp_replace(text, '"uri":"[^"]*",', ""),
+    lambda text: F.concat(F.substring(text, F.lit(1), F.length(text) - 1), F.lit(',"request":"none"}')),
+    lambda text: F.concat(F.lit("["), text, F.lit("]")),
+    lambda text: F.lit("server started"),
+    lambda text: F.lit("null"),
+    lambda text: F.lit('{"level":"warn","ts":1706700000.25,"msg":"shutting down"}'),
+]
+
+
+def odd_lines(requests: DataFrame) -> DataFrame:
+    """Lines without a request, with a time beyond the calendar, and blank ones."""
+    once = requests.filter("delivery = 1")
+    good = as_lines(once.filter("event_id % 41 = 0").withColumns({
+        "method": F.lit("GET"), "uri": F.lit("/"), "status": F.lit(200), "client_ip": F.lit("198.51.100.1"),
+        "referrer": F.lit(None).cast("string"), "user_agent": F.lit("Opera/9.80 (Windows NT 6.1)"),
+    }))
+    beyond = good.select(F.regexp_replace("value", '"ts":[0-9.E]+', '"ts":1e300').alias("value"))
+    blank = once.filter("event_id % 43 = 0").select(F.when(F.col("event_id") % 2 == 0, "").otherwise(" \t\r").alias("value"))
+    found = beyond.unionByName(blank)
+    for kind, change in enumerate(BROKEN):
+        chosen = as_lines(once.filter((F.col("event_id") % 23 == 0) & (F.floor(F.col("event_id") / 23) % len(BROKEN) == kind)))
+        found = found.unionByName(chosen.select(change(F.col("value")).alias("value")))
+    return found
 
 
 def log_files(spark: SparkSession, sf_dir: str) -> str:
@@ -119,8 +190,9 @@ def log_files(spark: SparkSession, sf_dir: str) -> str:
     key = (spark.sparkContext.applicationId, sf_dir, "log")
     if key not in _paths:
         path = new_folder(spark, "log")
-        sent = deliveries(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism)
-        as_lines(sent).write.text(path)
+        sent = deliveries(spark, sf_dir)
+        lines = as_lines(sent).unionByName(odd_lines(sent))
+        lines.repartition(spark.sparkContext.defaultParallelism).write.text(path)
         _paths[key] = path
     return _paths[key]
 
