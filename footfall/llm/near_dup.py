@@ -179,11 +179,10 @@ def near_duplicate_links(docs: DataFrame, sketched: DataFrame, threshold: float,
 
     # Large buckets, by what their members have beyond the leader.
     large = members.filter(F.col("size") > small).select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
-    known = met.join(large, ["a", "b"], "left_semi").select(
-        F.col("a").alias("node"), F.col("b").alias("leader"), "shared", F.col("size_a").alias("size"), "beyond", "similarity"
-    )
-    known = _labelled(known, labels, "node", "label")
-    above = known.withColumn("cell", F.explode("beyond")).withColumn("needed", F.ceil(F.col("size") * threshold - 1e-6) - F.col("shared"))
+    known = met.join(large, ["a", "b"], "left_semi").select(F.col("a").alias("node"), F.col("b").alias("leader"), "shared", F.col("size_a").alias("size"), "similarity")
+    known = stored(_labelled(known, labels, "node", "label"), "known")
+    above = known.join(met.select(F.col("a").alias("node"), F.col("b").alias("leader"), "beyond"), ["node", "leader"])
+    above = above.withColumn("cell", F.explode("beyond")).withColumn("needed", F.ceil(F.col("size") * threshold - 1e-6) - F.col("shared"))
     above = stored(above.select("leader", "node", "label", "shared", "size", "needed", "cell.shingle", "cell.mass"), "above")
     # A shingle that only one member has is common to no pair; the others come first in the order of commonness.
     frequency = above.groupBy("leader", "shingle").agg(F.count("*").alias("members")).filter(F.col("members") > 1)
@@ -207,18 +206,17 @@ def near_duplicate_links(docs: DataFrame, sketched: DataFrame, threshold: float,
     classes = F.sequence(F.floor(F.log(F.greatest(F.lit(1), least)) / step - 1e-9), F.floor(F.log(most) / step + 1e-9))
     place = F.floor(F.log("size") / step).alias("class")
     sized = known.select("leader", F.col("node").alias("b"), "size", F.col("label").alias("label_b"), "shared", place)
-    mains = _main_labels(sized.withColumnRenamed("label_b", "label"), ["leader", "class"]).drop("labels")
-    sized = stored(sized.join(mains, ["leader", "class"]), "sized")
+    mains = stored(_main_labels(sized.withColumnRenamed("label_b", "label"), ["leader", "class"]).drop("labels"), "mains")
+    sized = sized.join(mains, ["leader", "class"]).withColumn("inside", F.col("label_b") == F.col("main")).drop("main")
     bounds = [least.alias("_least"), most.alias("_most"), F.explode(classes).alias("class")]
     loose = known.filter((F.col("similarity") < threshold) & (least <= most) & (most > 0))
     loose = loose.select("leader", F.col("node").alias("a"), "label", F.col("size").alias("_size"), *bounds)
-    loose = loose.join(mains.withColumnRenamed("main", "_main"), ["leader", "class"])
-    inside = F.col("label") == F.col("_main")
+    # A member of the largest component meets only the others of the class.
+    meets = F.when(F.col("label") == F.col("main"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))
+    loose = loose.join(mains, ["leader", "class"]).withColumn("inside", F.explode(meets)).drop("main")
     enough = F.col("shared") + 1e-6 >= (F.col("_size") + F.col("size")) * (threshold / (1 + threshold))
     fits = F.col("size").between(F.col("_least"), F.col("_most")) & enough & (F.col("label") != F.col("label_b"))
-    outside = sized.filter(F.col("label_b") != F.col("main"))
-    within = loose.filter(inside).join(outside, ["leader", "class"])
-    within = within.union(loose.filter(~inside).join(sized, ["leader", "class"])).filter(fits)
+    within = loose.join(sized, ["leader", "class", "inside"]).filter(fits)
 
     pairs = close.union(shared_beyond.select("a", "b")).union(within.select("a", "b"))
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().withColumn("big", F.lit(False))
