@@ -39,16 +39,17 @@ def as_visits(located: DataFrame) -> DataFrame:
     )
 
 
-def one_per_key(visits: DataFrame) -> DataFrame:
+def one_per_key(visits: DataFrame, first: str | None = None) -> DataFrame:
     """Keep one visit per key: an engaged one first, then the least by the remaining columns.
 
-    A minimum over a struct combines before the shuffle, so any number of copies of one line leaves
-    each task as a single row.
+    Where visits have an order, `first` names its column and the first visit is kept. A minimum over a struct
+    combines before the shuffle, so any number of copies of one line leaves each task as a single row.
     """
-    others = [name for name in visits.columns if name not in VISIT_KEY and name != "engaged"]
-    least = F.min(F.struct((~F.col("engaged")).alias("only_looked"), *others))
+    others = [name for name in visits.columns if name not in (*VISIT_KEY, "engaged", first)]
+    order = [] if first is None else [first]
+    least = F.min(F.struct(*order, (~F.col("engaged")).alias("only_looked"), *others))
     merged = visits.groupBy(*VISIT_KEY).agg(least.alias("first"))
-    columns = {name: F.col(name) for name in VISIT_KEY} | {name: F.col(f"first.{name}") for name in others}
+    columns = {name: F.col(name) for name in VISIT_KEY} | {name: F.col(f"first.{name}") for name in [*order, *others]}
     columns["engaged"] = ~F.col("first.only_looked")
     return merged.select(*[columns[name].alias(name) for name in visits.columns])
 

@@ -1,3 +1,4 @@
+import os
 import random
 from datetime import date, datetime, timedelta
 
@@ -238,6 +239,42 @@ def test_replay_stores_what_is_missing_and_clears(spark, visits, tmp_path):
     assert read_visits(spark, table).count() == 3
 
 
+def test_of_conflicting_copies_the_first_written_is_stored(spark, visits, tmp_path):
+    backlog, table = str(tmp_path / "backlog"), str(tmp_path / "t")
+    write_backlog(visits({"path": "/a", "browser": "Safari"}, {"path": "/b", "browser": "Opera"}), backlog)
+    write_backlog(visits({"path": "/a", "browser": "Chrome", "engaged": True}), backlog)
+    # A line from elsewhere has no number; it is as old as its file.
+    foreign = [row.value for row in backlog_lines(visits({"path": "/b", "browser": "Edge"}, {"path": "/c", "browser": "Edge"})).collect()]
+    (tmp_path / "backlog" / "old.jsonl").write_text("\n".join(foreign) + "\n")
+    os.utime(tmp_path / "backlog" / "old.jsonl", (1, 1))
+    new = visits(*[{"path": path, "browser": "Firefox"} for path in ("/a", "/c", "/d")])
+    replay_backlog(spark, backlog, table, new)
+    found = {row.path: (row.browser, row.engaged) for row in read_visits(spark, table).collect()}
+    assert found == {"/a": ("Safari", False), "/b": ("Edge", False), "/c": ("Edge", False), "/d": ("Firefox", False)}
+
+
+def test_a_file_added_during_a_replay_survives(spark, visits, tmp_path, monkeypatch):
+    from footfall.sources import backlog as module
+
+    backlog, table = str(tmp_path / "backlog"), str(tmp_path / "t")
+    write_backlog(visits({"path": "/a"}), backlog)
+    real = module.insert_if_absent
+
+    def meanwhile(*args):
+        real(*args)
+        write_backlog(visits({"path": "/b"}), backlog)
+        (tmp_path / "backlog" / "part-torn.txt").write_text("{torn\n")
+
+    monkeypatch.setattr(module, "insert_if_absent", meanwhile)
+    replay_backlog(spark, backlog, table)
+    monkeypatch.undo()
+    assert paths(read_visits(spark, table)) == ["/a"] and not (tmp_path / "backlog-bad").exists()
+    assert paths(read_backlog(spark, backlog)) == ["/b"]
+    replay_backlog(spark, backlog, table)
+    assert paths(read_visits(spark, table)) == ["/a", "/b"]
+    assert [row.value for row in spark.read.text(f"{backlog}-bad").collect()] == ["{torn"]
+
+
 def test_a_failed_replay_keeps_the_backlog(spark, visits, tmp_path, monkeypatch):
     backlog, table = str(tmp_path / "backlog"), str(tmp_path / "t")
     write_backlog(visits({"path": "/a"}, {"path": "/b"}), backlog)
