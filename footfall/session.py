@@ -14,6 +14,9 @@ SHARED_DIR_SETTING = "spark.checkpoint.dir"
 BYTES_PER_SHUFFLE_PARTITION = 2560 * 1024 * 1024
 INITIAL_PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
 
+# Values that a filter may ask Parquet files for one by one.
+MOST_VALUES_PUSHED = 100
+
 _local_dirs: dict[str, str] = {}
 
 
@@ -22,6 +25,8 @@ def prepare(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    # Beyond this number the values of an IN reach the files as their least and greatest only.
+    spark.conf.set("spark.sql.parquet.pushdown.inFilterThreshold", str(MOST_VALUES_PUSHED))
     # Of equal keys in a JSON object the last one counts, as everywhere.
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     # Spark's default, INT96, has no minimum and maximum in the files, so no time range could skip any.

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from footfall.functions.times import day_of
 from footfall.operators.visits import as_visits, not_stored
 from footfall.schemas import PARTITION_COLUMN, STORED_VISIT, VERSION_COLUMN, VISIT_KEY
-from footfall.session import prepare
+from footfall.session import MOST_VALUES_PUSHED, prepare
 from footfall.sources.files import children, exists, total_bytes
 from footfall.sources.summaries import is_summarised, refresh
 from footfall.sources.versions import (
@@ -32,6 +32,10 @@ from footfall.sources.versions import (
 
 # A lookup of stored keys asks for at most this many ranges of time; the nearest ones become one.
 MOST_RANGES = 100
+# Batches of up to so many visits ask the table for their own visitors only.
+MOST_VISITORS_ASKED = MOST_VALUES_PUSHED
+# Files say which visitors they may hold, so that such a batch opens few row groups; the rate of false alarms.
+_VISITOR_FILTER = {"parquet.bloom.filter.enabled#ip_hash": "true", "parquet.bloom.filter.fpp#ip_hash": "0.01"}
 _VERSIONED = T.StructType([*STORED_VISIT.fields, T.StructField(VERSION_COLUMN, T.IntegerType())])
 
 
@@ -65,7 +69,7 @@ def append_visits(visits: DataFrame, path: str) -> None:
     balanced = visits.select(*STORED_VISIT.fieldNames()).hint("rebalance", PARTITION_COLUMN)
     versioned = balanced.withColumn(VERSION_COLUMN, version)
     ordered = versioned.sortWithinPartitions(PARTITION_COLUMN, VERSION_COLUMN, "visited_at")
-    ordered.write.mode("append").partitionBy(PARTITION_COLUMN, VERSION_COLUMN).parquet(path)
+    ordered.write.options(**_VISITOR_FILTER).mode("append").partitionBy(PARTITION_COLUMN, VERSION_COLUMN).parquet(path)
 
 
 def time_ranges(spans: list[tuple[int, int]], most: int) -> list[tuple[int, int]]:
@@ -78,16 +82,17 @@ def time_ranges(spans: list[tuple[int, int]], most: int) -> list[tuple[int, int]
 
 
 def day_spans(visits: DataFrame) -> list[Row]:
-    """The days that some visits touch, each with its first and last time in microseconds."""
+    """The days that some visits touch, each with its first and last time in microseconds and its number of visits."""
     at = F.col("visited_at")
     ends = [F.unix_micros(F.min(at)).alias("first"), F.unix_micros(F.max(at)).alias("last")]
-    return visits.groupBy(day_of(at).alias("day")).agg(*ends).collect()
+    return visits.groupBy(day_of(at).alias("day")).agg(*ends, F.count("*").alias("visits")).collect()
 
 
 def stored_keys(spark: SparkSession, path: str, visits: DataFrame, spans: list[Row] | None = None) -> DataFrame:
     """Keys stored within the times that some visits cover (`spans`, where they are known).
 
-    Only the days they touch are read, and of those only the row groups that reach into their hours.
+    Only the days they touch are read, and of those only the row groups that reach into their hours and, where the
+    visits are few, may hold one of their visitors.
     """
     day, at = F.col(PARTITION_COLUMN), F.col("visited_at")
     spans = day_spans(visits) if spans is None else spans
@@ -98,6 +103,8 @@ def stored_keys(spark: SparkSession, path: str, visits: DataFrame, spans: list[R
     hours = [at.between(*[F.timestamp_micros(F.lit(end)) for end in span]) for span in ranges]
     days = sorted(span["day"] for span in spans)
     covered = day.isin(days) & reduce(or_, hours)
+    if sum(span["visits"] for span in spans) <= MOST_VISITORS_ASKED:
+        covered = covered & F.col("ip_hash").isin([row.ip_hash for row in visits.select("ip_hash").distinct().collect()])
     return read_visits(spark, path, days).filter(covered).select(*VISIT_KEY)
 
 
@@ -139,7 +146,7 @@ def replace_days(
         # What a run that was cut short has left under this version does not count.
         if visits is not None:
             balanced = visits.drop(PARTITION_COLUMN).hint("rebalance").sortWithinPartitions("visited_at")
-            balanced.write.mode("overwrite").parquet(day_folder(path, day, changes[str(day)]))
+            balanced.write.options(**_VISITOR_FILTER).mode("overwrite").parquet(day_folder(path, day, changes[str(day)]))
     commit(spark, path, manifest, changes)
     sweep(spark, path, keep)
 
