@@ -1,6 +1,16 @@
 """For each registered query, SQL that answers it from the given tables without reading any JSON."""
 
-from checks.standin import AGAIN_SQL, ASN_SQL, CITY_SQL, PTR_SQL, REQUESTS_SQL, SALT, WITHOUT_PATH_SQL
+from checks.standin import (
+    AGAIN_SQL,
+    ASN_SQL,
+    CITY_SQL,
+    DENSE_ADDRESS_SQL,
+    DENSE_SQL,
+    PTR_SQL,
+    REQUESTS_SQL,
+    SALT,
+    WITHOUT_PATH_SQL,
+)
 
 _BOTS = (
     "(bot|crawler|spider|slurp|curl|wget|python|go-http-client|java/|httpclient|okhttp|libwww|scrapy"
@@ -66,6 +76,21 @@ _TOP = "SELECT {0} AS label, count(*) AS visits FROM visits WHERE {0} IS NOT NUL
 _RATE = "SELECT coalesce(avg(CAST(engaged AS INTEGER)), 0.0) AS engaged_rate FROM visits"
 
 
+def _rollups(visits: str, hours: int) -> str:
+    """The document of all rollups of some visits."""
+    top = "SELECT {0} AS label, count(*) AS visits FROM seen WHERE {0} IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10"
+    listed = "(SELECT list({{'label': label, 'visits': visits}} ORDER BY visits DESC, label) FROM {0})"
+    return f""", seen AS (SELECT * FROM {visits.replace("{_NOW}", _NOW)}),
+days AS (SELECT visit_day, count(*) AS visits, CAST(sum(CAST(engaged AS INTEGER)) AS BIGINT) AS engaged
+  FROM seen WHERE visited_at >= {_NOW} - INTERVAL {hours} HOUR GROUP BY visit_day),
+countries AS ({top.format("country")}), referrers AS ({top.format("referrer")})
+SELECT CAST(to_json({{'engagedRate': (SELECT coalesce(avg(CAST(engaged AS INTEGER)), 0.0) FROM seen),
+  'visitsPerDay': (SELECT list({{'day': strftime(visit_day, '%Y-%m-%d'), 'visits': visits, 'engaged': engaged}}
+    ORDER BY visit_day) FROM days),
+  'topCountries': {listed.format("countries")}, 'topReferrers': {listed.format("referrers")}
+}}) AS VARCHAR) AS document"""
+
+
 def _numbered(listed: str) -> str:
     """A listing with visitor numbers by first appearance."""
     return f"""listed AS ({listed}),
@@ -143,6 +168,13 @@ FROM raw LEFT JOIN nation ON {_THIRD} * 256 + {_LAST} BETWEEN n_nationkey * 8 AN
   CASE WHEN {_THIRD} = 0 AND {_LAST} < 200 THEN 'NATION_' || ({_LAST} // 8) ELSE 'elsewhere' END AS country,
   CASE WHEN {_THIRD} = 0 AND {_LAST} < 200 THEN NULL ELSE 'anywhere' END AS city, count(*) AS requests
 FROM raw GROUP BY 1, 2, 3""",
+    "geo_dense": f""", dense AS ({DENSE_SQL.format(events="events")}),
+asked AS (SELECT DISTINCT {DENSE_ADDRESS_SQL} AS n FROM events),
+inside AS (
+  SELECT n, country, city FROM asked JOIN dense ON n BETWEEN lo AND hi
+  QUALIFY row_number() OVER (PARTITION BY n ORDER BY lo DESC, hi, country, city) = 1)
+SELECT '10.' || (n // 65536) % 256 || '.' || (n // 256) % 256 || '.' || n % 256 AS remote_ip, country, city
+FROM asked LEFT JOIN inside USING (n)""",
     "org_domain_join": "SELECT site, ip_hash, at_ms, org_domain FROM visits",
     "visits_from_log": f"SELECT {_ALL} FROM visits",
     "visits_per_day_from_lines": _PER_DAY,
@@ -157,14 +189,11 @@ FROM raw GROUP BY 1, 2, 3""",
   (SELECT count(*) FROM visits WHERE visit_day = DATE '2024-01-31') AS today,
   (SELECT CAST(floor(engaged_rate * 100 + 0.5) AS INTEGER) FROM ({_RATE})) AS engaged_pct,
   coalesce((SELECT label FROM ({_TOP.format("country")}) LIMIT 1), '—') AS top_country""",
-    "rollups_document": f""", days AS ({_PER_DAY}), countries AS ({_TOP.format("country")}),
-referrers AS ({_TOP.format("referrer")})
-SELECT CAST(to_json({{'engagedRate': (SELECT engaged_rate FROM ({_RATE})),
-  'visitsPerDay': (SELECT list({{'day': strftime(visit_day, '%Y-%m-%d'), 'visits': visits, 'engaged': engaged}}
-    ORDER BY visit_day) FROM days),
-  'topCountries': (SELECT list({{'label': label, 'visits': visits}} ORDER BY visits DESC, label) FROM countries),
-  'topReferrers': (SELECT list({{'label': label, 'visits': visits}} ORDER BY visits DESC, label) FROM referrers)
-}}) AS VARCHAR) AS document""",
+    "rollups_stored": _rollups("(SELECT * FROM visits WHERE visited_at >= {_NOW} - INTERVAL 600 HOUR)", 480),
+    "recent_engaged_stored": f"SELECT {_SHOWN} FROM ({_ENGAGED} {_NEWEST} LIMIT 50)",
+    "hot_visitor": f""", hot AS (SELECT * REPLACE (CASE WHEN ip_hash < '5' THEN 'hot' ELSE ip_hash END AS ip_hash) FROM visits)
+SELECT {_ALL} FROM hot WHERE ip_hash IN (SELECT ip_hash FROM hot WHERE engaged) {_NEWEST} LIMIT 500""",
+    "rollups_document": _rollups("visits", 720),
     "recent_visits": f"SELECT {_SHOWN} FROM (SELECT * FROM visits {_NEWEST} LIMIT 50)",
     "engaged_visitors": "SELECT DISTINCT ip_hash FROM visits WHERE engaged",
     "visits_of_engaged": f"SELECT site, path, engaged, ip_hash, at_ms FROM ({_ENGAGED})",

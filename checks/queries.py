@@ -13,8 +13,10 @@ from footfall.plans.ingest import ingest_files, ingest_lines, requests_from_line
 from footfall.session import prepare
 from footfall.sources.access_log import clean_lines, conforming_requests, parse_lines
 from footfall.sources.backlog import backlog_lines, read_backlog, replay_backlog, write_backlog
-from footfall.sources.lookups import network_ranges, read_asn_ranges, read_city_ranges
-from footfall.sources.visits_table import append_visits, read_visits
+from footfall.sources.lookups import network_ranges, numeric_ranges, read_asn_ranges, read_city_ranges
+from footfall.sources.summaries import refresh
+from footfall.sources.visits_table import append_visits, compact, read_visits
+from footfall.sources.visits_table import insert_if_absent as insert_visits
 from footfall.streaming.ingest import start_ingest
 
 _DESCRIBED = ("site", "path", "engaged", "browser", "os", "device_kind", "ip_hash", "referrer")
@@ -166,6 +168,16 @@ def geo_csv_ranges(spark, sf_dir):
     return found.select("remote_ip", "country", "city", "asn", "org")
 
 
+def geo_dense(spark, sf_dir):
+    """Thousands of ranges that nest, overlap and lie apart, and an address for each event."""
+    events = standin.table(prepare(spark), sf_dir, "events")
+    number = F.expr(standin.DENSE_ADDRESS_SQL).alias("n")
+    parts = [F.expr(f"floor(n / {size}) % 256").cast("int").cast("string") for size in (65536, 256, 1)]
+    addresses = events.select(number).distinct().select(F.concat_ws(".", F.lit("10"), *parts).alias("remote_ip"))
+    ranges = numeric_ranges(spark.sql(standin.DENSE_SQL, events=events))
+    return geo.locate(addresses, ranges).select("remote_ip", "country", "city")
+
+
 def _located(spark, sf_dir, *fields, city=False, asn=False, ptr=False):
     found = geo.locate(
         visits.one_per_key(_described(spark, sf_dir)),
@@ -261,6 +273,30 @@ def rollups_document(spark, sf_dir):
     return rollups.rollups_document(standin.stored_visits(spark, sf_dir), NOW)
 
 
+def rollups_stored(spark, sf_dir):
+    """From the summaries of a table that was filled in two steps, pruned and compacted; over 20 days."""
+    found, path = standin.stored_visits(spark, sf_dir), standin.new_folder(spark, "summarised")
+    append_visits(found.filter("visit_day < DATE '2024-01-16'"), path)
+    refresh(spark, path)
+    insert_visits(spark, found, path)
+    retention.prune(spark, path, NOW, 25)
+    compact(spark, path, most_files=1)
+    return rollups.stored_rollups_document(spark, path, NOW, 20)
+
+
+def recent_engaged_stored(spark, sf_dir):
+    """From the summaries of the table, those of its files that have none yet made on the way."""
+    return _shown(listing.stored_recent_of_engaged(spark, standin.stored_path(prepare(spark), sf_dir), 50))
+
+
+def hot_visitor(spark, sf_dir):
+    """Nearly a third of all visits are one visitor's; that visitor's are cut into shares."""
+    found, path = standin.stored_visits(spark, sf_dir), standin.new_folder(spark, "hot")
+    one = F.when(F.col("ip_hash") < "5", "hot").otherwise(F.col("ip_hash"))
+    append_visits(found.withColumn("ip_hash", one), path)
+    return _comparable(listing.stored_recent_of_engaged(spark, path, 500, rows_per_share=50))
+
+
 def recent_visits(spark, sf_dir):
     return _shown(listing.recent(standin.stored_visits(spark, sf_dir), 50))
 
@@ -356,6 +392,8 @@ def backlog_replay(spark, sf_dir):
     write_backlog(waiting, backlog)
     half = F.substring("value", F.lit(1), F.ceil(F.length("value") / 2).cast("int"))
     backlog_lines(waiting).select(half).write.mode("append").text(backlog)
+    # Later copies that say something else: what was written first counts.
+    write_backlog(waiting.withColumns({"browser": F.lit("other"), "city": F.lit("Aa"), "engaged": F.lit(True)}), backlog)
     for _ in range(2):
         replay_backlog(spark, backlog, path, found.filter(odd))
     return _comparable(read_visits(spark, path))
@@ -390,6 +428,7 @@ QUERIES = {
     "geo_city_join": geo_city_join,
     "geo_asn_join": geo_asn_join,
     "geo_enrich": geo_enrich,
+    "geo_dense": geo_dense,
     "geo_ipv6_networks": geo_ipv6_networks,
     "org_domain_join": org_domain_join,
     "visits_from_log": visits_from_log,
@@ -402,6 +441,9 @@ QUERIES = {
     "engaged_rate_empty": engaged_rate_empty,
     "stat_tiles": stat_tiles,
     "rollups_document": rollups_document,
+    "rollups_stored": rollups_stored,
+    "recent_engaged_stored": recent_engaged_stored,
+    "hot_visitor": hot_visitor,
     "recent_visits": recent_visits,
     "engaged_visitors": engaged_visitors,
     "visits_of_engaged": visits_of_engaged,

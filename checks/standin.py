@@ -80,6 +80,19 @@ SELECT 3405774848 + n_nationkey * 8 AS lo, 3405774848 + n_nationkey * 8 + 5 AS h
   CAST(64512 + n_nationkey AS BIGINT) AS asn, 'Org ' || n_name AS org
 FROM {nation} WHERE n_nationkey % 2 = 0
 """
+# 10.0.0.0 as a number; an address for each event, and ranges that nest, overlap and lie apart.
+DENSE_ADDRESS_SQL = "167772160 + (event_id * 7919) % 1048576"
+DENSE_SQL = """
+SELECT 167772160 + event_id * 16 AS lo, 167772160 + event_id * 16 + 11 AS hi, 'block' AS country,
+  CAST(event_id AS VARCHAR(20)) AS city FROM {events}
+UNION ALL SELECT 167772160 + event_id * 16 + 3, 167772160 + event_id * 16 + 3 + event_id % 5, 'inner', CAST(event_id AS VARCHAR(20))
+FROM {events} WHERE event_id % 3 = 0
+UNION ALL SELECT 167772160 + event_id * 16 + 5, 167772160 + event_id * 16 + 30, 'across', CAST(event_id AS VARCHAR(20))
+FROM {events} WHERE event_id % 7 = 0
+UNION ALL SELECT 167772160 + event_id * 16, 167772160 + event_id * 16 + 1499, 'wide', CAST(event_id AS VARCHAR(20))
+FROM {events} WHERE event_id % 64 = 0
+UNION ALL SELECT 167772160, 167772160 + 800000, 'all', 'everyone' FROM {events} WHERE event_id % 64 = 0
+"""
 PTR_SQL = """
 SELECT DISTINCT
   '203.0.' || CAST(CAST(floor(user_id / 256) AS BIGINT) AS VARCHAR(20)) || '.' || CAST(user_id % 256 AS VARCHAR(20)) AS client_ip,

@@ -159,14 +159,14 @@ def rollups_of(facts: DataFrame, days: int = ROLLUP_DAYS) -> DataFrame:
     )
 
 
-def rollups_document(visits: DataFrame, now: datetime) -> DataFrame:
+def rollups_document(visits: DataFrame, now: datetime, days: int = ROLLUP_DAYS) -> DataFrame:
     """The rollups as one JSON document."""
-    return _document(rollups(visits, now))
+    return _document(rollups(visits, now, days))
 
 
-def stored_rollups_document(spark: SparkSession, path: str, now: datetime) -> DataFrame:
+def stored_rollups_document(spark: SparkSession, path: str, now: datetime, days: int = ROLLUP_DAYS) -> DataFrame:
     """The same document of a table, from its summaries."""
-    return _document(rollups_of(stored_facts(spark, path, now)))
+    return _document(rollups_of(stored_facts(spark, path, now, days), days))
 
 
 def _document(bundle: DataFrame) -> DataFrame:
