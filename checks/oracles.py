@@ -40,7 +40,7 @@ judged AS (
   FROM raw),
 described AS (
   SELECT host AS site, path, (method = 'POST') AS engaged, sha256('{SALT}' || client_ip) AS ip_hash,
-    nullif(referrer, '') AS referrer, at_ms, user_id, client_ip,
+    nullif(referrer, '') AS referrer, at_ms, user_id, event_id, client_ip,
     3405774848 + CAST(split_part(client_ip, '.', 3) AS BIGINT) * 256 + CAST(split_part(client_ip, '.', 4) AS BIGINT) AS ip_num
   FROM judged WHERE drop_reason IS NULL
   QUALIFY row_number() OVER (PARTITION BY host, path, client_ip, at_ms ORDER BY nullif(referrer, '') NULLS FIRST) = 1),
@@ -156,6 +156,10 @@ FROM paths""",
 UNION ALL SELECT 'time_out_of_range', host, '/', 'GET', 200 FROM standin WHERE event_id % 41 = 0""",
     "stream_ingest": "SELECT site, path, engaged, ip_hash, country, asn, org_domain, at_ms FROM visits",
     "stream_late_segment": "SELECT site, path, engaged, ip_hash, at_ms FROM visits",
+    "stream_since": f"""SELECT site, path, engaged, ip_hash, at_ms FROM visits JOIN described USING (site, path, ip_hash, at_ms, engaged)
+WHERE event_id % 2 = 1 OR visited_at >= TIMESTAMP '2024-01-16'""",
+    "added_column": f"""SELECT {_ALL.replace("org_domain", "CASE WHEN visit_day >= DATE '2024-01-16' THEN org_domain END AS org_domain")}
+FROM visits""",
     "geo_csv_ranges": f"""SELECT DISTINCT client_ip AS remote_ip, n_name AS country, r_name AS city,
   CASE WHEN n_nationkey % 2 = 0 AND {_LAST} % 8 < 4 THEN 64512 + CAST(n_nationkey AS BIGINT) END AS asn,
   CASE WHEN n_nationkey % 2 = 0 AND {_LAST} % 8 < 4 THEN 'Org "' || n_name || '", Ltd' END AS org

@@ -1,5 +1,7 @@
 """Every registered query: (spark, sf_dir) -> DataFrame over the whole given tables."""
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -160,6 +162,26 @@ def stream_late_segment(spark, sf_dir):
     return read_visits(spark, path).select("site", "path", "engaged", "ip_hash", _at_ms())
 
 
+def stream_since(spark, sf_dir):
+    """A first start that leaves out what happened before the middle of the month, after which it takes all that is new."""
+    sent = standin.deliveries(spark, sf_dir)
+    segments, path = standin.new_folder(spark, "segments"), standin.new_folder(spark, "since")
+    offsets, start = standin.new_folder(spark, "offsets"), datetime(2024, 1, 16)
+    for half in (0, 1):
+        standin.deliver(standin.as_lines(sent.filter(F.col("event_id") % 2 == half)), segments, 0)
+        start_ingest(spark, segments, path, offsets, SETTINGS, since=start if half == 0 else None).awaitTermination()
+    return read_visits(spark, path).select("site", "path", "engaged", "ip_hash", _at_ms())
+
+
+def added_column(spark, sf_dir):
+    """A table whose older days were written before there were organisation domains, and versions of days."""
+    found, path = standin.stored_visits(spark, sf_dir), standin.new_folder(spark, "older")
+    older = found.filter("visit_day < DATE '2024-01-16'").drop("org_domain")
+    older.write.partitionBy("visit_day").parquet(path)
+    insert_visits(spark, found, path)
+    return _comparable(read_visits(spark, path))
+
+
 def geo_csv_ranges(spark, sf_dir):
     """Every address of the log against networks read from CSV text."""
     addresses = _conforming(spark, sf_dir).select("remote_ip").distinct()
@@ -424,6 +446,8 @@ QUERIES = {
     "insert_if_absent": insert_if_absent,
     "stream_ingest": stream_ingest,
     "stream_late_segment": stream_late_segment,
+    "stream_since": stream_since,
+    "added_column": added_column,
     "geo_csv_ranges": geo_csv_ranges,
     "geo_city_join": geo_city_join,
     "geo_asn_join": geo_asn_join,

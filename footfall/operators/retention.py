@@ -10,7 +10,7 @@ from footfall.functions.times import day_of, days_before, instant, utc
 from footfall.schemas import PARTITION_COLUMN
 from footfall.settings import parse_retention_days
 from footfall.sources.files import exists
-from footfall.sources.versions import KEEP_REPLACED
+from footfall.sources.versions import KEEP_REPLACED, manifest_to_write_by
 from footfall.sources.visits_table import read_visits, replace_days
 
 
@@ -45,6 +45,7 @@ def prune(
     if not exists(spark, path):
         return 0
     limit = cutoff(now, days)
+    manifest_to_write_by(spark, path)
     boundary_day = (utc(now) - timedelta(days=days)).date()
     day = F.col(PARTITION_COLUMN)
     visits = read_visits(spark, path)

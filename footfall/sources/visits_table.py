@@ -118,6 +118,8 @@ def insert_if_absent(spark: SparkSession, visits: DataFrame, path: str, complete
     if not exists(spark, path):
         append_visits(complete(visits), path)
         return
+    # Before anything is read: a table older than versions is adopted, which moves its files.
+    manifest_to_write_by(spark, path)
     sweep(spark, path)
     visits = visits.persist()
     try:

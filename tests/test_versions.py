@@ -106,6 +106,23 @@ def test_a_table_older_than_versions_is_read_and_adopted(spark, visits, tmp_path
     assert paths(read_visits(spark, path)) == ["/a", "/b", "/c"]
 
 
+@pytest.mark.parametrize("work", ["insert", "prune", "compact"])
+def test_work_on_a_table_older_than_versions(spark, visits, tmp_path, work):
+    path = str(tmp_path / "t")
+    for n in range(3):
+        visits({"path": f"/{n}"}, {"path": f"/old{n}", "at": "2026-04-01T00:00:00Z"}).write.mode("append").partitionBy("visit_day").parquet(path)
+    kept = ["/0", "/1", "/2", "/old0", "/old1", "/old2"]
+    if work == "insert":
+        insert_if_absent(spark, visits({"path": "/1"}, {"path": "/new"}), path)
+        kept = sorted([*kept, "/new"])
+    elif work == "prune":
+        assert prune(spark, path, NOW) == 3
+        kept = kept[:3]
+    else:
+        assert compact(spark, path, most_files=1) == [date(2026, 4, 1), date(2026, 7, 11)]
+    assert paths(read_visits(spark, path)) == kept
+
+
 def test_a_second_writer_is_refused(spark, visits, tmp_path):
     path = str(tmp_path / "t")
     append_visits(visits({"path": "/a"}), path)
