@@ -4,7 +4,8 @@ Each source has a weight and may be repeated at most `max_epochs` times. The wan
 weight; what a source cannot take beyond its cap is shared among the others by weight, until no source is
 above its cap. A source then gives whole repetitions of all its documents, and a fraction of one more:
 its documents in a seeded order, up to the word at which the target is reached, so that only one document
-of a source is taken in part. DataFrame functions only.
+of a source is taken in part. Rows that share an id follow each other by size, so that reruns agree.
+DataFrame functions only.
 
 Defined results: a null or empty text has size 0 and nothing is taken of it; a null source is a source of
 its own, last in order; repeated rows are documents of their own; an empty table gives an empty table;
@@ -27,10 +28,10 @@ def word_count(column: str) -> Column:
     return F.coalesce(F.regexp_count(column, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def sizes(docs: DataFrame, seed: int) -> DataFrame:
-    """doc_id, source, size, and the place of each document in the seeded order."""
+def sizes(docs: DataFrame, seed: int, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, size, the place of each document in the seeded order, and columns to be carried along."""
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
-    return docs.select("doc_id", "source", word_count("text").alias("size"), key.alias("place"))
+    return docs.select("doc_id", "source", word_count("text").alias("size"), key.alias("place"), *carry)
 
 
 def cyclic_weights(sources: DataFrame, cycle: tuple[int, ...]) -> DataFrame:
@@ -71,13 +72,16 @@ def mix(
     cycle: tuple[int, ...] = (3, 1, 2),
     weights: DataFrame | None = None,
     seed: int = 7,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """doc_id, source, size, source_size, target, copies (whole repetitions), part (words of one more), taken.
 
+    Other columns may be carried along, so that each row keeps its own answer.
+
     `weights` (source, weight) may name the weights; a source it does not name gets none. Otherwise they
     repeat `cycle` over the sources in code-point order.
     """
-    sized = stored(sizes(docs, seed), "sized")
+    sized = stored(sizes(docs, seed, carry), "sized")
     totals = checkpointed(sized.groupBy("source").agg(F.sum("size").alias("source_size")))
     if weights is None:
         weighted = cyclic_weights(totals, cycle)
@@ -107,14 +111,15 @@ def mix(
 
     placed = _by_source(sized, targets.drop("weight"), "left")
     at_edge = F.col("_bucket").eqNullSafe(F.col("_edge"))
-    within = Window.partitionBy("source").orderBy("place", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    order = ["place", "doc_id", "size", *([F.xxhash64(*carry)] if carry else [])]
+    within = Window.partitionBy("source").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     before = F.col("_start") + F.coalesce(F.sum("size").over(within), F.lit(0))
     left = F.greatest(F.lit(0), F.least(F.col("size"), F.col("_rest") - before))
     edges = placed.filter(at_edge).withColumn("part", left)
     others = placed.filter(~at_edge).withColumn("part", F.when(F.col("_bucket") < F.col("_edge"), F.col("size")).otherwise(F.lit(0)))
     taken = F.col("_copies") * F.col("size") + F.col("part")
     return edges.unionByName(others).select(
-        "doc_id", "source", "size", "source_size", "target", F.col("_copies").alias("copies"), "part", taken.alias("taken")
+        "doc_id", "source", "size", "source_size", "target", F.col("_copies").alias("copies"), "part", taken.alias("taken"), *carry
     )
 
 
@@ -165,7 +170,7 @@ parts AS (
   SELECT *, CASE WHEN source_size > 0 THEN CAST(round(target) AS BIGINT) // source_size ELSE 0 END AS whole FROM targets),
 placed AS (
   SELECT d.*, p.source_size, p.target, p.whole, CAST(round(target) AS BIGINT) - whole * source_size AS rest,
-         coalesce(CAST(sum(size) OVER (PARTITION BY d.source ORDER BY place, doc_id
+         coalesce(CAST(sum(size) OVER (PARTITION BY d.source ORDER BY place, doc_id, size
            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS before
   FROM sized d JOIN parts p ON d.source IS NOT DISTINCT FROM p.source)
 SELECT doc_id, size, source_size, target,

@@ -75,3 +75,13 @@ def test_named_weights_and_too_little_text(spark):
 
 def test_empty_table(spark):
     assert mixing.mix(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_reruns_agree_where_ids_repeat(spark):
+    """Rows of one id follow each other by size, whatever order they come in."""
+    rows = [(1, prose(k, 3 + k), "en", "src0", 0) for k in range(12)] + [(None, prose(k, 20 + k), "en", "src0", 0) for k in range(5)]
+    found = set()
+    for order in (rows, rows[::-1], rows[5:] + rows[:5]):
+        taken = mixing.mix(documents(spark, order).repartition(3), share=0.7, carry=("text",))
+        found.add(str(sorted(map(str, taken.select("doc_id", "size", "taken", "text").collect()))))
+    assert len(found) == 1

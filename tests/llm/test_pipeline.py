@@ -63,3 +63,44 @@ def test_empty_tables(spark, folder, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{folder}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+AWKWARD = [
+    (None, f"{prose(80_001, 30)}. {PASSAGE}. {prose(80_002, 30)}.", "en", "src0", 1),
+    (None, prose(80_003, 90), "en", "src0", 1),
+    (None, edited(prose(80_003, 90), 1, 5), "en", "src1", 1),
+    (None, prose(80_004, 90), "en", None, 1),
+    (5, f"{prose(80_005, 30)}. {PASSAGE}. {prose(80_006, 30)}.", "en", "src0", 1),
+    (5, prose(80_007, 90), "en", "src0", 1),
+    (6, prose(80_008, 90), "en", "src0", 1),
+    (6, prose(80_008, 90), "en", "src0", 1),
+    (7, edited(prose(80_008, 90), 1, 6), "en", "src0", 1),
+    (8, None, "en", "src0", 1),
+    (None, None, "en", "src0", 1),
+    (9, prose(80_007, 90), "en", "src1", 1),
+]
+
+
+def kept(frame):
+    return sorted(((r["doc_id"], r["text"]) for r in frame.collect()), key=str)
+
+
+def test_null_and_repeated_ids(spark, folder):
+    """Rows are judged by their own text: near copies and benchmark items without an id, two texts under one id."""
+    docs = spark.createDataFrame(AWKWARD, SCHEMA)
+    unique = pipeline.one_of_each(spark, docs, folder)
+    assert kept(unique) == sorted({(i, t) for i, t, *_ in [AWKWARD[k] for k in (0, 3, 4, 5, 6, 9, 10)]} | {min((r for r in kept(unique) if r[0] is None and r[1] in (AWKWARD[1][1], AWKWARD[2][1])), key=str)}, key=str)
+    clean = pipeline.without_benchmark(spark, docs, folder)
+    assert kept(clean) == sorted(((i, t) for k, (i, t, *_) in enumerate(AWKWARD) if k not in (0, 4)), key=str)
+
+
+def test_every_row_of_the_mix_has_its_own_answer(spark, folder):
+    from footfall.llm import mixing
+
+    docs = spark.createDataFrame(AWKWARD * 2, SCHEMA)
+    found = pipeline.mixed(spark, docs, folder)
+    alone = mixing.mix(docs).filter("taken > 0")
+    answers = lambda frame: sorted(map(str, frame.select("doc_id", "source", "size", "target", "taken").collect()))
+    assert answers(found) == answers(alone)
+    texts = {t for _, t, *_ in AWKWARD}
+    assert all(r["text"] in texts and r["size"] == len(r["text"].split()) for r in found.collect())
