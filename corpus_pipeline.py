@@ -1,14 +1,33 @@
-"""From raw documents to a training mix: five stages, each over all that the one before kept."""
+"""From raw documents to a training mix: five stages, each over all that the one before kept.
+
+Every stage tells rows apart by a key made of id and text, so that null and repeated ids change nothing: a row
+without an id is judged by its own text, and of two texts under one id each has its own answer.
+
+Defined results: a null text is scored, kept or dropped like an empty one and is no copy of another; of rows equal in id
+and text the near-duplicate stage keeps one; among the members of a class it keeps the one with the smallest id, a null
+id last, then the smaller key; texts are read whole, however long; an empty table goes through as an empty table;
+columns other than those of documents are dropped by the first stage.
+"""
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from footfall.llm import decontaminate, mixing, near_dup, pii, quality
 from footfall.llm.common import DOCUMENT_COLUMNS, documents, stored
 
 
+def row_key() -> Column:
+    """A number for each pair of id and text, never null."""
+    return F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text")
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """The key in the place of the id, and the text."""
+    return docs.select(row_key().alias("doc_id"), "text")
+
+
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that the quality classifier rejects."""
     docs = docs.select(*DOCUMENT_COLUMNS)
@@ -17,26 +36,23 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each class of near duplicates, the one with the smallest id.
-
-    Of rows that repeat an id, equal texts are kept once. Documents without an id are never the first of a
-    class; equal ones are kept once.
-    """
+    """Keep one document of each class of near duplicates, and of rows equal in id and text one."""
     docs = docs.select(*DOCUMENT_COLUMNS)
-    classes = stored(near_dup.near_duplicates(docs), "classes")
-    first = classes.filter(F.col("doc_id") == F.col("class_id")).groupBy("doc_id").agg(F.count("*").alias("rows"))
-    kept = docs.join(first, "doc_id")
-    repeated = kept.filter(F.col("rows") > 1).dropDuplicates(["doc_id", "text"])
-    unnamed = docs.filter(F.col("doc_id").isNull()).distinct()
-    whole = kept.filter(F.col("rows") == 1).unionByName(repeated)
-    return whole.select(*DOCUMENT_COLUMNS).unionByName(unnamed)
+    rows = stored(docs.select("doc_id", row_key().alias("_key")).groupBy("_key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("rows")), "keys")
+    classes = near_dup.near_duplicates(keyed(docs)).select(F.col("doc_id").alias("_key"), "class_id").distinct()
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_key", "rows")).alias("_first")
+    first = rows.join(classes, "_key").groupBy("class_id").agg(least).select("_first._key", "_first.rows")
+    kept = docs.withColumn("_key", row_key()).join(stored(first, "first"), "_key")
+    repeated = kept.filter(F.col("rows") > 1).dropDuplicates(["_key"])
+    return kept.filter(F.col("rows") == 1).unionByName(repeated).select(*DOCUMENT_COLUMNS)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that hold a benchmark item."""
     docs = docs.select(*DOCUMENT_COLUMNS)
-    found = decontaminate.matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(stored(found.select("doc_id").distinct(), "contaminated"), "doc_id", "left_anti").select(*DOCUMENT_COLUMNS)
+    found = decontaminate.matches(keyed(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    found = stored(found.select(F.col("doc_id").alias("_key")).distinct(), "contaminated")
+    return docs.withColumn("_key", row_key()).join(found, "_key", "left_anti").select(*DOCUMENT_COLUMNS)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,11 +63,8 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents the mix takes, with `copies` whole repetitions and `part` words of one more."""
-    docs = docs.select(*DOCUMENT_COLUMNS).withColumn("_size", mixing.word_count("text"))
-    taken = mixing.mix(docs).filter(F.col("taken") > 0).dropDuplicates(["doc_id", "size"])
-    taken = taken.select(F.col("doc_id").alias("_id"), "size", "source_size", "target", "copies", "part", "taken")
-    same = docs["doc_id"].eqNullSafe(taken["_id"]) & (docs["_size"] == taken["size"])
-    return docs.join(taken, same).drop("_id", "_size")
+    taken = mixing.mix(docs.select(*DOCUMENT_COLUMNS), carry=("text", "lang", "n_chars")).filter(F.col("taken") > 0)
+    return taken.select(*DOCUMENT_COLUMNS, "size", "source_size", "target", "copies", "part", "taken")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -62,7 +75,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("mixing sources", mixed),
 ]
 
-# Classifiers, signatures and embeddings are beyond SQL; tests compare each stage with a plain version.
+# Classifiers, signatures and embeddings are beyond SQL; tests check each stage on planted rows and its operator alone.
 ORACLE_SQL = None
 
 
