@@ -1,12 +1,14 @@
 """Lookup tables: network ranges and PTR records as DataFrames, and all of them prepared as one table."""
 
+import time
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from footfall.functions.net import with_ip_key
 from footfall.functions.once import evaluate_once
 from footfall.operators.geo import Prepared, keyed_ranges, lookup_tables
-from footfall.sources.files import children
+from footfall.sources.files import children, exists, remove, write_text
 
 _CITY_BLOCKS = (
     "network string, geoname_id string, registered_country_geoname_id string, "
@@ -91,20 +93,41 @@ _PREPARED = (
 )
 
 
+# Each preparation has a folder of its own; the last one that is complete counts.
+_PREPARATION, _COMPLETE = "prepared-", "_complete"
+# Preparations that stay beside the last, for batches that began with one of them.
+EARLIER_PREPARATIONS = 2
+
+
 def write_prepared(
     spark: SparkSession, path: str, city: DataFrame | None = None, asn: DataFrame | None = None, ptr: DataFrame | None = None
 ) -> None:
     """Store the tables as they are probed, once, so that no batch has to group and cut the ranges again.
 
-    The table is partitioned by the length of the prefix, so that the lengths that occur are its folders.
+    They are written beside what was prepared before and count from the moment they are complete: a batch that runs
+    meanwhile keeps the tables it began with. The table is partitioned by the length of the prefix, so that
+    the lengths that occur are its folders.
     """
     given = [spark.createDataFrame([], schema) if table is None else table for table, schema in zip((city, asn, ptr), _EMPTY)]
     keyed = keyed_ranges(lookup_tables(*given)).withColumn("width", F.length("bucket"))
     ordered = keyed.repartition("width", F.substring("bucket", 1, 4)).sortWithinPartitions("width", "bucket")
-    ordered.write.mode("overwrite").partitionBy("width").parquet(path)
+    folder = f"{path}/{_PREPARATION}{time.time_ns():020}"
+    ordered.write.partitionBy("width").parquet(folder)
+    write_text(spark, f"{folder}/{_COMPLETE}", "")
+    for name in _preparations(spark, path)[: -1 - EARLIER_PREPARATIONS]:
+        remove(spark, f"{path}/{name}")
+
+
+
+def _preparations(spark: SparkSession, path: str) -> list[str]:
+    """Complete preparations, the oldest first."""
+    names = [name for name in children(spark, path) if name.startswith(_PREPARATION)]
+    return [name for name in names if exists(spark, f"{path}/{name}/{_COMPLETE}")]
 
 
 def read_prepared(spark: SparkSession, path: str) -> Prepared:
-    """What write_prepared stored; nothing but the names of its folders is read."""
-    widths = sorted(int(name.split("=")[1]) for name in children(spark, path) if name.startswith("width="))
-    return Prepared(spark.read.schema(_PREPARED).parquet(path).drop("width"), widths)
+    """What write_prepared stored last; nothing but the names of its folders is read."""
+    complete = _preparations(spark, path)
+    folder = f"{path}/{complete[-1]}" if complete else path
+    widths = sorted(int(name.split("=")[1]) for name in children(spark, folder) if name.startswith("width="))
+    return Prepared(spark.read.schema(_PREPARED).parquet(folder).drop("width"), widths)

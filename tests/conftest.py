@@ -78,7 +78,7 @@ UA = "Mozilla/5.0 (Windows NT 10.0; Win64; x64) Chrome/133.0.0.0 Safari/537.36"
 
 
 def line(
-    ts="1752230400.5",
+    ts="1760000000.25",
     status="200",
     method="GET",
     uri="/",

@@ -182,3 +182,25 @@ def test_prepared_tables_answer_the_same(spark, tmp_path):
     write_prepared(spark, str(tmp_path / "none"))
     nothing = locate(asked, prepared=read_prepared(spark, str(tmp_path / "none")))
     assert nothing.count() == asked.count() and nothing.filter("country IS NOT NULL OR org_domain IS NOT NULL").isEmpty()
+
+
+def test_lookups_are_replaced_while_a_batch_runs(spark, tmp_path):
+    """A batch keeps the tables it began with; one that begins later has the new ones; a torn preparation does not count."""
+    path = str(tmp_path / "lookups")
+    asked = spark.createDataFrame([("10.0.0.1",)], "remote_ip string")
+
+    def city(name):
+        return network_ranges(spark.createDataFrame([("10.0.0.0/8", name, name)], "network string, country string, city string"))
+
+    write_prepared(spark, path, city("first"))
+    running = locate(asked, prepared=read_prepared(spark, path))
+    write_prepared(spark, path, city("second"))
+    torn = tmp_path / "lookups" / "prepared-99999999999999999999"
+    torn.mkdir()
+    assert [row.country for row in running.collect()] == ["first"]
+    assert [row.country for row in locate(asked, prepared=read_prepared(spark, path)).collect()] == ["second"]
+    torn.rmdir()
+    for name in ("third", "fourth", "fifth"):
+        write_prepared(spark, path, city(name))
+    assert len(list((tmp_path / "lookups").glob("prepared-*"))) == 3
+    assert [row.city for row in locate(asked, prepared=read_prepared(spark, path)).collect()] == ["fifth"]

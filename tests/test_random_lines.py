@@ -21,7 +21,7 @@ def random_line(rng):
 
     request = {name: value(rng.choice(["h.example", "GET", "/p?a=1", "203.0.113.7", "POST"])) for name in NAMES if rng.random() < 0.93}
     request["headers"] = value({"User-Agent": value([rng.choice(TEXTS)]), "Referer": value([rng.choice(TEXTS)]), "Cookie": ["c"]})
-    document = {"ts": value(1752230400.25), "status": value(200), "msg": "m", "request": value(request), "size": 1}
+    document = {"ts": value(1760000000.25), "status": value(200), "msg": "m", "request": value(request), "size": 1}
     items = list(document.items())
     rng.shuffle(items)
     text = json.dumps(dict(items), ensure_ascii=rng.random() < 0.5)

@@ -44,10 +44,10 @@ def agent(text):
         ({"headers": agent("Java/17.0"), "uri": "/wp-admin/"}, "bot"),
         ({"uri": "/wp-login.php"}, "scan"),
         ({"uri": "/WP-Admin/"}, "scan"),
-        ({"uri": "/wp-content/plugins/foo"}, "scan"),
-        ({"uri": "/wp-json/wp/v2"}, "scan"),
+        ({"uri": "/wp-content/uploads/x.php"}, "scan"),
+        ({"uri": "/wp-json/posts"}, "scan"),
         ({"uri": "/xmlrpc.php"}, "scan"),
-        ({"uri": "//wordpress/"}, "scan"),
+        ({"uri": "/old/wordpress/setup"}, "scan"),
         ({"uri": "/wp-ſomething/wordpreſs"}, "scan"),
         ({"uri": "//blog/", "headers": agent(UA) + ',"Referer":["https://x.example/wp-login.php"]'}, "scan"),
         ({"uri": "/api/report"}, "noise"),
@@ -81,7 +81,7 @@ def test_engaged(lines):
 
 
 def test_reject_report(lines):
-    sent = lines(line(), line(), "not json", line(status="404"), line(uri="?x"), "", "  ")
+    sent = lines(line(), line(), "no object", line(status="404"), line(uri="?x"), "", "  ")
     found = {row.drop_reason: row.lines for row in drop_reasons(sent).collect()}
     assert found == {"kept": 2, "not_a_request": 1, "status": 1, "empty_path": 1}
 

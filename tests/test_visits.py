@@ -33,11 +33,11 @@ def test_a_kept_line_becomes_a_visit(spark, lines):
     assert (row.site, row.path, row.engaged, row.country, row.city) == ("store.example", "/", False, "Sweden", "Örebro")
     assert (row.asn, row.org, row.org_domain) == (None, None, "cable.example")
     assert (row.browser, row.os, row.device_kind, row.referrer) == ("Chrome", "Windows", "DESKTOP", "https://github.com/x")
-    assert (len(row.ip_hash), row["at"], row.visit_day) == (64, 1752230400500, date(2025, 7, 11))
+    assert (len(row.ip_hash), row["at"], row.visit_day) == (64, 1760000000250, date(2025, 10, 9))
 
 
 def test_filtered_and_unparseable_lines_give_nothing(lines):
-    sent = lines(line(uri="/healthz"), line(status="404"), line(headers='"User-Agent":["Googlebot/2.1"]'), "not json", line(uri="?x"))
+    sent = lines(line(uri="/healthz"), line(status="404"), line(headers='"User-Agent":["Googlebot/2.1"]'), "no object", line(uri="?x"))
     assert visits_from_lines(sent, SETTINGS).count() == 0
 
 
