@@ -42,7 +42,8 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     classes = near_dup.near_duplicates(keyed(docs)).select(F.col("doc_id").alias("_key"), "class_id").distinct()
     least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_key", "rows")).alias("_first")
     first = rows.join(classes, "_key").groupBy("class_id").agg(least).select("_first._key", "_first.rows")
-    kept = docs.withColumn("_key", row_key()).join(stored(first, "first"), "_key")
+    # The kept keys grow with the documents, so both sides are dealt out by key, at every size alike.
+    kept = docs.withColumn("_key", row_key()).join(stored(first, "first").hint("merge"), "_key")
     repeated = kept.filter(F.col("rows") > 1).dropDuplicates(["_key"])
     return kept.filter(F.col("rows") == 1).unionByName(repeated).select(*DOCUMENT_COLUMNS)
 
