@@ -1,0 +1,28 @@
+"""How the stand-in log is made of the tables, on rows of its own."""
+
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from checks import standin
+
+
+@pytest.fixture
+def tables(spark, tmp_path):
+    """Events in one file of one row group; some rows are null or come twice."""
+    rows = [(n, f"2024-01-{1 + n % 28:02d} 10:00:{n % 60:02d}", n % 9, ["view", "click", "purchase"][n % 3]) for n in range(120)]
+    rows += rows[:5] + [(None, None, None, None), (500, None, 3, "view")]
+    events = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string")
+    events.withColumn("ts", F.col("ts").cast("timestamp_ntz")).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    return str(tmp_path), rows
+
+
+def test_lines_are_dealt_without_sorting_their_text(spark, tables):
+    sent = standin.as_lines(standin.deliveries(spark, tables[0]))
+    lines = standin.dealt(sent)
+    plan = lines._jdf.queryExecution().executedPlan().toString()
+    assert "RoundRobinPartitioning" not in plan and "xxhash64(value" in plan
+    assert Counter(row.value for row in lines.collect()) == Counter(row.value for row in sent.collect())
+    assert lines.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert lines.select(F.spark_partition_id()).distinct().count() == spark.sparkContext.defaultParallelism
