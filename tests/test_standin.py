@@ -26,3 +26,11 @@ def test_lines_are_dealt_without_sorting_their_text(spark, tables):
     assert Counter(row.value for row in lines.collect()) == Counter(row.value for row in sent.collect())
     assert lines.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     assert lines.select(F.spark_partition_id()).distinct().count() == spark.sparkContext.defaultParallelism
+
+
+def test_a_single_row_group_is_made_into_lines_by_many_tasks(spark, tables):
+    sent = standin.deliveries(spark, tables[0])
+    counts = Counter(row.delivery for row in sent.collect())
+    ids = [row[0] for row in tables[1] if row[0] is not None]
+    assert counts == {1: len(tables[1]), 2: sum(n % 10 == 0 for n in ids), 3: sum(n % 37 == 0 for n in ids)}
+    assert sent.filter("delivery = 1").select(F.spark_partition_id()).distinct().count() > 1
