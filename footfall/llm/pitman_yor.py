@@ -30,7 +30,7 @@ table; other columns are ignored; a null doc_id belongs to the training text.
 """
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -38,11 +38,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from footfall.llm.common import codes_of, documents, fold, hash_strings, mix64, slices, stored, words_of
+from footfall.llm.common import codes_of, documents, fold, forget, hash_strings, mix64, slices, stored, stored_alone, words_of
 
 HEAD, HEAD_CELLS, BURN_IN, SAMPLES = 65_536, 524_288, 1, 3
 EXACT, GROWTH = 64, 1.15
 HELD_ENTRIES = 2_000_000
+BLOCK_BYTES, PASSES = 8_000_000, 4
 END = int(hash_strings(pa.array([""])).view(np.int64)[0])
 _STEP = 0x9E3779B97F4A7C15
 
@@ -279,24 +280,6 @@ def context_strength(dishes: DataFrame, model: Restaurants, grid: list[float]) -
     return grid[best["k"]] if best else grid[0]
 
 
-def cell_counts(texts: DataFrame) -> DataFrame:
-    """(context, token, n) of every token by the hash of the token before it, several rows for a pair."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = Counts()
-        for batch in slices(batches):
-            codes, hashes, _ = tokens(batch.column("text"))
-            # The token before a text's first is the end of the text before it, code 0.
-            keys, n = np.unique(np.concatenate([[0], codes[:-1]]) * len(hashes) + codes, return_counts=True)
-            held.add(hashes[keys % len(hashes)], hashes[keys // len(hashes)], n.astype(np.int64))
-            if held.size > HELD_ENTRIES:
-                yield held.take(np.int64)
-        if held.size:
-            yield held.take(np.int64)
-
-    return texts.select("text").mapInArrow(count, "token long, context long, n long")
-
-
 def cell_keys(context: np.ndarray, token: np.ndarray) -> np.ndarray:
     """64-bit keys of cells; the same as `cell_key` of columns."""
     turned = context.view(np.uint64)
@@ -304,23 +287,237 @@ def cell_keys(context: np.ndarray, token: np.ndarray) -> np.ndarray:
     return (turned ^ token.view(np.uint64)).view(np.int64)
 
 
-def cell_key() -> Column:
-    turned = F.shiftleft("context", 23).bitwiseOR(F.shiftrightunsigned("context", 41))
-    return turned.bitwiseXOR(F.col("token"))
+def place_of(codes: np.ndarray, places: int) -> np.ndarray:
+    """The number, below `places`, of the block or part that a token's code belongs to; it rises with the unsigned code."""
+    return ((codes.view(np.uint64) >> np.uint64(32)) * np.uint64(places) >> np.uint64(32)).astype(np.int32)
+
+
+def row_lists(number: np.ndarray, name: str, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
+    """A row for each run of equal numbers, with the columns' values there as lists."""
+    starts = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]])) if len(number) else np.zeros(0, np.int64)
+    offsets = pa.array(np.append(starts, len(number)).astype(np.int32))
+    arrays = [pa.ListArray.from_arrays(offsets, pa.array(values)) for values in columns.values()]
+    return pa.RecordBatch.from_arrays([pa.array(number[starts].astype(np.int32)), *arrays], [name, *columns])
+
+
+def one_row(values: dict) -> pa.RecordBatch:
+    """A row of numbers and, from arrays, lists."""
+    arrays = [
+        pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), pa.array(v)) if isinstance(v, np.ndarray) else pa.array([v])
+        for v in values.values()
+    ]
+    return pa.RecordBatch.from_arrays(arrays, [*values])
+
+
+def listed(rows: pa.Table | pa.RecordBatch, name: str) -> np.ndarray:
+    """All values of a column of lists."""
+    found = pc.list_flatten(rows.column(name))
+    return found.to_numpy() if isinstance(found, pa.ChunkedArray) else found.to_numpy(zero_copy_only=False)
+
+
+def block_number(rows: pa.Table | pa.RecordBatch) -> np.int32:
+    return np.int32(rows.column("block")[0].as_py())
+
+
+def each_row(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield batch.slice(k, 1)
+
+
+def found_in(values: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each value stands in `order`, which rises, and whether it is there."""
+    if not len(order):
+        return np.zeros(len(values), np.int64), np.zeros(len(values), bool)
+    at = np.minimum(np.searchsorted(order, values), len(order) - 1)
+    return at, order[at] == values
+
+
+def cell_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """token, context, n of every token by the hash of the token before it, combined while a task reads."""
+    held = Counts()
+    for batch in slices(batches):
+        codes, hashes, _ = tokens(batch.column("text"))
+        # The token before a text's first is the end of the text before it, code 0.
+        keys, n = np.unique(np.concatenate([[0], codes[:-1]]) * len(hashes) + codes, return_counts=True)
+        held.add(hashes[keys % len(hashes)], hashes[keys // len(hashes)], n.astype(np.int64))
+        if held.size > HELD_ENTRIES:
+            yield held.take(np.int64)
+    if held.size:
+        yield held.take(np.int64)
+
+
+CELLS = (
+    "block int, word array<long>, kinds array<long>, context array<long>, n array<long>, "
+    "total long, words long, word_once long, word_twice long, cells long, once long, twice long"
+)
+
+
+def counted_blocks(texts: DataFrame, blocks: int) -> DataFrame:
+    """All cells, a row for each block of words: its words, the cells of each, and the cells' contexts and counts."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in cell_batches(batches):
+            columns = {c: found.column(c).to_numpy() for c in ("token", "context", "n")}
+            yield row_lists(place_of(columns["token"], blocks), "block", columns)
+
+    def merge(rows: pa.Table) -> pa.Table:
+        token, context, n = (listed(rows, c) for c in ("token", "context", "n"))
+        order = np.lexsort((context, token))
+        token, context, n = token[order], context[order], n[order]
+        at = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (context[1:] != context[:-1])]))
+        token, context, n = token[at], context[at], np.add.reduceat(n, at)
+        first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        counts = np.add.reduceat(n, first)
+        row = {"block": block_number(rows), "word": token[first], "kinds": np.diff(np.append(first, len(token)))}
+        row |= {"context": context, "n": n, "total": int(n.sum()), "words": len(first)}
+        row |= {"word_once": int((counts == 1).sum()), "word_twice": int((counts == 2).sum())}
+        row |= {"cells": len(n), "once": int((n == 1).sum()), "twice": int((n == 2).sum())}
+        return pa.Table.from_batches([one_row(row)]).cast(ARROW_CELLS)
+
+    found = texts.select("text").mapInArrow(count, "block int, token array<long>, context array<long>, n array<long>")
+    return found.groupBy("block").applyInArrow(merge, CELLS)
+
+
+def flat_cells(blocks: DataFrame) -> DataFrame:
+    """context, token, n of blocks of cells."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in each_row(batches):
+            token = np.repeat(listed(row, "word"), listed(row, "kinds"))
+            yield pa.RecordBatch.from_arrays([pa.array(listed(row, "context")), pa.array(token), pa.array(listed(row, "n"))], ["context", "token", "n"])
+
+    return blocks.select("word", "kinds", "context", "n").mapInArrow(run, "context long, token long, n long")
+
+
+def flat_often(state: DataFrame, kept: list[str]) -> DataFrame:
+    """context, token, n and the kept tables of the cells seen more than once."""
+    names = ["context", "n", *kept]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in each_row(batches):
+            token = listed(row, "word")[listed(row, "place")]
+            yield pa.RecordBatch.from_arrays([pa.array(token), *(pa.array(listed(row, c)) for c in names)], ["token", *names])
+
+    return state.select("word", "place", *names).mapInArrow(run, ", ".join(f"{c} long" for c in ["token", *names]))
+
+
+def asked(contexts: np.ndarray, parts: int, block: int, values: dict[str, np.ndarray], answer: bool = True) -> pa.RecordBatch:
+    """What a block knows of some contexts, summed by context, for the part that each context belongs to."""
+    about, at = np.unique(contexts.view(np.uint64), return_inverse=True)
+    about = about.view(np.int64)
+    sums = {c: np.bincount(at, v, len(about)).astype(np.int64) for c, v in values.items()}
+    rows = row_lists(place_of(about, parts), "part", {"about": about, **sums})
+    more = [pa.array(np.full(rows.num_rows, block, np.int32)), pa.array(np.full(rows.num_rows, answer))]
+    return pa.RecordBatch.from_arrays([*rows.columns, *more], [*rows.schema.names, "block", "answer"])
+
+
+def asking(names: list[str]) -> str:
+    return ", ".join(["part int", *(f"{c} array<long>" for c in ["about", *names]), "block int", "answer boolean"])
+
+
+def answered(questions: DataFrame, names: list[str]) -> DataFrame:
+    """block, about (contexts) and the sums of their values over all blocks, for the rows that ask for an answer."""
+
+    def total(rows: pa.Table) -> pa.Table:
+        distinct, at = np.unique(listed(rows, "about"), return_inverse=True)
+        sums = {c: np.bincount(at, listed(rows, c), len(distinct)).astype(np.int64)[at] for c in names}
+        lengths = pc.list_value_length(rows.column("about")).to_numpy()
+        offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(v)) for v in (distinct[at], *sums.values())]
+        found = pa.Table.from_arrays([rows.column("block").combine_chunks(), *lists], ["block", "about", *names])
+        return found.filter(rows.column("answer"))
+
+    return questions.groupBy("part").applyInArrow(total, ", ".join(["block int", *(f"{c} array<long>" for c in ["about", *names])]))
+
+
+def in_block(*tables: DataFrame) -> DataFrame:
+    """The rows of several tables, to be grouped by block."""
+    found = tables[0]
+    for table in tables[1:]:
+        found = found.unionByName(table, allowMissingColumns=True)
+    return found
+
+
+def answers_of(rows: pa.Table, names: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
+    about, first = np.unique(listed(rows, "about"), return_index=True)
+    return about, [listed(rows, c)[first] for c in names]
+
+
+ARROW_CELLS = pa.schema(
+    [("block", pa.int32())] + [(c, pa.list_(pa.int64())) for c in ("word", "kinds", "context", "n")]
+    + [(c, pa.int64()) for c in ("total", "words", "word_once", "word_twice", "cells", "once", "twice")]
+)
+STATE_LISTS = ["word", "count", "ones", "parents", "place", "context", "n", "others", "tables"]
+
+
+def state_schema(kept: list[str]) -> str:
+    """Words with count, cells seen once and tables at the parent; cells seen more than once with the word's place,
+    the context's cells seen once, and tables; of each sample the cells' tables and the words' weights."""
+    lists = [f"{c} array<long>" for c in STATE_LISTS] + [f"{c} array<long>, {c}_weight array<double>" for c in kept]
+    return ", ".join(["block int", *lists, "customers long", "seats long", "likely array<double>"])
+
+
+def state_row(values: dict, kept: list[str]) -> pa.Table:
+    types = {"block": pa.int32(), "customers": pa.int64(), "seats": pa.int64(), "likely": pa.list_(pa.float64())}
+    types |= {c: pa.list_(pa.int64()) for c in [*STATE_LISTS, *kept]} | {f"{c}_weight": pa.list_(pa.float64()) for c in kept}
+    row = pa.Table.from_batches([one_row(values)])
+    return row.cast(pa.schema([(c, types[c]) for c in row.column_names]))
+
+
+GRID = [10.0**k for k in range(7)]
+
+
+def first_state(cells: DataFrame, blocks: int, total: int, lowered: float) -> DataFrame:
+    """Before the first sweep every cell and word has one table.
+
+    `likely` is how well the context restaurants of each strength predict each customer of the block from the
+    others. The customer of a cell seen once is predicted by its parent alone, whose share does not depend on
+    the strength.
+    """
+    names = ["size", "kinds_all", "ones_all"]
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in each_row(batches):
+            n = listed(row, "n")
+            values = {"size": n, "kinds_all": np.ones(len(n)), "ones_all": n == 1}
+            yield asked(listed(row, "context"), blocks, block_number(row), values)
+
+    def start(rows: pa.Table) -> pa.Table:
+        word, kinds, context, n = (listed(rows, c) for c in ("word", "kinds", "context", "n"))
+        about, (size, kinds_all, ones_all) = answers_of(rows, names)
+        place = np.repeat(np.arange(len(word)), kinds)
+        at = np.searchsorted(about, context)
+        count, ones = (np.bincount(place, v, len(word)).astype(np.int64) for v in (n, n == 1))
+        several = n > 1
+        single = np.bincount(at, ~several, len(about))
+        others = np.maximum(size - 1, 1)
+        place, at, context, n = place[several], at[several], context[several], n[several]
+        share, likely = count[place] / float(total), []
+        for strength in GRID:
+            passed = strength + lowered * kinds_all
+            chance = (n - 1 - lowered + passed[at] * share) / (strength + others[at])
+            likely.append((single * (np.log(passed) - np.log(strength + others))).sum() + (n * np.log(np.maximum(chance, 1e-300))).sum())
+        row = {"block": block_number(rows), "word": word, "count": count, "ones": ones, "parents": np.ones(len(word), np.int64)}
+        row |= {"place": place, "context": context, "n": n, "others": ones_all[at], "tables": np.ones(len(n), np.int64)}
+        return state_row(row | {"customers": int(kinds.sum()), "seats": len(word), "likely": np.array(likely)}, [])
+
+    known = cells.select("block", "word", "kinds", "context", "n")
+    answers = answered(cells.select("block", "context", "n").mapInArrow(ask, asking(names)), names)
+    return in_block(known, answers).groupBy("block").applyInArrow(start, state_schema([]))
 
 
 @dataclass
 class AllRestaurants:
-    """A restaurant for every seen context: numbers of the whole, and tables of cells, tokens and contexts.
+    """A restaurant for every seen context: numbers of the whole, blocks of cells, and the state of the sampling.
 
-    `cells` holds the cells seen more than once with their tables in each sample (kept_0 ...), `tokens` the
-    parent's customers less discounts in each sample (kept_0 ...).
+    `counted` has all cells, `state` those seen more than once with their tables, and the words; see `CELLS`
+    and `state_schema`. Of both a row holds a block, the words whose hashes lie in one of `blocks` ranges.
     """
 
-    pairs: DataFrame
-    cells: DataFrame
-    tokens: DataFrame
-    contexts: DataFrame
+    counted: DataFrame
+    state: DataFrame
+    blocks: int
     distinct: int
     total: int
     samples: int
@@ -332,6 +529,24 @@ class AllRestaurants:
     def base(self) -> float:
         return 1.0 / (self.distinct + 1)
 
+    @property
+    def kept(self) -> list[str]:
+        return [f"kept_{k}" for k in range(self.samples)]
+
+    @property
+    def pairs(self) -> DataFrame:
+        """context, token, n of every cell."""
+        return flat_cells(self.counted)
+
+    @property
+    def cells(self) -> DataFrame:
+        return flat_often(self.state, self.kept)
+
+    @property
+    def contexts(self) -> DataFrame:
+        numbers = [F.count("*").alias("kinds"), F.count(F.when(F.col("n") == 1, 1)).alias("ones")]
+        return self.pairs.groupBy("context").agg(F.sum("n").alias("size"), *numbers)
+
     def parent(self, weight, totals: tuple[float, float]):
         """The parent's probability of a token with `weight`, its customers less discounts."""
         customers, tables = totals
@@ -342,131 +557,84 @@ class AllRestaurants:
 
     def by_token(self) -> DataFrame:
         """token, count, parent_0 ...: the parent's probability in each sample."""
-        kept = [F.col(f"kept_{k}") for k in range(self.samples)]
-        parents = [self.parent(w, t).alias(f"parent_{k}") for k, (w, t) in enumerate(zip(kept, self.totals[-self.samples :]))]
-        return self.tokens.select("token", "count", *parents)
+        weights = [f"{c}_weight" for c in self.kept]
+        rows = self.state.select(F.inline(F.arrays_zip("word", "count", *weights)))
+        parents = [self.parent(F.col(w), t).alias(f"parent_{k}") for k, (w, t) in enumerate(zip(weights, self.totals[-self.samples :]))]
+        return rows.select(F.col("word").alias("token"), "count", *parents)
 
     def by_context(self) -> DataFrame:
         """context, scale, passed_0 ...: the share that the context's restaurant passes on in each sample."""
-        sums = self.cells.groupBy("context").agg(*[F.sum(f"kept_{k}").alias(f"kept_{k}") for k in range(self.samples)])
+        sums = self.cells.groupBy("context").agg(*[F.sum(c).alias(c) for c in self.kept])
         scale = self.strengths[0] + F.col("size")
-        tables = [F.col("ones") + F.coalesce(f"kept_{k}", F.lit(0)) for k in range(self.samples)]
+        tables = [F.col("ones") + F.coalesce(c, F.lit(0)) for c in self.kept]
         passed = [((self.strengths[0] + self.discounts[0] * t) / scale).alias(f"passed_{k}") for k, t in enumerate(tables)]
         return self.contexts.join(sums, "context", "left").select("context", scale.alias("scale"), *passed)
 
     def often(self) -> DataFrame:
         """context, token, n, own of the cells seen more than once; own / scale is what the restaurant gives itself."""
-        tables = sum((F.col(f"kept_{k}") for k in range(1, self.samples)), F.col("kept_0"))
+        tables = sum((F.col(c) for c in self.kept[1:]), F.col("kept_0"))
         return self.cells.select("context", "token", "n", (F.col("n") - self.discounts[0] * tables / self.samples).alias("own"))
 
     def once(self) -> DataFrame:
         return self.pairs.filter(F.col("n") == 1).select("context", "token", "n", F.lit(1.0 - self.discounts[0]).alias("own"))
 
 
-def strength_of_all(cells: DataFrame, contexts: DataFrame, total: int, lowered: float, grid: list[float]) -> float:
-    """The strength under which the context restaurants best predict each customer from the others.
-
-    The customer of a cell seen once is predicted by its parent alone, whose share does not depend on the strength.
-    """
-    others = F.greatest(F.col("size") - 1, F.lit(1))
-    share = F.col("count") / float(total)
-    single, several = [], []
-    for k, strength in enumerate(grid):
-        passed = strength + lowered * F.col("kinds")
-        single.append(F.sum(F.col("ones") * (F.log(passed) - F.log(strength + others))).alias(str(k)))
-        chance = (F.col("n") - 1 - lowered + passed * share) / (strength + others)
-        several.append(F.sum(F.col("n") * F.log(F.greatest(chance, F.lit(1e-300)))).alias(str(k)))
-    first, second = contexts.agg(*single).first(), cells.agg(*several).first()
-    sums = [(first[k] or 0.0) + (second[k] or 0.0) for k in range(len(grid))]
-    return grid[sums.index(max(sums))]
-
-
 def train_all(docs: DataFrame, burn_in: int, samples: int) -> AllRestaurants:
     """Restaurants for all contexts, sampled; the last `samples` totals belong to the samples."""
-    pairs = stored(cell_counts(docs).groupBy("context", "token").agg(F.sum("n").alias("n")), "pairs")
-    numbers = [F.count("*").alias("kinds"), F.count(F.when(F.col("n") == 1, 1)).alias("ones")]
-    tokens = stored(pairs.groupBy("token").agg(F.sum("n").alias("count"), *numbers), "tokens")
-    contexts = stored(pairs.groupBy("context").agg(F.sum("n").alias("size"), *numbers), "contexts")
-    seen = [F.count(F.when(F.col("count") == k, 1)) for k in (1, 2)]
-    total, distinct, *few = tokens.agg(F.sum("count"), F.count("*"), *seen).first()
-    kinds, *rare = pairs.agg(F.count("*"), *[F.count(F.when(F.col("n") == k, 1)) for k in (1, 2)]).first()
-    lowered = discount(*rare), discount(*few)
-    # What every sweep needs of a cell, with the state before the first: one table for each cell and token.
-    cells = pairs.filter(F.col("n") > 1).join(contexts, "context")
-    cells = cells.join(tokens.select("token", "count", F.col("kinds").alias("customers")), "token")
-    cells = stored(cells, "cells")
-    grid = [10.0**k for k in range(7)]
-    strengths = (strength_of_all(cells, contexts, total, lowered[0], grid) if total else 1.0), 1.0
-    model = AllRestaurants(pairs, cells, tokens, contexts, distinct, total or 0, samples, lowered, strengths, [(float(kinds), float(distinct))])
-    state = cells.withColumn("tables", F.lit(1)).withColumn("seated", F.col("kinds")).withColumn("parents", F.lit(1))
-    dishes = tokens.withColumn("parents", F.lit(1))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = 1 + int(size) // BLOCK_BYTES
+    cells = stored_alone(counted_blocks(docs, blocks), "cells")
+    names = ["total", "words", "word_once", "word_twice", "cells", "once", "twice"]
+    total, distinct, *few, kinds, once, twice = (x or 0 for x in cells.agg(*[F.sum(c) for c in names]).first())
+    lowered = discount(once, twice), discount(*few)
+    state = stored_alone(first_state(cells, blocks, total, lowered[0]), "state")
+    likely = state.select(F.posexplode("likely").alias("k", "v")).groupBy("k").agg(F.sum("v").alias("v")).collect()
+    likely = [row["v"] for row in sorted(likely, key=lambda row: row["k"])]
+    strengths = (GRID[likely.index(max(likely))] if total else 1.0), 1.0
+    model = AllRestaurants(cells, state, blocks, distinct, total, samples, lowered, strengths, [(float(kinds), float(distinct))])
     kept: list[str] = []
     for number in range(burn_in + samples):
-        if number:
-            of_context = state.groupBy("context").agg((F.sum("tables") + F.max("ones")).alias("seated"))
-            state = state.join(of_context, "context").join(dishes.select("token", "customers", "parents"), "token")
         name = f"kept_{number - burn_in}" if number >= burn_in else None
-        state = stored(seated_cells(state, model, number, kept, name), "cells")
-        of_token = state.groupBy("token").agg(F.sum("tables").alias("seated"))
-        customers = (F.col("ones") + F.coalesce("seated", F.lit(0))).alias("customers")
-        dishes = dishes.join(of_token, "token", "left").select("token", "count", "ones", "parents", customers, *kept)
-        dishes = stored(seated_parents(dishes, model, number, kept, name), "tokens")
+        last, model.state = model.state, stored_alone(seated(model, number, kept, name), "state")
+        forget(last)
         if name:
             kept.append(name)
-        sums = dishes.agg(F.sum("customers"), F.sum("parents")).first()
+        sums = model.state.agg(F.sum("customers"), F.sum("seats")).first()
         model.totals.append((float(sums[0] or 0), float(sums[1] or 0)))
-    model.cells, model.tokens = state, dishes
     return model
 
 
-def seated_cells(state: DataFrame, model: AllRestaurants, number: int, kept: list[str], name: str | None) -> DataFrame:
-    """The cells after a sweep; their tables are also kept under `name`."""
-    totals, strengths, discounts, base = model.totals[-1], model.strengths, model.discounts, model.base
-    names = ["context", "token", "n", "ones", "tables", *kept]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("context", "token", "n", "tables", "seated", "customers", "parents")}
-            weight = at["customers"] - discounts[1] * at["parents"]
-            probability = (weight + (strengths[1] + discounts[1] * totals[1]) * base) / (strengths[1] + totals[0])
-            new = strengths[0] + discounts[0] * np.maximum(at["seated"] - at["tables"], 0)
-            key = mix64(at["token"].view(np.uint64) + np.uint64(number))
-            key = mix64(key + at["context"].view(np.uint64) + np.uint64(1))
-            tables = pa.array(seat(at["n"], new, probability, discounts[0], key).astype(np.int64))
-            columns = [tables if c == "tables" else batch.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays(columns + ([tables] if name else []), names + ([name] if name else []))
-
-    schema = ", ".join(f"{c} long" for c in names + ([name] if name else []))
-    return state.select(*names, "seated", "customers", "parents").mapInArrow(run, schema)
-
-
-def seated_parents(dishes: DataFrame, model: AllRestaurants, number: int, kept: list[str], name: str | None) -> DataFrame:
-    """The parent's tables after a sweep; its customers less discounts are also kept under `name`."""
-    totals, strength, lowered, base = model.totals[-1], model.strengths[1], model.discounts[1], model.base
-    names = ["token", "count", "ones", "customers", "parents", *kept]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            token, customers, parents = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("token", "customers", "parents"))
-            new = strength + lowered * np.maximum(totals[1] - parents, 0)
-            key = mix64(token.view(np.uint64) + np.uint64(number))
-            parents = seat(customers, new, np.full(len(token), base), lowered, key).astype(np.int64)
-            columns = [pa.array(parents) if c == "parents" else batch.column(c) for c in names]
-            weight = [pa.array(customers - lowered * parents)] if name else []
-            yield pa.RecordBatch.from_arrays(columns + weight, names + ([name] if name else []))
-
-    types = ", ".join([f"{c} {'double' if c in kept else 'long'}" for c in names] + ([f"{name} double"] if name else []))
-    return dishes.select(*names).mapInArrow(run, types)
-
-
-def cell_scores(cells: DataFrame, model: AllRestaurants) -> DataFrame:
-    """cell, count (of its token), score of (context, token, own), all of them averaged over the samples."""
-    met = cells.join(model.by_context(), "context", "left").withColumn("cell", cell_key())
-    met = met.drop("context").join(model.by_token(), "token", "left")
-    own = F.coalesce(F.col("own") / F.col("scale"), F.lit(0.0))
-    for k, unknown in enumerate(model.unknown()):
-        own = own + F.coalesce(f"passed_{k}", F.lit(1.0)) * F.coalesce(f"parent_{k}", F.lit(unknown)) / model.samples
-    return met.select("cell", F.coalesce("count", F.lit(0)).alias("count"), F.log10(own).alias("score"))
+def seated(model: AllRestaurants, number: int, kept: list[str], name: str | None) -> DataFrame:
+    """The state after a sweep; its tables and the words' customers less discounts are also kept under `name`."""
+    totals, strengths, discounts, base, blocks = model.totals[-1], model.strengths, model.discounts, model.base, model.blocks
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in each_row(batches):
+            yield asked(listed(row, "context"), blocks, block_number(row), {"sum": listed(row, "tables")})
+
+    def run(rows: pa.Table) -> pa.Table:
+        at = {c: listed(rows, c) for c in STATE_LISTS}
+        about, (tables_all,) = answers_of(rows, ["sum"])
+        word, place, context, tables = at["word"], at["place"], at["context"], at["tables"]
+        customers = at["ones"] + np.bincount(place, tables, len(word)).astype(np.int64)
+        weight = customers - discounts[1] * at["parents"]
+        probability = (weight + (strengths[1] + discounts[1] * totals[1]) * base) / (strengths[1] + totals[0])
+        sitting = at["others"] + tables_all[np.searchsorted(about, context)]
+        new = strengths[0] + discounts[0] * np.maximum(sitting - tables, 0)
+        own = mix64(word.view(np.uint64) + np.uint64(number))
+        key = mix64(own[place] + context.view(np.uint64) + np.uint64(1))
+        tables = seat(at["n"], new, probability[place], discounts[0], key).astype(np.int64)
+        customers = at["ones"] + np.bincount(place, tables, len(word)).astype(np.int64)
+        new = strengths[1] + discounts[1] * np.maximum(totals[1] - at["parents"], 0)
+        parents = seat(customers, new, np.full(len(word), base), discounts[1], own).astype(np.int64)
+        row = {"block": block_number(rows)} | at | {"tables": tables, "parents": parents}
+        row |= {c: listed(rows, c) for k in kept for c in (k, f"{k}_weight")}
+        row |= {name: tables, f"{name}_weight": customers - discounts[1] * parents} if name else {}
+        row |= {"customers": int(customers.sum()), "seats": int(parents.sum()), "likely": np.zeros(0)}
+        return state_row(row, kept + ([name] if name else []))
+
+    answers = answered(model.state.select("block", "context", "tables").mapInArrow(ask, asking(["sum"])), ["sum"])
+    return in_block(model.state, answers).groupBy("block").applyInArrow(run, state_schema(kept + ([name] if name else [])))
 
 
 @dataclass
@@ -478,87 +646,273 @@ class HeadCells:
     scores: np.ndarray
 
 
-def head_cells(model: AllRestaurants, head: int) -> HeadCells:
+class Block:
+    """What the cells of a block need for their probabilities."""
+
+    def __init__(self, rows: pa.Table, model: AllRestaurants):
+        self.model = model
+        self.word, self.count = listed(rows, "word"), listed(rows, "count")
+        self.parents = [model.parent(listed(rows, f"{c}_weight"), t) for c, t in zip(model.kept, model.totals[-model.samples :])]
+        seats = [f"seats_{k}" for k in range(model.samples)]
+        self.about, (self.size, *tables) = answers_of(rows, ["size", *seats])
+        self.scale = model.strengths[0] + self.size
+        # A context never seen passes all on.
+        self.passed = [np.where(self.size > 0, (model.strengths[0] + model.discounts[0] * t) / self.scale, 1.0) for t in tables]
+        self.place, self.context, self.n = (listed(rows, c) for c in ("place", "context", "n"))
+        tables = sum((listed(rows, c) for c in model.kept[1:]), listed(rows, model.kept[0]))
+        self.own = self.n - model.discounts[0] * tables / model.samples
+        self.keys = cell_keys(self.context, self.word[self.place])
+        self.order = np.argsort(self.keys)
+
+    def scores(self, context: np.ndarray, token: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Counts of the tokens and the cells' log10 probabilities, averaged over the samples."""
+        at, known = found_in(token, self.word)
+        of, met = found_in(context, self.about)
+        chance = np.zeros(len(token))
+        chance[met] = own[met] / self.scale[of[met]]
+        for passed, parent, unknown in zip(self.passed, self.parents, self.model.unknown()):
+            first, second = np.ones(len(token)), np.full(len(token), unknown)
+            first[met], second[known] = passed[of[met]], parent[at[known]]
+            chance = chance + first * second / self.model.samples
+        counts = np.zeros(len(token), np.int64)
+        counts[known] = self.count[at[known]]
+        return counts, np.log10(chance)
+
+    def owned(self, context: np.ndarray, token: np.ndarray, others: np.ndarray) -> np.ndarray:
+        """What their restaurants give cells themselves; `others` where a cell was not seen more than once."""
+        at, often = found_in(cell_keys(context, token), self.keys[self.order])
+        own = others.copy()
+        own[often] = self.own[self.order[at[often]]]
+        return own
+
+
+def head_cells(facts: DataFrame, model: AllRestaurants, head: int) -> HeadCells:
     """At most `head` cells: whole steps of an eighth of a doubling."""
-    often = model.often()
+    seen = model.state.select(F.explode("n").alias("n"))
     step = F.floor(F.log2(F.col("n").cast("double")) * 8)
-    steps = sorted(((r["step"], r["n"]) for r in often.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect()), reverse=True)
+    steps = sorted(((r["step"], r["n"], r["least"]) for r in seen.groupBy(step.alias("step")).agg(F.count("*").alias("n"), F.min("n").alias("least")).collect()), reverse=True)
     taken, least = 0, None
-    for at, n in steps:
+    for _, n, smallest in steps:
         if taken + n > head:
             break
-        taken, least = taken + n, at
+        taken, least = taken + n, smallest
     if not taken:
         return HeadCells(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-    rows = cell_scores(often.filter(step >= least), model).toArrow().combine_chunks().sort_by("cell")
+
+    def top(rows: pa.Table) -> pa.Table:
+        block = Block(rows, model_of.value)
+        at = block.n >= least
+        context, token = block.context[at], block.word[block.place[at]]
+        counts, scores = block.scores(context, token, block.own[at])
+        return pa.table({"cell": cell_keys(context, token), "count": counts, "score": scores})
+
+    model_of = shared_model(facts, model)
+    rows = facts.groupBy("block").applyInArrow(top, "cell long, count long, score double").toArrow().combine_chunks().sort_by("cell")
     return HeadCells(*(rows.column(c).to_numpy() for c in ("cell", "count", "score")))
 
 
-def score_all(docs: DataFrame, model: AllRestaurants, head: int) -> DataFrame:
-    """doc_id, held_out (as given), n_tokens, n_known, train_tokens, base_score, score of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(head_cells(model, head))
-    below = float(model.total + model.distinct + 1)
+def shared_model(frame: DataFrame, model: AllRestaurants):
+    """The numbers of a model, without its tables, for tasks."""
+    return frame.sparkSession.sparkContext.broadcast(replace(model, counted=None, state=None))
 
-    def read(batch: pa.RecordBatch):
-        codes, hashes, bounds = tokens(batch.column("text"))
-        known = shared.value
-        cells = cell_keys(hashes[np.concatenate([[0], codes[:-1]])], hashes[codes])
-        at = np.minimum(np.searchsorted(known.cells, cells), max(0, len(known.cells) - 1))
-        place = np.where(known.cells[at] == cells, at, -1) if len(known.cells) else np.full(len(cells), -1)
-        owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-        return cells, place, owner, bounds, document_keys(batch.column("doc_id"), codes, hashes, bounds)
 
-    def by_head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
-        for batch in slices(batches):
-            _, place, owner, bounds, keys = read(batch)
-            n, inside = len(bounds) - 1, place >= 0
-            counts, scores = known.counts[place[inside]], known.scores[place[inside]]
-            sums = [np.bincount(owner[inside], values, n).astype(float) for values in (np.log10((counts + 1) / below), scores)]
-            numbers = np.diff(bounds), np.bincount(owner[inside], minlength=n).astype(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys), batch.column("doc_id").cast(pa.int64()), batch.column("held_out"), *map(pa.array, (*numbers, *sums))],
-                ["key", "doc_id", "held_out", "n_tokens", "n_known", "base", "score"],
-            )
+def held_cells(docs: DataFrame, model: AllRestaurants) -> DataFrame:
+    """Of each block, the cells of held-out text that were seen once, by key, and the contexts seen with other words only."""
+    blocks = model.blocks
 
-    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            cells, place, owner, _, keys = read(batch)
-            out = place < 0
-            yield pa.RecordBatch.from_arrays([pa.array(keys[owner[out]]), pa.array(cells[out])], ["key", "cell"])
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in cell_batches(batches):
+            token, context = (found.column(c).to_numpy() for c in ("token", "context"))
+            yield row_lists(place_of(token, blocks), "block", {"held_token": token, "held_context": context})
 
-    texts = docs.select("doc_id", "held_out", "text")
-    heads = texts.mapInArrow(by_head, "key long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double")
-    others = texts.select("doc_id", "text").mapInArrow(rest, "key long, cell long")
-    unseen = cell_counts(docs.filter(F.coalesce("held_out", F.lit(True)))).select("context", "token").distinct()
-    every = model.often().unionByName(model.once()).drop("n").unionByName(unseen.withColumn("own", F.lit(0.0)))
-    # A held-out cell that was trained on is there twice: with what its restaurant gives it, it scores higher.
-    scores = cell_scores(every, model).groupBy("cell").agg(F.max("count").alias("count"), F.max("score").alias("score"))
-    met = others.join(scores, "cell", "left")
-    missing = F.raise_error(F.lit("a row that is not held out is not part of the training text"))
-    found = met.groupBy("key").agg(
-        F.count(F.when(F.col("count") > 0, 1)).alias("n_known"),
-        F.sum(F.log10((F.coalesce(F.col("count"), missing.cast("long")) + 1) / F.lit(below))).alias("base"),
-        F.sum("score").alias("score"),
-    )
+    def meet(rows: pa.Table) -> pa.Table:
+        token, context = listed(rows, "held_token"), listed(rows, "held_context")
+        keys = np.unique(cell_keys(context, token))
+        word, kinds, seen, n = (listed(rows, c) for c in ("word", "kinds", "context", "n"))
+        known = cell_keys(seen, np.repeat(word, kinds))[n == 1]
+        row = {"block": block_number(rows), "once": np.intersect1d(keys, known), "context": np.setdiff1d(context, seen)}
+        return pa.Table.from_batches([one_row(row)])
+
+    found = docs.select("text").mapInArrow(read, "block int, held_token array<long>, held_context array<long>")
+    rows = in_block(model.counted.select("block", "word", "kinds", "context", "n"), found)
+    return rows.groupBy("block").applyInArrow(meet, "block int, once array<long>, context array<long>")
+
+
+def context_facts(held: DataFrame, model: AllRestaurants) -> DataFrame:
+    """block, about, size and tables in each sample of the contexts that the cells of a block have."""
+    blocks, kept = model.blocks, model.kept
+    names = ["size", *(f"seats_{k}" for k in range(model.samples))]
+
+    def of(values) -> Iterator[pa.RecordBatch]:
+        def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for row in each_row(batches):
+                found, answer = values(row)
+                yield asked(listed(row, "context"), blocks, block_number(row), dict(zip(names, found)), answer)
+
+        return ask
+
+    def counted(row):
+        n = listed(row, "n")
+        return [n, *[n == 1] * len(kept)], True
+
+    def sampled(row):
+        found = [listed(row, c) for c in kept]
+        return [np.zeros(len(found[0])), *found], False
+
+    def unseen(row):
+        return [np.zeros(len(listed(row, "context")))] * len(names), True
+
+    questions = [
+        model.counted.select("block", "context", "n").mapInArrow(of(counted), asking(names)),
+        model.state.select("block", "context", *kept).mapInArrow(of(sampled), asking(names)),
+        held.select("block", "context").mapInArrow(of(unseen), asking(names)),
+    ]
+    return answered(in_block(*questions), names)
+
+
+PARTIAL = "key long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, copies long"
+OCCURRENCES = "block int, key array<long>, word_context array<long>, word_token array<long>, fresh boolean"
+
+
+def score_all(docs: DataFrame, model: AllRestaurants, head: int) -> DataFrame:
+    """doc_id, held_out (as given), n_tokens, n_known, train_tokens, base_score, score of every row."""
+    fresh = F.coalesce("held_out", F.lit(True))
+    held = stored_alone(held_cells(docs.filter(fresh), model), "held")
+    answers = stored_alone(context_facts(held, model), "contexts")
+    known = ["block", "word", "count", "place", "context", "n", *(c for k in model.kept for c in (k, f"{k}_weight"))]
+    facts = in_block(model.state.select(*known), answers)
+    shared = docs.sparkSession.sparkContext.broadcast(head_cells(facts, model, head))
+    facts = in_block(facts, held.select("block", "once"))
+    texts = docs.select("doc_id", "held_out", fresh.alias("fresh"), "text")
+    passes = min(PASSES, model.blocks)
+    parts = [texts.filter(F.pmod(F.xxhash64("doc_id"), F.lit(passes)) == k) for k in range(passes)]
+    parts = [stored_alone(scored_texts(part, facts, model, shared), "scores") for part in parts]
+    forget(held, answers)
+    return in_block(*parts)
+
+
+def scored_texts(texts: DataFrame, facts: DataFrame, model: AllRestaurants, shared) -> DataFrame:
+    blocks, model_of, below = model.blocks, shared_model(texts, model), float(model.total + model.distinct + 1)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        top, waiting, size = shared.value, [], 0
+        for batch in slices(batches):
+            codes, hashes, bounds = tokens(batch.column("text"))
+            n, before = len(bounds) - 1, np.concatenate([[0], codes[:-1]])
+            # Cells are looked up once each, however often they occur in the batch.
+            pairs, at = np.unique(before * len(hashes) + codes, return_inverse=True)
+            context, token = hashes[pairs // len(hashes)], hashes[pairs % len(hashes)]
+            place, inside = found_in(cell_keys(context, token), top.cells)
+            owner = np.repeat(np.arange(n), np.diff(bounds))
+            keys = document_keys(batch.column("doc_id"), codes, hashes, bounds)
+            of_cell = np.zeros((2, len(pairs)))
+            of_cell[:, inside] = np.log10((top.counts[place[inside]] + 1) / below), top.scores[place[inside]]
+            sums = [np.bincount(owner, v[at], n) for v in of_cell]
+            out = ~inside[at]
+            numbers = np.diff(bounds), np.bincount(owner[~out], minlength=n).astype(np.int64)
+            columns = [keys, *numbers, *sums]
+            # A text's own row goes along with the block of its key.
+            order = np.argsort(place_of(keys, blocks), kind="stable")
+            yield whole_rows(place_of(keys, blocks)[order], batch.select(["doc_id", "held_out"]).take(pa.array(order)), [c[order] for c in columns])
+            new = batch.column("fresh").to_numpy(zero_copy_only=False)[owner[out]].astype(bool)
+            waiting.append((keys[owner[out]], context[at[out]], token[at[out]], new))
+            size += int(out.sum())
+            if size > HELD_ENTRIES:
+                yield from occurrences(waiting)
+                waiting, size = [], 0
+        if waiting:
+            yield from occurrences(waiting)
+
+    def occurrences(waiting: list) -> Iterator[pa.RecordBatch]:
+        key, context, token, new = (np.concatenate(x) for x in zip(*waiting))
+        for fresh in (False, True):
+            some = np.flatnonzero(new == fresh)
+            block = place_of(token[some], blocks)
+            order = np.argsort(block, kind="stable")
+            some = some[order]
+            rows = row_lists(block[order], "block", {"key": key[some], "word_context": context[some], "word_token": token[some]})
+            flag = pa.array(np.full(rows.num_rows, fresh))
+            yield padded([*rows.columns, flag], [*rows.schema.names, "fresh"])
+
+    def meet(rows: pa.Table) -> pa.Table:
+        block, found = Block(rows, model_of.value), [own_rows(rows)]
+        once = np.sort(listed(rows, "once"))
+        for fresh in (False, True):
+            some = rows.filter(pc.equal(rows.column("fresh"), fresh))
+            key, context, token = (listed(some, c) for c in ("key", "word_context", "word_token"))
+            if not len(key):
+                continue
+            lowered = 1.0 - block.model.discounts[0]
+            others = found_in(cell_keys(context, token), once)[1] * lowered if fresh else np.full(len(key), lowered)
+            counts, scores = block.scores(context, token, block.owned(context, token, others))
+            if not fresh and not counts.all():
+                raise ValueError("a row that is not held out is not part of the training text")
+            keys, at = np.unique(key, return_inverse=True)
+            sums = [np.bincount(at, v, len(keys)) for v in (counts > 0, np.log10((counts + 1) / below), scores)]
+            none = np.zeros(len(keys), np.int64)
+            found.append(partial_rows(keys, None, None, none, sums[0].astype(np.int64), sums[1], sums[2], none))
+        return pa.concat_tables(found)
+
+    rows = in_block(texts.mapInArrow(read, f"{OCCURRENCES}, {TEXTS}"), facts).groupBy("block").applyInArrow(meet, PARTIAL)
     # Rows that agree in doc_id and words share a key and score alike.
-    whole = heads.groupBy("key").agg(
-        F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.count("*").alias("copies"),
-        *[F.sum(c).alias(f"head_{c}") for c in ("n_tokens", "n_known", "base", "score")],
+    summed = rows.groupBy("key").agg(
+        F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"),
+        *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score", "copies")],
     )
-    one = whole.join(found, "key", "left").withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))))
-    summed = {c: (F.col(f"head_{c}") + F.coalesce(F.col(c), F.lit(0))) / F.col("copies") for c in ("n_known", "base", "score")}
+    one = summed.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))))
     return one.select(
         "doc_id",
         "held_out",
-        (F.col("head_n_tokens") / F.col("copies")).cast("long").alias("n_tokens"),
-        summed["n_known"].cast("long").alias("n_known"),
+        *[(F.col(c) / F.col("copies")).cast("long").alias(c) for c in ("n_tokens", "n_known")],
         F.lit(model.total).cast("long").alias("train_tokens"),
-        summed["base"].alias("base_score"),
-        summed["score"].alias("score"),
+        (F.col("base") / F.col("copies")).alias("base_score"),
+        (F.col("score") / F.col("copies")).alias("score"),
     )
 
 
+TEXTS = "text_key array<long>, text_id array<long>, text_held array<boolean>, text_tokens array<long>, text_known array<long>, text_base array<double>, text_score array<double>"
+_LONGS, _DOUBLES = pa.list_(pa.int64()), pa.list_(pa.float64())
+READ = pa.schema(
+    [("block", pa.int32()), ("key", _LONGS), ("word_context", _LONGS), ("word_token", _LONGS), ("fresh", pa.bool_())]
+    + [("text_key", _LONGS), ("text_id", _LONGS), ("text_held", pa.list_(pa.bool_())), ("text_tokens", _LONGS)]
+    + [("text_known", _LONGS), ("text_base", _DOUBLES), ("text_score", _DOUBLES)]
+)
+
+
+def padded(arrays: list[pa.Array], names: list[str]) -> pa.RecordBatch:
+    """The arrays as columns of READ, the others null."""
+    n = len(arrays[0])
+    return pa.RecordBatch.from_arrays(
+        [arrays[names.index(f.name)] if f.name in names else pa.nulls(n, f.type) for f in READ], schema=READ
+    )
+
+
+def whole_rows(block: np.ndarray, texts: pa.RecordBatch, columns: list[np.ndarray]) -> pa.RecordBatch:
+    """Rows of lists for the texts of each block."""
+    names = ["text_key", "text_tokens", "text_known", "text_base", "text_score"]
+    rows = row_lists(block, "block", dict(zip(names, columns)))
+    offsets = rows.column("text_key").offsets
+    lists = [pa.ListArray.from_arrays(offsets, texts.column(c).cast(t)) for c, t in (("doc_id", pa.int64()), ("held_out", pa.bool_()))]
+    return padded([*rows.columns, *lists], [*rows.schema.names, "text_id", "text_held"])
+
+
+def partial_rows(key, doc_id, held_out, n_tokens, n_known, base, score, copies) -> pa.Table:
+    n = len(key)
+    return pa.table({
+        "key": pa.array(key), "doc_id": pa.nulls(n, pa.int64()) if doc_id is None else doc_id,
+        "held_out": pa.nulls(n, pa.bool_()) if held_out is None else held_out, "n_tokens": pa.array(n_tokens, pa.int64()),
+        "n_known": pa.array(n_known, pa.int64()), "base": pa.array(base, pa.float64()), "score": pa.array(score, pa.float64()),
+        "copies": pa.array(copies, pa.int64()),
+    })
+
+
+def own_rows(rows: pa.Table) -> pa.Table:
+    """The texts' own rows among the rows of a block."""
+    key, *numbers = (listed(rows, f"text_{c}") for c in ("key", "tokens", "known", "base", "score"))
+    doc_id, held = (pc.list_flatten(rows.column(f"text_{c}")) for c in ("id", "held"))
+    return partial_rows(key, doc_id, held, *numbers, np.ones(len(key), np.int64))
+
+
 def train(
     docs: DataFrame, contexts: int | None = None, burn_in: int = BURN_IN, samples: int = SAMPLES
 ) -> tuple[DataFrame, Restaurants | AllRestaurants]:
