@@ -10,19 +10,24 @@ most frequent tokens have restaurants, and what follows others sits at the paren
 Seating is sampled by blocked Gibbs sweeps: in a sweep all customers of a dish leave a restaurant and are
 seated again one after the other, at a new table with a probability that depends on the parent's predictive
 probability of the dish and the tables of all other dishes, as of the sweep before. Given those totals,
-cells (a context and a token that followed it) are independent, so a sweep is a pass over the table of cells,
-which meet the tables of their context and of their token in joins, however frequent these are; only the
-parent's totals go through the driver. A cell seen once has one table in every sweep and is not seated again.
+cells (a context and a token that followed it) are independent, so a sweep is a pass over the cells. Cells lie
+in blocks, whose number follows the size of the text: a block has all cells of its words, in packed columns.
+What concerns a word is known in its block. What concerns a context is summed over the blocks in parts of the
+contexts, each block sending one sum for a context, and comes back to the blocks that asked. Only the parent's
+totals go through the driver. A cell seen once has one table in every sweep and is not seated again.
 Draws are hashes of dish, restaurant, sweep and customer: a task that runs again seats as before. With
-`contexts` given, cells are lists of their dish and sweeps are recomputed instead of stored. Customers beyond the EXACT-th of a dish arrive in blocks of growing size, each with the tables at its
+`contexts` given, cells are lists of their dish and sweeps are recomputed instead of stored. Customers beyond
+the EXACT-th of a dish arrive in blocks of growing size, each with the tables at its
 start. Discounts are estimated from the numbers of tokens seen once and twice, the strength of the
 context restaurants by leave-one-out likelihood. Predictive probabilities are averaged over the sweeps after
 burn-in.
 
 Counts cover all training text and combine in each task before they are shuffled. Scoring reads each text
 against the `head` most frequent cells (tokens, with `contexts` given), whose table has a fixed size; the
-others meet the table of scores in a join. Tokens and cells are known by 64-bit hashes. Rows that are not held
-out are the training text.
+others meet the rest in their block (in a join, with `contexts` given): a training text's cell that was not seen
+more than once was seen once, only for held-out cells that is looked up. A text's sums over the blocks are added
+in parts of the texts. Texts are scored in PASSES passes of as many texts each, so that less lies on disk at a
+time. Tokens and cells are known by 64-bit hashes. Rows that are not held out are the training text.
 
 Defined results: a null text is empty, which is its end alone; rows that agree in doc_id and words score
 alike, and each gives a row; without training text every token is unknown; an empty table gives an empty
@@ -43,7 +48,8 @@ from footfall.llm.common import codes_of, documents, fold, forget, hash_strings,
 HEAD, HEAD_CELLS, BURN_IN, SAMPLES = 65_536, 524_288, 1, 3
 EXACT, GROWTH = 64, 1.15
 HELD_ENTRIES = 2_000_000
-BLOCK_BYTES, PASSES = 8_000_000, 4
+BLOCK_BYTES, PASSES = 8_000_000, 2
+PLACES, SUMS = {"place", "at", "kinds"}, {"base", "score", "text_base", "text_score"}
 END = int(hash_strings(pa.array([""])).view(np.int64)[0])
 _STEP = 0x9E3779B97F4A7C15
 
@@ -292,27 +298,49 @@ def place_of(codes: np.ndarray, places: int) -> np.ndarray:
     return ((codes.view(np.uint64) >> np.uint64(32)) * np.uint64(places) >> np.uint64(32)).astype(np.int32)
 
 
-def row_lists(number: np.ndarray, name: str, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
-    """A row for each run of equal numbers, with the columns' values there as lists."""
+def kind_of(name: str) -> type:
+    """What a packed column holds: 32-bit places, weights and sums as doubles, otherwise 64-bit numbers."""
+    return np.int32 if name in PLACES else np.float64 if name in SUMS or name.endswith("_weight") else np.int64
+
+
+def binary(names: list[str]) -> str:
+    return ", ".join(f"{c} binary" for c in names)
+
+
+def packed(number: np.ndarray, name: str, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
+    """A row for each run of equal numbers, with the columns' values there packed as bytes."""
     starts = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]])) if len(number) else np.zeros(0, np.int64)
-    offsets = pa.array(np.append(starts, len(number)).astype(np.int32))
-    arrays = [pa.ListArray.from_arrays(offsets, pa.array(values)) for values in columns.values()]
+    ends = np.append(starts, len(number))
+    arrays = []
+    for column, values in columns.items():
+        values = np.ascontiguousarray(values, kind_of(column))
+        offsets = pa.py_buffer((ends * values.itemsize).astype(np.int32))
+        arrays.append(pa.Array.from_buffers(pa.binary(), len(starts), [None, offsets, pa.py_buffer(values)]))
     return pa.RecordBatch.from_arrays([pa.array(number[starts].astype(np.int32)), *arrays], [name, *columns])
 
 
-def one_row(values: dict) -> pa.RecordBatch:
-    """A row of numbers and, from arrays, lists."""
-    arrays = [
-        pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), pa.array(v)) if isinstance(v, np.ndarray) else pa.array([v])
-        for v in values.values()
-    ]
-    return pa.RecordBatch.from_arrays(arrays, [*values])
+def with_columns(rows: pa.RecordBatch, more: dict) -> pa.RecordBatch:
+    """The rows with more columns, each of one value."""
+    arrays = [pa.array([v] * rows.num_rows, pa.bool_() if isinstance(v, bool) else pa.int32()) for v in more.values()]
+    return pa.RecordBatch.from_arrays([*rows.columns, *arrays], [*rows.schema.names, *more])
+
+
+def one_row(values: dict) -> pa.Table:
+    """A row of numbers and, from arrays, packed values."""
+    arrays = [pa.array([np.ascontiguousarray(v, kind_of(c)).tobytes()] if isinstance(v, np.ndarray) else [v]) for c, v in values.items()]
+    return pa.Table.from_arrays(arrays, [*values])
 
 
 def listed(rows: pa.Table | pa.RecordBatch, name: str) -> np.ndarray:
-    """All values of a column of lists."""
-    found = pc.list_flatten(rows.column(name))
-    return found.to_numpy() if isinstance(found, pa.ChunkedArray) else found.to_numpy(zero_copy_only=False)
+    """All values of a packed column, row after row."""
+    column, kind = rows.column(name), kind_of(name)
+    found = []
+    for chunk in column.chunks if isinstance(column, pa.ChunkedArray) else [column]:
+        _, offsets, data = chunk.buffers()
+        if data is not None and len(chunk):
+            offsets = np.frombuffer(offsets, np.int32)[chunk.offset : chunk.offset + len(chunk) + 1]
+            found.append(np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]].view(kind))
+    return np.concatenate(found) if found else np.zeros(0, kind)
 
 
 def block_number(rows: pa.Table | pa.RecordBatch) -> np.int32:
@@ -329,106 +357,137 @@ def found_in(values: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndar
     """Where each value stands in `order`, which rises, and whether it is there."""
     if not len(order):
         return np.zeros(len(values), np.int64), np.zeros(len(values), bool)
-    at = np.minimum(np.searchsorted(order, values), len(order) - 1)
+    # Looked up in their own order: neighbours in `order` are in the processor's cache.
+    by = np.argsort(values)
+    at = np.empty(len(values), np.int64)
+    at[by] = np.minimum(np.searchsorted(order, values[by]), len(order) - 1)
     return at, order[at] == values
 
 
-def cell_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """token, context, n of every token by the hash of the token before it, combined while a task reads."""
-    held = Counts()
+def cell_batches(batches: Iterator[pa.RecordBatch], blocks: int) -> Iterator[pa.RecordBatch]:
+    """block and the token, context, n of every token by the hash of the token before it, combined while a task reads."""
+    waiting, size = [], 0
+
+    def rows() -> pa.RecordBatch:
+        token, context, n = (np.concatenate(x) for x in zip(*waiting))
+        # By the upper halves of both hashes: few other cells come between equal ones, which are added up later.
+        order = np.argsort((token & ~0xFFFFFFFF).view(np.uint64) | (context.view(np.uint64) >> np.uint64(32)))
+        token, context, n = token[order], context[order], n[order]
+        at = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (context[1:] != context[:-1])]))
+        columns = {"token": token[at], "context": context[at], "n": np.add.reduceat(n, at)}
+        return packed(place_of(token[at], blocks), "block", columns)
+
     for batch in slices(batches):
         codes, hashes, _ = tokens(batch.column("text"))
         # The token before a text's first is the end of the text before it, code 0.
         keys, n = np.unique(np.concatenate([[0], codes[:-1]]) * len(hashes) + codes, return_counts=True)
-        held.add(hashes[keys % len(hashes)], hashes[keys // len(hashes)], n.astype(np.int64))
-        if held.size > HELD_ENTRIES:
-            yield held.take(np.int64)
-    if held.size:
-        yield held.take(np.int64)
+        waiting.append((hashes[keys % len(hashes)], hashes[keys // len(hashes)], n))
+        size += len(n)
+        if size > HELD_ENTRIES:
+            yield rows()
+            waiting.clear()
+            size = 0
+    if waiting:
+        yield rows()
 
 
-CELLS = (
-    "block int, word array<long>, kinds array<long>, context array<long>, n array<long>, "
-    "total long, words long, word_once long, word_twice long, cells long, once long, twice long"
-)
+CELL_NUMBERS = ["total", "words", "word_once", "word_twice", "cells", "once", "twice"]
+CELLS = f"block int, {binary(['word', 'kinds', 'about', 'at', 'n'])}, {', '.join(f'{c} long' for c in CELL_NUMBERS)}"
 
 
 def counted_blocks(texts: DataFrame, blocks: int) -> DataFrame:
-    """All cells, a row for each block of words: its words, the cells of each, and the cells' contexts and counts."""
+    """All cells, a row for each block of words: its words, the number of cells of each, the block's contexts in order
+    of the unsigned hash, and of each cell the place of its context and its count."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for found in cell_batches(batches):
-            columns = {c: found.column(c).to_numpy() for c in ("token", "context", "n")}
-            yield row_lists(place_of(columns["token"], blocks), "block", columns)
+        return cell_batches(batches, blocks)
 
     def merge(rows: pa.Table) -> pa.Table:
-        token, context, n = (listed(rows, c) for c in ("token", "context", "n"))
-        order = np.lexsort((context, token))
-        token, context, n = token[order], context[order], n[order]
-        at = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (context[1:] != context[:-1])]))
-        token, context, n = token[at], context[at], np.add.reduceat(n, at)
-        first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-        counts = np.add.reduceat(n, first)
-        row = {"block": block_number(rows), "word": token[first], "kinds": np.diff(np.append(first, len(token)))}
-        row |= {"context": context, "n": n, "total": int(n.sum()), "words": len(first)}
-        row |= {"word_once": int((counts == 1).sum()), "word_twice": int((counts == 2).sum())}
-        row |= {"cells": len(n), "once": int((n == 1).sum()), "twice": int((n == 2).sum())}
-        return pa.Table.from_batches([one_row(row)]).cast(ARROW_CELLS)
-
-    found = texts.select("text").mapInArrow(count, "block int, token array<long>, context array<long>, n array<long>")
+        n = listed(rows, "n")
+        word, place = np.unique(listed(rows, "token"), return_inverse=True)
+        about, at = np.unique(listed(rows, "context").view(np.uint64), return_inverse=True)
+        cell = place * len(about) + at
+        order = np.argsort(cell)
+        cell = cell[order]
+        first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+        cell, n = cell[first], np.add.reduceat(n[order], first)
+        place = cell // len(about)
+        counts = np.bincount(place, n, len(word))
+        row = {"block": block_number(rows), "word": word, "kinds": np.bincount(place, minlength=len(word))}
+        row |= {"about": about.view(np.int64), "at": cell % len(about), "n": n}
+        numbers = n.sum(), len(word), (counts == 1).sum(), (counts == 2).sum(), len(n), (n == 1).sum(), (n == 2).sum()
+        return one_row(row | {c: int(v) for c, v in zip(CELL_NUMBERS, numbers)})
+
+    found = texts.select("text").mapInArrow(count, f"block int, {binary(['token', 'context', 'n'])}")
     return found.groupBy("block").applyInArrow(merge, CELLS)
 
 
-def flat_cells(blocks: DataFrame) -> DataFrame:
-    """context, token, n of blocks of cells."""
+def flat(rows: DataFrame, names: list[str], values, schema: str) -> DataFrame:
+    """A row for each value that `values` gives of a block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in each_row(batches):
-            token = np.repeat(listed(row, "word"), listed(row, "kinds"))
-            yield pa.RecordBatch.from_arrays([pa.array(listed(row, "context")), pa.array(token), pa.array(listed(row, "n"))], ["context", "token", "n"])
+            found = values({c: listed(row, c) for c in names})
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in found.values()], [*found])
 
-    return blocks.select("word", "kinds", "context", "n").mapInArrow(run, "context long, token long, n long")
+    return rows.select(*names).mapInArrow(run, schema)
+
+
+def flat_cells(blocks: DataFrame) -> DataFrame:
+    """context, token, n of blocks of cells."""
+
+    def values(row: dict) -> dict:
+        return {"context": row["about"][row["at"]], "token": np.repeat(row["word"], row["kinds"]), "n": row["n"]}
+
+    return flat(blocks, ["word", "kinds", "about", "at", "n"], values, "context long, token long, n long")
 
 
 def flat_often(state: DataFrame, kept: list[str]) -> DataFrame:
     """context, token, n and the kept tables of the cells seen more than once."""
-    names = ["context", "n", *kept]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in each_row(batches):
-            token = listed(row, "word")[listed(row, "place")]
-            yield pa.RecordBatch.from_arrays([pa.array(token), *(pa.array(listed(row, c)) for c in names)], ["token", *names])
+    def values(row: dict) -> dict:
+        found = {"context": row["about"][row["at"]], "token": row["word"][row["place"]], "n": row["n"]}
+        return found | {c: row[c] for c in kept}
 
-    return state.select("word", "place", *names).mapInArrow(run, ", ".join(f"{c} long" for c in ["token", *names]))
+    schema = ", ".join(f"{c} long" for c in ["context", "token", "n", *kept])
+    return flat(state, ["word", "place", "about", "at", "n", *kept], values, schema)
 
 
-def asked(contexts: np.ndarray, parts: int, block: int, values: dict[str, np.ndarray], answer: bool = True) -> pa.RecordBatch:
-    """What a block knows of some contexts, summed by context, for the part that each context belongs to."""
-    about, at = np.unique(contexts.view(np.uint64), return_inverse=True)
-    about = about.view(np.int64)
-    sums = {c: np.bincount(at, v, len(about)).astype(np.int64) for c, v in values.items()}
-    rows = row_lists(place_of(about, parts), "part", {"about": about, **sums})
-    more = [pa.array(np.full(rows.num_rows, block, np.int32)), pa.array(np.full(rows.num_rows, answer))]
-    return pa.RecordBatch.from_arrays([*rows.columns, *more], [*rows.schema.names, "block", "answer"])
+def questions(rows: DataFrame, names: list[str], values, asked: list[str], parts: int, answer: bool = True) -> DataFrame:
+    """What each block knows of its contexts (about), for the parts that these belong to; `values` gives it by name."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in each_row(batches):
+            at = {c: listed(row, c) for c in ["about", *names]}
+            found = dict(zip(asked, values(at), strict=True))
+            sums = packed(place_of(at["about"], parts), "part", {"about": at["about"], **found})
+            yield with_columns(sums, {"block": int(block_number(row)), "answer": answer})
 
-def asking(names: list[str]) -> str:
-    return ", ".join(["part int", *(f"{c} array<long>" for c in ["about", *names]), "block int", "answer boolean"])
+    schema = f"part int, {binary(['about', *asked])}, block int, answer boolean"
+    return rows.select("block", "about", *names).mapInArrow(run, schema)
 
 
-def answered(questions: DataFrame, names: list[str]) -> DataFrame:
-    """block, about (contexts) and the sums of their values over all blocks, for the rows that ask for an answer."""
+def answered(asked: DataFrame, names: list[str]) -> DataFrame:
+    """The sums of the contexts' values over all blocks, for the rows that ask for them: block, part, fact (contexts)
+    and the sums. In order of part, a block's facts are in the order of its contexts."""
 
     def total(rows: pa.Table) -> pa.Table:
-        distinct, at = np.unique(listed(rows, "about"), return_inverse=True)
-        sums = {c: np.bincount(at, listed(rows, c), len(distinct)).astype(np.int64)[at] for c in names}
-        lengths = pc.list_value_length(rows.column("about")).to_numpy()
-        offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
-        lists = [pa.ListArray.from_arrays(offsets, pa.array(v)) for v in (distinct[at], *sums.values())]
-        found = pa.Table.from_arrays([rows.column("block").combine_chunks(), *lists], ["block", "about", *names])
-        return found.filter(rows.column("answer"))
+        about = listed(rows, "about")
+        distinct, at = np.unique(about, return_inverse=True)
+        lengths = pc.binary_length(rows.column("about")).to_numpy() // 8
+        number = np.repeat(np.arange(len(lengths)), lengths)
+        sums = {c: np.bincount(at, listed(rows, c), len(distinct))[at] for c in names}
+        lists = packed(number, "row", {"fact": about, **sums})
+        found = rows.select(["block", "part", "answer"]).take(pa.array(lists.column("row")))
+        return pa.Table.from_arrays([*found.columns[:2], *lists.columns[1:]], ["block", "part", "fact", *names]).filter(found.column("answer"))
+
+    return asked.groupBy("part").applyInArrow(total, f"block int, part int, {binary(['fact', *names])}")
 
-    return questions.groupBy("part").applyInArrow(total, ", ".join(["block int", *(f"{c} array<long>" for c in ["about", *names])]))
+
+def facts_in_order(rows: pa.Table, names: list[str]) -> list[np.ndarray]:
+    rows = rows.select(["part", *names])
+    rows = rows.filter(pc.is_valid(rows.column("part"))).sort_by("part")
+    return [listed(rows, c) for c in names]
 
 
 def in_block(*tables: DataFrame) -> DataFrame:
@@ -439,72 +498,54 @@ def in_block(*tables: DataFrame) -> DataFrame:
     return found
 
 
-def answers_of(rows: pa.Table, names: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
-    about, first = np.unique(listed(rows, "about"), return_index=True)
-    return about, [listed(rows, c)[first] for c in names]
-
-
-ARROW_CELLS = pa.schema(
-    [("block", pa.int32())] + [(c, pa.list_(pa.int64())) for c in ("word", "kinds", "context", "n")]
-    + [(c, pa.int64()) for c in ("total", "words", "word_once", "word_twice", "cells", "once", "twice")]
-)
-STATE_LISTS = ["word", "count", "ones", "parents", "place", "context", "n", "others", "tables"]
+STATE = ["word", "count", "ones", "parents", "place", "about", "at", "n", "others", "tables"]
+GRID = [10.0**k for k in range(7)]
+LIKELY = [f"likely_{k}" for k in range(len(GRID))]
 
 
 def state_schema(kept: list[str]) -> str:
-    """Words with count, cells seen once and tables at the parent; cells seen more than once with the word's place,
-    the context's cells seen once, and tables; of each sample the cells' tables and the words' weights."""
-    lists = [f"{c} array<long>" for c in STATE_LISTS] + [f"{c} array<long>, {c}_weight array<double>" for c in kept]
-    return ", ".join(["block int", *lists, "customers long", "seats long", "likely array<double>"])
-
-
-def state_row(values: dict, kept: list[str]) -> pa.Table:
-    types = {"block": pa.int32(), "customers": pa.int64(), "seats": pa.int64(), "likely": pa.list_(pa.float64())}
-    types |= {c: pa.list_(pa.int64()) for c in [*STATE_LISTS, *kept]} | {f"{c}_weight": pa.list_(pa.float64()) for c in kept}
-    row = pa.Table.from_batches([one_row(values)])
-    return row.cast(pa.schema([(c, types[c]) for c in row.column_names]))
-
-
-GRID = [10.0**k for k in range(7)]
+    """Words with count, cells seen once and tables at the parent; cells seen more than once with the places of their
+    word and context, and tables; contexts with their cells seen once; of each sample the cells' tables and the words'
+    weights."""
+    names = [*STATE, *(c for k in kept for c in (k, f"{k}_weight"))]
+    return f"block int, {binary(names)}, customers long, seats long, {', '.join(f'{c} double' for c in LIKELY)}"
 
 
 def first_state(cells: DataFrame, blocks: int, total: int, lowered: float) -> DataFrame:
     """Before the first sweep every cell and word has one table.
 
-    `likely` is how well the context restaurants of each strength predict each customer of the block from the
+    `likely_0` ... tell how well the context restaurants of each strength predict each customer of the block from the
     others. The customer of a cell seen once is predicted by its parent alone, whose share does not depend on
     the strength.
     """
     names = ["size", "kinds_all", "ones_all"]
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in each_row(batches):
-            n = listed(row, "n")
-            values = {"size": n, "kinds_all": np.ones(len(n)), "ones_all": n == 1}
-            yield asked(listed(row, "context"), blocks, block_number(row), values)
+    def known(row: dict) -> list[np.ndarray]:
+        at, n, contexts = row["at"], row["n"], len(row["about"])
+        return [np.bincount(at, n, contexts), np.bincount(at, minlength=contexts), np.bincount(at, n == 1, contexts)]
 
     def start(rows: pa.Table) -> pa.Table:
-        word, kinds, context, n = (listed(rows, c) for c in ("word", "kinds", "context", "n"))
-        about, (size, kinds_all, ones_all) = answers_of(rows, names)
+        word, kinds, about, at, n = (listed(rows, c) for c in ("word", "kinds", "about", "at", "n"))
+        size, kinds_all, ones_all = facts_in_order(rows, names)
         place = np.repeat(np.arange(len(word)), kinds)
-        at = np.searchsorted(about, context)
         count, ones = (np.bincount(place, v, len(word)).astype(np.int64) for v in (n, n == 1))
         several = n > 1
         single = np.bincount(at, ~several, len(about))
         others = np.maximum(size - 1, 1)
-        place, at, context, n = place[several], at[several], context[several], n[several]
+        place, at, n = place[several], at[several], n[several]
         share, likely = count[place] / float(total), []
         for strength in GRID:
             passed = strength + lowered * kinds_all
             chance = (n - 1 - lowered + passed[at] * share) / (strength + others[at])
             likely.append((single * (np.log(passed) - np.log(strength + others))).sum() + (n * np.log(np.maximum(chance, 1e-300))).sum())
-        row = {"block": block_number(rows), "word": word, "count": count, "ones": ones, "parents": np.ones(len(word), np.int64)}
-        row |= {"place": place, "context": context, "n": n, "others": ones_all[at], "tables": np.ones(len(n), np.int64)}
-        return state_row(row | {"customers": int(kinds.sum()), "seats": len(word), "likely": np.array(likely)}, [])
+        used, at = np.unique(at, return_inverse=True)
+        row = {"block": block_number(rows), "word": word, "count": count, "ones": ones, "parents": np.ones(len(word))}
+        row |= {"place": place, "about": about[used], "at": at, "n": n, "others": ones_all[used], "tables": np.ones(len(n))}
+        return one_row(row | {"customers": int(kinds.sum()), "seats": len(word)} | {c: float(v) for c, v in zip(LIKELY, likely)})
 
-    known = cells.select("block", "word", "kinds", "context", "n")
-    answers = answered(cells.select("block", "context", "n").mapInArrow(ask, asking(names)), names)
-    return in_block(known, answers).groupBy("block").applyInArrow(start, state_schema([]))
+    rows = cells.select("block", "word", "kinds", "about", "at", "n")
+    answers = answered(questions(cells, ["at", "n"], known, names, blocks), names)
+    return in_block(rows, answers).groupBy("block").applyInArrow(start, state_schema([]))
 
 
 @dataclass
@@ -558,7 +599,9 @@ class AllRestaurants:
     def by_token(self) -> DataFrame:
         """token, count, parent_0 ...: the parent's probability in each sample."""
         weights = [f"{c}_weight" for c in self.kept]
-        rows = self.state.select(F.inline(F.arrays_zip("word", "count", *weights)))
+        names = ["word", "count", *weights]
+        schema = "word long, count long, " + ", ".join(f"{c} double" for c in weights)
+        rows = flat(self.state, names, dict, schema)
         parents = [self.parent(F.col(w), t).alias(f"parent_{k}") for k, (w, t) in enumerate(zip(weights, self.totals[-self.samples :]))]
         return rows.select(F.col("word").alias("token"), "count", *parents)
 
@@ -584,12 +627,10 @@ def train_all(docs: DataFrame, burn_in: int, samples: int) -> AllRestaurants:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = 1 + int(size) // BLOCK_BYTES
     cells = stored_alone(counted_blocks(docs, blocks), "cells")
-    names = ["total", "words", "word_once", "word_twice", "cells", "once", "twice"]
-    total, distinct, *few, kinds, once, twice = (x or 0 for x in cells.agg(*[F.sum(c) for c in names]).first())
+    total, distinct, *few, kinds, once, twice = (x or 0 for x in cells.agg(*[F.sum(c) for c in CELL_NUMBERS]).first())
     lowered = discount(once, twice), discount(*few)
     state = stored_alone(first_state(cells, blocks, total, lowered[0]), "state")
-    likely = state.select(F.posexplode("likely").alias("k", "v")).groupBy("k").agg(F.sum("v").alias("v")).collect()
-    likely = [row["v"] for row in sorted(likely, key=lambda row: row["k"])]
+    likely = [*state.agg(*[F.sum(c) for c in LIKELY]).first()]
     strengths = (GRID[likely.index(max(likely))] if total else 1.0), 1.0
     model = AllRestaurants(cells, state, blocks, distinct, total, samples, lowered, strengths, [(float(kinds), float(distinct))])
     kept: list[str] = []
@@ -608,32 +649,29 @@ def seated(model: AllRestaurants, number: int, kept: list[str], name: str | None
     """The state after a sweep; its tables and the words' customers less discounts are also kept under `name`."""
     totals, strengths, discounts, base, blocks = model.totals[-1], model.strengths, model.discounts, model.base, model.blocks
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in each_row(batches):
-            yield asked(listed(row, "context"), blocks, block_number(row), {"sum": listed(row, "tables")})
+    def known(row: dict) -> list[np.ndarray]:
+        return [np.bincount(row["at"], row["tables"], len(row["about"]))]
 
     def run(rows: pa.Table) -> pa.Table:
-        at = {c: listed(rows, c) for c in STATE_LISTS}
-        about, (tables_all,) = answers_of(rows, ["sum"])
-        word, place, context, tables = at["word"], at["place"], at["context"], at["tables"]
-        customers = at["ones"] + np.bincount(place, tables, len(word)).astype(np.int64)
-        weight = customers - discounts[1] * at["parents"]
+        now = {c: listed(rows, c) for c in STATE}
+        (tables_all,) = facts_in_order(rows, ["sum"])
+        word, place, at, tables = now["word"], now["place"], now["at"], now["tables"]
+        customers = now["ones"] + np.bincount(place, tables, len(word)).astype(np.int64)
+        weight = customers - discounts[1] * now["parents"]
         probability = (weight + (strengths[1] + discounts[1] * totals[1]) * base) / (strengths[1] + totals[0])
-        sitting = at["others"] + tables_all[np.searchsorted(about, context)]
-        new = strengths[0] + discounts[0] * np.maximum(sitting - tables, 0)
+        new = strengths[0] + discounts[0] * np.maximum((now["others"] + tables_all)[at] - tables, 0)
         own = mix64(word.view(np.uint64) + np.uint64(number))
-        key = mix64(own[place] + context.view(np.uint64) + np.uint64(1))
-        tables = seat(at["n"], new, probability[place], discounts[0], key).astype(np.int64)
-        customers = at["ones"] + np.bincount(place, tables, len(word)).astype(np.int64)
-        new = strengths[1] + discounts[1] * np.maximum(totals[1] - at["parents"], 0)
+        key = mix64(own[place] + now["about"].view(np.uint64)[at] + np.uint64(1))
+        tables = seat(now["n"], new, probability[place], discounts[0], key).astype(np.int64)
+        customers = now["ones"] + np.bincount(place, tables, len(word)).astype(np.int64)
+        new = strengths[1] + discounts[1] * np.maximum(totals[1] - now["parents"], 0)
         parents = seat(customers, new, np.full(len(word), base), discounts[1], own).astype(np.int64)
-        row = {"block": block_number(rows)} | at | {"tables": tables, "parents": parents}
+        row = {"block": block_number(rows)} | now | {"tables": tables, "parents": parents}
         row |= {c: listed(rows, c) for k in kept for c in (k, f"{k}_weight")}
         row |= {name: tables, f"{name}_weight": customers - discounts[1] * parents} if name else {}
-        row |= {"customers": int(customers.sum()), "seats": int(parents.sum()), "likely": np.zeros(0)}
-        return state_row(row, kept + ([name] if name else []))
+        return one_row(row | {"customers": int(customers.sum()), "seats": int(parents.sum())} | dict.fromkeys(LIKELY, 0.0))
 
-    answers = answered(model.state.select("block", "context", "tables").mapInArrow(ask, asking(["sum"])), ["sum"])
+    answers = answered(questions(model.state, ["at", "tables"], known, ["sum"], blocks), ["sum"])
     return in_block(model.state, answers).groupBy("block").applyInArrow(run, state_schema(kept + ([name] if name else [])))
 
 
@@ -654,15 +692,18 @@ class Block:
         self.word, self.count = listed(rows, "word"), listed(rows, "count")
         self.parents = [model.parent(listed(rows, f"{c}_weight"), t) for c, t in zip(model.kept, model.totals[-model.samples :])]
         seats = [f"seats_{k}" for k in range(model.samples)]
-        self.about, (self.size, *tables) = answers_of(rows, ["size", *seats])
+        about, self.size, *tables = (listed(rows, c) for c in ["fact", "size", *seats])
+        order = np.argsort(about)
+        self.about, self.size, *tables = (v[order] for v in (about, self.size, *tables))
         self.scale = model.strengths[0] + self.size
         # A context never seen passes all on.
         self.passed = [np.where(self.size > 0, (model.strengths[0] + model.discounts[0] * t) / self.scale, 1.0) for t in tables]
-        self.place, self.context, self.n = (listed(rows, c) for c in ("place", "context", "n"))
+        self.place, self.n, self.context = listed(rows, "place"), listed(rows, "n"), listed(rows, "about")[listed(rows, "at")]
         tables = sum((listed(rows, c) for c in model.kept[1:]), listed(rows, model.kept[0]))
         self.own = self.n - model.discounts[0] * tables / model.samples
         self.keys = cell_keys(self.context, self.word[self.place])
         self.order = np.argsort(self.keys)
+        self.sorted_keys = self.keys[self.order]
 
     def scores(self, context: np.ndarray, token: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Counts of the tokens and the cells' log10 probabilities, averaged over the samples."""
@@ -680,7 +721,7 @@ class Block:
 
     def owned(self, context: np.ndarray, token: np.ndarray, others: np.ndarray) -> np.ndarray:
         """What their restaurants give cells themselves; `others` where a cell was not seen more than once."""
-        at, often = found_in(cell_keys(context, token), self.keys[self.order])
+        at, often = found_in(cell_keys(context, token), self.sorted_keys)
         own = others.copy()
         own[often] = self.own[self.order[at[often]]]
         return own
@@ -688,9 +729,9 @@ class Block:
 
 def head_cells(facts: DataFrame, model: AllRestaurants, head: int) -> HeadCells:
     """At most `head` cells: whole steps of an eighth of a doubling."""
-    seen = model.state.select(F.explode("n").alias("n"))
+    seen = flat(model.state, ["n"], lambda row: dict(zip(("n", "cells"), np.unique(row["n"], return_counts=True))), "n long, cells long")
     step = F.floor(F.log2(F.col("n").cast("double")) * 8)
-    steps = sorted(((r["step"], r["n"], r["least"]) for r in seen.groupBy(step.alias("step")).agg(F.count("*").alias("n"), F.min("n").alias("least")).collect()), reverse=True)
+    steps = sorted(((r["step"], r["n"], r["least"]) for r in seen.groupBy(step.alias("step")).agg(F.sum("cells").alias("n"), F.min("n").alias("least")).collect()), reverse=True)
     taken, least = 0, None
     for _, n, smallest in steps:
         if taken + n > head:
@@ -707,7 +748,9 @@ def head_cells(facts: DataFrame, model: AllRestaurants, head: int) -> HeadCells:
         return pa.table({"cell": cell_keys(context, token), "count": counts, "score": scores})
 
     model_of = shared_model(facts, model)
-    rows = facts.groupBy("block").applyInArrow(top, "cell long, count long, score double").toArrow().combine_chunks().sort_by("cell")
+    found = stored_alone(facts.groupBy("block").applyInArrow(top, "cell long, count long, score double"), "head")
+    rows = found.toArrow().combine_chunks().sort_by("cell")
+    forget(found)
     return HeadCells(*(rows.column(c).to_numpy() for c in ("cell", "count", "score")))
 
 
@@ -721,81 +764,84 @@ def held_cells(docs: DataFrame, model: AllRestaurants) -> DataFrame:
     blocks = model.blocks
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for found in cell_batches(batches):
-            token, context = (found.column(c).to_numpy() for c in ("token", "context"))
-            yield row_lists(place_of(token, blocks), "block", {"held_token": token, "held_context": context})
+        for found in cell_batches(batches, blocks):
+            yield found.select(["block", "token", "context"])
 
     def meet(rows: pa.Table) -> pa.Table:
-        token, context = listed(rows, "held_token"), listed(rows, "held_context")
-        keys = np.unique(cell_keys(context, token))
-        word, kinds, seen, n = (listed(rows, c) for c in ("word", "kinds", "context", "n"))
-        known = cell_keys(seen, np.repeat(word, kinds))[n == 1]
-        row = {"block": block_number(rows), "once": np.intersect1d(keys, known), "context": np.setdiff1d(context, seen)}
-        return pa.Table.from_batches([one_row(row)])
+        token, context = listed(rows, "token"), listed(rows, "context")
+        word, kinds, about, at, n = (listed(rows, c) for c in ("word", "kinds", "about", "at", "n"))
+        single = n == 1
+        known = cell_keys(about[at[single]], np.repeat(word, kinds)[single])
+        keys, context = np.unique(cell_keys(context, token)), np.unique(context.view(np.uint64))
+        place, met = found_in(known, keys)
+        new = ~found_in(context, about.view(np.uint64))[1]
+        return one_row({"block": block_number(rows), "once": keys[np.sort(place[met])], "about": context[new].view(np.int64)})
 
-    found = docs.select("text").mapInArrow(read, "block int, held_token array<long>, held_context array<long>")
-    rows = in_block(model.counted.select("block", "word", "kinds", "context", "n"), found)
-    return rows.groupBy("block").applyInArrow(meet, "block int, once array<long>, context array<long>")
+    found = docs.select("text").mapInArrow(read, f"block int, {binary(['token', 'context'])}")
+    rows = in_block(model.counted.select("block", "word", "kinds", "about", "at", "n"), found)
+    return rows.groupBy("block").applyInArrow(meet, f"block int, {binary(['once', 'about'])}")
 
 
 def context_facts(held: DataFrame, model: AllRestaurants) -> DataFrame:
-    """block, about, size and tables in each sample of the contexts that the cells of a block have."""
-    blocks, kept = model.blocks, model.kept
+    """block, fact, size and tables in each sample of the contexts that the cells of a block have."""
+    kept = model.kept
     names = ["size", *(f"seats_{k}" for k in range(model.samples))]
 
-    def of(values) -> Iterator[pa.RecordBatch]:
-        def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for row in each_row(batches):
-                found, answer = values(row)
-                yield asked(listed(row, "context"), blocks, block_number(row), dict(zip(names, found)), answer)
-
-        return ask
-
-    def counted(row):
-        n = listed(row, "n")
-        return [n, *[n == 1] * len(kept)], True
+    def counted(row: dict) -> list[np.ndarray]:
+        at, n, contexts = row["at"], row["n"], len(row["about"])
+        return [np.bincount(at, n, contexts), *[np.bincount(at, n == 1, contexts)] * len(kept)]
 
-    def sampled(row):
-        found = [listed(row, c) for c in kept]
-        return [np.zeros(len(found[0])), *found], False
+    def sampled(row: dict) -> list[np.ndarray]:
+        contexts = len(row["about"])
+        return [np.zeros(contexts), *(np.bincount(row["at"], row[c], contexts) for c in kept)]
 
-    def unseen(row):
-        return [np.zeros(len(listed(row, "context")))] * len(names), True
+    def unseen(row: dict) -> list[np.ndarray]:
+        return [np.zeros(len(row["about"]))] * len(names)
 
-    questions = [
-        model.counted.select("block", "context", "n").mapInArrow(of(counted), asking(names)),
-        model.state.select("block", "context", *kept).mapInArrow(of(sampled), asking(names)),
-        held.select("block", "context").mapInArrow(of(unseen), asking(names)),
+    asked = [
+        questions(model.counted, ["at", "n"], counted, names, model.blocks),
+        questions(model.state, ["at", *kept], sampled, names, model.blocks, answer=False),
+        questions(held, [], unseen, names, model.blocks),
     ]
-    return answered(in_block(*questions), names)
+    return answered(in_block(*asked), names).drop("part")
 
 
-PARTIAL = "key long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, copies long"
-OCCURRENCES = "block int, key array<long>, word_context array<long>, word_token array<long>, fresh boolean"
+OCCURRENCES = ["key", "word_context", "word_token"]
+TEXTS = ["text_key", "text_id", "text_null", "text_held", "text_tokens", "text_known", "text_base", "text_score"]
+ADDED = ["key", "known", "base", "score"]
+NO_SUMS = pa.table({"part": pa.array([], pa.int32())} | {c: pa.array([], pa.binary()) for c in [*TEXTS, *ADDED]})
+SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def score_all(docs: DataFrame, model: AllRestaurants, head: int) -> DataFrame:
-    """doc_id, held_out (as given), n_tokens, n_known, train_tokens, base_score, score of every row."""
+def score_all(docs: DataFrame, model: AllRestaurants, head: int, keep: bool) -> DataFrame:
+    """doc_id, held_out (as given), n_tokens, n_known, train_tokens, base_score, score of every row.
+
+    Without `keep` the model's tables are removed as soon as they are no longer needed.
+    """
     fresh = F.coalesce("held_out", F.lit(True))
     held = stored_alone(held_cells(docs.filter(fresh), model), "held")
     answers = stored_alone(context_facts(held, model), "contexts")
-    known = ["block", "word", "count", "place", "context", "n", *(c for k in model.kept for c in (k, f"{k}_weight"))]
+    if not keep:
+        forget(model.counted)
+    known = ["block", "word", "count", "place", "about", "at", "n", *(c for k in model.kept for c in (k, f"{k}_weight"))]
     facts = in_block(model.state.select(*known), answers)
     shared = docs.sparkSession.sparkContext.broadcast(head_cells(facts, model, head))
     facts = in_block(facts, held.select("block", "once"))
     texts = docs.select("doc_id", "held_out", fresh.alias("fresh"), "text")
     passes = min(PASSES, model.blocks)
     parts = [texts.filter(F.pmod(F.xxhash64("doc_id"), F.lit(passes)) == k) for k in range(passes)]
-    parts = [stored_alone(scored_texts(part, facts, model, shared), "scores") for part in parts]
-    forget(held, answers)
+    parts = [stored_alone(scored_texts(part, facts, model, shared, model.blocks // passes), "scores") for part in parts]
+    forget(held, answers, *([] if keep else [model.state]))
     return in_block(*parts)
 
 
-def scored_texts(texts: DataFrame, facts: DataFrame, model: AllRestaurants, shared) -> DataFrame:
-    blocks, model_of, below = model.blocks, shared_model(texts, model), float(model.total + model.distinct + 1)
+def scored_texts(texts: DataFrame, facts: DataFrame, model: AllRestaurants, shared, parts: int) -> DataFrame:
+    """Sums of texts over the cells of the head, and over the others block by block, meet in `parts` parts of the texts."""
+    blocks, model_of, below, total = model.blocks, shared_model(texts, model), float(model.total + model.distinct + 1), model.total
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         top, waiting, size = shared.value, [], 0
+        top_base = np.log10((top.counts + 1) / below)
         for batch in slices(batches):
             codes, hashes, bounds = tokens(batch.column("text"))
             n, before = len(bounds) - 1, np.concatenate([[0], codes[:-1]])
@@ -806,18 +852,19 @@ def scored_texts(texts: DataFrame, facts: DataFrame, model: AllRestaurants, shar
             owner = np.repeat(np.arange(n), np.diff(bounds))
             keys = document_keys(batch.column("doc_id"), codes, hashes, bounds)
             of_cell = np.zeros((2, len(pairs)))
-            of_cell[:, inside] = np.log10((top.counts[place[inside]] + 1) / below), top.scores[place[inside]]
+            of_cell[:, inside] = top_base[place[inside]], top.scores[place[inside]]
             sums = [np.bincount(owner, v[at], n) for v in of_cell]
-            out = ~inside[at]
-            numbers = np.diff(bounds), np.bincount(owner[~out], minlength=n).astype(np.int64)
-            columns = [keys, *numbers, *sums]
-            # A text's own row goes along with the block of its key.
-            order = np.argsort(place_of(keys, blocks), kind="stable")
-            yield whole_rows(place_of(keys, blocks)[order], batch.select(["doc_id", "held_out"]).take(pa.array(order)), [c[order] for c in columns])
-            new = batch.column("fresh").to_numpy(zero_copy_only=False)[owner[out]].astype(bool)
-            waiting.append((keys[owner[out]], context[at[out]], token[at[out]], new))
-            size += int(out.sum())
-            if size > HELD_ENTRIES:
+            out = np.flatnonzero(~inside[at])
+            ids, held = batch.column("doc_id").cast(pa.int64()), batch.column("held_out").cast(pa.int64())
+            ids, null, held = pc.fill_null(ids, 0), pc.is_null(ids).cast(pa.int64()), pc.fill_null(held, -1)
+            numbers = np.diff(bounds), np.diff(bounds) - np.bincount(owner[out], minlength=n)
+            columns = [keys, *(v.to_numpy(zero_copy_only=False) for v in (ids, null, held)), *numbers, *sums]
+            # The texts' own rows go along with any block.
+            rows = packed(np.full(n, int(keys.view(np.uint64)[0]) % blocks), "block", dict(zip(TEXTS, columns)))
+            yield padded(rows)
+            waiting.append((keys[owner[out]], context[at[out]], token[at[out]], batch.column("fresh").to_numpy(zero_copy_only=False)[owner[out]]))
+            size += len(out)
+            if size > HELD_ENTRIES // 2:
                 yield from occurrences(waiting)
                 waiting, size = [], 0
         if waiting:
@@ -830,16 +877,15 @@ def scored_texts(texts: DataFrame, facts: DataFrame, model: AllRestaurants, shar
             block = place_of(token[some], blocks)
             order = np.argsort(block, kind="stable")
             some = some[order]
-            rows = row_lists(block[order], "block", {"key": key[some], "word_context": context[some], "word_token": token[some]})
-            flag = pa.array(np.full(rows.num_rows, fresh))
-            yield padded([*rows.columns, flag], [*rows.schema.names, "fresh"])
+            columns = {"key": key[some], "word_context": context[some], "word_token": token[some]}
+            yield padded(with_columns(packed(block[order], "block", columns), {"fresh": fresh}))
 
     def meet(rows: pa.Table) -> pa.Table:
-        block, found = Block(rows, model_of.value), [own_rows(rows)]
+        block, found = Block(rows, model_of.value), []
         once = np.sort(listed(rows, "once"))
         for fresh in (False, True):
             some = rows.filter(pc.equal(rows.column("fresh"), fresh))
-            key, context, token = (listed(some, c) for c in ("key", "word_context", "word_token"))
+            key, context, token = (listed(some, c) for c in OCCURRENCES)
             if not len(key):
                 continue
             lowered = 1.0 - block.model.discounts[0]
@@ -847,70 +893,40 @@ def scored_texts(texts: DataFrame, facts: DataFrame, model: AllRestaurants, shar
             counts, scores = block.scores(context, token, block.owned(context, token, others))
             if not fresh and not counts.all():
                 raise ValueError("a row that is not held out is not part of the training text")
-            keys, at = np.unique(key, return_inverse=True)
+            keys, at = np.unique(key.view(np.uint64), return_inverse=True)
             sums = [np.bincount(at, v, len(keys)) for v in (counts > 0, np.log10((counts + 1) / below), scores)]
-            none = np.zeros(len(keys), np.int64)
-            found.append(partial_rows(keys, None, None, none, sums[0].astype(np.int64), sums[1], sums[2], none))
-        return pa.concat_tables(found)
-
-    rows = in_block(texts.mapInArrow(read, f"{OCCURRENCES}, {TEXTS}"), facts).groupBy("block").applyInArrow(meet, PARTIAL)
-    # Rows that agree in doc_id and words share a key and score alike.
-    summed = rows.groupBy("key").agg(
-        F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"),
-        *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score", "copies")],
-    )
-    one = summed.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))))
-    return one.select(
-        "doc_id",
-        "held_out",
-        *[(F.col(c) / F.col("copies")).cast("long").alias(c) for c in ("n_tokens", "n_known")],
-        F.lit(model.total).cast("long").alias("train_tokens"),
-        (F.col("base") / F.col("copies")).alias("base_score"),
-        (F.col("score") / F.col("copies")).alias("score"),
-    )
-
-
-TEXTS = "text_key array<long>, text_id array<long>, text_held array<boolean>, text_tokens array<long>, text_known array<long>, text_base array<double>, text_score array<double>"
-_LONGS, _DOUBLES = pa.list_(pa.int64()), pa.list_(pa.float64())
-READ = pa.schema(
-    [("block", pa.int32()), ("key", _LONGS), ("word_context", _LONGS), ("word_token", _LONGS), ("fresh", pa.bool_())]
-    + [("text_key", _LONGS), ("text_id", _LONGS), ("text_held", pa.list_(pa.bool_())), ("text_tokens", _LONGS)]
-    + [("text_known", _LONGS), ("text_base", _DOUBLES), ("text_score", _DOUBLES)]
-)
-
-
-def padded(arrays: list[pa.Array], names: list[str]) -> pa.RecordBatch:
-    """The arrays as columns of READ, the others null."""
-    n = len(arrays[0])
-    return pa.RecordBatch.from_arrays(
-        [arrays[names.index(f.name)] if f.name in names else pa.nulls(n, f.type) for f in READ], schema=READ
-    )
-
-
-def whole_rows(block: np.ndarray, texts: pa.RecordBatch, columns: list[np.ndarray]) -> pa.RecordBatch:
-    """Rows of lists for the texts of each block."""
-    names = ["text_key", "text_tokens", "text_known", "text_base", "text_score"]
-    rows = row_lists(block, "block", dict(zip(names, columns)))
-    offsets = rows.column("text_key").offsets
-    lists = [pa.ListArray.from_arrays(offsets, texts.column(c).cast(t)) for c, t in (("doc_id", pa.int64()), ("held_out", pa.bool_()))]
-    return padded([*rows.columns, *lists], [*rows.schema.names, "text_id", "text_held"])
-
-
-def partial_rows(key, doc_id, held_out, n_tokens, n_known, base, score, copies) -> pa.Table:
-    n = len(key)
-    return pa.table({
-        "key": pa.array(key), "doc_id": pa.nulls(n, pa.int64()) if doc_id is None else doc_id,
-        "held_out": pa.nulls(n, pa.bool_()) if held_out is None else held_out, "n_tokens": pa.array(n_tokens, pa.int64()),
-        "n_known": pa.array(n_known, pa.int64()), "base": pa.array(base, pa.float64()), "score": pa.array(score, pa.float64()),
-        "copies": pa.array(copies, pa.int64()),
-    })
-
-
-def own_rows(rows: pa.Table) -> pa.Table:
-    """The texts' own rows among the rows of a block."""
-    key, *numbers = (listed(rows, f"text_{c}") for c in ("key", "tokens", "known", "base", "score"))
-    doc_id, held = (pc.list_flatten(rows.column(f"text_{c}")) for c in ("id", "held"))
-    return partial_rows(key, doc_id, held, *numbers, np.ones(len(key), np.int64))
+            keys = keys.view(np.int64)
+            found.append(packed(place_of(keys, parts), "part", dict(zip(ADDED, (keys, *sums)))))
+        whole = {c: listed(rows, c) for c in TEXTS}
+        part = place_of(whole["text_key"], parts)
+        order = np.argsort(part, kind="stable")
+        found.append(packed(part[order], "part", {c: v[order] for c, v in whole.items()}))
+        tables = [pa.Table.from_batches([x]) for x in found]
+        return pa.concat_tables([NO_SUMS, *tables], promote_options="default")
+
+    def add(rows: pa.Table) -> pa.Table:
+        # Rows that agree in doc_id and words share a key and score alike.
+        keys, at, copies = np.unique(listed(rows, "text_key"), return_inverse=True, return_counts=True)
+        of = np.searchsorted(keys, listed(rows, "key"))
+        known, base, score = ((np.bincount(of, listed(rows, c), len(keys)) / copies)[at] for c in ADDED[1:])
+        doc_id, null, held, n_tokens, n_known, text_base, text_score = (listed(rows, c) for c in TEXTS[1:])
+        arrays = [
+            pa.array(doc_id, mask=null == 1), pa.array(held == 1, mask=held < 0), pa.array(n_tokens), pa.array(n_known + np.rint(known).astype(np.int64)),
+            pa.array(np.full(len(at), total, np.int64)), pa.array(text_base + base), pa.array(text_score + score),
+        ]
+        return pa.Table.from_arrays(arrays, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    found = texts.mapInArrow(read, f"block int, {binary([*OCCURRENCES, *TEXTS])}, fresh boolean")
+    sums = in_block(found, facts).groupBy("block").applyInArrow(meet, f"part int, {binary([*TEXTS, *ADDED])}")
+    return sums.groupBy("part").applyInArrow(add, SCORED)
+
+
+def padded(rows: pa.RecordBatch) -> pa.RecordBatch:
+    """The columns that texts are read into, null where the rows have none."""
+    types = {"block": pa.int32()} | dict.fromkeys([*OCCURRENCES, *TEXTS], pa.binary()) | {"fresh": pa.bool_()}
+    names = rows.schema.names
+    arrays = [rows.column(c) if c in names else pa.nulls(rows.num_rows, kind) for c, kind in types.items()]
+    return pa.RecordBatch.from_arrays(arrays, [*types])
 
 
 def train(
@@ -1025,11 +1041,19 @@ def document_keys(ids: pa.Array, codes: np.ndarray, hashes: np.ndarray, bounds:
 
 
 def score(
-    docs: DataFrame, dishes: DataFrame, model: Restaurants | AllRestaurants, burn_in: int = BURN_IN, head: int | None = None
+    docs: DataFrame,
+    dishes: DataFrame,
+    model: Restaurants | AllRestaurants,
+    burn_in: int = BURN_IN,
+    head: int | None = None,
+    keep: bool = True,
 ) -> DataFrame:
-    """doc_id, held_out (as given), n_tokens, n_known, train_tokens, base_score, score of every row."""
+    """doc_id, held_out (as given), n_tokens, n_known, train_tokens, base_score, score of every row.
+
+    Without `keep` the tables of a model of all contexts are used up.
+    """
     if isinstance(model, AllRestaurants):
-        return score_all(docs, model, HEAD_CELLS if head is None else head)
+        return score_all(docs, model, HEAD_CELLS if head is None else head, keep)
     head = HEAD if head is None else head
     spark = docs.sparkSession
     kept = model.totals[burn_in + 1 :] or model.totals
@@ -1120,4 +1144,4 @@ def scoring_query(spark, sf_dir: str) -> DataFrame:
     """All documents, learned from those of folds other than 2 of 7."""
     docs = documents(spark, sf_dir).select("doc_id", "text").withColumn("held_out", fold("doc_id", 7) == 2)
     dishes, model = train(docs.filter(~F.col("held_out")))
-    return score(docs, dishes, model)
+    return score(docs, dishes, model, keep=False)

@@ -2,6 +2,7 @@ import math
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from footfall.llm import pitman_yor
 from footfall.llm.common import fold
+from footfall.session import shared_dir
 from tests.llm.data import AWKWARD, SCHEMA, documents, prose
 
 CLASH = ["token", "n", "context", "score", "key", "copies", "base"]
@@ -153,3 +155,35 @@ def test_tokens_of_a_piece_of_a_batch():
     texts = pa.array([f"Long Text {k} before " * 50 + prose(k, 20) for k in range(40)])
     for part, whole in zip(pitman_yor.tokens(texts.slice(25, 3)), pitman_yor.tokens(pa.array(texts.slice(25, 3).to_pylist()))):
         assert part.tolist() == whole.tolist()
+
+
+def by_row(found):
+    return sorted(found.collect(), key=lambda r: (str(r["doc_id"]), r["n_tokens"], r["score"]))
+
+
+def test_the_same_scores_however_many_blocks_and_passes(spark, monkeypatch):
+    table = rows(60) + AWKWARD
+    one = by_row(scored(spark, table)[0])
+    monkeypatch.setattr(pitman_yor, "BLOCK_BYTES", 100_000)
+    monkeypatch.setattr(pitman_yor, "PASSES", 3)
+    found, _, model = scored(spark, table)
+    several = by_row(found)
+    assert model.blocks > 3 and model.counted.count() > 1 and len(one) == len(several) == len(table)
+    for a, b in zip(one, several):
+        assert [a[c] for c in ("doc_id", "held_out", "n_tokens", "n_known")] == [b[c] for c in ("doc_id", "held_out", "n_tokens", "n_known")]
+        assert a["score"] == pytest.approx(b["score"], rel=1e-9) and a["base_score"] == pytest.approx(b["base_score"], rel=1e-9)
+
+
+def stored_tables(spark):
+    return {x.name for x in Path(shared_dir(spark).removeprefix("file://"), "llm").glob("*")}
+
+
+def test_only_what_is_still_read_stays_on_disk(spark, tmp_path):
+    """Of all sweeps one state stays, and of the whole query its scores."""
+    before = stored_tables(spark)
+    _, model = pitman_yor.train(documents(spark, rows(20)))
+    assert sorted(x.partition("-")[0] for x in stored_tables(spark) - before) == ["cells", "state"]
+    before = stored_tables(spark)
+    documents(spark, rows(20)).write.parquet(f"{tmp_path}/documents.parquet")
+    assert pitman_yor.scoring_query(spark, str(tmp_path)).count() == 20
+    assert {x.partition("-")[0] for x in stored_tables(spark) - before} == {"scores"}
