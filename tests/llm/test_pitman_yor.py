@@ -2,16 +2,14 @@ import math
 import re
 import zlib
 from collections import Counter
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from footfall.llm import pitman_yor
+from footfall.llm import common, pitman_yor
 from footfall.llm.common import fold
-from footfall.session import shared_dir
 from tests.llm.data import AWKWARD, SCHEMA, documents, prose
 
 CLASH = ["token", "n", "context", "score", "key", "copies", "base"]
@@ -174,16 +172,17 @@ def test_the_same_scores_however_many_blocks_and_passes(spark, monkeypatch):
         assert a["score"] == pytest.approx(b["score"], rel=1e-9) and a["base_score"] == pytest.approx(b["base_score"], rel=1e-9)
 
 
-def stored_tables(spark):
-    return {x.name for x in Path(shared_dir(spark).removeprefix("file://"), "llm").glob("*")}
+def test_only_what_is_still_read_stays_on_disk(spark, tmp_path, monkeypatch):
+    """Of all sweeps one state stays, and of the whole query its scores."""
 
+    def tables(folder):
+        monkeypatch.setattr(common, "shared_dir", lambda spark: str(folder))
+        return lambda: sorted(x.name.partition("-")[0] for x in (folder / "llm").iterdir())
 
-def test_only_what_is_still_read_stays_on_disk(spark, tmp_path):
-    """Of all sweeps one state stays, and of the whole query its scores."""
-    before = stored_tables(spark)
-    _, model = pitman_yor.train(documents(spark, rows(20)))
-    assert sorted(x.partition("-")[0] for x in stored_tables(spark) - before) == ["cells", "state"]
-    before = stored_tables(spark)
+    stays = tables(tmp_path / "trained")
+    pitman_yor.train(documents(spark, rows(20)))
+    assert stays() == ["cells", "state"]
+    stays = tables(tmp_path / "scored")
     documents(spark, rows(20)).write.parquet(f"{tmp_path}/documents.parquet")
     assert pitman_yor.scoring_query(spark, str(tmp_path)).count() == 20
-    assert {x.partition("-")[0] for x in stored_tables(spark) - before} == {"scores"}
+    assert stays() == ["scores"]
